@@ -39,5 +39,5 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def parts_for(df: DataFrame, mb: int = 64) -> int:
     """Shuffle partitions for df: the session's number, or more where df's size asks for it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), 100_000))
