@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notelake.llm import classifier, mixing, packing, quality_rules, url_filter
+from notelake.llm import classifier, imatch, mixing, packing, quality_rules, simhash, url_filter
 from notelake.session import table
 
 
@@ -15,6 +15,8 @@ def _labelled(f):
 
 
 QUERIES = {
+    "op2_imatch": _on("documents", imatch.fingerprinted),
+    "op3_simhash": _on("documents", simhash.grouped),
     "op4_packing": _on("documents", packing.pack),
     "op6_mixing": _on("documents", mixing.mix_report),
     "op7_url_filter": _on("pages", url_filter.judge),
