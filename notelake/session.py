@@ -40,4 +40,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def parts_for(df: DataFrame, mb: int = 64) -> int:
     """Shuffle partitions for df: the session's number, or more where df's size asks for it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), 100_000))
+    if size >= 1 << 60:  # unknown, as for rows made by the driver
+        size = 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), 30_000))
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
