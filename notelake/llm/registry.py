@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notelake.llm import classifier, imatch, mixing, packing, quality_rules, simhash, url_filter
+from notelake.llm import classifier, imatch, katz, mixing, packing, quality_rules, simhash, url_filter
 from notelake.session import table
 
 
@@ -22,5 +22,6 @@ QUERIES = {
     "op7_url_filter": _on("pages", url_filter.judge),
     "op8_classifier": _labelled(classifier.classify),
     "op9_quality_rules": _labelled(quality_rules.judged),
+    "op10_katz": _on("documents", katz.score),
 }
 ORACLE = {"op6_mixing": mixing.ORACLE, "op7_url_filter": url_filter.ORACLE}
