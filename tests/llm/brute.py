@@ -69,3 +69,40 @@ def katz(rows, k=5):
     for a in list(seen)[:20]:  # exactly normalised over the words and the unknown event
         assert abs(sum(p2(a, b) for b in uni) + alpha[a] * unk - 1) < 1e-9
     return [(len(s), sum(uni[w] > 0 for w in s), N, sum(math.log10((uni[w] + 1) / (N + V + 1)) for w in s), sum(math.log10(p2(a, b)) for a, b in zip([0, *s], s))) for s in seqs]
+
+
+def in_order(rows):
+    """Row numbers by (doc_id, text), nulls first."""
+    return sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, (rows[i][1] or "").encode()))
+
+
+def word_windows(rows, n=20):
+    """[(doc_id, n_words, n_removed, kept)] in the order of ids."""
+    seen, out = set(), []
+    for i in in_order(rows):
+        w = words(rows[i][1])
+        gone = set()
+        for p in range(len(w) - n + 1):
+            key = tuple(w[p : p + n])
+            if key in seen:
+                gone.update(range(p, p + n))
+            seen.add(key)
+        out.append((rows[i][0], len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+def byte_windows(rows, n=200, first=False):
+    """[(doc_id, n_bytes, n_removed, n_spans, kept)] in the order of ids; first: the first copy stays."""
+    data = [(rows[i][0], (rows[i][1] or "").encode()) for i in in_order(rows)]
+    count = Counter(t[p : p + n] for _, t in data for p in range(len(t) - n + 1))
+    seen, out = set(), []
+    for i, t in data:
+        gone = bytearray(len(t))
+        for p in range(len(t) - n + 1):
+            key = t[p : p + n]
+            if (key in seen) if first else count[key] > 1:
+                gone[p : p + n] = b"\1" * n
+            seen.add(key)
+        spans = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out.append((i, len(t), sum(gone), spans, bytes(b for b, g in zip(t, gone) if not g)))
+    return out
