@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,3 +53,10 @@ def dropped(*tables: DataFrame) -> None:
         for file in df.inputFiles()[:1]:
             path = jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def tidied(df: DataFrame) -> DataFrame:
+    """df, a written table; the shuffle files of the jobs that made it may go now, as nothing reads them again."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
