@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from notelake.llm import exchange as X
-from notelake.session import dropped, parts_for, written
+from notelake.session import dropped, parts_for, tidied, written
 
-WINDOW, ROUNDS = 20, 4
+WINDOW, ROUNDS = 20, 3
 FAR = np.int64(1) << np.int64(60)
 ODD = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 OUTPUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -178,6 +178,8 @@ def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None)
         return pa.Table.from_arrays([pa.array(ids, mask=ids == X.NO_ID), pa.array(lens), pa.array(removed, pa.int64()), pa.array(hashes)], schema=OUTPUT)
 
     first = written(X.asked(documents, ask), "recompression-symbols")
-    second = written(X.by_block(first, X.answered(first, parts, repeated), verify), "recompression-windows")
-    dropped(first)
-    return X.by_block(second, X.answered(second, parts, firsts), remove, OUTPUT_DDL)
+    again = tidied(written(X.answered(first, parts, repeated), "recompression-repeated"))
+    second = written(X.by_block(first, again, verify), "recompression-windows")
+    dropped(first, again)
+    tidied(second)
+    return X.by_block(second, tidied(written(X.answered(second, parts, firsts), "recompression-firsts")), remove, OUTPUT_DDL)

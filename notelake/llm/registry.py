@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notelake.llm import classifier, imatch, katz, mixing, packing, quality_rules, simhash, url_filter
+from notelake.llm import classifier, imatch, katz, mixing, packing, quality_rules, recompression, simhash, suffix, url_filter
 from notelake.session import table
 
 
@@ -15,9 +15,11 @@ def _labelled(f):
 
 
 QUERIES = {
+    "op1_suffix_array": _on("documents", suffix.dedup),
     "op2_imatch": _on("documents", imatch.fingerprinted),
     "op3_simhash": _on("documents", simhash.grouped),
     "op4_packing": _on("documents", packing.pack),
+    "op5_recompression": _on("documents", recompression.dedup),
     "op6_mixing": _on("documents", mixing.mix_report),
     "op7_url_filter": _on("pages", url_filter.judge),
     "op8_classifier": _labelled(classifier.classify),
