@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notelake.llm import exchange as X
 from notelake.session import dropped, parts_for, tidied, written
@@ -160,14 +161,17 @@ def _dealt(keys, parts, columns, shift=0):
     return [(p + shift, X.frame(X.pack_keys(keys[s:e]), *(f(c[s:e]) for f, c in columns))) for p, (s, e) in enumerate(zip(at[:-1], at[1:])) if e > s]
 
 
-def repeats(documents: DataFrame, finish, ddl: str, keep: str = "none", length: int = LENGTH, hot: int = HOT, parts: int | None = None) -> DataFrame:
-    """finish(ids, texts, data, covered) of each block gives a table of ddl; covered marks the bytes to remove."""
+def repeats(documents: DataFrame, finish, ddl: str, keep: str = "none", length: int = LENGTH, hot: int = HOT, parts: int | None = None, rider: str | None = None) -> DataFrame:
+    """finish(ids, texts, covered, riders) of each block gives a table of ddl; covered marks the bytes to remove.
+
+    rider: a string column that goes with each text.
+    """
     parts = parts or parts_for(documents, 32)
 
-    def ask(ids, texts):
+    def ask(ids, texts, riders=()):
         b = Block(ids, texts, parts, length)
         columns = ((X.pack, b.content), (lambda c: X.pack(np.minimum(c, 2).astype(np.uint8)), b.times), (_delta, b.ids))
-        return [(-1, X.texts_frame(ids, texts)), *_dealt(b.keys, parts, columns)]
+        return [(-1, X.frame(X.texts_frame(ids, texts), X.texts_frame(np.empty(0, np.int64), list(riders)))), *_dealt(b.keys, parts, columns)]
 
     def anchors(part, got):
         """Of each content: TOTAL if it occurs twice or more, HOLDS if first here, MIXED if others share its anchor, IS_HOT if many."""
@@ -185,7 +189,7 @@ def repeats(documents: DataFrame, finish, ddl: str, keep: str = "none", length:
         return [(block, X.pack(x)) for (block, _), x in zip(got, np.split(code, ends[:-1]))]
 
     def send(kept, got):
-        ids, texts = X.framed_texts(kept)
+        ids, texts = X.framed_texts(X.unframe(kept)[0])
         b = Block(ids, texts, parts, length)
         code = np.concatenate([np.empty(0, np.uint8), *(X.unpack(d, np.uint8) for d in _per_part(got, b.keys, parts))])
         rows = [(-1, X.frame(kept, X.pack(code)))]
@@ -251,7 +255,7 @@ def repeats(documents: DataFrame, finish, ddl: str, keep: str = "none", length:
 
     def cut(kept, got):
         framed, code = X.unframe(kept)
-        ids, texts = X.framed_texts(framed)
+        (ids, texts), (_, riders) = map(X.framed_texts, X.unframe(framed))
         b = Block(ids, texts, parts, length)
         code = X.unpack(code, np.uint8)
         own = code[b.of]
@@ -280,9 +284,9 @@ def repeats(documents: DataFrame, finish, ddl: str, keep: str = "none", length:
         for at in starts:
             np.add.at(edge, at, 1)
             np.add.at(edge, at + length, -1)
-        return finish(ids, texts, np.cumsum(edge)[:-1] > 0)
+        return finish(ids, texts, np.cumsum(edge)[:-1] > 0, riders)
 
-    first = written(X.asked(documents, ask), "suffix-anchors")
+    first = written(X.asked(documents, ask, rider), "suffix-anchors")
     codes = tidied(written(X.answered(first, parts, anchors), "suffix-codes"))
     second = written(X.by_block(first, codes, send), "suffix-texts")
     dropped(first, codes)
@@ -293,7 +297,7 @@ def repeats(documents: DataFrame, finish, ddl: str, keep: str = "none", length:
 def dedup(documents: DataFrame, keep: str = "none", length: int = LENGTH, hot: int = HOT, parts: int | None = None) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
-    def finish(ids, texts, covered):
+    def finish(ids, texts, covered, _):
         removed, spans, hashes, at = [], [], [], 0
         for t in texts:
             own = covered[at : at + len(t)]
@@ -304,3 +308,33 @@ def dedup(documents: DataFrame, keep: str = "none", length: int = LENGTH, hot: i
         return pa.Table.from_arrays([pa.array(ids, mask=ids == X.NO_ID), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes)], schema=OUTPUT)
 
     return repeats(documents, finish, OUTPUT_DDL, keep, length, hot, parts)
+
+
+def deduplicated(documents: DataFrame, keep: str = "first", length: int = LENGTH) -> DataFrame:
+    """documents with the repeated bytes cut from text, columns unchanged; n_chars, if there, is counted anew.
+
+    A cut may split a UTF-8 character; what is left of it is dropped. A row whose text was cut to nothing or to white
+    space goes; rows that were empty before stay. The other columns ride beside the text as JSON, so names can't clash.
+    """
+    others = [c for c in documents.columns if c not in ("text", "n_chars")]
+    rest = T.StructType([T.StructField(f"c{i}", documents.schema[c].dataType) for i, c in enumerate(others)])
+    rows = documents.select("doc_id", "text", F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])).alias("rest"))
+    schema = pa.schema([("text", pa.string()), ("rest", pa.string())])
+
+    def finish(ids, texts, covered, riders):
+        out, at = [], 0
+        for t, r in zip(texts, riders, strict=True):
+            own = covered[at : at + len(t)]
+            at += len(t)
+            cut = own.any()
+            left = (np.frombuffer(t, np.uint8)[~own].tobytes() if cut else t).decode("utf-8", "ignore" if cut else "replace")
+            if not cut or left.strip():
+                out.append((left, r.decode()))
+        return pa.Table.from_pylist([{"text": t, "rest": r} for t, r in out], schema)
+
+    kept = repeats(rows.filter("text is not null"), finish, "text string, rest string", keep, length, rider="rest")
+    kept = kept.union(rows.filter("text is null").select("text", "rest")).select("text", F.from_json("rest", rest).alias("r"))
+    columns = {c: F.col(f"r.c{i}") for i, c in enumerate(others)} | {"text": F.col("text")}
+    if "n_chars" in documents.columns:
+        columns["n_chars"] = F.length("text").cast(documents.schema["n_chars"].dataType)
+    return kept.select(*[columns[c].alias(c) for c in documents.columns])
