@@ -1,4 +1,586 @@
-"""Registered reference queries and their DuckDB counterparts."""
+"""Registered reference queries and their DuckDB counterparts, over whole tables.
+
+A vault is made of the documents table by one projection (one note for each document, linking two others), the embeddings are its
+vectors, conversations are sources of several chunks, events serve as file changes and as latencies.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from notelake.functions import text as T
+from notelake.operators import chunk, evaluate, fts, fuse, links, search, store
+from notelake.operators.knn import knn
+from notelake.plans.index import with_lines
+from notelake.session import table
+from notelake.sources import sinks, vault
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE[name] = oracle
+        return f
+
+    return register
+
+
+# ---- shared inputs
+
+TITLE = r"trim(substring(regexp_replace(split_part(text, '.', 1), '[ \t\n\r]+', ' ', 'g'), 1, 80))"
+VAULT = rf"""n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT doc_id AS source_id, source || '/' || lang || '/doc-' || doc_id || '.md' AS path, {TITLE} AS title, text, lang, source,
+  'd' || doc_id AS alias, (doc_id * 7 + 3) % n AS a, (doc_id * 5 + 1) % n AS b FROM documents, n),
+w AS (SELECT *, '---' || chr(10) || 'tags: [' || lang || ', ' || source || ']' || chr(10) || 'aliases: [' || alias || ']' || chr(10) || '---' || chr(10) || '# ' || title
+  || chr(10) || chr(10) || text || chr(10) || chr(10) || 'See [[doc-' || a || ']] and [[d' || b || ']].' AS content FROM v),
+e AS (SELECT DISTINCT source_id AS src_id, target_path, dst_id FROM (SELECT source_id, 'doc-' || a AS target_path, a AS dst_id FROM v UNION ALL SELECT source_id, 'd' || b, b FROM v) x
+  WHERE dst_id IN (SELECT source_id FROM v)),
+deg AS (SELECT source_id, count(dst_id) AS indegree FROM v LEFT JOIN e ON dst_id = source_id GROUP BY source_id)"""
+
+
+def toks(c: str) -> str:
+    return f"list_transform(regexp_extract_all({c}, '[a-zA-Z0-9]+'), lambda x: lower(x))"
+
+
+def has(f: str, t: str) -> str:
+    return f"len(list_filter({f}, lambda x: x = '{t}'))"
+
+
+def bm25(name: str, rows: str, key: str, parts: list[str], where: str, limit: int | None = 50, size: str = "len(t)") -> str:
+    """CTEs ending in {name}({key}, score). rows: FROM clause with {key} and t (and further token lists); parts: counts; where over f0, f1, ..."""
+    fs = ", ".join(f"{p} AS f{i}" for i, p in enumerate(parts))
+    ds = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(parts)))
+    idf = lambda i: f"CASE WHEN ln((r - d{i} + 0.5) / (d{i} + 0.5)) > 0 THEN ln((r - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END"
+    total = " + ".join(f"({idf(i)}) * (f{i} * 2.2) / (f{i} + 1.2 * (0.25 + 0.75 * sz / av))" for i in range(len(parts)))
+    cut = f"ORDER BY score, {key} LIMIT {limit}" if limit else ""
+    return f"""{name}_c AS (SELECT {key}, {size} AS sz, {fs} FROM ({rows}) q),
+{name}_s AS (SELECT count(*) AS r, CAST(sum(sz) AS DOUBLE) / count(*) AS av, {ds} FROM {name}_c),
+{name} AS (SELECT {key}, -({total}) AS score FROM {name}_c, {name}_s WHERE {where} {cut})"""
+
+
+DOCS = f"SELECT doc_id, {toks('text')} AS t FROM documents"
+
+
+def notes(spark: SparkSession, sf: str) -> DataFrame:
+    return vault.from_documents(table(spark, sf, "documents"))
+
+
+def parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return vault.parsed(notes(spark, sf))
+
+
+def raw_links(n: DataFrame) -> DataFrame:
+    return n.select(F.col("source_id").alias("src_id"), F.explode("links").alias("target_path"))
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    n = parsed(spark, sf)
+    return links.resolve(raw_links(n), n.select("source_id", "path", "aliases"))
+
+
+def index(spark: SparkSession, sf: str) -> search.Index:
+    n = parsed(spark, sf).select("source_id", "path", "title", "aliases", "tags", "links")
+    e = links.resolve(raw_links(n), n).persist()
+    sources = n.drop("links").join(links.indegree(e, n), "source_id").persist()
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("source_id"), F.col("text").alias("content"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(docs.select("chunk_id"), "chunk_id", "left_semi")
+    return search.Index(sources, docs, vectors, e)
+
+
+def vector_of(spark: SparkSession, sf: str, vec_id: int) -> list:
+    return list(table(spark, sf, "embeddings").filter(F.col("vec_id") == vec_id).first()["embedding"])
+
+
+def r6(c: str) -> Column:
+    return F.round(F.col(c), 6).alias(c)
+
+
+# ---- text statistics
+
+
+@query("tokenize_stats", f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM ({DOCS}) q")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.tokens("text").alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+@query("term_df", f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(t) AS term FROM ({DOCS}) q) x GROUP BY term")
+def _(spark, sf):
+    p = fts.postings(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("token_estimate", "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, CAST(floor((length(text) - c) / 4.0 + c / 1.5) AS BIGINT)) END AS tokens FROM (SELECT doc_id, text, length(regexp_replace(text, '[^㐀-鿿豈-﫿]', '', 'g')) AS c FROM documents) q")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.token_estimate("text").alias("tokens"))
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.content_hash("text").alias("hash"))
+
+
+# ---- full text
+
+
+def _bm25(q: str, lenient: bool = False):
+    def run(spark, sf):
+        return fts.bm25(table(spark, sf, "documents"), "doc_id", {"content": F.col("text")}, [(1, q)], 50, lenient).select("doc_id", r6("score"))
+
+    return run
+
+
+def _bm25_sql(parts, where):
+    return f"WITH {bm25('h', DOCS, 'doc_id', parts, where)} SELECT doc_id, round(score, 6) AS score FROM h"
+
+
+PHRASE = "len(list_filter(range(1, len(t)), lambda i: t[i] = 'in' AND t[i + 1] = 'the'))"
+query("bm25_top50", _bm25_sql([has("t", "that"), has("t", "as")], "f0 > 0 AND f1 > 0"))(_bm25("that as"))
+query("bm25_and", _bm25_sql([has("t", "with"), has("t", "by"), has("t", "this")], "f0 > 0 AND f1 > 0 AND f2 > 0"))(_bm25("with AND by this"))
+query("bm25_or_not", _bm25_sql([has("t", "that"), has("t", "dans"), has("t", "for")], "(f0 > 0 OR f1 > 0) AND NOT f2 > 0"))(_bm25("(that OR dans) NOT for"))
+query("bm25_prefix", _bm25_sql(["len(list_filter(t, lambda x: starts_with(x, 'ansh')))"], "f0 > 0"))(_bm25("ansh*"))
+query("bm25_phrase", _bm25_sql([PHRASE], "f0 > 0"))(_bm25('"in the"'))
+query("bm25_initial", _bm25_sql(["CASE WHEN t[1] = 'the' THEN 1 ELSE 0 END"], "f0 > 0"))(_bm25("^the"))
+query("bm25_syntax_error", "SELECT doc_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE false")(_bm25("don't break"))
+query("bm25_lenient", _bm25_sql([has("t", "that"), has("t", "as")], "f0 > 0 AND f1 > 0"))(_bm25("that, as?", True))
+
+TITLES = f"SELECT source_id, {toks('title')} AS t, {toks('alias')} AS u FROM v"
+
+
+@query("title_bm25", f"WITH {VAULT}, {bm25('h', TITLES, 'source_id', [has('t', 'the') + ' + ' + has('u', 'the'), has('t', 'of') + ' + ' + has('u', 'of')], 'f0 > 0 AND f1 > 0', size='len(t) + len(u)')} SELECT source_id, round(score, 6) AS score FROM h")
+def _(spark, sf):
+    return search.title_hits(search.Index(parsed(spark, sf), None, None, None), [(1, "the of")], 50).select("source_id", r6("score"))
+
+
+@query("title_bm25_column", f"WITH {VAULT}, {bm25('h', TITLES, 'source_id', [has('u', 'd7')], 'f0 > 0', size='len(t) + len(u)')} SELECT source_id, round(score, 6) AS score FROM h")
+def _(spark, sf):
+    return search.title_hits(search.Index(parsed(spark, sf), None, None, None), [(1, "aliases: d7")], 50).select("source_id", r6("score"))
+
+
+CONV = f"SELECT conv_id * 100000 + turn AS chunk_id, {toks('text')} AS t FROM conversations"
+
+
+@query("bm25_best_per_source", f"WITH {bm25('h', CONV, 'chunk_id', [has('t', 'the')], 'f0 > 0')}, m AS (SELECT chunk_id, chunk_id // 100000 AS source_id, round(score, 6) AS score, row_number() OVER (PARTITION BY chunk_id // 100000 ORDER BY score, chunk_id) AS k FROM h) SELECT source_id, chunk_id, score FROM m WHERE k = 1")
+def _(spark, sf):
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("chunk_id"), "text")
+    h = fts.bm25(c, "chunk_id", {"content": F.col("text")}, [(1, "the")], 50).withColumn("source_id", F.floor(F.col("chunk_id") / 100000))
+    return fuse.best_chunk(h, "score").select("source_id", "chunk_id", r6("score"))
+
+
+@query("bm25_batch_postings", f"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_slice({toks('text')}, 1, 2))) AS term FROM benchmark),
+need AS (SELECT query_id, count(*) AS need FROM q GROUP BY query_id),
+d AS ({DOCS}), s AS (SELECT count(*) AS r, CAST(sum(len(t)) AS DOUBLE) / count(*) AS av FROM d),
+p AS (SELECT doc_id, len(t) AS sz, unnest(t) AS term FROM d), pt AS (SELECT term, doc_id, sz, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM pt GROUP BY term),
+x AS (SELECT query_id, doc_id, count(*) AS n, -sum((CASE WHEN ln((r - df + 0.5) / (df + 0.5)) > 0 THEN ln((r - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sz / av))) AS score
+  FROM q JOIN df USING (term) JOIN pt USING (term), s GROUP BY query_id, doc_id),
+k AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS k FROM x JOIN need USING (query_id) WHERE n = need)
+SELECT query_id, doc_id, round(score, 6) AS score FROM k WHERE k <= 10""")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    size = d.agg(F.count("*").alias("n"), F.sum(F.size(T.tokens("text"))).alias("total")).first()
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens("text"), 1, 2), " ").alias("query"))
+    hits = fts.bm25_postings(fts.postings(d, "doc_id", F.col("text")), "doc_id", size["n"], size["total"], q, None)
+    return fts.top(hits.withColumn("_s", F.round("score", 9)), ["_s", "doc_id"], 10).select("query_id", "doc_id", r6("score"))
+
+
+# ---- vectors
+
+COS = "1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+@query("knn_top50", f"SELECT a.vec_id AS chunk_id, round({COS}, 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 3 ORDER BY {COS}, a.vec_id LIMIT 50")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.filter("vec_id = 3").select(F.lit(1).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+    return knn(e.withColumnRenamed("vec_id", "chunk_id"), q, 50).select("chunk_id", r6("distance"))
+
+
+@query("knn_batch", f"SELECT query_id, chunk_id, round(distance, 6) AS distance FROM (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, {COS} AS distance, row_number() OVER (PARTITION BY b.vec_id ORDER BY {COS}, a.vec_id) AS k FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0) x WHERE k <= 10")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return knn(e.withColumnRenamed("vec_id", "chunk_id"), q, 10).select("query_id", "chunk_id", r6("distance"))
+
+
+# ---- notes
+
+
+@query("frontmatter_fields", f"WITH {VAULT} SELECT source_id, lang || '|' || source AS tags, alias AS aliases, sha256('# ' || title || chr(10) || chr(10) || text || chr(10) || chr(10) || 'See [[doc-' || a || ']] and [[d' || b || ']].') AS body_hash FROM w")
+def _(spark, sf):
+    return parsed(spark, sf).select("source_id", F.array_join("tags", "|").alias("tags"), F.array_join("aliases", "|").alias("aliases"), T.content_hash("body").alias("body_hash"))
+
+
+@query("title_extract", f"WITH {VAULT} SELECT source_id, CASE WHEN title = '' THEN 'doc-' || source_id ELSE title END AS title, sha256(content) AS hash FROM w")
+def _(spark, sf):
+    return parsed(spark, sf).select("source_id", "title", F.col("content_hash").alias("hash"))
+
+
+@query("link_extract", f"WITH {VAULT} SELECT source_id, '[[doc-' || a || ']][[d' || b || ']]' AS links FROM v")
+def _(spark, sf):
+    return parsed(spark, sf).select("source_id", F.concat(F.lit("[["), F.array_join("links", "]][["), F.lit("]]")).alias("links"))
+
+
+@query("html_links", "SELECT page_id, len(x) AS n_links, array_to_string(x, ' ') AS targets FROM (SELECT page_id, list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS y, list_sort(y) AS x FROM pages) q")
+def _(spark, sf):
+    x = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))))
+    return table(spark, sf, "pages").select("page_id", F.size(x).cast("long").alias("n_links"), F.array_join(x, " ").alias("targets"))
+
+
+@query("tag_and_filter", f"WITH {VAULT} SELECT source_id, path FROM v WHERE lang = 'en' AND source = 'src3'")
+def _(spark, sf):
+    return parsed(spark, sf).filter(fuse.tags_filter(F.col("tags"), ("en", "src3"))).select("source_id", "path")
+
+
+@query("folder_filter", f"WITH {VAULT} SELECT source_id, path FROM v WHERE starts_with(path, 'src1/en/')")
+def _(spark, sf):
+    return notes(spark, sf).filter(fuse.folder_filter(F.col("path"), "src1/en")).select("source_id", "path")
+
+
+@query("hidden_filter", f"WITH {VAULT} SELECT source_id FROM v WHERE lang <> 'fr' AND source <> 'src2'")
+def _(spark, sf):
+    renamed = F.replace(F.replace("path", F.lit("/fr/"), F.lit("/.fr/")), F.lit("src2/"), F.lit("todo/"))
+    return notes(spark, sf).filter(~T.is_hidden(renamed)).select("source_id")
+
+
+@query("alias_lookup", f"WITH {VAULT} SELECT alias, source_id FROM v")
+def _(spark, sf):
+    return parsed(spark, sf).select(F.explode("aliases").alias("alias"), "source_id")
+
+
+@query("line_map", f"WITH {VAULT} SELECT source_id, 7 + len(text) - len(replace(text, chr(10), '')) + 2 AS last_line, CAST(5 AS BIGINT) AS first_line FROM v")
+def _(spark, sf):
+    n = parsed(spark, sf)
+    at = lambda off: T.line_of("content", off)
+    return n.select("source_id", at(F.length("body") - 1).alias("last_line"), at(F.lit(0)).alias("first_line"))
+
+
+@query("get_window", "SELECT doc_id, array_to_string(list_slice(string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)), 2, 4), chr(10)) AS lines FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.line_window("text", 2, 3).alias("lines"))
+
+
+@query("chunk_spans")
+def _(spark, sf):
+    return chunk.chunked(notes(spark, sf), T.body("content"), 100)
+
+
+@query("chunk_invariant", f"WITH {VAULT} SELECT source_id, CAST(0 AS BIGINT) AS broken FROM v")
+def _(spark, sf):
+    n = notes(spark, sf).select("source_id", T.body("content").alias("body"))
+    c = chunk.chunked(n, F.col("body"), 100).join(n, "source_id")
+    same = F.col("content") == F.substring("body", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return c.groupBy("source_id").agg(F.sum((~same | (F.col("token_count") != T.token_estimate("content"))).cast("long")).alias("broken"))
+
+
+@query("sentences", "SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1))) AS n FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(T.sentences("text")).cast("long").alias("n"))
+
+
+# ---- graph
+
+
+@query("link_resolve", f"WITH {VAULT} SELECT src_id, target_path, dst_id FROM e")
+def _(spark, sf):
+    return edges(spark, sf)
+
+
+@query("link_resolve_global", f"WITH {VAULT} SELECT src_id, target_path, dst_id FROM e")
+def _(spark, sf):
+    n = parsed(spark, sf)
+    return links.resolve(raw_links(n), n, "global")
+
+
+@query("indegree", f"WITH {VAULT} SELECT source_id, indegree FROM deg")
+def _(spark, sf):
+    return links.indegree(edges(spark, sf), notes(spark, sf))
+
+
+@query("neighbors_1hop", f"WITH {VAULT} SELECT DISTINCT query_id, source_id FROM (SELECT src_id AS query_id, dst_id AS source_id FROM e UNION ALL SELECT dst_id, src_id FROM e) x")
+def _(spark, sf):
+    n = notes(spark, sf)
+    return links.neighbours(edges(spark, sf), n.select(F.col("source_id").alias("query_id"), "source_id"))
+
+
+def _bfs_sql(a, b):
+    return f"""WITH RECURSIVE {VAULT}, walk AS (SELECT CAST(7 AS BIGINT) AS source_id, 0 AS depth UNION SELECT e.{b}, depth + 1 FROM walk JOIN e ON e.{a} = walk.source_id WHERE depth < 3)
+SELECT source_id, min(depth) AS depth FROM walk WHERE source_id <> 7 GROUP BY source_id"""
+
+
+@query("bfs_out", _bfs_sql("src_id", "dst_id"))
+def _(spark, sf):
+    return links.bfs(edges(spark, sf).persist(), 7, 3, "out")
+
+
+@query("bfs_in", _bfs_sql("dst_id", "src_id"))
+def _(spark, sf):
+    return links.bfs(edges(spark, sf).persist(), 7, 3, "in")
+
+
+@query("forward_refs", f"WITH {VAULT} SELECT src_id, target_path, dst_id FROM e WHERE src_id % 3 = 0")
+def _(spark, sf):
+    e = edges(spark, sf).withColumn("dst_id", F.when(F.col("src_id") % 3 != 0, F.col("dst_id")))
+    return links.forward_refs(e, parsed(spark, sf)).select("src_id", "target_path", "dst_id")
+
+
+# ---- hybrid search
+
+TEXT, VEC = "that as", 3
+
+
+def ranks_sql(filters: str = "true", k: int = 50, text: tuple[str, str] = ("that", "as")) -> str:
+    ts = [has("t", x) for x in text]
+    both = [f"{has('t', x)} + {has('u', x)}" for x in text]
+    where = "f0 > 0 AND f1 > 0"
+    return f"""{VAULT}, {bm25('h', DOCS, 'doc_id', ts, where)}, {bm25('ti', TITLES, 'source_id', both, where, size='len(t) + len(u)')},
+nn AS (SELECT a.vec_id AS chunk_id, {COS} AS distance FROM embeddings a, embeddings b WHERE b.vec_id = {VEC} AND a.vec_id IN (SELECT doc_id FROM documents) ORDER BY {COS}, a.vec_id LIMIT {k}),
+c0 AS (SELECT doc_id AS source_id, 'bm25' AS channel, row_number() OVER (ORDER BY score, doc_id) AS rank FROM h
+  UNION ALL SELECT chunk_id, 'vector', row_number() OVER (ORDER BY distance, chunk_id) FROM nn UNION ALL SELECT source_id, 'title', row_number() OVER (ORDER BY score, source_id) FROM ti),
+c1 AS (SELECT c0.* FROM c0 JOIN v USING (source_id) WHERE {filters}),
+ranks AS (SELECT * FROM c1 UNION ALL SELECT source_id, 'indegree', row_number() OVER (ORDER BY indegree DESC, source_id) FROM (SELECT DISTINCT source_id FROM c1) p JOIN deg USING (source_id)),
+fused AS (SELECT source_id, sum((CASE channel WHEN 'title' THEN 1.5 WHEN 'indegree' THEN 0.3 ELSE 1.0 END) / (60 + rank)) AS score FROM ranks GROUP BY source_id),
+ck AS (SELECT f.*, coalesce(h.doc_id, nn.chunk_id) AS ck FROM fused f LEFT JOIN h ON h.doc_id = f.source_id LEFT JOIN nn ON nn.chunk_id = f.source_id),
+pos AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, ck IS NULL, source_id) AS position FROM (SELECT * FROM ck ORDER BY round(score, 12) DESC, source_id LIMIT {{cut}}) x)"""
+
+
+def result_sql(filters: str = "true", k: int = 50, cut: int = 10, text: tuple[str, str] = ("that", "as")) -> str:
+    return f"WITH {ranks_sql(filters, k, text).format(cut=cut)} SELECT position, source_id, coalesce(ck, 0) AS chunk_id, path, v.title, CASE WHEN ck IS NULL THEN CASE WHEN v.title = '' THEN path ELSE v.title END ELSE text END AS content, round(score, 6) AS score, indegree FROM pos JOIN v USING (source_id) JOIN deg USING (source_id)"
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("position").cast("long").alias("position"), "source_id", "chunk_id", "path", "title", "content", r6("score"), "indegree")
+
+
+def _hybrid(text=TEXT, reranker=None, **spec):
+    def run(spark, sf):
+        return _shown(search.search(index(spark, sf), [(1, text, vector_of(spark, sf, VEC))], search.Spec(**spec), reranker() if reranker else None))
+
+    return run
+
+
+query("hybrid_search", result_sql())(_hybrid())
+query("hybrid_search_tags", result_sql("lang = 'en' AND source = 'src3'", 200))(_hybrid(tags=("en", "src3")))
+query("hybrid_search_folder", result_sql("starts_with(path, 'src1/')", 200))(_hybrid(folder="src1"))
+
+
+@query("channel_diagnostics", f"WITH {ranks_sql().format(cut=10)} SELECT source_id, channel, rank FROM ranks")
+def _(spark, sf):
+    got = search.channels(index(spark, sf), [(1, TEXT, vector_of(spark, sf, VEC))], search.Spec())
+    return got["ranks"].select("source_id", "channel", F.col("rank").cast("long").alias("rank"))
+
+
+@query("rrf_fuse", f"WITH {ranks_sql().format(cut=10)} SELECT source_id, round(score, 6) AS score FROM fused")
+def _(spark, sf):
+    return search.channels(index(spark, sf), [(1, TEXT, vector_of(spark, sf, VEC))], search.Spec())["fused"].select("source_id", r6("score"))
+
+
+@query("channel_counts", f"WITH {ranks_sql().format(cut=10)} SELECT channel, count(*) AS n FROM ranks GROUP BY channel")
+def _(spark, sf):
+    return search.channels(index(spark, sf), [(1, TEXT, vector_of(spark, sf, VEC))], search.Spec())["ranks"].groupBy("channel").agg(F.count("*").alias("n"))
+
+
+def rerank_sql(gate: str, budget: int, text: tuple[str, str] = ("that", "as")) -> str:
+    q = f"['{text[0]}', '{text[1]}']"
+    return f"""WITH {ranks_sql(text=text).format(cut=max(budget, 10))},
+r AS (SELECT pos.*, path, v.title, indegree, position <= {budget} AS head, CASE WHEN ck IS NULL THEN CASE WHEN v.title = '' THEN path ELSE v.title END ELSE text END AS content FROM pos JOIN v USING (source_id) JOIN deg USING (source_id)),
+g AS (SELECT {gate} AS gate, (SELECT score FROM pos WHERE position = 1) AS top),
+s AS (SELECT r.*, CASE WHEN NOT head THEN score WHEN gate THEN (CASE WHEN position <= 3 THEN 0.6 WHEN position <= 10 THEN 0.5 ELSE 0.4 END) * score / top + (CASE WHEN position <= 3 THEN 0.4 WHEN position <= 10 THEN 0.5 ELSE 0.6 END) * p ELSE p END AS new
+  FROM (SELECT *, len(list_filter({q}, lambda x: list_contains({toks('content')}, x))) / 2.0 AS p FROM r) r, g)
+SELECT * FROM (SELECT row_number() OVER (ORDER BY head DESC, CASE WHEN head THEN -round(new, 12) ELSE position END, position) AS position, source_id, coalesce(ck, 0) AS chunk_id, path, title, content, round(new, 6) AS score, indegree FROM s) z WHERE position <= 10"""
+
+
+GATE = "EXISTS (SELECT 1 FROM ranks JOIN pos USING (source_id) WHERE channel = 'title' AND rank = 1 AND position <= {k})"
+query("rerank_blend_gate_on", rerank_sql(GATE.format(k=20), 20, ("the", "of")))(_hybrid("the of", search.overlap_scorer, rerank_k=20))
+query("rerank_gate_off", rerank_sql(GATE.format(k=20), 20, ("that", "dans")))(_hybrid("that dans", search.overlap_scorer, rerank_k=20))
+query("rerank_tail", rerank_sql(GATE.format(k=5), 5))(_hybrid(TEXT, search.overlap_scorer, rerank_k=5))
+
+
+@query("rerank_budget", "SELECT * FROM (VALUES ('plain words', 'none', 5, 'default'), ('plain words', 'title', 5, 'title'), ('plain words', 'filter', 20, 'filter'), ('向量 检索', 'none', 20, 'cjk_technical'), ('你好', 'none', 5, 'default')) t(query, state, k, reason)")
+def _(spark, sf):
+    rows = [("plain words", "none"), ("plain words", "title"), ("plain words", "filter"), ("向量 检索", "none"), ("你好", "none")]
+    k, reason = search.rerank_budget("query", "auto", F.col("state") == "filter", F.col("state") == "title")
+    return spark.createDataFrame(rows, "query string, state string").select("query", "state", k.alias("k"), reason.alias("reason"))
+
+
+@query("graph_expand", f"""WITH {ranks_sql(k=200).format(cut=10)}, base AS (SELECT position, source_id, coalesce(ck, 0) AS chunk_id, score FROM pos),
+seeds AS (SELECT source_id AS s FROM base WHERE position <= 3),
+nb AS (SELECT DISTINCT x AS source_id FROM (SELECT dst_id AS x FROM e JOIN seeds ON src_id = s UNION ALL SELECT src_id FROM e JOIN seeds ON dst_id = s) y WHERE x NOT IN (SELECT source_id FROM base)),
+more AS (SELECT source_id, chunk_id, 0.7 / (60 + row_number() OVER (ORDER BY distance, source_id)) AS score FROM nb JOIN nn ON nn.chunk_id = nb.source_id),
+u AS (SELECT * FROM base UNION ALL SELECT 1073741824, source_id, chunk_id, score FROM more),
+z AS (SELECT row_number() OVER (ORDER BY round(score, 12) DESC, position, source_id) AS position, source_id, chunk_id, score FROM u)
+SELECT position, source_id, chunk_id, path, title, text AS content, round(score, 6) AS score, indegree FROM z JOIN v USING (source_id) JOIN deg USING (source_id) WHERE position <= 10""")
+def _(spark, sf):
+    return _hybrid(expand=True)(spark, sf)
+
+
+@query("metadata_terms", "SELECT unnest(['hybrid search', 'search for', 'for notes', 'hybrid', 'search', 'for', 'notes']) AS term")
+def _(spark, sf):
+    return spark.createDataFrame([(t,) for t in search.metadata_terms("Hybrid search for my notes".replace("my ", ""))], "term string")
+
+
+@query("metadata_channel")
+def _(spark, sf):
+    return _hybrid("the zzzz of", metadata=True)(spark, sf)
+
+
+@query("result_lines", f"SELECT position, printf('%.4f', raw) || '  ' || path || '  ' || title || chr(10) || '    ' || left(replace(content, chr(10), ' '), 120) AS line FROM ({result_sql().replace('round(score, 6) AS score', 'score AS raw')}) q")
+def _(spark, sf):
+    rows = search.search(index(spark, sf), [(1, TEXT, vector_of(spark, sf, VEC))])
+    return sinks.as_lines(rows).select(F.col("position").cast("long").alias("position"), "line")
+
+
+@query("result_json")
+def _(spark, sf):
+    idx = index(spark, sf)
+    rows = search.search(idx, [(1, TEXT, vector_of(spark, sf, VEC)), (2, "the of", None)])
+    chunks = idx.chunks.select("chunk_id", F.lit(0).alias("char_start"), F.length("content").alias("char_end"))
+    return sinks.as_json(with_lines(rows, table(spark, sf, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content")), chunks))
+
+
+@query("related_link", "SELECT doc_id, sha256(CASE WHEN text = '' OR ends_with(text, chr(10)) THEN text ELSE text || chr(10) END || chr(10) || '## Related' || chr(10) || chr(10) || '- [[other]]' || chr(10)) AS hash FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.content_hash(sinks.with_related(F.col("text"), "other")).alias("hash"))
+
+
+# ---- store
+
+
+def _files(spark, sf):
+    """The vault as it is on disk now: one note in five edited, one in seven gone."""
+    i = F.col("source_id")
+    return notes(spark, sf).filter(i % 7 != 0).withColumn("content", F.when(i % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).withColumn("content_hash", T.content_hash("content"))
+
+
+def _indexed(spark, sf):
+    return notes(spark, sf).filter("source_id % 11 <> 0").withColumn("content_hash", T.content_hash("content"))
+
+
+@query("change_detect", f"WITH {VAULT} SELECT path, CASE WHEN source_id % 7 = 0 THEN 'gone' WHEN source_id % 11 = 0 THEN 'new' WHEN source_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM v WHERE NOT (source_id % 7 = 0 AND source_id % 11 = 0)")
+def _(spark, sf):
+    return store.changes(_files(spark, sf), _indexed(spark, sf))
+
+
+@query("ingest_outcomes", "SELECT CASE WHEN doc_id % 7 = 0 THEN 'gone' WHEN doc_id % 11 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS change, count(*) AS n FROM documents WHERE NOT (doc_id % 7 = 0 AND doc_id % 11 = 0) GROUP BY 1")
+def _(spark, sf):
+    return store.changes(_files(spark, sf), _indexed(spark, sf)).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("prune", f"WITH {VAULT} SELECT source_id, path FROM v WHERE source_id % 7 = 0 AND source_id % 11 <> 0")
+def _(spark, sf):
+    return store.pruned(_indexed(spark, sf), _files(spark, sf))
+
+
+@query("freshness", """WITH f AS (SELECT user_id, max(ts) AS mtime FROM events WHERE user_id % 9 <> 0 GROUP BY user_id), s AS (SELECT user_id, min(ts) AS indexed_at FROM events WHERE user_id % 8 <> 0 GROUP BY user_id)
+SELECT CAST(coalesce(f.user_id, s.user_id) AS VARCHAR) AS path, CASE WHEN s.user_id IS NULL THEN 'new' WHEN f.user_id IS NULL THEN 'missing' ELSE 'stale' END AS state FROM f FULL JOIN s USING (user_id)
+WHERE s.user_id IS NULL OR f.user_id IS NULL OR epoch_us(mtime) - epoch_us(indexed_at) > 2000000""")
+def _(spark, sf):
+    ev = table(spark, sf, "events").withColumn("path", F.col("user_id").cast("string"))
+    return store.freshness(ev.filter("user_id % 9 <> 0").groupBy("path").agg(F.max("ts").alias("mtime")), ev.filter("user_id % 8 <> 0").groupBy("path").agg(F.min("ts").alias("indexed_at")))
+
+
+def _suggestions(spark, sf):
+    return table(spark, sf, "labels").select(F.col("doc_id").alias("suggestion_id"), F.col("doc_id").alias("source_note_id"), (F.col("doc_id") + 1).alias("target_note_id"), F.when(F.col("toxic") == 1, "rejected").otherwise("pending").alias("status"))
+
+
+@query("index_stats", f"WITH {VAULT} SELECT (SELECT count(*) FROM documents) AS notes_total, (SELECT count(*) FROM documents WHERE lang = 'fr') AS notes_unprocessed, (SELECT count(*) FROM documents) AS chunks_total, (SELECT count(*) FROM e) AS links_total, (SELECT count(*) FROM labels WHERE toxic <> 1) AS suggestions_pending")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    return store.stats(d.select(F.when(F.col("lang") == "fr", "unprocessed").otherwise("indexed").alias("status")), d, edges(spark, sf), _suggestions(spark, sf))
+
+
+@query("suggestion_lifecycle", "SELECT doc_id AS suggestion_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN doc_id % 3 = 0 THEN 'approved' WHEN doc_id % 3 = 1 THEN 'rejected' ELSE 'pending' END AS status FROM labels")
+def _(spark, sf):
+    s = _suggestions(spark, sf)
+    decide = s.select("suggestion_id", F.when(F.col("suggestion_id") % 3 == 0, "approved").when(F.col("suggestion_id") % 3 == 1, "rejected").alias("decision"))
+    return store.resolved_suggestions(s, decide).select("suggestion_id", "status")
+
+
+@query("upsert_latest", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) x WHERE k = 1")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "value")
+    old = store.latest(e.filter("event_id % 2 = 0"), ["user_id"], F.col("event_id"))
+    return store.latest(store.upserted(old, store.latest(e, ["user_id"], F.col("event_id")), ["user_id"]), ["user_id"], F.col("event_id"))
+
+
+@query("delete_cascade", f"WITH {VAULT} SELECT src_id, target_path, CASE WHEN dst_id % 4 = 0 THEN NULL ELSE dst_id END AS dst_id FROM e WHERE src_id % 4 <> 0")
+def _(spark, sf):
+    gone = table(spark, sf, "documents").filter("doc_id % 4 = 0").select(F.col("doc_id").alias("source_id"))
+    return store.without({"edges": edges(spark, sf)}, gone)["edges"]
+
+
+# ---- evaluation
+
+
+def _runs(spark, sf):
+    """A query for each conversation: hits are its users' words in order, expected the distinct words of the first turn."""
+    w = Window.partitionBy("conv_id")
+    c = table(spark, sf, "conversations").withColumn("first", F.min("turn").over(w))
+    hits = c.filter("turn > first").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x")).select("conv_id", T.tokens(F.array_join(F.transform("x", lambda s: s["text"]), " ")).alias("hits"))
+    want = c.filter("turn = first").select("conv_id", F.slice(F.array_distinct(T.tokens("text")), 1, 8).alias("expected"), F.array(F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")), F.lit("all")).alias("tags"))
+    return want.join(hits, "conv_id")
+
+
+RUNS = rf"""c AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations),
+hits AS (SELECT conv_id, {toks("string_agg(text, ' ' ORDER BY turn, text)")} AS hits FROM c WHERE turn > first GROUP BY conv_id),
+firsts AS (SELECT conv_id, {toks('text')} AS t0 FROM c WHERE turn = first),
+want AS (SELECT conv_id, list_slice(list_filter(t0, lambda x, i: list_position(t0, x) = i), 1, 8) AS expected FROM firsts),
+runs AS (SELECT want.*, hits, list_slice(hits, 1, 10) AS h10, list_slice(hits, 1, 5) AS h5 FROM want JOIN hits USING (conv_id)),
+rk AS (SELECT *, list_filter(range(1, 11), lambda i: i <= len(h10) AND list_contains(expected, h10[i]) AND list_position(h10, h10[i]) = i) AS r FROM runs),
+m AS (SELECT conv_id, CASE WHEN len(expected) > 0 THEN len(r) / len(expected) ELSE 0 END AS recall_at_10, CASE WHEN len(r) > 0 THEN 1.0 / r[1] ELSE 0 END AS mrr,
+  len(list_filter(r, lambda x: x <= 5)) / 5.0 AS precision_at_5,
+  CASE WHEN len(expected) > 0 THEN coalesce(list_sum(list_transform(r, lambda x, i: i / x)), 0) / least(len(expected), 10) ELSE 0 END AS ap_at_10,
+  CASE WHEN len(expected) > 0 THEN coalesce(list_sum(list_transform(r, lambda x: 1 / log2(x + 1))), 0) / list_sum(list_transform(range(1, least(len(expected), 10) + 1), lambda x: 1 / log2(x + 1))) ELSE 0 END AS ndcg_at_10,
+  r[len(r)] AS last_rank FROM rk)"""
+ROUNDED = ", ".join(f"round({x}, 6) AS {x}" for x in evaluate.METRICS)
+
+
+def _measured(spark, sf):
+    return _runs(spark, sf).select("conv_id", "tags", *evaluate.row_metrics(F.col("hits"), F.col("expected")))
+
+
+@query("eval_metrics", f"WITH {RUNS} SELECT conv_id, {ROUNDED}, last_rank FROM m")
+def _(spark, sf):
+    return _measured(spark, sf).select("conv_id", *map(r6, evaluate.METRICS), "last_rank")
+
+
+@query("eval_aggregate", f"WITH {RUNS} SELECT count(*) AS n, {', '.join(f'round(coalesce(avg({x}), 0), 6) AS {x}' for x in evaluate.METRICS)} FROM m")
+def _(spark, sf):
+    return evaluate.means(_measured(spark, sf)).select("n", *map(r6, evaluate.METRICS))
+
+
+@query("eval_by_tag", f"WITH {RUNS} SELECT tag, count(*) AS n, {', '.join(f'round(avg({x}), 6) AS {x}' for x in evaluate.METRICS)} FROM (SELECT m.*, unnest(['m' || (conv_id % 3), 'all']) AS tag FROM m) y GROUP BY tag")
+def _(spark, sf):
+    return evaluate.means_by_tag(_measured(spark, sf)).select("tag", "n", *map(r6, evaluate.METRICS))
+
+
+@query("ndcg_graded", f"WITH {RUNS} SELECT conv_id, round(CASE WHEN len(expected) > 0 THEN coalesce(list_sum(list_transform(r, lambda x: (CASE WHEN h10[x] = expected[1] THEN 7.0 ELSE 1.0 END) / log2(x + 1))), 0) / list_sum(list_transform(range(1, least(len(expected), 10) + 1), lambda x: (CASE WHEN x = 1 THEN 7.0 ELSE 1.0 END) / log2(x + 1))) ELSE 0 END, 6) AS ndcg FROM rk")
+def _(spark, sf):
+    x = _runs(spark, sf)
+    grades = F.when(F.size("expected") > 0, F.create_map(F.get("expected", F.lit(0)), F.lit(3.0))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+    return x.select("conv_id", F.round(evaluate.ndcg_at_k(F.col("hits"), F.col("expected"), grades), 6).alias("ndcg"))
+
+
+@query("percentile_nearest_rank", "SELECT event_type, v[least(CAST(floor(0.95 * len(v)) AS BIGINT), len(v) - 1) + 1] AS percentile FROM (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type) x")
+def _(spark, sf):
+    return evaluate.percentile(table(spark, sf, "events"), "value", 0.95, ["event_type"])
+
+
+@query("multi_query_fusion", """WITH x AS (SELECT conv_id AS set_id, turn AS query_idx, role || (turn % 4) AS path, 1 + (turn * 7 + conv_id) % 5 AS rank FROM conversations),
+f AS (SELECT set_id, path, sum(1.0 / (60 + rank)) AS score, min(query_idx * 100 + rank) AS seen FROM x GROUP BY set_id, path)
+SELECT * FROM (SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY round(score, 12) DESC, seen, path) AS rank, path, round(score, 6) AS score FROM f) y WHERE rank <= 10""")
+def _(spark, sf):
+    c = table(spark, sf, "conversations")
+    x = c.select(F.col("conv_id").alias("set_id"), F.col("turn").alias("query_idx"), F.concat("role", (F.col("turn") % 4).cast("string")).alias("path"), (1 + (F.col("turn") * 7 + F.col("conv_id")) % 5).alias("rank"))
+    return fuse.fuse_paths(x).select("set_id", F.col("rank").cast("long").alias("rank"), "path", r6("score"))
+
+
+@query("rerank_k_histogram", "SELECT 5 + 15 * (event_id % 2) AS resolved_rerank_k, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.when(F.col("event_id") % 3 != 0, 5 + 15 * (F.col("event_id") % 2)).alias("resolved_rerank_k"))
+    return evaluate.rerank_histogram(e)
