@@ -128,7 +128,7 @@ def pruned(sources: DataFrame, seen: DataFrame) -> DataFrame:
 def freshness(files: DataFrame, sources: DataFrame, slack_s: int = 2) -> DataFrame:
     """(path, state): new (on disk only), missing (indexed only), stale (changed over slack_s after indexing, or never stamped)."""
     f, s = files.select("path", "mtime").withColumn("_f", F.lit(1)), sources.select("path", "indexed_at").withColumn("_s", F.lit(1))
-    late = F.col("indexed_at").isNull() | (F.unix_micros("mtime") - F.unix_micros("indexed_at") > slack_s * 1_000_000)
+    late = F.col("indexed_at").isNull() | (F.unix_micros(F.col("mtime").cast("timestamp")) - F.unix_micros(F.col("indexed_at").cast("timestamp")) > slack_s * 1_000_000)
     state = F.when(F.col("_s").isNull(), "new").when(F.col("_f").isNull(), "missing").when(late, "stale")
     return f.join(s, "path", "full_outer").select("path", state.alias("state")).filter("state is not null")
 

@@ -508,10 +508,10 @@ def _(spark, sf):
     return store.latest(store.upserted(old, store.latest(e, ["user_id"], F.col("event_id")), ["user_id"]), ["user_id"], F.col("event_id"))
 
 
-@query("delete_cascade", f"WITH {VAULT} SELECT src_id, target_path, CASE WHEN dst_id % 4 = 0 THEN NULL ELSE dst_id END AS dst_id FROM e WHERE src_id % 4 <> 0")
+@query("delete_cascade", f"WITH {VAULT} SELECT src_id, target_path, CASE WHEN dst_id % 4 = 0 THEN -1 ELSE dst_id END AS dst_id FROM e WHERE src_id % 4 <> 0")
 def _(spark, sf):
     gone = table(spark, sf, "documents").filter("doc_id % 4 = 0").select(F.col("doc_id").alias("source_id"))
-    return store.without({"edges": edges(spark, sf)}, gone)["edges"]
+    return store.without({"edges": edges(spark, sf)}, gone)["edges"].withColumn("dst_id", F.coalesce("dst_id", F.lit(-1).cast("long")))
 
 
 # ---- evaluation
@@ -544,9 +544,9 @@ def _measured(spark, sf):
     return _runs(spark, sf).select("conv_id", "tags", *evaluate.row_metrics(F.col("hits"), F.col("expected")))
 
 
-@query("eval_metrics", f"WITH {RUNS} SELECT conv_id, {ROUNDED}, last_rank FROM m")
+@query("eval_metrics", f"WITH {RUNS} SELECT conv_id, {ROUNDED}, coalesce(last_rank, 0) AS last_rank FROM m")
 def _(spark, sf):
-    return _measured(spark, sf).select("conv_id", *map(r6, evaluate.METRICS), "last_rank")
+    return _measured(spark, sf).select("conv_id", *map(r6, evaluate.METRICS), F.coalesce("last_rank", F.lit(0)).cast("long").alias("last_rank"))
 
 
 @query("eval_aggregate", f"WITH {RUNS} SELECT count(*) AS n, {', '.join(f'round(coalesce(avg({x}), 0), 6) AS {x}' for x in evaluate.METRICS)} FROM m")
