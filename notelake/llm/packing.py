@@ -34,6 +34,8 @@ from notelake.llm.text import batch_of, docs, slices, values
 from notelake.session import written
 
 BLOCK = 12_000
+# Punctuation that ends words; the apostrophe is left out, as the tokenizer joins it with letters.
+BEHIND = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,22 +58,57 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordIds:
-    """The ids of words as packed unsigned 32-bit numbers, kept while the task runs (up to a bound, then anew)."""
+    """The ids of words as packed unsigned 32-bit numbers, kept while the task runs (up to a bound, then anew).
 
-    def __init__(self, path: str, most: int = 300_000):
+    A word of letters, maybe with punctuation behind, has its letters' ids and then its punctuation's. Letters are encoded
+    many words at a time; as each such word is one unit of the tokenizer, its last id is the only one that ends a word.
+    Any other word is encoded by itself.
+    """
+
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode, self.most, self.known = Tokenizer.from_file(path).encode_batch_fast, most, {}
+        model = Tokenizer.from_file(path)
+        self.encode, self.most, self.known, self.plain = model.encode_batch_fast, most, {}, {}
+        suffix = getattr(model.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(model.get_vocab_size() + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in model.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def alone(self, words: list[bytes]) -> list[bytes]:
+        found = self.encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+
+    def letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.encode([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part) and last[-1] == len(ids):
+                data, edges = ids.tobytes(), [0, *(4 * last).tolist()]
+                self.plain.update((w, data[a:b]) for w, a, b in zip(part, edges, edges[1:]))
+            else:
+                self.plain.update(zip(part, self.alone([w.encode() for w in part]), strict=True))
 
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self.known) > self.most:
-            self.known = {}
-        new = list(set().union(*texts) - self.known.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+            self.known, self.plain = {}, {}
+        known = self.known
+        new = [w for w in set().union(*texts) if w not in known]
+        if not new:
+            return
+        lower = b"\n".join(new).lower().decode("utf-8", "replace").split("\n")
+        bases = [w.rstrip(BEHIND) for w in lower]
+        tails = [w[len(b) :] for w, b in zip(lower, bases)]
+        plain = [b.isalpha() and b.islower() for b in bases]
+        self.letters([b for b in {b for b, p in zip(bases, plain) if p} if b not in self.plain])
+        ends = list(set(tails))
+        behind = dict(zip(ends, self.alone([t.encode() for t in ends]), strict=True))
+        others = [w for w, p in zip(new, plain) if not p]
+        at = self.plain
+        known.update((w, at[b] + behind[t]) for w, b, t, p in zip(new, bases, tails, plain) if p)
+        known.update(zip(others, self.alone(others), strict=True))
 
     def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words)) + b"\0\0\0\0"
