@@ -11,6 +11,7 @@ Table columns: block, part, data. part -1 is what the block keeps for itself.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.text import docs, slices, values
+from notelake.llm.text import bytes_col, docs, slices, values
+from notelake.session import shared_dir, tidied
 
 SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
 DDL = "block long, part int, data binary"
-BLOCK_BYTES, BLOCK_ROWS, BITS = 8 << 20, 20_000, 48
+BLOCK_BYTES, BLOCK_ROWS, BITS = 4 << 20, 20_000, 48
 MASK = np.uint64((1 << BITS) - 1)
 NO_ID = -(1 << 63)
 
@@ -110,59 +112,87 @@ def rows(block: int, found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]
         held += len(data)
 
 
-def asked(documents: DataFrame, ask: Callable[[np.ndarray, list[bytes]], list[tuple[int, bytes]]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """ask(ids, texts) of each block gives its (part, data) rows. Ids are sorted, null as NO_ID; ties stay in order of text."""
+def asked(documents: DataFrame, ask: Callable[..., list[tuple[int, bytes]]], rider: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """ask(ids, texts) of each block gives its (part, data) rows. Ids are sorted, null as NO_ID; ties stay in order of text.
+
+    rider: a string column that goes with each text, as a third argument.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         at, k = TaskContext.get().partitionId() << 32, 0
-        held: list[tuple[int, bytes]] = []
-        size = 0
+        held: list[tuple] = []
 
         def given():
             held.sort()
-            return rows(at + k, ask(np.array([i for i, _ in held], np.int64), [t for _, t in held]))
+            ids, *columns = zip(*held, strict=True)
+            return rows(at + k, ask(np.array(ids, np.int64), *map(list, columns)))
 
         for batch in slices(batches):
-            held += [(NO_ID if i is None else i, t) for i, t in zip(values(batch, "doc_id"), values(batch, "text"), strict=True)]
-            size = sum(len(t) for _, t in held)
-            if size >= block_bytes or len(held) >= BLOCK_ROWS:
+            ids = [NO_ID if i is None else i for i in values(batch, "doc_id")]
+            held += zip(ids, *(values(batch, c) for c in ("text", rider) if c), strict=True)
+            if sum(len(x[1]) for x in held) >= block_bytes or len(held) >= BLOCK_ROWS:
                 yield from given()
                 held, k = [], k + 1
+                trimmed()
         if held:
             yield from given()
 
-    return docs(documents).mapInArrow(run, DDL)
+    return docs(documents, *([bytes_col(rider)] if rider else [])).mapInArrow(run, DDL)
 
 
 def answered(table: DataFrame, parts: int, answer: Callable[[int, list[tuple[int, bytes]]], list[tuple[int, bytes]]]) -> DataFrame:
-    """answer(part, [(block, data)]) gives (block, data) rows of that part."""
+    """answer(part, [(block, data)]) gives (block, data) rows of that part. table: what is asked."""
 
     def run(batches):
         by: dict[int, list] = {}
         for batch in batches:
             for block, part, data in zip(*(values(batch, c) for c in ("block", "part", "data")), strict=True):
                 by.setdefault(part, []).append((block, data))
+        trimmed()
         for part in list(by):
             out = answer(part, sorted(by.pop(part), key=lambda x: x[0]))
             for at in range(0, len(out), 64):
                 chunk = out[at : at + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in chunk], pa.int64()), pa.array([part] * len(chunk), pa.int32()), pa.array([d for _, d in chunk], pa.binary())], schema=SCHEMA)
 
-    return table.filter("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(run, DDL)
+    return table.repartitionById(parts, F.col("part")).mapInArrow(run, DDL)
 
 
 def by_block(table: DataFrame, answers: DataFrame, f: Callable[[bytes, list[tuple[int, bytes]]], pa.Table | list[tuple[int, bytes]]], ddl: str = DDL) -> DataFrame:
-    """f(kept data, [(part, answer)] by part) of each block gives a table of ddl, or (part, data) rows for the next round."""
+    """table: what blocks keep. f(kept data, [(part, answer)] by part) of each block gives a table of ddl, or (part, data) rows for the next round."""
 
     def run(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         got = sorted(zip(t.column("part").to_pylist(), t.column("data").to_pylist(), strict=True), key=lambda x: x[0])
         out = f(got[0][1], got[1:])
+        trimmed()
         return pa.Table.from_batches(rows(block, out), SCHEMA) if isinstance(out, list) else out
 
-    return table.filter("part = -1").union(answers.filter("block >= 0")).groupBy("block").applyInArrow(run, ddl)
+    return table.union(answers.filter("block >= 0")).groupBy("block").applyInArrow(run, ddl)
+
+
+def trimmed() -> None:
+    """Give memory that blocks have freed back to the system; executors run several of these workers."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to do
+        pass
+
+
+def saved(table: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(what is asked, what blocks keep), written once into two folders, so the first can go as soon as it is answered."""
+    spark, path = table.sparkSession, f"{shared_dir(table.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    table.withColumn("asks", F.col("part") >= 0).write.partitionBy("asks").parquet(path)
+    jvm = spark._jvm
+    for kind in ("true", "false"):
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/asks={kind}")
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(at)
+    return tuple(tidied(spark.read.schema(DDL).parquet(f"{path}/asks={kind}")) for kind in ("true", "false"))
 
 
 def merged(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from notelake.llm import exchange as X
-from notelake.session import dropped, parts_for, written
+from notelake.session import dropped, parts_for, tidied, written
 
 K, MOD, OUT = 5, 7, 2
 START, END = 0, 1
@@ -104,8 +104,9 @@ def score(documents: DataFrame, parts: int | None = None) -> DataFrame:
         sums = np.r_[total.sum(), (total > 0).sum(), np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]]
         return [(-1, X.pack(sums.astype(np.int64))), *((block, X.pack(x)) for (block, _), x in zip(got, np.split(out, ends[:-1])))]
 
-    first = written(X.asked(documents, ask), "katz-asked")
-    counts = written(X.answered(first, 2 * parts, answer), "katz-counts")
+    asks, first = X.saved(X.asked(documents, ask), "katz-asked")
+    counts = tidied(written(X.answered(asks, 2 * parts, answer), "katz-counts"))
+    dropped(asks)
     sums = np.zeros((2, K + 3), np.int64)
     for r in counts.filter("block = -1").select("part", "data").toLocalIterator():  # a few numbers for each part
         sums[int(r["part"] >= parts)] += X.unpack(bytes(r["data"]), np.int64)
@@ -151,7 +152,7 @@ def score(documents: DataFrame, parts: int | None = None) -> DataFrame:
         alpha = np.log10((1 - spent / (total + 0.5)) / np.maximum(1 - low, 1e-12))[of]
         return [(block, X.pack(x[X.unpack(f[4], np.bool_)])) for (block, _), f, x in zip(got, frames, np.split(alpha, ends[:-1]))]
 
-    second = written(X.by_block(first, counts, weigh), "katz-weighed")
+    asks, second = X.saved(X.by_block(first, counts, weigh), "katz-weighed")
     dropped(first, counts)
 
     def finish(kept, got):
@@ -163,4 +164,4 @@ def score(documents: DataFrame, parts: int | None = None) -> DataFrame:
         columns = (pa.array(ids, mask=ids == X.NO_ID), pa.array(held), pa.array(lens), pa.array(known), pa.array(np.full(len(ids), n)), pa.array(base - lens * np.log10(n + v + 1.0)), pa.array(total))
         return pa.Table.from_arrays(list(columns), schema=OUTPUT)
 
-    return X.by_block(second, X.answered(second, parts, alphas), finish, OUTPUT_DDL)
+    return X.by_block(second, X.answered(asks, parts, alphas), finish, OUTPUT_DDL)

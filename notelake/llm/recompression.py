@@ -177,9 +177,9 @@ def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None)
             hashes.append(hashlib.sha256(b" ".join(ws if not removed[-1] else [w for w, c in zip(ws, own.tolist()) if not c])).hexdigest())
         return pa.Table.from_arrays([pa.array(ids, mask=ids == X.NO_ID), pa.array(lens), pa.array(removed, pa.int64()), pa.array(hashes)], schema=OUTPUT)
 
-    first = written(X.asked(documents, ask), "recompression-symbols")
-    again = tidied(written(X.answered(first, parts, repeated), "recompression-repeated"))
-    second = written(X.by_block(first, again, verify), "recompression-windows")
+    asks, first = X.saved(X.asked(documents, ask), "recompression-symbols")
+    again = tidied(written(X.answered(asks, parts, repeated), "recompression-repeated"))
+    dropped(asks)
+    asks, second = X.saved(X.by_block(first, again, verify), "recompression-windows")
     dropped(first, again)
-    tidied(second)
-    return X.by_block(second, tidied(written(X.answered(second, parts, firsts), "recompression-firsts")), remove, OUTPUT_DDL)
+    return X.by_block(second, tidied(written(X.answered(asks, parts, firsts), "recompression-firsts")), remove, OUTPUT_DDL)

@@ -286,12 +286,12 @@ def repeats(documents: DataFrame, finish, ddl: str, keep: str = "none", length:
             np.add.at(edge, at + length, -1)
         return finish(ids, texts, np.cumsum(edge)[:-1] > 0, riders)
 
-    first = written(X.asked(documents, ask, rider), "suffix-anchors")
-    codes = tidied(written(X.answered(first, parts, anchors), "suffix-codes"))
-    second = written(X.by_block(first, codes, send), "suffix-texts")
+    asks, first = X.saved(X.asked(documents, ask, rider), "suffix-anchors")
+    codes = tidied(written(X.answered(asks, parts, anchors), "suffix-codes"))
+    dropped(asks)
+    asks, second = X.saved(X.by_block(first, codes, send), "suffix-texts")
     dropped(first, codes)
-    tidied(second)
-    return X.by_block(second, tidied(written(X.answered(second, 2 * parts, suffixes), "suffix-answers")), cut, ddl)
+    return X.by_block(second, tidied(written(X.answered(asks, 2 * parts, suffixes), "suffix-answers")), cut, ddl)
 
 
 def dedup(documents: DataFrame, keep: str = "none", length: int = LENGTH, hot: int = HOT, parts: int | None = None) -> DataFrame:
