@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,8 @@ def dropped(*tables: DataFrame) -> None:
 
 def tidied(df: DataFrame) -> DataFrame:
     """df, a written table; the shuffle files of the jobs that made it may go now, as nothing reads them again."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    for _ in range(2):  # the first round frees what Python held, the second what that held in the JVM
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.4)
     return df
