@@ -175,9 +175,12 @@ def grouped(documents: DataFrame, k: int = SHINGLE, radius: int = RADIUS, hot: i
 
 
 def one_of_each(documents: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: that of its least doc_id, columns unchanged. Rows of null ids stay, one per fingerprint."""
-    found = grouped(documents, k, radius)
-    keep = written(found.filter("component_id <=> doc_id").select("doc_id").distinct(), "simhash-keep")
+    """One row of each component, that of its least doc_id (of equal ids the lower text), columns unchanged.
+
+    Rows of null ids can't be named, so they all stay.
+    """
+    named = documents.filter("doc_id is not null")
+    keep = written(grouped(named, k, radius).filter("component_id = doc_id").select("doc_id").distinct(), "simhash-keep")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
-    firsts = documents.join(keep, documents.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    return kept_columns(firsts.withColumn("_rank_of_id", F.row_number().over(order)).filter("_rank_of_id = 1"), documents)
+    firsts = named.join(keep, "doc_id", "left_semi").withColumn("_rank_of_id", F.row_number().over(order)).filter("_rank_of_id = 1")
+    return kept_columns(firsts, documents).union(documents.filter("doc_id is null"))
