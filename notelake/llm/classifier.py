@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from notelake.llm.text import batch_of, docs, slices, values
 
-BUCKETS, SAMPLE, EPOCHS, C = 1 << 18, 16_384, 12, 1.0
+BUCKETS, SAMPLE, EPOCHS, C = 1 << 18, 16_384, 12, 3.0
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
@@ -58,14 +58,13 @@ def fit(rows: list[np.ndarray], good: np.ndarray, epochs: int = EPOCHS, c: float
         counts[int(g), f] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     y = np.where(good, 1.0, -1.0)
-    cost = np.where(good, len(good) / (2 * good.sum()), len(good) / (2 * (~good).sum())) * c
     scaled = [ratio[f] / np.sqrt(max(1, len(f))) for f in rows]
     norm = np.array([x @ x + 1.0 for x in scaled])
     w, bias, alpha, rng = np.zeros(BUCKETS), 0.0, np.zeros(len(rows)), np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             gradient = y[i] * (w[rows[i]] @ scaled[i] + bias) - 1
-            new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
+            new = min(max(alpha[i] - gradient / norm[i], 0.0), c)
             if (step := (new - alpha[i]) * y[i]) != 0:
                 w[rows[i]] += step * scaled[i]
                 bias += step
