@@ -46,3 +46,11 @@ def test_run(spark):
             assert docs.columns == columns
     assert all(n > 0 for _, n in seen), seen
     assert seen[0][1] > 120
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert set(entry.oracle_sql()) <= set(names)
