@@ -84,67 +84,92 @@ def ordered_classes(suffixes: list[bytes], place: np.ndarray) -> tuple[np.ndarra
 
 
 def anchored(data: bytes, lens: np.ndarray, length: int = LENGTH, k: int = K):
-    """Runs of suffix starts with one anchor: (anchor hash, first start, number of starts, document), and window hashes on demand."""
-    b = BYTE[np.frombuffer(data, np.uint8)]
-    levels = [b]
-    size = 1
-    while 2 * size <= length:
-        a = levels[-1]
-        levels.append(X.mixed(a[:-size] * STEP[len(levels)] + a[size:]) if len(a) > size else a[:0])
-        size *= 2
-    h = levels[k.bit_length() - 1]
+    """Runs of suffix starts with one anchor: (anchor hash, first start, number of starts, document)."""
+    h = BYTE[np.frombuffer(data, np.uint8)]
+    size, level = 1, 1
+    while 2 * size <= k:  # hashes of strings of twice the length, up to k
+        h = X.mixed(h[:-size] * STEP[level] + h[size:]) if len(h) > size else h[:0]
+        size, level = 2 * size, level + 1
     span = length - k + 1  # k-byte strings inside a suffix's first bytes
-    ends = np.repeat(np.cumsum(lens), lens)
-    valid = np.arange(len(b)) + length <= ends
-    n = len(b) - length + 1
-    if n < 1 or not valid.any():
-        e = np.empty(0, np.int64)
-        return e.astype(np.uint64), e, e, e, levels
+    n = len(data) - length + 1
+    none = np.empty(0, np.int64)
+    if n < 1 or lens.max() < length:
+        return none.astype(np.uint64), none, none, none
+    valid = (np.arange(len(data)) + length <= np.repeat(np.cumsum(lens), lens))[:n]
     low, width = h, 1
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     low = np.minimum(low[:n], low[span - width : span - width + n])
-    valid = valid[:n]
     doc = np.repeat(np.arange(len(lens)), lens)[:n]
     new = np.ones(n, bool)
-    new[1:] = (low[1:] != low[:-1]) | (h[span : span + n - 1] == low[1:]) | (doc[1:] != doc[:-1])
-    new[1:] |= ~valid[:-1]
+    new[1:] = (low[1:] != low[:-1]) | (h[span : span + n - 1] == low[1:]) | (doc[1:] != doc[:-1]) | ~valid[:-1]
     at = np.flatnonzero(new & valid)
     run = np.cumsum(new) - 1
     count = np.bincount(run[valid], minlength=run[-1] + 1)[run[at]]
-    return low[at], at, count, doc[at], levels
+    return low[at], at, count, doc[at]
 
 
-def window_hashes(levels: list[np.ndarray], at: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the strings of that length, from hashes of powers of two."""
-    out, done = np.zeros(len(at), np.uint64), 0
-    for j in range(len(levels) - 1, -1, -1):
-        if length - done >= 1 << j:
-            out = X.mixed(out * STEP[32 + j] + levels[j][at + done])
-            done += 1 << j
-    return out
+def window_hashes(data: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(data[p : p + length], 9) for p in at.tolist()), np.uint64, len(at))
 
 
 class Block:
-    """One block's runs, their distinct contents in the order asked, and each content's first run."""
+    """One block's runs, their distinct contents in the order asked, and each content's first run.
 
-    def __init__(self, ids, texts, parts, length):
-        from xxhash import xxh64_intdigest
+    Found once, then kept in packed form: starts, counts and content of each run, and the contents' keys.
+    """
+
+    PIECE = 512 << 10  # bytes hashed at a time, so that arrays stay in the processor's caches
 
+    def __init__(self, ids, texts, kept: bytes | None = None):
         self.data = b"".join(texts)
-        self.lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        low, self.at, self.count, self.doc, self.levels = anchored(self.data, self.lens, length)
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.ends = np.cumsum(lens)
+        if kept is None:
+            return
+        at, count, of, keys = X.unframe(kept)
+        self.at, self.count, self.of, self.keys = np.cumsum(X.unpack(at, np.int64)), X.unpack(count, np.int32).astype(np.int64), X.unpack(of, np.int32), np.cumsum(X.unpack(keys, np.uint64), dtype=np.uint64)
+        self.found(ids)
+
+    def found(self, ids):
+        self.first = np.empty(len(self.keys), np.int64)
+        self.first[self.of[::-1]] = np.arange(len(self.of))[::-1]
+        self.doc = np.searchsorted(self.ends, self.at, side="right")
+        self.ids = ids[self.doc[self.first]]
+
+    @classmethod
+    def of_texts(cls, ids, texts, parts, length) -> "Block":
+        from xxhash import xxh64_intdigest
+
+        b = cls(ids, texts)
+        lens = np.diff(b.ends, prepend=0)
+        found, start = [], 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size + lens[end] <= cls.PIECE):
+                size += int(lens[end])
+                end += 1
+            base = int(b.ends[start] - lens[start])
+            low, at, count, _ = anchored(b.data[base : base + size], lens[start:end], length)
+            found.append((low, at + base, count))
+            start = end
+        low, b.at, b.count = (np.concatenate(x) for x in zip(*found, strict=True))
         keys = X.part_keys(X.mixed(low), parts)
-        content = np.fromiter((xxh64_intdigest(self.data[s : s + n], 3) for s, n in zip(self.at.tolist(), (self.count + length - 1).tolist())), np.uint64, len(keys))
-        order = np.lexsort((np.arange(len(keys)), content, keys))
+        content = np.fromiter((xxh64_intdigest(b.data[s : s + n], 3) for s, n in zip(b.at.tolist(), (b.count + length - 1).tolist())), np.uint64, len(keys))
+        order = np.lexsort((content, keys))
         k, c = keys[order], content[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if len(k) else np.empty(0, bool)
-        self.of = np.empty(len(keys), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        self.first = order[new]
-        self.keys, self.content, self.times = k[new], c[new], np.bincount(self.of, minlength=int(new.sum()))
-        self.ids = ids[self.doc[self.first]] if len(self.first) else np.empty(0, np.int64)
+        b.of = np.empty(len(keys), np.int64)
+        b.of[order] = np.cumsum(new) - 1
+        b.keys, b.content, b.times = k[new], c[new], np.bincount(b.of, minlength=int(new.sum()))
+        b.found(ids)
+        return b
+
+    def packed(self) -> bytes:
+        return X.frame(_delta(self.at), X.pack(self.count.astype(np.int32)), X.pack(self.of.astype(np.int32)), _delta(self.keys))
 
 
 def _delta(a):
@@ -169,9 +194,9 @@ def repeats(documents: DataFrame, finish, ddl: str, keep: str = "none", length:
     parts = parts or parts_for(documents, 32)
 
     def ask(ids, texts, riders=()):
-        b = Block(ids, texts, parts, length)
+        b = Block.of_texts(ids, texts, parts, length)
         columns = ((X.pack, b.content), (lambda c: X.pack(np.minimum(c, 2).astype(np.uint8)), b.times), (_delta, b.ids))
-        return [(-1, X.frame(X.texts_frame(ids, texts), X.texts_frame(np.empty(0, np.int64), list(riders)))), *_dealt(b.keys, parts, columns)]
+        return [(-1, X.frame(X.texts_frame(ids, texts), X.texts_frame(np.empty(0, np.int64), list(riders)), b.packed())), *_dealt(b.keys, parts, columns)]
 
     def anchors(part, got):
         """Of each content: TOTAL if it occurs twice or more, HOLDS if first here, MIXED if others share its anchor, IS_HOT if many."""
@@ -189,8 +214,9 @@ def repeats(documents: DataFrame, finish, ddl: str, keep: str = "none", length:
         return [(block, X.pack(x)) for (block, _), x in zip(got, np.split(code, ends[:-1]))]
 
     def send(kept, got):
-        ids, texts = X.framed_texts(X.unframe(kept)[0])
-        b = Block(ids, texts, parts, length)
+        framed, _, runs = X.unframe(kept)
+        ids, texts = X.framed_texts(framed)
+        b = Block(ids, texts, runs)
         code = np.concatenate([np.empty(0, np.uint8), *(X.unpack(d, np.uint8) for d in _per_part(got, b.keys, parts))])
         rows = [(-1, X.frame(kept, X.pack(code)))]
         wide = (code & HOLDS > 0) & (code & MIXED > 0)
@@ -214,7 +240,7 @@ def repeats(documents: DataFrame, finish, ddl: str, keep: str = "none", length:
     def _windows(b, runs, parts):
         """Distinct window keys of the runs' suffixes, their first occurrence, each one's key, how often."""
         at = _starts(b.at[runs], b.count[runs])
-        return np.unique(X.part_keys(window_hashes(b.levels, at, length), parts), return_index=True, return_inverse=True, return_counts=True)
+        return np.unique(X.part_keys(window_hashes(b.data, at, length), parts), return_index=True, return_inverse=True, return_counts=True)
 
     def suffixes(part, got):
         if part >= parts:
@@ -255,8 +281,9 @@ def repeats(documents: DataFrame, finish, ddl: str, keep: str = "none", length:
 
     def cut(kept, got):
         framed, code = X.unframe(kept)
-        (ids, texts), (_, riders) = map(X.framed_texts, X.unframe(framed))
-        b = Block(ids, texts, parts, length)
+        framed, riders, runs = X.unframe(framed)
+        (ids, texts), (_, riders) = X.framed_texts(framed), X.framed_texts(riders)
+        b = Block(ids, texts, runs)
         code = X.unpack(code, np.uint8)
         own = code[b.of]
         is_first = np.zeros(len(b.at), bool)
