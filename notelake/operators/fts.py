@@ -241,6 +241,16 @@ def count_of(p: Phrase, toks: dict[str, Column]) -> Column:
     return out
 
 
+def _close(a: Phrase, b: Phrase, toks: Column, distance: int):
+    """A test of a start of a: whether b starts with at most distance tokens between them."""
+
+    def near(i: Column) -> Column:
+        between = lambda j: F.when(j > i, j - i - len(a.terms)).otherwise(i - j - len(b.terms))
+        return F.exists(_starts(b, toks), lambda j: between(j) <= distance)
+
+    return near
+
+
 def matches(node, toks: dict[str, Column]) -> Column:
     if isinstance(node, Op):
         a, b = matches(node.left, toks), matches(node.right, toks)
@@ -253,8 +263,7 @@ def matches(node, toks: dict[str, Column]) -> Column:
                 continue
             near = F.lit(True)
             for p in own[1:]:
-                gap = lambda i, q=p: F.exists(_starts(q, toks[c]), lambda j: F.when(j > i, j - i - len(own[0].terms)).otherwise(i - j - len(q.terms)) <= node.distance)
-                near = near & F.exists(_starts(own[0], toks[c]), gap)
+                near = near & F.exists(_starts(own[0], toks[c]), _close(own[0], p, toks[c], node.distance))
             out = out | (near & (F.size(_starts(own[0], toks[c])) > 0))
         return out
     return count_of(node, toks) > 0

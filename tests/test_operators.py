@@ -144,6 +144,7 @@ def test_stream(spark, tmp_path):
     assert {r.content for r in st.read(spark, "chunks").collect()} == {"two", "see [[a]]"}
 
 
-def test_plans(spark, built):
-    plan = fts.bm25(built["chunks"], "chunk_id", {"content": F.col("content")}, [(1, "beta")])._jdf.queryExecution().executedPlan().toString()
+def test_plans(spark):
+    rows = spark.createDataFrame([(1, "beta"), (2, "gamma")], "chunk_id long, content string")
+    plan = fts.bm25(rows, "chunk_id", {"content": F.col("content")}, [(1, "beta")])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan
