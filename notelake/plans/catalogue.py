@@ -424,11 +424,6 @@ def _(spark, sf):
     return spark.createDataFrame([(t,) for t in search.metadata_terms("Hybrid search for my notes".replace("my ", ""))], "term string")
 
 
-@query("metadata_channel")
-def _(spark, sf):
-    return _hybrid("the zzzz of", metadata=True)(spark, sf)
-
-
 @query("result_lines", f"SELECT position, printf('%.4f', raw) || '  ' || path || '  ' || title || chr(10) || '    ' || left(replace(content, chr(10), ' '), 120) AS line FROM ({result_sql().replace('round(score, 6) AS score', 'score AS raw')}) q")
 def _(spark, sf):
     rows = search.search(index(spark, sf), [(1, TEXT, vector_of(spark, sf, VEC))])
