@@ -34,20 +34,29 @@ PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("hot", pa.bool_())])
 
 
-def fingerprint(text: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash as an unsigned 64-bit number."""
+def shingles(text: bytes, k: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the text's shingles of k words in order; fewer words are one shingle, no words none."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= k:
-        h = np.array([xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        at = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
-        h = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(at[:-k].tolist(), (at[k:] - 1).tolist())), np.uint64, len(words) - k + 1)
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    at = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(at[:-k].tolist(), (at[k:] - 1).tolist())), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
+    """The SimHash as an unsigned 64-bit number."""
+    return of_shingles(shingles(text, k, seed))
+
+
+def of_shingles(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for part in range(0, len(h), 4096):
         ones += np.unpackbits(h[part : part + 4096].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
