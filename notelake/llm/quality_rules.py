@@ -1,13 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
 Per document a few counts of words, symbols, repeated lines and repeated windows; two fixed base rules; and one cutoff per
-stratum (lang) and ratio, chosen from labelled holdouts. A cutoff is certified if an exact binomial test rejects
-"it drops more than ALPHA / ratios of the good documents of this stratum" at level DELTA divided by the number of all
-tests (strata x ratios x grid), so that with probability 1 - DELTA no stratum loses more than ALPHA of its good
-documents to the chosen cutoffs. The tightest certified cutoff holds; where none is certified, the ratio drops nothing.
+stratum (lang) and ratio, chosen from labelled holdouts. A stratum has one family of joint cutoffs, ordered from loose to tight
+and made from one good label in FIT (by hash of the id): some grid steps above the largest ratio of these labels, then cutoffs
+that drop a few thousandths of them. The other good labels certify: fixed-sequence testing goes down the family and stops
+at the first member for which an exact binomial test doesn't reject "it drops more than ALPHA of the good documents of this
+stratum" at level DELTA / groups; the last one before it holds. No split over ratios or grid is needed, so that with
+probability 1 - DELTA no group loses more than ALPHA of its good documents to the cutoffs.
 
-Counts cover all documents and all labels; what reaches the driver is one number per certified-size stratum, ratio and
-grid point: a stratum needs at least ``least_n`` good labels to certify anything, so others aren't gathered.
+Strata of fewer good labels than ``least_joint`` asks for are pooled into one group with one sequence of its own, certified for
+the pool as a whole and not for each language in it; with too few good labels in the pool as well, its cutoffs drop nothing.
+
+Counts cover all documents and all labels; what reaches the driver is one number per group, ratio and grid point, and per group and member of the family.
 
 Edge cases: null or empty text has no words and fails the base rule; null lang is a stratum; repeated labels of a document
 count once (good only if all say so); repeated rows are judged alike; an empty table gives an empty result; without
@@ -29,7 +33,8 @@ from notelake.session import written
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 SYMBOLS = b"#*$%&|<>"
 NOT_CHARS = SPACES + bytes(range(0x80, 0xC0))
-ALPHA, DELTA = 0.02, 0.05
+ALPHA, DELTA, POOL, FIT = 0.02, 0.05, "pool", 4
+STEPS, SHARES = (16, 8, 4, 2, 1, 0), (0.002, 0.004, 0.008)
 GRID = tuple(round(0.005 * 1.12**i, 6) for i in range(47))
 MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], np.uint64)
 STATS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")]])
@@ -105,6 +110,32 @@ def least_n(n_ratios: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
     return math.ceil(math.log(delta / (n_ratios * len(GRID))) / math.log1p(-alpha / n_ratios))
 
 
+def least_joint(n_groups: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Good labels without which no member of the family can be certified."""
+    return math.ceil(math.log(delta / max(1, n_groups)) / math.log1p(-alpha))
+
+
+def family(bins: dict[str, dict[int, int]]) -> list[dict[str, float]]:
+    """Joint cutoffs, loose to tight. bins: per ratio, good labels by the number of grid points below them."""
+
+    def least(by: dict[int, int], share: float) -> int:
+        most = share * sum(by.values())
+        return next(j for j in range(len(GRID) + 1) if sum(n for b, n in by.items() if b > j) <= most)
+
+    at = [{k: least(by, 0) + i for k, by in bins.items()} for i in STEPS] + [{k: least(by, e) for k, by in bins.items()} for e in SHARES]
+    return [{k: GRID[j] for k, j in member.items() if j < len(GRID)} for member in at]
+
+
+def tightest(drops: list[int], n: int, n_groups: int, alpha: float = ALPHA, delta: float = DELTA) -> int | None:
+    """The last member certified by fixed-sequence testing, None if the first isn't. drops: good documents lost, loose to tight."""
+    held = None
+    for i, k in enumerate(drops):
+        if binomial_tail(k, n, alpha) > delta / n_groups:
+            break
+        held = i
+    return held
+
+
 def judged(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed and kept."""
     stats = written(measured(documents), "rules-stats")
@@ -112,19 +143,28 @@ def judged(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stratum = F.concat(F.when(F.col("lang").isNull(), "0").otherwise("1"), F.coalesce("lang", F.lit("")))
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    held = stats.filter(~base).join(good, "doc_id", "left_semi").select(stratum.alias("stratum"), *[c.alias(k) for k, c in parts.items()])
-    sizes = {r["stratum"]: r["n"] for r in held.groupBy("stratum").agg(F.count("*").alias("n")).filter(F.col("n") >= least_n(len(parts), alpha, delta)).collect()}
-    cuts: dict[tuple[str, str], float] = {}
-    if sizes:
-        long = held.select("stratum", F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), F.col(k).alias("x")) for k in parts])).alias("m")).select("stratum", "m.*")
-        above = long.filter(F.col("stratum").isin(list(sizes))).select("stratum", "ratio", F.size(F.filter(F.array(*map(F.lit, GRID)), lambda t: t < F.col("x"))).alias("b"))
-        drops: dict[tuple[str, str], dict[float, int]] = {(s, k): {} for s in sizes for k in parts}
-        for r in above.groupBy("stratum", "ratio", "b").agg(F.count("*").alias("n")).collect():
-            for t in GRID[: r["b"]]:
-                by = drops[r["stratum"], r["ratio"]]
-                by[t] = by.get(t, 0) + r["n"]
-        cuts = cutoffs(drops, sizes, len(parts), alpha, delta)
+    fit = (F.pmod(F.xxhash64("doc_id"), F.lit(FIT)) == 0).alias("fit")
+    held = written(stats.filter(~base).join(good, "doc_id", "left_semi").select(stratum.alias("stratum"), fit, *[c.alias(k) for k, c in parts.items()]), "rules-held")
+    found = {r["stratum"]: r["n"] for r in held.filter("not fit").groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    n_groups = len(found) + 1  # the pool may be one
+    large = sorted(k for k, n in found.items() if n >= least_joint(n_groups, alpha, delta))
+    sizes = {k: found[k] for k in large}
+    if (pooled := sum(n for k, n in found.items() if k not in sizes)) >= least_joint(n_groups, alpha, delta):
+        sizes[POOL] = pooled
+    group = F.when(F.col("stratum").isin(large), F.col("stratum")).otherwise(F.lit(POOL))
+    over = lambda member, of: F.coalesce(*[F.when(of[k] > t, True) for k, t in sorted(member.items())], F.lit(False))
     kept = ~base
-    for (s, k), t in sorted(cuts.items()):
-        kept = kept & ~((stratum == s) & (parts[k] > t))
+    if sizes:
+        long = held.filter("fit").select(group.alias("g"), F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), F.col(k).alias("x")) for k in parts])).alias("m")).select("g", "m.*")
+        bins: dict[str, dict[str, dict[int, int]]] = {}
+        for r in long.groupBy("g", "ratio", F.size(F.filter(F.array(*map(F.lit, GRID)), lambda t: t < F.col("x"))).alias("b")).agg(F.count("*").alias("n")).collect():
+            bins.setdefault(r["g"], {}).setdefault(r["ratio"], {})[r["b"]] = r["n"]
+        own = {k: F.col(k) for k in parts}
+        for s, n in sorted(sizes.items()):
+            members = family(bins.get(s, {}))
+            sums = [F.sum(over(m, own).cast("long")) for m in members]
+            drops = list(held.filter(~F.col("fit") & (group == s)).agg(*sums).first())
+            if (i := tightest(drops, n, n_groups, alpha, delta)) is not None:
+                inside = ~stratum.isin(large) if s == POOL else stratum == s
+                kept = kept & ~(inside & over(members[i], parts))
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept.alias("kept"))
