@@ -184,9 +184,9 @@ def grouped(documents: DataFrame, k: int = SHINGLE, radius: int = RADIUS, hot: i
 
 
 def one_of_each(documents: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, that of its least doc_id (of equal ids the lower text), columns unchanged.
+    """One row of each component, that of its least doc_id (of equal ids the text of the least hash), columns unchanged.
 
-    Rows of null ids can't be named, so they all stay.
+    Rows of null ids can't be named, so they all stay; the pipeline uses ``near.one_of_each``, which keeps one row of each component.
     """
     named = documents.filter("doc_id is not null")
     keep = written(grouped(named, k, radius).filter("component_id = doc_id").select("doc_id").distinct(), "simhash-keep")
