@@ -44,7 +44,7 @@ def parts_for(df: DataFrame, mb: int = 64) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:  # unknown, as for rows made by the driver
         size = 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), 30_000))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), 65_535))
 
 
 def dropped(*tables: DataFrame) -> None:
