@@ -8,7 +8,8 @@ second exchange, alpha(a) = (1 - sum P*(b|a)) / (1 - sum P(b)). A token is then
 alpha of the context times the unigram, which itself backs off to the mass of unknown words.
 
 Denominators are C + 1/2, so some mass is always left for backing off; unknown words are one event, as in the base score.
-N-grams travel as hashes of 48 bits inside a part, parts growing with the input.
+N-grams travel as hashes of 64 bits, part and bits inside the part together: at 1e13 distinct pairs a given pair shares its key
+with another with odds of 5e-7, and such a pair's count is then that of both.
 
 Edge cases: null and empty texts have one token, the end; null ids count as the text ``null`` for the split; repeated rows
 are counted and scored each; without training rows every word is unknown; an empty table gives an empty result; further
@@ -47,18 +48,22 @@ def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c * np.where(c < len(d), d[np.minimum(c, len(d) - 1)], 1.0)
 
 
-def _read(ids: np.ndarray, texts: list[bytes]):
-    """(held out flags, tokens of all documents with their ends, lengths, hashes of the words)."""
+def held_out(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    none = X.is_null(ids, ties).tolist()
+    return np.array([zlib.crc32(b"null" if x else b"%d" % i) % MOD == OUT for i, x in zip(ids.tolist(), none)], bool)
+
+
+def _read(texts: list[bytes]):
+    """(tokens of all documents with their ends, lengths, hashes of the words)."""
     from xxhash import xxh64_intdigest
 
-    held = np.array([zlib.crc32(b"null" if i == X.NO_ID else b"%d" % i) % MOD == OUT for i in ids.tolist()], bool)
     known: dict[bytes, int] = {b" start": START, b" end": END}
     get, tokens, lens = known.setdefault, [], []
     for t in texts:
         words = t.lower().split()
         tokens.append(np.array([get(w, len(known)) for w in words] + [END], np.int32))
         lens.append(len(words) + 1)
-    return held, np.concatenate(tokens), np.array(lens, np.int64), np.fromiter((xxh64_intdigest(w, 11) for w in known), np.uint64, len(known))
+    return np.concatenate(tokens), np.array(lens, np.int64), np.fromiter((xxh64_intdigest(w, 11) for w in known), np.uint64, len(known))
 
 
 def _pairs(tokens: np.ndarray, lens: np.ndarray, hashes: np.ndarray, parts: int):
@@ -80,19 +85,16 @@ def score(documents: DataFrame, parts: int | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     parts = parts or parts_for(documents, 32)
 
-    def dealt(keys, counts, shift):
-        at = X.cuts(keys, parts)
-        return [(p + shift, X.frame(X.pack_keys(keys[s:e]), X.pack(counts[s:e]))) for p, (s, e) in enumerate(zip(at[:-1], at[1:])) if e > s]
-
-    def ask(ids, texts):
-        held, tokens, lens, hashes = _read(ids, texts)
+    def ask(ids, ties, texts):
+        tokens, lens, hashes = _read(texts)
+        held = held_out(ids, ties)
         train = np.repeat(~held, lens)
         words = X.part_keys(hashes, parts)
         order = np.argsort(words, kind="stable")
         own = np.bincount(tokens[train], minlength=len(hashes))
         _, _, keys, of = _pairs(tokens, lens, hashes, parts)
-        kept = X.frame(X.pack(ids), X.pack(lens), X.pack(tokens), X.pack(hashes))
-        return [(-1, kept), *dealt(words[order], own[order], 0), *dealt(keys, np.bincount(of[train], minlength=len(keys)), parts)]
+        kept = X.frame(X.pack(ids), X.pack(X.is_null(ids, ties)), X.pack(held), X.pack(lens), X.pack(tokens), X.pack(hashes))
+        return [(-1, kept), *X.dealt(words[order], parts, ((X.pack, own[order]),)), *X.dealt(keys, parts, ((X.pack, np.bincount(of[train], minlength=len(keys))),), parts)]
 
     def answer(part, got):
         """Global counts, twice, plus one where this entry owns its n-gram; and the part's own sums as block -1."""
@@ -104,7 +106,7 @@ def score(documents: DataFrame, parts: int | None = None) -> DataFrame:
         sums = np.r_[total.sum(), (total > 0).sum(), np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]]
         return [(-1, X.pack(sums.astype(np.int64))), *((block, X.pack(x)) for (block, _), x in zip(got, np.split(out, ends[:-1])))]
 
-    asks, first = X.saved(X.asked(documents, ask), "katz-asked")
+    asks, first = X.saved(X.asked(documents, ask, ordered=False), "katz-asked")
     counts = tidied(written(X.answered(asks, 2 * parts, answer), "katz-counts"))
     dropped(asks)
     sums = np.zeros((2, K + 3), np.int64)
@@ -115,7 +117,7 @@ def score(documents: DataFrame, parts: int | None = None) -> DataFrame:
     unknown = 1 - float((n - sum((1 - d1[r]) * r * sums[0, r + 1] for r in range(1, K + 1))) / (n + 0.5))
 
     def weigh(kept, got):
-        ids, lens, tokens, hashes = (X.unpack(x, t) for x, t in zip(X.unframe(kept), (np.int64, np.int64, np.int32, np.uint64), strict=True))
+        *who, lens, tokens, hashes = (X.unpack(x, t) for x, t in zip(X.unframe(kept), (np.int64, np.bool_, np.bool_, np.int64, np.int32, np.uint64), strict=True))
         words = X.part_keys(hashes, parts)
         order = np.argsort(words, kind="stable")
         uni = np.concatenate([X.unpack(d, np.int64) for p, d in got if p < parts]) >> 1
@@ -141,7 +143,7 @@ def score(documents: DataFrame, parts: int | None = None) -> DataFrame:
         place[wanted] = np.arange(len(wanted))
         back = backs[of]
         by_doc = lambda w: np.bincount(doc, w, len(lens))
-        sent = X.frame(X.pack(ids), X.pack(lens), X.pack(by_doc((c1[tokens] > 0).astype(float)).astype(np.int64)), X.pack(by_doc(np.log10(c1[tokens] + 1.0))), X.pack(by_doc(logs[of])), X.pack(doc[back].astype(np.int32)), X.pack(place[a[of[back]]].astype(np.int32)))
+        sent = X.frame(*map(X.pack, who), X.pack(lens), X.pack(by_doc((c1[tokens] > 0).astype(float)).astype(np.int64)), X.pack(by_doc(np.log10(c1[tokens] + 1.0))), X.pack(by_doc(logs[of])), X.pack(doc[back].astype(np.int32)), X.pack(place[a[of[back]]].astype(np.int32)))
         return [(-1, sent), *((p, X.frame(X.pack_keys(keys[s:e]), *(X.pack(x[use[s:e]]) for x in (total, spent, low)), X.pack(needs[use[s:e]]))) for p, (s, e) in enumerate(zip(at[:-1], at[1:])) if e > s)]
 
     def alphas(part, got):
@@ -156,12 +158,11 @@ def score(documents: DataFrame, parts: int | None = None) -> DataFrame:
     dropped(first, counts)
 
     def finish(kept, got):
-        types = (np.int64, np.int64, np.int64, np.float64, np.float64, np.int32, np.int32)
-        ids, lens, known, base, done, doc, place = (X.unpack(x, t) for x, t in zip(X.unframe(kept), types, strict=True))
+        types = (np.int64, np.bool_, np.bool_, np.int64, np.int64, np.float64, np.float64, np.int32, np.int32)
+        ids, none, held, lens, known, base, done, doc, place = (X.unpack(x, t) for x, t in zip(X.unframe(kept), types, strict=True))
         alpha = np.concatenate([np.empty(0), *(X.unpack(d, np.float64) for _, d in got)])
         total = done + np.bincount(doc, alpha[place], len(lens))
-        held = [zlib.crc32(b"null" if i == X.NO_ID else b"%d" % i) % MOD == OUT for i in ids.tolist()]
-        columns = (pa.array(ids, mask=ids == X.NO_ID), pa.array(held), pa.array(lens), pa.array(known), pa.array(np.full(len(ids), n)), pa.array(base - lens * np.log10(n + v + 1.0)), pa.array(total))
+        columns = (pa.array(ids, mask=none), pa.array(held), pa.array(lens), pa.array(known), pa.array(np.full(len(ids), n)), pa.array(base - lens * np.log10(n + v + 1.0)), pa.array(total))
         return pa.Table.from_arrays(list(columns), schema=OUTPUT)
 
     return X.by_block(second, X.answered(asks, parts, alphas), finish, OUTPUT_DDL)
