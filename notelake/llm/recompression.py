@@ -1,23 +1,31 @@
 """Substring dedup of word windows by recompression.
 
-Rounds of recompression name runs of equal symbols, then pairs of neighbours (first of one half of the alphabet, second of the other,
-halves drawn by a hash of the name). Names are hashes of what they stand for, so they are the same in all documents without a
-dictionary, and equal substrings get equal interior symbols. Each symbol carries its context: the words
-that its naming depended on. A window that holds the whole context of a symbol which occurs once in the corpus can't
-occur twice, so counting the symbols of the last round over all documents (by the block exchange) leaves few windows; these
-are verified by asking for the first occurrence of each window itself.
-
-A repeat keeps its first occurrence by (doc_id, place); of equal ids, that of the lower text in the same block comes
-first. Windows are judged on the input.
-
-Edge cases: null and empty texts have no words and the hash of nothing; null ids come before all others; documents under
-one window keep all words; a long run of one word is named as a run and its windows are verified like any other; repeated
-rows are copies; an empty table gives an empty result; further columns are passed over.
+Every round is a Spark exchange over all documents that names strings globally. Round 0 names words: a part gathers its
+share of all distinct words and numbers them, comparing bytes. Each further round finds, in every document, the runs of one
+symbol and the pairs of neighbours (first of the left half of the alphabet, second of the right; halves are drawn anew each
+round by a hash of the name); parts number them, comparing the names that they are made of. So a name stands for one
+string, equal in all documents, and equal substrings get equal interior symbols. A string that occurs once in the corpus gets no
+number: it is a barrier, and ends the matter for its surroundings.
+
+Each symbol carries its context, the words that its making depended on. A window of words that holds the whole context of a
+string which occurs once can't occur twice, so every round leaves fewer windows; what no window that is left can hold
+isn't asked any more. The windows that hold shared symbols only are verified in a last exchange: by a key of 64 bits and a
+check of 64 more, both over the words' global names, parts find the first occurrence. Two different windows of 1e14 agree in all
+128 bits with odds of 1e-11.
+
+A repeat keeps its first occurrence by (doc_id, place). Windows are judged on the input.
+
+Edge cases: null and empty texts have no words and the hash of nothing; null ids come before all others; documents under one
+window keep all words; of different texts with one id, that of the lower hash comes first, however rows are partitioned; repeated
+rows are copies; a long run of one word is named as a run and its windows are verified like any other; an empty table gives an
+empty result; further columns are passed over, whatever their names. A text is never split: memory grows with the longest one,
+by about 60 bytes a word.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,159 +35,300 @@ from notelake.llm import exchange as X
 from notelake.session import dropped, parts_for, tidied, written
 
 WINDOW, ROUNDS = 20, 3
-FAR = np.int64(1) << np.int64(60)
-ODD = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+FAR = 255  # context beyond the document, or too wide for any window
+ODD = np.random.default_rng(20).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 OUTPUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 OUTPUT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def hashed_words(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """(words of each text, hashes of all words in a row, number of words of each text)."""
-    from xxhash import xxh64_intdigest
-
-    split = [t.split() for t in texts]
-    known: dict[bytes, int] = {}
-    get = known.setdefault
-    at = np.array([get(w, len(known)) for ws in split for w in ws], np.int64)
-    names = np.fromiter((xxh64_intdigest(w, 5) for w in known), np.uint64, len(known))
-    return split, names[at] if len(at) else np.empty(0, np.uint64), np.fromiter(map(len, split), np.int64, len(split))
-
-
-def symbols(names: np.ndarray, lens: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, lo, hi) of the last round's symbols; [lo, hi) is the context in words, lo < 0 or hi = FAR beyond the document."""
-    lo = np.arange(len(names), dtype=np.int64)
-    hi = lo + 1
-    first, last = np.zeros(len(names), bool), np.zeros(len(names), bool)
-    ends = np.cumsum(lens[lens > 0])
-    first[np.r_[0, ends[:-1]][: len(ends)]] = True
-    last[ends - 1] = True
-
-    def before(a, none):
-        return np.where(first, none, np.r_[a[:1], a[:-1]])
-
-    def after(a, none):
-        return np.where(last, none, np.r_[a[1:], a[-1:]])
-
-    for k in range(rounds):
-        if not len(names):
-            break
-        # runs of equal symbols; a run's name depends on both neighbours being different
-        new = first | (names != np.r_[names[:1], names[:-1]])
-        at = np.flatnonzero(new)
-        count = np.diff(np.r_[at, len(names)])
-        end = at + count - 1
-        lo, hi = np.minimum(np.minimum.reduceat(lo, at), before(lo, -1)[at]), np.maximum(np.maximum.reduceat(hi, at), after(hi, FAR)[end])
-        names = np.where(count > 1, X.mixed(names[at] * np.uint64(0xA24BAED4963EE407) + count.astype(np.uint64)), names[at])
-        first, last = first[at], last[end]
-        # pairs (left half, right half); a left one alone depends on what follows, a right one on what comes before
-        left = (X.mixed(names ^ np.uint64(0x5851F42D4C957F2D * (k + 1) % (1 << 64))) & np.uint64(1)).astype(bool)
-        merge = left & ~last & ~np.r_[left[1:], True]
-        second = np.r_[False, merge[:-1]]
-        lo2, hi2 = np.where(~left & ~second, np.minimum(lo, before(lo, -1)), lo), np.where(left & ~merge, np.maximum(hi, after(hi, FAR)), hi)
-        to = np.flatnonzero(merge)
-        lo2[to], hi2[to] = np.minimum(lo[to], lo[to + 1]), np.maximum(hi[to], hi[to + 1])
-        names = names.copy()
-        names[to] = X.mixed(names[to] * np.uint64(0x9FB21C651E98DF25) + X.mixed(names[to + 1]))
-        last[to] = last[to + 1]
-        stay = ~second
-        names, lo, hi, first, last = names[stay], lo2[stay], hi2[stay], first[stay], last[stay]
-    return names, lo, hi
-
-
-def _asked(names: np.ndarray, lens: np.ndarray, parts: int):
-    """Distinct part keys of the last round's symbols, each symbol's key, counts, and contexts."""
-    names, lo, hi = symbols(names, lens)
-    keys, of, count = np.unique(X.part_keys(names, parts), return_inverse=True, return_counts=True)
-    return keys, of, count, lo, hi
-
-
-def candidates(lens: np.ndarray, lo: np.ndarray, hi: np.ndarray, once: np.ndarray, window: int) -> np.ndarray:
-    """Starts of the windows that hold no whole context of a symbol that occurs once."""
-    n = int(lens.sum())
-    ends = np.repeat(np.cumsum(lens), lens)
-    use = once & (lo >= 0) & (hi - lo <= window)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.maximum(hi[use] - window, 0), 1)
-    np.add.at(edge, lo[use] + 1, -1)
-    return np.flatnonzero((np.cumsum(edge)[:n] == 0) & (np.arange(n) + window <= ends))
-
-
-def window_keys(names: np.ndarray, at: np.ndarray, window: int, parts: int) -> np.ndarray:
-    total = np.zeros(len(at), np.uint64)
+def name_of(level: int, part: int, index: np.ndarray) -> np.ndarray:
+    """Global names: the round, the part and the number in the part; index -1 is no name (0)."""
+    base = np.uint64((level << 60) | (part << 36))
+    return np.where(index >= 0, base + (index + 1).astype(np.uint64), np.uint64(0))
+
+
+def numbered(distinct: int, of: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For entries of several blocks: their string's number in the part, -1 if it occurs once in all."""
+    return np.where(np.bincount(of, times, distinct)[of] > 1, of, -1)
+
+
+@dataclass
+class Symbols:
+    """One block between rounds.
+
+    Of each symbol: name, width in words, context beyond either end in words (FAR: unusable). sizes: symbols of each document.
+    Of each word: whether its window is left, and its name while a window that is left holds it. ids and ties of the documents.
+    """
+
+    names: np.ndarray
+    width: np.ndarray
+    back: np.ndarray
+    ahead: np.ndarray
+    sizes: np.ndarray
+    left: np.ndarray
+    words: np.ndarray
+    ids: np.ndarray
+    ties: np.ndarray
+
+    def packed(self, window: int) -> bytes:
+        edge = np.zeros(len(self.left) + window, np.int64)
+        starts = np.flatnonzero(self.left)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + window, -1)
+        words = np.where(np.cumsum(edge)[: len(self.left)] > 0, self.words, np.uint64(0))
+        (table, at), (known, word) = (np.unique(x, return_inverse=True) for x in (self.names, words))
+        arrays = (table, at.astype(np.int32), self.width.astype(np.int32), self.back, self.ahead, self.sizes.astype(np.int32), np.packbits(self.left), known, word.astype(np.int32), self.ids, self.ties)
+        return X.frame(*map(X.pack, arrays))
+
+    @classmethod
+    def of_packed(cls, data: bytes) -> Symbols:
+        types = (np.uint64, np.int32, np.int32, np.uint8, np.uint8, np.int32, np.uint8, np.uint64, np.int32, np.int64, np.int64)
+        table, at, width, back, ahead, sizes, left, known, word, ids, ties = (X.unpack(x, t) for x, t in zip(X.unframe(data), types, strict=True))
+        taken = lambda t, i: t[i] if len(i) else t[:0]
+        return cls(taken(table, at), width.astype(np.int64), back, ahead, sizes.astype(np.int64), np.unpackbits(left)[: len(word)].astype(bool), taken(known, word), ids, ties)
+
+    def doc_of_words(self) -> np.ndarray:
+        return np.repeat(np.repeat(np.arange(len(self.sizes)), self.sizes), self.width)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first symbol of a document, last symbol of a document)."""
+        first, last = np.zeros(len(self.names), bool), np.zeros(len(self.names), bool)
+        ends = np.cumsum(self.sizes[self.sizes > 0])
+        first[np.r_[0, ends[:-1]][: len(ends)]] = True
+        last[ends - 1] = True
+        return first, last
+
+
+def lost(left: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
+    """left without the windows that hold one of the contexts [lo, hi)."""
+    edge = np.zeros(len(left) + 1, np.int64)
+    np.add.at(edge, np.maximum(hi - window, 0), 1)
+    np.add.at(edge, lo + 1, -1)
+    return left & (np.cumsum(edge)[:-1] == 0)
+
+
+def proposed(s: Symbols, level: int, window: int):
+    """(the next round's symbols, not yet renamed; which of them are to be named; contexts of all; (name, count, name, count) of the former)."""
+    n = len(s.names)
+    none = np.empty(0, np.int64)
+    if not n:
+        return replace(s), none, none, none, (s.names, none, s.names, none)
+    first, last = s.edges()
+    start = np.cumsum(s.width) - s.width
+    lo = np.where(s.back < FAR, start - s.back, -1)
+    hi = np.where(s.ahead < FAR, start + s.width + s.ahead, 1 << 60)
+    none = s.names == 0
+
+    def before(a, edge, first):
+        return np.where(first, edge, np.r_[a[:1], a[:-1]])
+
+    def after(a, edge, last):
+        return np.where(last, edge, np.r_[a[1:], a[-1:]])
+
+    # runs of equal symbols; a run's extent depends on both neighbours being different
+    new = first | none | (s.names != np.r_[s.names[:1], s.names[:-1]])
+    at = np.flatnonzero(new)
+    count = np.diff(np.r_[at, n])
+    end = at + count - 1
+    lo, hi = np.minimum(np.minimum.reduceat(lo, at), before(lo, -1, first)[at]), np.maximum(np.maximum.reduceat(hi, at), after(hi, 1 << 60, last)[end])
+    names, none, first, last, start, stop = s.names[at], none[at], first[at], last[end], start[at], (start + s.width)[end]
+    # pairs (left half, right half); a left one alone depends on what follows, a right one on what comes before
+    half = (X.mixed(X.mixed(names + count.astype(np.uint64)) ^ np.uint64(0x5851F42D4C957F2D * level % (1 << 64))) & np.uint64(1)).astype(bool)
+    is_left, is_right = half & ~none, ~half & ~none
+    merge = is_left & ~last & np.r_[is_right[1:], False]
+    second = np.r_[False, merge[:-1]]
+    lo2 = np.where(is_right & ~second, np.minimum(lo, before(lo, -1, first)), lo)
+    hi2 = np.where(is_left & ~merge, np.maximum(hi, after(hi, 1 << 60, last)), hi)
+    to = np.flatnonzero(merge)
+    lo2[to], hi2[to] = np.minimum(lo[to], lo[to + 1]), np.maximum(hi[to], hi[to + 1])
+    stop = stop.copy()
+    stop[to] = stop[to + 1]
+    doc = np.cumsum(first) - 1
+    partner, partners = np.zeros(len(names), np.uint64), np.zeros(len(names), np.int64)
+    partner[to], partners[to] = names[to + 1], count[to + 1]
+    stay = ~second
+    names, count, partner, partners, none, lo, hi, start, stop, doc, made = (x[stay] for x in (names, count, partner, partners, none, lo2, hi2, start, stop, doc, merge | (count > 1)))
+    # what no window that is left can hold needs no name
+    cum = np.r_[0, np.cumsum(s.left)]
+    usable = (lo >= 0) & (hi < 1 << 60) & (hi - lo <= window)
+    held = np.zeros(len(names), bool)
+    held[usable] = cum[lo[usable] + 1] > cum[np.maximum(hi[usable] - window, 0)]
+    out = np.where(held, names, np.uint64(0))
+    sizes = s.sizes.copy()
+    sizes[sizes > 0] = np.bincount(doc, minlength=int((s.sizes > 0).sum()))
+    reach = lambda x, known: np.where(known, np.minimum(x, FAR), FAR).astype(np.uint8)
+    symbols = replace(s, names=out, width=stop - start, back=reach(start - lo, lo >= 0), ahead=reach(hi - stop, hi < 1 << 60), sizes=sizes)
+    which = np.flatnonzero(made & held)
+    return symbols, which, lo, hi, (names[which], count[which], partner[which], partners[which])
+
+
+def entries(parts_of, parts: int):
+    """Distinct (name, count, name, count) rows in the order asked: (part of each, index of one occurrence, each row's entry, times)."""
+    a, na, b, nb = parts_of
+    table, at = np.unique(np.r_[a, b], return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    h = X.mixed(X.mixed(a + na.astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25) + X.mixed(b ^ X.mixed(nb.astype(np.uint64))))
+    part = ((h >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+    order = np.lexsort((nb, na, j, i, part))
+    rows = np.stack([part[order], i[order], j[order], na[order], nb[order]])
+    new = np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)] if len(order) else np.empty(0, bool)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return part[order][new], order[new], of, np.bincount(of, minlength=int(new.sum()))
+
+
+def window_keys(names: np.ndarray, at: np.ndarray, window: int, parts: int, key_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(part keys, checks) of the windows that start there."""
+    mixed = X.mixed(names)
+    total = np.zeros((2, len(at)), np.uint64)
     for k in range(window):
-        total += names[at + k] * ODD[k % 256]
-    return X.part_keys(X.mixed(total), parts)
+        total += mixed[at + k] * ODD[:, k % 256, None]
+        if k % 256 == 255:
+            total = X.mixed(total)
+    return X.part_keys(X.mixed(total[0]) & np.uint64((1 << key_bits) - 1), parts), X.mixed(total[1])
+
+
+def distinct_windows(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first occurrence of each distinct window, in the order asked; each window's number in that order)."""
+    order = np.lexsort((np.arange(len(keys)), check, keys))
+    k, c = keys[order], check[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if len(k) else np.empty(0, bool)
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
 
 
 def firsts(part: int, got: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    """Whether each key's first occurrence, by (doc_id, block), is in the asking block."""
+    """Whether each window's first occurrence, by (doc_id, tie), is in the asking block."""
     frames = [X.unframe(d) for _, d in got]
-    distinct, of, _, ends = X.merged([X.unpack_keys(f[0]) for f in frames])
-    ids = np.concatenate([np.cumsum(X.unpack(f[1], np.int64)) for f in frames])
-    order = np.lexsort((np.arange(len(of)), ids, of))
-    holder = np.zeros(len(of), bool)
-    holder[order[np.r_[True, of[order][1:] != of[order][:-1]]]] = True
-    return [(block, X.pack(np.packbits(x))) for (block, _), x in zip(got, np.split(holder, ends[:-1]))]
+    keys, check, ids, ties = (np.concatenate(x) for x in zip(*((X.unpack_keys(f[0]), X.unpack(f[1], np.uint64), X.undelta(f[2], np.int64), X.unpack(f[3], np.int64)) for f in frames), strict=True))
+    ends = np.cumsum([len(X.unpack(f[1], np.uint64)) for f in frames])
+    order = np.lexsort((np.arange(len(ids)), ties, ids, check, keys))
+    k, c = keys[order], check[order]
+    holder = np.zeros(len(ids), bool)
+    holder[order[np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]]] = True
+    return [(block, X.pack(x)) for (block, _), x in zip(got, np.split(holder, ends[:-1]))]
 
 
-def bits(got: list[tuple[int, bytes]], keys: np.ndarray, parts: int) -> np.ndarray:
-    """The answers' bits in the order of the keys."""
-    at, by = X.cuts(keys, parts), dict(got)
-    return np.concatenate([np.empty(0, bool), *(np.unpackbits(X.unpack(by[p], np.uint8))[: e - s].astype(bool) for p, (s, e) in enumerate(zip(at[:-1], at[1:])) if e > s)])
+def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None, rounds: int = ROUNDS, key_bits: int = 64) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept_sha256.
 
-
-def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256."""
+    key_bits: bits of a window's key that are used, fewer only in tests, where keys then collide and checks must tell windows apart.
+    """
     parts = parts or parts_for(documents, 32)
+    def ask(ids, ties, texts):
+        split = [t.split() for t in texts]
+        known: dict[bytes, int] = {}
+        get = known.setdefault
+        at = np.array([get(w, len(known)) for ws in split for w in ws], np.int64)
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        del split
+        from xxhash import xxh64_intdigest
+
+        vocabulary = list(known)
+        h = np.fromiter((xxh64_intdigest(w, 5) for w in vocabulary), np.uint64, len(known))
+        part = ((h >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        times = np.minimum(np.bincount(at, minlength=len(known)), 2).astype(np.uint8)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        asks = [(p, X.frame(X.squeezed(b" ".join([vocabulary[i] for i in order[s:e].tolist()])), X.pack(times[order[s:e]]))) for p, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
+        words = X.frame(*map(X.pack, ((place[at] if len(at) else at).astype(np.int32), sizes, ids, ties)))
+        return [(-2, X.frame(X.texts_frame(ids, texts), X.pack(ties))), (-1, words), *asks]
+
+    def word_names(part, got):
+        frames = [X.unframe(d) for _, d in got]
+        words = [X.expanded(f[0]).split(b" ") for f in frames]
+        number = {w: i for i, w in enumerate(sorted(set().union(*words)))}
+        of = np.array([number[w] for ws in words for w in ws], np.int64)
+        index = numbered(len(number), of, np.concatenate([X.unpack(f[1], np.uint8) for f in frames]))
+        return [(block, X.pack(x)) for (block, _), x in zip(got, np.split(index, np.cumsum([len(w) for w in words])[:-1]))]
 
-    def dealt(keys, *columns):
-        at = X.cuts(keys, parts)
-        return [(p, X.frame(X.pack_keys(keys[s:e]), *(X.pack(f(c[s:e])) for f, c in columns))) for p, (s, e) in enumerate(zip(at[:-1], at[1:])) if e > s]
-
-    def ask(ids, texts):
-        _, names, lens = hashed_words(texts)
-        keys, _, count, _, _ = _asked(names, lens, parts)
-        return [(-1, X.texts_frame(ids, texts)), *dealt(keys, (lambda c: np.minimum(c, 2).astype(np.uint8), count))]
-
-    def repeated(part, got):
+    def symbol_names(part, got):
         frames = [X.unframe(d) for _, d in got]
-        distinct, of, _, ends = X.merged([X.unpack_keys(f[0]) for f in frames])
-        total = np.bincount(of, np.concatenate([X.unpack(f[1], np.uint8) for f in frames]), len(distinct))
-        return [(block, X.pack(np.packbits(x))) for (block, _), x in zip(got, np.split(total[of] > 1, ends[:-1]))]
-
-    def verify(kept, got):
-        ids, texts = X.framed_texts(kept)
-        _, names, lens = hashed_words(texts)
-        keys, of, _, lo, hi = _asked(names, lens, parts)
-        at = candidates(lens, lo, hi, ~bits(got, keys, parts)[of], window)
-        doc = np.repeat(np.arange(len(lens)), lens)[at]
-        keys, first = np.unique(window_keys(names, at, window, parts), return_index=True)
-        return [(-1, X.frame(kept, X.pack(np.diff(at, prepend=0)))), *dealt(keys, (lambda c: np.diff(c, prepend=np.int64(0)), ids[doc[first]]))]
+        a, na, b, nb, times = (np.concatenate(x) for x in zip(*((X.undelta(f[0], np.uint64), X.unpack(f[1], np.int32), X.unpack(f[2], np.uint64), X.unpack(f[3], np.int32), X.unpack(f[4], np.uint8)) for f in frames), strict=True))
+        order = np.lexsort((nb, na, b, a))
+        columns = [x[order] for x in (a, na, b, nb)]
+        new = np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in columns])]
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        index = numbered(int(new.sum()), of, times)
+        return [(block, X.pack(x)) for (block, _), x in zip(got, np.split(index, np.cumsum([len(X.unpack(f[4], np.uint8)) for f in frames])[:-1]))]
+
+    def asks_of(s: Symbols, level: int) -> list[tuple[int, bytes]]:
+        _, _, _, _, made = proposed(s, level, window)
+        part, one, _, times = entries(made, parts)
+        a, na, b, nb = (x[one] for x in made)
+        times = np.minimum(times, 2).astype(np.uint8)
+        edges = np.searchsorted(part, np.arange(parts + 1))
+        return [(p, X.frame(X.deltas(a[x:y]), X.pack(na[x:y].astype(np.int32)), X.pack(b[x:y]), X.pack(nb[x:y].astype(np.int32)), X.pack(times[x:y]))) for p, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
+
+    def words_named(kept, got) -> Symbols:
+        at, sizes, ids, ties = (X.unpack(x, t) for x, t in zip(X.unframe(kept), (np.int32, np.int64, np.int64, np.int64), strict=True))
+        names = np.concatenate([np.empty(0, np.uint64), *(name_of(0, p, X.unpack(d, np.int64)) for p, d in got)])
+        names = names[at] if len(at) else names
+        left = np.arange(len(names)) + window <= np.repeat(np.cumsum(sizes), sizes)
+        once, zeros = np.flatnonzero(names == 0), np.zeros(len(names), np.uint8)
+        return Symbols(names, np.ones(len(names), np.int64), zeros, zeros, sizes, lost(left, once, once + 1, window), names, ids, ties)
+
+    def renamed(s: Symbols, got, level: int) -> Symbols:
+        symbols, which, lo, hi, made = proposed(s, level, window)
+        _, _, of, _ = entries(made, parts)
+        names = np.concatenate([np.empty(0, np.uint64), *(name_of(level, p, X.unpack(d, np.int64)) for p, d in got)])
+        own = names[of] if len(of) else names
+        symbols.names[which] = own
+        once = which[own == 0]
+        symbols.left = lost(s.left, lo[once], hi[once], window)
+        return symbols
+
+    def naming(level: int):
+        """Takes a round's names and asks for those of the next, or for the first occurrences of the windows that are left."""
+
+        def run(kept, got):
+            s = renamed(Symbols.of_packed(kept), got, level) if level else words_named(kept, got)
+            if level < rounds:
+                return [(-1, s.packed(window)), *asks_of(s, level + 1)]
+            starts = np.flatnonzero(s.left)
+            keys, check = window_keys(s.words, starts, window, parts, key_bits)
+            one, _ = distinct_windows(keys, check)
+            ends = np.cumsum(np.bincount(s.doc_of_words(), minlength=len(s.ids)))
+            doc = np.searchsorted(ends, starts[one], side="right")
+            asks = X.dealt(keys[one], parts, ((X.pack, check[one]), (X.deltas, s.ids[doc]), (X.pack, s.ties[doc])))
+            return [(-1, X.frame(X.deltas(starts), X.pack(one.astype(np.int32)))), *asks]
+
+        return run
 
     def remove(kept, got):
-        kept, at = X.unframe(kept)
-        ids, texts = X.framed_texts(kept)
-        at = np.cumsum(X.unpack(at, np.int64))
-        split, names, lens = hashed_words(texts)
-        keys, first, of = np.unique(window_keys(names, at, window, parts), return_index=True, return_inverse=True)
-        stays = np.zeros(len(at), bool)
-        stays[first[bits(got, keys, parts)]] = True
-        gone = at[~stays]
-        edge = np.zeros(int(lens.sum()) + 1, np.int64)
+        framed, ties = X.unframe(kept)
+        (ids, texts), ties = X.framed_texts(framed), X.unpack(ties, np.int64)
+        starts, one = X.unframe(got[0][1])
+        starts, one = X.undelta(starts, np.int64), X.unpack(one, np.int32)
+        stays = np.zeros(len(starts), bool)
+        if len(one):
+            stays[one[np.concatenate([X.unpack(d, np.bool_) for _, d in got[1:]])]] = True
+        gone = starts[~stays]
+        split = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        edge = np.zeros(int(sizes.sum()) + window + 1, np.int64)
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + window, -1)
-        covered = np.cumsum(edge)[:-1] > 0
+        covered = np.cumsum(edge) > 0
         removed, hashes, start = [], [], 0
-        for ws, n in zip(split, lens.tolist()):
+        for ws, n in zip(split, sizes.tolist()):
             own = covered[start : start + n]
             start += n
             removed.append(int(own.sum()))
             hashes.append(hashlib.sha256(b" ".join(ws if not removed[-1] else [w for w, c in zip(ws, own.tolist()) if not c])).hexdigest())
-        return pa.Table.from_arrays([pa.array(ids, mask=ids == X.NO_ID), pa.array(lens), pa.array(removed, pa.int64()), pa.array(hashes)], schema=OUTPUT)
-
-    asks, first = X.saved(X.asked(documents, ask), "recompression-symbols")
-    again = tidied(written(X.answered(asks, parts, repeated), "recompression-repeated"))
+        return pa.Table.from_arrays([pa.array(ids, mask=X.is_null(ids, ties)), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())], schema=OUTPUT)
+
+    asks, state, texts = X.saved(X.asked(documents, ask), "recompression-words", "texts")
+    for level in range(rounds + 1):
+        names = tidied(written(X.answered(asks, parts, symbol_names if level else word_names), "recompression-names"))
+        dropped(asks)
+        asks, now = X.saved(X.by_block(state, names, naming(level)), "recompression-symbols")
+        dropped(state, names)
+        state = now
+    holders = tidied(written(X.answered(asks, parts, firsts), "recompression-firsts"))
     dropped(asks)
-    asks, second = X.saved(X.by_block(first, again, verify), "recompression-windows")
-    dropped(first, again)
-    return X.by_block(second, tidied(written(X.answered(asks, parts, firsts), "recompression-firsts")), remove, OUTPUT_DDL)
+    return X.by_block(texts.union(state), holders, remove, OUTPUT_DDL)

@@ -72,8 +72,15 @@ def katz(rows, k=5):
 
 
 def in_order(rows):
-    """Row numbers by (doc_id, text), nulls first."""
-    return sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, (rows[i][1] or "").encode()))
+    """Row numbers by (doc_id, hash of the text, text), nulls first, their hashes downwards."""
+    from xxhash import xxh64_intdigest
+
+    def place(i):
+        text = (rows[i][1] or "").encode()
+        h = xxh64_intdigest(text, 42) & ((1 << 63) - 1)
+        return (rows[i][0] is not None, rows[i][0] or 0, h if rows[i][0] is not None else -h, text)
+
+    return sorted(range(len(rows)), key=place)
 
 
 def word_windows(rows, n=20):
