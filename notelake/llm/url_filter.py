@@ -5,8 +5,9 @@ universe's keys that are not listed and pass level 1; level 3 the listed keys th
 key passes wrongly. A key is listed if the first level that it fails is even. Probing is arithmetic on bit
 arrays held in scalar subqueries: no join, no Python.
 
-The size of a level is known before it is built: BITS_PER_KEY bits for each key that it encodes. Where level 1 would
-pass MAX_BYTES, nothing is broadcast and the same verdict comes from left-outer equi-joins with the listed keys.
+Keys are dealt by hash to shards, and each shard has a cascade of its own, so that no level passes about SHARD_BYTES however
+long the list is. All sizes go the same way: pages are probed with one shard after another, and each shard looks at the keys
+that belong to it. Every pass but the last is written, so memory holds one shard's levels.
 
 Edge cases: null urls and urls without ``://`` have empty host and path and are never listed; an empty table gives an
 empty result; an empty list lets everything pass; further columns are passed over; repeated rows are judged alike.
@@ -19,11 +20,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.session import written
+from notelake.session import dropped, written
 
 # Fixed values: (rule, host, path, verdict).
 RULES = (("net/", "net", "/", "block"), ("example.net/en/", "example.net", "/en/", "allow"), ("example.com/de/", "example.com", "/de/", "block"), ("org/fr/", "org", "/fr/", "allow"))
-BITS_PER_KEY, HASHES, MAX_BYTES, MAX_LEVELS = 12, 8, 64 << 20, 40
+BITS_PER_KEY, HASHES, SHARD_BYTES, MAX_LEVELS = 12, 8, 16 << 20, 40
+WRONG = 0.004  # share of other keys that pass a level wrongly, rounded up
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,12 +73,10 @@ def _bits(n: int) -> int:
     return max(64, 64 * math.ceil(n * BITS_PER_KEY / 64))
 
 
-def cascade(universe: DataFrame, listed: DataFrame) -> list[tuple[int, DataFrame]]:
-    """The levels (bits, one-row DataFrame) that answer membership in listed exactly for every key of the universe."""
-    inside = written(listed.select("key").distinct(), "url-listed")
-    outside = written(universe.select("key").distinct().join(inside, "key", "left_anti"), "url-others")
+def cascade(inside: DataFrame, outside: DataFrame) -> list[tuple[int, DataFrame]]:
+    """The levels (bits, one-row DataFrame) that tell distinct keys inside from distinct keys outside, exactly."""
     levels: list[tuple[int, DataFrame]] = []
-    encode, against, n = inside, outside, inside.count()
+    encode, against, n, made = inside, outside, inside.count(), []
     while n:
         if len(levels) == MAX_LEVELS:
             raise RuntimeError("the cascade does not end; raise BITS_PER_KEY")
@@ -84,10 +84,21 @@ def cascade(universe: DataFrame, listed: DataFrame) -> list[tuple[int, DataFrame
         row = written(_level(encode, len(levels), bits), "url-level")
         levels.append((bits, row))
         wrong = written(against.filter(_passes(F.col("key"), len(levels) - 1, bits, row.scalar())), "url-wrong")
+        made.append(wrong)
         encode, against, n = wrong, encode, wrong.count()
+    dropped(*made)
     return levels
 
 
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards))
+
+
+def shards_for(n_listed: int, n_others: int, shard_bytes: int = SHARD_BYTES) -> int:
+    """So many that no level is expected to pass shard_bytes."""
+    return max(1, math.ceil(max(n_listed, WRONG * n_others) * BITS_PER_KEY / 8 / shard_bytes))
+
+
 def is_listed(key: Column, levels: list[tuple[int, DataFrame]]) -> Column:
     """True if the first level that the key fails is even-numbered (or, passing all, their number is odd)."""
     out = F.lit(len(levels) % 2 == 1)
@@ -102,22 +113,30 @@ def corpus_keys(urls: DataFrame) -> DataFrame:
     return urls.filter("host <> ''").select(F.explode(F.array("host", F.concat("host", "path"))).alias("key")).distinct()
 
 
-def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict. listed: keys (host, or host+path) to block; by default ``stand_in_list``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of().alias("host"), path_of().alias("path"))
     universe = written(corpus_keys(rows), "url-keys")
-    listed = (stand_in_list(universe) if listed is None else listed).select("key")
+    listed = (stand_in_list(universe) if listed is None else listed).select("key").distinct()
+    # a key that the corpus lacks is never asked for
+    flags = universe.withColumn("of", F.lit(0)).unionByName(listed.withColumn("of", F.lit(1))).groupBy("key").agg(F.min("of").alias("a"), F.max("of").alias("b"))
+    flags = written(flags.filter("a = 0").select("key", (F.col("b") == 1).alias("inside")), "url-flags")
+    counts = {r["inside"]: r["n"] for r in flags.groupBy("inside").agg(F.count("*").alias("n")).collect()}
+    shards = shards_for(counts.get(True, 0), counts.get(False, 0), shard_bytes)
+    rows = rows.withColumn("hit", F.lit(False))
+    page = F.concat("host", "path")
+    for shard in range(shards if counts.get(True) else 0):
+        own = flags.filter(shard_of(F.col("key"), shards) == shard)
+        levels = cascade(own.filter("inside").select("key"), own.filter("not inside").select("key"))
+        probe = lambda key: (shard_of(key, shards) == shard) & is_listed(key, levels)  # noqa: B023, E731
+        rows = rows.withColumn("hit", F.col("hit") | ((F.col("host") != "") & (probe(F.col("host")) | probe(page))))
+        if shard < shards - 1:
+            before, rows = rows, written(rows, "url-probed")
+            if shard:
+                dropped(before)
+    dropped(universe)
     rows = rows.withColumn("r", best_rule(F.col("host"), F.col("path"), rules))
-    host, page = F.col("host"), F.concat("host", "path")
-    n = listed.distinct().count()
-    if _bits(n) // 8 <= MAX_BYTES:
-        levels = cascade(universe, listed)
-        hit = (host != "") & (is_listed(host, levels) | is_listed(page, levels))
-    else:
-        flags = listed.distinct()
-        rows = rows.withColumn("page", page).join(flags.select(F.col("key").alias("host"), F.lit(1).alias("by_host")), "host", "left").join(flags.select(F.col("key").alias("page"), F.lit(1).alias("by_page")), "page", "left")
-        hit = F.coalesce(F.col("by_host"), F.col("by_page")).isNotNull()
-    return rows.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.when(hit, "block").otherwise("allow")).alias("verdict"))
+    return rows.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
 
 
 def stand_in_list(universe: DataFrame) -> DataFrame:
