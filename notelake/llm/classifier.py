@@ -2,15 +2,16 @@
 
 Byte n-grams (2 and 3 bytes, A-Z lower-cased) and words are hashed to BUCKETS indicators. Each indicator is scaled by its
 class log-count ratio (add-one counts of documents, L1-normalised per class) and a linear hinge-loss model is fit by dual
-coordinate descent. The score is the logistic of a calibrated margin, so it is at least 0.5 just where the
-calibrated margin is not negative.
+coordinate descent. The score is the logistic of SLOPE times the margin (a fixed slope, not fitted), so it is at least 0.5 just
+where the margin is not negative.
 
-Fitting uses at most SAMPLE labelled training rows, those with the least hash of doc_id (a documented bound; their ids are
-what is broadcast, their indicators what the driver reads); scoring covers every whole text, map-side, with a weight
-vector of fixed size. Scores depend on texts alone.
+Fitting uses at most SAMPLE labelled training rows, those with the least hash of doc_id (their ids are what is broadcast), and of
+these, in the same order, as many as have INDICATORS indicators together (what the driver reads, at 4 bytes each): two documented
+bounds, one on rows and one on bytes, so that long texts can't fill the driver. Scoring covers every whole text, map-side, with
+a weight vector of fixed size. Scores depend on texts alone.
 
 Edge cases: null text is empty and scores by the bias; null ids are never labelled and count as the text ``null`` for
-the split; repeated labels count once, good only if all say so; with labels of one class only, or none, every
+the split; repeated labels count once, good only if all say so; of several texts with one id that of the least hash is learned; with labels of one class only, or none, every
 score is that class's share (0.5 without labels); an empty table gives an empty result; further columns are passed over.
 """
 
@@ -20,12 +21,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.llm.text import batch_of, docs, slices, values
+from notelake.session import dropped, written
 
-BUCKETS, SAMPLE, EPOCHS, C = 1 << 18, 16_384, 12, 3.0
+BUCKETS, SAMPLE, INDICATORS, EPOCHS, C, SLOPE = 1 << 18, 16_384, 48 << 20, 12, 3.0, 2.0
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
@@ -48,7 +50,7 @@ def features(text: bytes) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], good: np.ndarray, epochs: int = EPOCHS, c: float = C) -> tuple[np.ndarray, float]:
-    """(weights, bias) of the calibrated margin sum(weights[features]) / sqrt(len(features)) + bias."""
+    """(weights, bias) of the score's logit: sum(weights[features]) / sqrt(len(features)) + bias."""
     zero = np.zeros(BUCKETS, np.float32)
     if len(rows) == 0 or good.all() or not good.any():
         share = (good.sum() + 1) / (len(good) + 2)
@@ -69,7 +71,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray, epochs: int = EPOCHS, c: float
                 w[rows[i]] += step * scaled[i]
                 bias += step
                 alpha[i] = new
-    return (2 * w * ratio).astype(np.float32), 2 * bias
+    return (SLOPE * w * ratio).astype(np.float32), SLOPE * bias
 
 
 def sampled(labels: DataFrame, held_out: Column, column: str = "quality", most: int = SAMPLE) -> DataFrame:
@@ -78,15 +80,24 @@ def sampled(labels: DataFrame, held_out: Column, column: str = "quality", most:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def trained(documents: DataFrame, labels: DataFrame, mod: int = 3, out: int = 1) -> tuple[np.ndarray, float]:
-    chosen = sampled(labels, remainder(mod) == out)
+def trained(documents: DataFrame, labels: DataFrame, mod: int = 3, out: int = 1, most: int = SAMPLE, indicators: int = INDICATORS) -> tuple[np.ndarray, float]:
+    chosen = sampled(labels, remainder(mod) == out, most=most)
+    ddl = "doc_id long, h long, n long, f binary, y int"
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("f", pa.binary()), ("y", pa.int32())])
 
     def collect(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": values(batch, "doc_id"), "f": [features(t).tobytes() for t in values(batch, "text")], "y": values(batch, "y")}, pa.schema([("doc_id", pa.int64()), ("f", pa.binary()), ("y", pa.int32())]))
-
-    got = docs(documents).join(F.broadcast(chosen), "doc_id").mapInArrow(collect, "doc_id long, f binary, y int").dropDuplicates(["doc_id"]).toArrow()
-    got = got.sort_by("doc_id")
+            found = [features(t) for t in values(batch, "text")]
+            yield batch_of(schema, batch.column(0), values(batch, "h"), [len(f) for f in found], [f.tobytes() for f in found], values(batch, "y"))
+
+    rows = docs(documents).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.xxhash64("text").alias("h"), "y").mapInArrow(collect, ddl)
+    one = written(rows.groupBy("doc_id").agg(F.min(F.struct("h", "f", "n", "y")).alias("r")).select("doc_id", F.xxhash64("doc_id").alias("place"), "r.n", "r.f", "r.y"), "classifier-rows")
+    before = F.sum("n").over(Window.orderBy("place", "doc_id"))  # over SAMPLE short rows at most
+    kept = one.select("doc_id", "place", "n").withColumn("before", before).filter(F.col("before") <= indicators)
+    last = kept.agg(F.max(F.struct("place", "doc_id")).alias("m")).first()["m"]
+    used = one.filter((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("doc_id") <= last["doc_id"]))) if last else one.limit(0)
+    got = used.select("doc_id", "f", "y").toArrow().sort_by("doc_id")
+    dropped(one)
     return fit([np.frombuffer(f, np.int32) for f in got["f"].to_pylist()], np.array(got["y"].to_pylist(), int) == 1)
 
 
