@@ -7,7 +7,8 @@ weighted norm of what is left (``norm``) or the greatest weighted dot product of
 A block is of bounded size at any scale, and costs a fraction of a sequence at its end.
 
 By default the document and cost capacities are those that the token capacity implies, so they never bind and the number
-of sequences is as small as tokens allow.
+of sequences is as small as tokens allow. Where they bind, documents are cut into pieces that an empty sequence can hold under every
+capacity (the square root of the cost capacity, if that is less than the tokens); no piece is ever placed over a capacity.
 
 Words are tokenized once per task: the tokenizer's splitting never joins what white space parts, so a text's ids are
 its words' ids in a row.
@@ -19,6 +20,7 @@ passed over.
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import zlib
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.exchange import trimmed
 from notelake.llm.text import batch_of, docs, slices, values
 from notelake.session import written
 
@@ -50,6 +53,14 @@ class Capacity:
     weights: tuple = (1.0, 0.01, 0.01)
     rule: str = "norm"
 
+    @property
+    def longest(self) -> int:
+        """Tokens of the longest piece that an empty sequence holds."""
+        found = min(self.tokens, math.isqrt(max(0, self.cost)))
+        if found < 1 or self.documents < 1:
+            raise ValueError(f"no piece fits {self}")
+        return found
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -131,12 +142,16 @@ def pieces(documents: DataFrame, path: str, tokens: int = 2048) -> DataFrame:
                     out.append((doc_id, row, k, at // 4, len(part) // 4, zlib.crc32(part)))
                 row += 1
             yield batch_of(PIECES, *map(list, zip(*out, strict=True)))
+        del known
+        trimmed()
 
     return docs(documents).mapInArrow(cut, PIECES_DDL)
 
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece; the pieces come in any order and are placed longest first."""
+    """(bin, offset) of each piece; the pieces come in any order and are placed longest first. None is longer than capacity.longest."""
+    if len(lengths) and lengths.max() > capacity.longest:
+        raise ValueError(f"a piece of {lengths.max()} tokens fits no sequence of {capacity}")
     full = np.array([capacity.tokens, capacity.documents, capacity.cost], float)
     weight = np.array(capacity.weights, float) / full**2
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
@@ -158,7 +173,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
             left[at], number[at], made = full, made, made + 1
         bins[i], offsets[i] = number[at], capacity.tokens - left[at][0]
         left[at] -= need
-        if left[at][:2].min() < 1 or left[at][2] < 1:  # nothing more fits: close it
+        if left[at].min() < 1:  # nothing more fits: close it
             n -= 1
             left[at], number[at] = left[n], number[n]
     return bins, offsets
@@ -166,7 +181,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 def pack(documents: DataFrame, path: str | None = None, capacity: Capacity = Capacity(), block: int = BLOCK) -> DataFrame:  # noqa: B008
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = written(pieces(documents, path or tokenizer_path(), capacity.tokens), "pack-pieces")
+    cut = written(pieces(documents, path or tokenizer_path(), capacity.longest), "pack-pieces")
     blocks = max(1, -(-cut.count() // block))
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:

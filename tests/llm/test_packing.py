@@ -9,7 +9,7 @@ from tests.llm import brute
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
-def check(rows, got, most=2048):
+def check(rows, got, most=2048, room=2048):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
@@ -28,7 +28,7 @@ def check(rows, got, most=2048):
         for offset, length in sorted(seq):
             assert offset == at
             at += length
-        assert at <= most
+        assert at <= room
     return len(by), sum(w[3] for w in want)
 
 
@@ -56,3 +56,22 @@ def test_every_capacity_holds(rule):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], brute.DDL)).count() == 0
+
+
+@pytest.mark.parametrize("capacity", [packing.Capacity(400, 3, 400 * 400), packing.Capacity(400, 400, 10_000), packing.Capacity(300, 4, 20_000, (1.0, 1.0, 1.0), "dot")])
+def test_pack_under_capacities_that_bind(spark, capacity):
+    rows = brute.hard_cases()
+    got = packing.pack(spark.createDataFrame(rows, brute.DDL), capacity=capacity).collect()
+    check(rows, got, capacity.longest, capacity.tokens)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r.length)
+    assert all(sum(x) <= capacity.tokens and len(x) <= capacity.documents and sum(n * n for n in x) <= capacity.cost for x in by.values())
+    assert max(map(len, by.values())) > 1
+
+
+def test_capacities_that_hold_nothing():
+    with pytest.raises(ValueError):
+        packing.Capacity(cost=0).longest  # noqa: B018
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([101]), packing.Capacity(400, 9, 10_000))
