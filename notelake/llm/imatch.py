@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.text import batch_of, docs, slices, values
@@ -115,25 +115,28 @@ def edited(text: bytes, following: bytes) -> tuple[int, bytes]:
     return len(s), (s[: len(s) - half] + following[: 4 * half].decode("utf-8", "ignore" if len(following) > 4 * half else "replace")[:half]).encode()
 
 
+def place_of(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are less than x, by binary search: log2 steps however many there are."""
+    steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda found, step: found + F.when((found + step <= len(cuts)) & (F.get(F.lit(cuts), found + step - 1) < x), step).otherwise(F.lit(0)))
+
+
 def with_next(documents: DataFrame) -> DataFrame:
     """Rows (look, doc_id, text) such that, within each partition, the next row holds the next document; look = 1: only that."""
     n = parts_for(documents)
     # nulls stand first: (0, -) before (1, id)
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), 100_000).alias("q")).first()["q"] if n > 1 else None
-    part = F.lit(0)
-    if cuts:
-        part = F.coalesce(F.size(F.filter(F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]), lambda c: c < F.col("doc_id"))), F.lit(0))
-    firsts = [(r["part"], r["id"]) for r in ids.groupBy(part.alias("part")).agg(F.max(F.col("doc_id").isNull()).alias("none"), F.min("doc_id").alias("least")).select("part", F.when(F.col("none"), F.lit(None)).otherwise(F.col("least")).alias("id")).orderBy("part").collect()]
+    cuts = sorted(set(map(int, cuts or [])))
+    part = F.lit(0) if not cuts else F.coalesce(place_of(F.col("doc_id"), cuts), F.lit(0))
+    firsts = ids.groupBy(part.alias("part")).agg(F.max(F.col("doc_id").isNull()).alias("none"), F.min("doc_id").alias("least")).orderBy("part").collect()  # one row for each range
+    none, least, behind = [True] * (len(cuts) + 1), [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for k, r in enumerate(firsts):
+        none[r["part"]], least[r["part"]], behind[r["part"]] = r["none"], r["least"], firsts[k - 1]["part"]
     rows = docs(documents).withColumn("part", part)
-    before = F.lit(None).cast("int")
-    for k, (p, first) in enumerate(firsts):
-        before = F.when((F.col("part") == p) & F.col("doc_id").eqNullSafe(F.lit(first)), F.lit(firsts[k - 1][0])).otherwise(before)
-    if len(firsts) > 64:  # many ranges: a join with one row for each, instead of a long expression
-        edge = documents.sparkSession.createDataFrame([(p, f, firsts[k - 1][0]) for k, (p, f) in enumerate(firsts)], "epart int, eid long, before int")
-        rows = rows.join(F.broadcast(edge), (F.col("part") == F.col("epart")) & F.col("doc_id").eqNullSafe(F.col("eid")), "left")
-    else:
-        rows = rows.withColumn("before", before)
+    at = lambda kind, xs: F.get(F.lit(xs) if any(x is not None for x in xs) else F.array(F.lit(None).cast(kind)), F.col("part")).cast(kind)
+    is_first = F.when(at("boolean", none), F.col("doc_id").isNull()).otherwise(F.col("doc_id") == at("long", [0 if x is None else x for x in least]))
+    rows = rows.withColumn("before", F.when(is_first, at("int", behind)))
     own, look = F.struct(F.col("part").alias("part"), F.lit(0).alias("look")), F.struct(F.col("before").alias("part"), F.lit(1).alias("look"))
     dealt = rows.select("doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, look))).alias("p")).select("p.part", "p.look", "doc_id", "text")
     order = ["look", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"]
