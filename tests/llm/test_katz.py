@@ -16,3 +16,12 @@ def test_katz_equals_plain_scoring(spark, seed, monkeypatch):
 
 def test_katz_of_nothing(spark):
     assert katz.score(spark.createDataFrame([], brute.DDL)).count() == 0
+
+
+def test_held_out_and_least_long(spark):
+    import zlib
+
+    rows = [(-(1 << 63), "a b c", *brute.hard_cases(1)[0][2:]), *brute.hard_cases(1)]
+    got = katz.score(spark.createDataFrame(rows, brute.DDL).repartition(3), parts=3).collect()
+    held = lambda i: zlib.crc32(b"null" if i is None else b"%d" % i) % 7 == 2
+    assert sorted(map(repr, ((r.doc_id, r.held_out) for r in got))) == sorted(map(repr, ((r[0], held(r[0])) for r in rows)))

@@ -48,6 +48,40 @@ def test_run(spark):
     assert seen[0][1] > 120
 
 
+@pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_run_end_to_end(spark):
+    """run() gives the pieces of whole documents, each document's pieces in a row, in sequences without gaps."""
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert got
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert r.start == 2048 * r.piece and 1 <= r.length <= 2048
+    for seq in by.values():
+        at = 0
+        for offset, length in sorted(seq):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    ids = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert {r.doc_id for r in got} <= ids
+
+
+@pytest.mark.parametrize("null_ids", [False, True])
+def test_stages_take_hard_and_empty_tables(spark, tmp_path, null_ids):
+    rows = brute.hard_cases(2)
+    rows = [(None, *r[1:]) for r in rows] if null_ids else rows
+    spark.createDataFrame([(3 * i, int(i % 3 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = spark.createDataFrame(rows, brute.DDL).selectExpr("*", "timestamp'2024-01-02 03:04:03.456789' as at", "double('nan') as bad", "x'00ff' as raw")
+    for docs in (more, more.limit(0)):
+        columns, n = docs.schema.simpleString(), docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path)).persist()
+            assert docs.schema.simpleString() == columns, name
+            assert n == 0 or docs.filter("raw = x'00ff' and at = timestamp'2024-01-02 03:04:03.456789'").count() == docs.count() > 0, name
+        assert (corpus_pipeline.pack(spark, docs, str(tmp_path)).count() > 0) == (n > 0)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

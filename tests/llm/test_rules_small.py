@@ -27,3 +27,87 @@ def test_sequence_stops_at_the_first_member_not_certified():
     assert quality_rules.tightest([0, 0, 40, 0], 1000, 5) == 1
     members = quality_rules.family({"symbols": {3: 990, 9: 10}})
     assert [m["symbols"] for m in members] == sorted((m["symbols"] for m in members), reverse=True)
+
+
+def plain_kept(rows, labels, alpha=quality_rules.ALPHA, delta=quality_rules.DELTA):
+    """The verdicts by plain Python over the operator's own base columns. rows: (id, lang, stats by name, base_failed)."""
+    import math
+
+    xxh = __import__("xxhash").xxh64_intdigest
+    grid = [round(0.005 * 1.12**i, 6) for i in range(47)]
+
+    def ratios(s):
+        over = lambda a, b: a / b if b else 0.0
+        return {"symbols": over(s["n_symbols"], s["word_chars"]), "dup_lines": over(s["n_dup_lines"], s["n_lines"]), "repeats": over(s["n_repeat_words"], s["n_words"]), "long_words": over(s["word_chars"], s["n_words"]) / 20, "short_words": over(s["n_words"], s["word_chars"])}
+
+    def tail(k, n):
+        return sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(min(k, n) + 1))
+
+    fit = lambda i: (h if (h := xxh(i.to_bytes(8, "little", signed=True), 42)) < 1 << 63 else h - (1 << 64)) % 4 == 0
+    good = [(i, lang, ratios(s)) for i, lang, s, failed in rows if not failed and labels.get(i) == 1]
+    count = {}
+    for i, lang, _ in good:
+        if not fit(i):
+            count[lang] = count.get(lang, 0) + 1
+    groups = len(count) + 1
+    need = math.ceil(math.log(delta / groups) / math.log(1 - alpha))
+    large = {k for k, n in count.items() if n >= need}
+    of = lambda lang: lang if lang in large else "the pool"
+    cutoff = {}
+    for g in {of(lang) for lang in count}:
+        own = [r for i, lang, r in good if of(lang) == g and fit(i)]
+        test = [r for i, lang, r in good if of(lang) == g and not fit(i)]
+        if len(test) < need:
+            continue
+        held = None
+        for share, up in [(0, u) for u in (16, 8, 4, 2, 1, 0)] + [(e, 0) for e in (0.002, 0.004, 0.008)]:
+            member = {}
+            for k in ("symbols", "dup_lines", "repeats", "long_words", "short_words"):
+                bins = [sum(t < r[k] for t in grid) for r in own]
+                if not bins:
+                    continue
+                j = next(j for j in range(48) if sum(b > j for b in bins) <= share * len(bins)) + up
+                if j < 47:
+                    member[k] = grid[j]
+            drops = sum(any(r[k] > t for k, t in member.items()) for r in test)
+            if tail(drops, len(test)) > delta / groups:
+                break
+            held = member
+        if held is not None:
+            cutoff[g] = held
+    return {i: not failed and not any(ratios(s)[k] > t for k, t in cutoff.get(of(lang), {}).items()) for i, lang, s, failed in rows}
+
+
+def test_kept_equals_plain_version(spark):
+    r = random.Random(18)
+    rows, labels = [], {}
+    for i in range(2600):
+        bad = r.random() < 0.2
+        words = [r.choice("abcdefghij") * r.randrange(2, 7) for _ in range(r.choice([10, 30, 60]))]
+        if bad or r.random() < 0.001:
+            words += [r.choice(["###", "$$", "|", "<>"]) for _ in range(r.randrange(6, 20))]
+        rows.append((i, " ".join(words), r.choice(["en"] * 6 + ["fr"] * 3 + ["de", None]), *brute.hard_cases()[0][3:]))
+        if r.random() < 0.7:
+            labels[i] = int(not bad)
+    df = spark.createDataFrame(rows, brute.DDL).repartition(4)
+    stats = {x.doc_id: x.asDict() for x in quality_rules.measured(df).collect()}
+    failed = lambda s: s["n_words"] < 20 or 100 * s["n_repeat_words"] > 30 * s["n_words"]
+    want = plain_kept([(x[0], x[2], stats[x[0]], failed(stats[x[0]])) for x in rows], labels)
+    got = {x.doc_id: x.kept for x in quality_rules.judged(df, spark.createDataFrame([(i, q, 0) for i, q in labels.items()], "doc_id long, quality int, toxic int")).collect()}
+    assert got == want
+    assert sum(got.values()) < sum(not failed(s) for s in stats.values())
+
+
+@__import__("pytest").mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_promise_holds_on_labels_left_out(spark):
+    """Cutoffs from half of the labels: of the other half's good documents no language loses over ALPHA (with slack for chance), and bad ones go."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = labels.filter("pmod(xxhash64(doc_id, 1), 2) = 0")
+    kept = {x.doc_id: (x.kept, x.base_failed) for x in quality_rules.judged(docs, half).collect()}
+    lang = {x.doc_id: x.lang for x in docs.select("doc_id", "lang").collect()}
+    rest = [x for x in labels.filter("pmod(xxhash64(doc_id, 1), 2) = 1").collect() if not kept[x.doc_id][1]]
+    for name in set(lang.values()):
+        own = [kept[x.doc_id][0] for x in rest if x.quality == 1 and lang[x.doc_id] == name]
+        assert own.count(False) <= 0.02 * len(own) + 3 * (0.02 * len(own)) ** 0.5, name
+    bad = [kept[x.doc_id][0] for x in rest if x.quality == 0]
+    assert bad.count(False) > 0.5 * len(bad)

@@ -55,30 +55,64 @@ def test_segmented_ball_equals_full_ball(spark):
     assert roots(simhash.links(df)) == roots(simhash.full_ball(df))
 
 
-def test_imatch(spark):
-    rows = [r for r in brute.hard_cases(9) if r[0] is not None]
-    got = sorted(imatch.fingerprinted(frame(spark, rows)).collect(), key=lambda r: (r.doc_id, r.n_chars))
-    ids = [r[0] for r in rows]
-    unique = [r for r in sorted(rows, key=lambda r: r[0]) if ids.count(r[0]) == 1]
-    texts = {r[0]: r[1] or "" for r in unique}
-    order = sorted(ids)
-    for r in got:
-        i = order.index(r.doc_id)
-        after = order[(i + 1) % len(order)]
-        if r.doc_id in texts and after in texts:
-            t, n = texts[r.doc_id], texts[after]
-            half = len(t) // 2
-            edited = t[: len(t) - half] + n[:half]
-            assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-            assert (r.fingerprint == r.edited_fingerprint) <= (r.near_edited == 1.0)
-    by_text = {}
-    for r in got:
-        if r.doc_id in texts:
-            by_text.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
-    assert all(len(x) == 1 for x in by_text.values())
-    assert len(got) == len(rows) and all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in got)
+def plain_imatch(rows, low=imatch.LOW, high=imatch.HIGH):
+    """The rows of the operator, by plain Python."""
+    import math
+
+    xxh = pytest.importorskip("xxhash").xxh64_intdigest
+    data = sorted(((r[0], (r[1] or "").encode()) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, s if (s := xxh(x[1], 42)) < 1 << 63 else s - (1 << 64), x[1]))
+    df = {}
+    for _, t in data:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    n = len(data)
+    band = {w for w, k in df.items() if max(2, math.ceil(low * n)) <= k <= max(2, math.floor(high * n))}
+
+    def prints(text):
+        terms = sorted(set(text.split()))
+        slots = []
+        for j in range(imatch.LEXICONS):
+            own = [w for w in terms if w in band and xxh(b"%d:%s" % (j, w), 0) % imatch.RATES[j % len(imatch.RATES)] == 0]
+            slots.append(hashlib.blake2b(b" ".join(own), digest_size=4).hexdigest()[:6] if own else None)
+        return slots if any(slots) else [hashlib.blake2b(b" ".join(terms), digest_size=4).hexdigest()[:6]] * imatch.LEXICONS
+
+    def like(a, b):
+        used = [(x, y) for x, y in zip(a, b) if x or y]
+        return 1.0 if a == b else sum(x == y for x, y in used) / len(used)
+
+    out = []
+    for k, (i, t) in enumerate(data):
+        after = data[(k + 1) % n][1]
+        s, f = t.decode(), after.decode()
+        e = (s[: len(s) - len(s) // 2] + f[: len(s) // 2]).encode()
+        a, b, c = prints(t), prints(e), prints(after)
+        show = lambda x: "".join(y or "......" for y in x)
+        out.append((i, len(s), hashlib.sha256(e).hexdigest(), show(a), show(b), like(a, b), like(a, c)))
+    return out
+
+
+@pytest.mark.parametrize("seed,partitions", [(9, 4), (10, 1), (11, 90)])
+def test_imatch_equals_plain_version(spark, seed, partitions):
+    rows = brute.hard_cases(seed, 150)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)  # ranges of ids, more than 64 as well
+    try:
+        got = imatch.fingerprinted(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, plain_imatch(rows)))
+
+
+def test_imatch_of_few(spark):
+    row = brute.hard_cases(9)[0]
     assert imatch.fingerprinted(frame(spark, [])).count() == 0
-    assert imatch.fingerprinted(frame(spark, [(None, None, *rows[0][2:])])).count() == 1
+    assert [r.near_next for r in imatch.fingerprinted(frame(spark, [(None, None, *row[2:])])).collect()] == [1.0]
+
+
+def test_place_among_cuts(spark):
+    cuts = [3, 7, 8, 20, 21]
+    got = spark.range(25).select("id", imatch.place_of(F.col("id"), cuts).alias("p")).collect()
+    assert all(r.p == sum(c < r.id for c in cuts) for r in got)
 
 
 URLS = ["http://A.example.NET/en/x?q", "https://x.org/fr/1#t", "http://net/", "http://net", "http://mynet/", "no scheme", None, "", "ftp://b.example.com/de/", "http://spam1.example.org/p", "a://b://c/d", "http://h.org/p/%20", "http://h.org/p/%20"]
@@ -103,11 +137,14 @@ def test_url_rules_and_cascade(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
-def test_url_filter_without_broadcast(spark, monkeypatch):
+def test_url_filter_in_shards(spark):
+    """Lists of any length go the same way: more shards, the same verdicts, no join."""
     df = spark.createDataFrame([(i, f"http://h{i % 50}.example.org/p/{i}") for i in range(500)], "page_id long, url string")
-    with_cascade = sorted(map(tuple, url_filter.judge(df).collect()), key=repr)
-    monkeypatch.setattr(url_filter, "MAX_BYTES", 0)
-    assert sorted(map(tuple, url_filter.judge(df).collect()), key=repr) == with_cascade
+    one = sorted(map(tuple, url_filter.judge(df).collect()), key=repr)
+    many = url_filter.judge(df, shard_bytes=16)
+    assert url_filter.shards_for(40, 500, 16) > 3
+    assert sorted(map(tuple, many.collect()), key=repr) == one
+    assert "Join" not in many._jdf.queryExecution().executedPlan().toString()
 
 
 def test_url_plan_has_no_join_or_python(spark):
@@ -162,6 +199,67 @@ def test_classifier(spark):
     assert classifier.classify(frame(spark, []), labels).count() == 0
 
 
+def plain_svm(texts, good, docs):
+    """Scores of docs by naive Bayes support vectors, with dictionaries instead of arrays."""
+    import math
+    import zlib
+
+    def features(t):
+        t = t.lower()
+        found = {zlib.crc32(w) for w in t.split()}
+        if len(t) > 2:
+            found |= {t[i] << 8 | t[i + 1] for i in range(len(t) - 1)}
+            found |= {((t[i] << 16 | t[i + 1] << 8 | t[i + 2]) * 2654435761 % (1 << 32)) >> 7 for i in range(len(t) - 2)}
+        else:
+            found |= set(t)
+        return sorted({x % classifier.BUCKETS for x in found})
+
+    rows = [features(t) for t in texts]
+    count = [{}, {}]
+    for f, g in zip(rows, good):
+        for x in f:
+            count[g][x] = count[g].get(x, 0) + 1
+    size = [sum(c.values()) + classifier.BUCKETS for c in count]
+    ratio = lambda x: math.log((count[1].get(x, 0) + 1) / size[1]) - math.log((count[0].get(x, 0) + 1) / size[0])
+    w, bias, alpha, r = {}, 0.0, [0.0] * len(rows), np.random.default_rng(7)
+    for _ in range(classifier.EPOCHS):
+        for i in r.permutation(len(rows)):
+            x = {k: ratio(k) / math.sqrt(max(1, len(rows[i]))) for k in rows[i]}
+            y = 1 if good[i] else -1
+            now = min(max(alpha[i] - (y * (sum(w.get(k, 0) * v for k, v in x.items()) + bias) - 1) / (sum(v * v for v in x.values()) + 1), 0), classifier.C)
+            for k, v in x.items():
+                w[k] = w.get(k, 0) + (now - alpha[i]) * y * v
+            bias += (now - alpha[i]) * y
+            alpha[i] = now
+    margin = [sum(w.get(k, 0) * ratio(k) for k in f) / math.sqrt(max(1, len(f))) + bias for f in map(features, docs)]
+    return [1 / (1 + math.exp(-classifier.SLOPE * m)) for m in margin]
+
+
+def test_classifier_equals_plain_version(spark):
+    import zlib
+
+    rows = [x for x in brute.hard_cases(5) if x[0] is not None and (x[1] is None or len(x[1]) < 3000)]
+    once = [x for x in rows if [y[0] for y in rows].count(x[0]) == 1]
+    labels = [(x[0], int(len(x[1] or "") % 2), 0) for x in once[::2]] + [(once[0][0], 1, 0)]
+    got = {r.doc_id: r for r in classifier.classify(frame(spark, once), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = lambda i: zlib.crc32(b"%d" % i) % 3 == 1
+    train = sorted((x for x in once[::2] if not held(x[0])), key=lambda x: x[0])
+    bytes_of = lambda x: (x[1] or "").encode()
+    want = plain_svm([bytes_of(x) for x in train], [len(x[1] or "") % 2 for x in train], [bytes_of(x) for x in once])
+    assert {r.doc_id: r.held_out for r in got.values()} == {x[0]: held(x[0]) for x in once}
+    assert max(abs(got[x[0]].score - w) for x, w in zip(once, want)) < 1e-4
+
+
+def test_classifier_bounds_and_ties(spark):
+    rows = [(i % 40, f"word{i} " * (1 + i % 7) + "tail" * (i % 3), *brute.hard_cases(1)[0][2:]) for i in range(80)]  # two texts for each id
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    weights = [classifier.trained(spark.createDataFrame(rows, brute.DDL).repartition(n), labels) for n in (1, 3, 8)]
+    assert all((w[0] == weights[0][0]).all() and w[1] == weights[0][1] for w in weights)
+    few = classifier.trained(frame(spark, rows), labels, indicators=200)
+    assert (few[0] != weights[0][0]).any()
+    assert (classifier.trained(frame(spark, rows), labels, indicators=0)[0] == 0).all()
+
+
 def test_dual_coordinate_descent_separates():
     r = np.random.default_rng(2)
     rows = [np.unique(np.r_[r.integers(0, 500, 30), 600 + (i % 2)]).astype(np.int32) for i in range(400)]
