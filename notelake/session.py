@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+WRITTEN: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read only through Spark so that any store it knows works."""
@@ -36,9 +38,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that ``written`` made in this process since it had made so many, once their results are taken. Gives their number."""
+    conf, paths = spark._jsparkSession.sessionState().newHadoopConf(), WRITTEN[since:]
+    del WRITTEN[since:]
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
 def parts_for(df: DataFrame, mb: int = 64) -> int:
     """Shuffle partitions for df: the session's number, or more where df's size asks for it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -57,7 +70,13 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def tidied(df: DataFrame) -> DataFrame:
-    """df, a written table; the shuffle files of the jobs that made it may go now, as nothing reads them again."""
+    """df, a written table; the shuffle files of the jobs that made it may go now, as nothing reads them again.
+
+    Spark deletes them once nothing refers to them, which may be long after; asking both collectors frees the disk at once. Results don't
+    depend on it, and one machine with its own disk doesn't need it.
+    """
+    if df.sparkSession.sparkContext.master.startswith("local["):
+        return df
     for _ in range(2):  # the first round frees what Python held, the second what that held in the JVM
         gc.collect()
         df.sparkSession._jvm.System.gc()
