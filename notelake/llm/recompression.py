@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from notelake.llm import exchange as X
 from notelake.session import dropped, parts_for, tidied, written
 
-WINDOW, ROUNDS = 20, 3
+WINDOW, ROUNDS = 20, 2
 FAR = 255  # context beyond the document, or too wide for any window
 ODD = np.random.default_rng(20).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 OUTPUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -108,11 +108,11 @@ def lost(left: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> np.nd
 
 
 def proposed(s: Symbols, level: int, window: int):
-    """(the next round's symbols, not yet renamed; which of them are to be named; contexts of all; (name, count, name, count) of the former)."""
+    """(the next round's symbols, which of them are to be named, and the (name, count, name, count) that these are made of)."""
     n = len(s.names)
     none = np.empty(0, np.int64)
     if not n:
-        return replace(s), none, none, none, (s.names, none, s.names, none)
+        return replace(s), none, (s.names, none, s.names, none)
     first, last = s.edges()
     start = np.cumsum(s.width) - s.width
     lo = np.where(s.back < FAR, start - s.back, -1)
@@ -130,7 +130,10 @@ def proposed(s: Symbols, level: int, window: int):
     at = np.flatnonzero(new)
     count = np.diff(np.r_[at, n])
     end = at + count - 1
-    lo, hi = np.minimum(np.minimum.reduceat(lo, at), before(lo, -1, first)[at]), np.maximum(np.maximum.reduceat(hi, at), after(hi, 1 << 60, last)[end])
+    lo, hi = (
+        np.where(none[at], lo[at], np.minimum(np.minimum.reduceat(lo, at), before(lo, -1, first)[at])),
+        np.where(none[at], hi[at], np.maximum(np.maximum.reduceat(hi, at), after(hi, 1 << 60, last)[end])),
+    )  # a barrier's context stays: nothing more is decided about it
     names, none, first, last, start, stop = s.names[at], none[at], first[at], last[end], start[at], (start + s.width)[end]
     # pairs (left half, right half); a left one alone depends on what follows, a right one on what comes before
     half = (X.mixed(X.mixed(names + count.astype(np.uint64)) ^ np.uint64(0x5851F42D4C957F2D * level % (1 << 64))) & np.uint64(1)).astype(bool)
@@ -159,7 +162,24 @@ def proposed(s: Symbols, level: int, window: int):
     reach = lambda x, known: np.where(known, np.minimum(x, FAR), FAR).astype(np.uint8)
     symbols = replace(s, names=out, width=stop - start, back=reach(start - lo, lo >= 0), ahead=reach(hi - stop, hi < 1 << 60), sizes=sizes)
     which = np.flatnonzero(made & held)
-    return symbols, which, lo, hi, (names[which], count[which], partner[which], partners[which])
+    made_of = (names[which], count[which], partner[which], partners[which])
+    symbols.names[which] = 1  # to be named; not a barrier meanwhile
+    return symbols, which, made_of
+
+
+def without_gaps(s: Symbols) -> tuple[Symbols, np.ndarray]:
+    """The inside of each stretch of barriers as one of them, as only a stretch's ends stand beside something that may still be named; and where the symbols that are left stood."""
+    n = len(s.names)
+    if n < 4:
+        return s, np.arange(n)
+    first, last = s.edges()
+    none = s.names == 0
+    inside = none & ~first & ~last & np.r_[False, none[:-1]] & np.r_[none[1:], False]
+    at = np.flatnonzero(~(inside & np.r_[False, inside[:-1]]))
+    doc = np.cumsum(first) - 1
+    sizes = s.sizes.copy()
+    sizes[sizes > 0] = np.bincount(doc[at], minlength=int((sizes > 0).sum()))
+    return replace(s, names=s.names[at], width=np.add.reduceat(s.width, at), back=s.back[at], ahead=s.ahead[at], sizes=sizes), at
 
 
 def entries(parts_of, parts: int):
@@ -256,13 +276,16 @@ def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None,
         index = numbered(int(new.sum()), of, times)
         return [(block, X.pack(x)) for (block, _), x in zip(got, np.split(index, np.cumsum([len(X.unpack(f[4], np.uint8)) for f in frames])[:-1]))]
 
-    def asks_of(s: Symbols, level: int) -> list[tuple[int, bytes]]:
-        _, _, _, _, made = proposed(s, level, window)
-        part, one, _, times = entries(made, parts)
+    def asking(s: Symbols, level: int) -> list[tuple[int, bytes]]:
+        """The block's state, proposed for the next round, and what it asks."""
+        s, which, made = proposed(without_gaps(s)[0], level, window)
+        part, one, of, times = entries(made, parts)
         a, na, b, nb = (x[one] for x in made)
         times = np.minimum(times, 2).astype(np.uint8)
         edges = np.searchsorted(part, np.arange(parts + 1))
-        return [(p, X.frame(X.deltas(a[x:y]), X.pack(na[x:y].astype(np.int32)), X.pack(b[x:y]), X.pack(nb[x:y].astype(np.int32)), X.pack(times[x:y]))) for p, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
+        asks = [(p, X.frame(X.deltas(a[x:y]), X.pack(na[x:y].astype(np.int32)), X.pack(b[x:y]), X.pack(nb[x:y].astype(np.int32)), X.pack(times[x:y]))) for p, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
+        s, at = without_gaps(s)
+        return [(-1, X.frame(s.packed(window), X.deltas(np.searchsorted(at, which)), X.pack(of.astype(np.int32)))), *asks]
 
     def words_named(kept, got) -> Symbols:
         at, sizes, ids, ties = (X.unpack(x, t) for x, t in zip(X.unframe(kept), (np.int32, np.int64, np.int64, np.int64), strict=True))
@@ -272,23 +295,24 @@ def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None,
         once, zeros = np.flatnonzero(names == 0), np.zeros(len(names), np.uint8)
         return Symbols(names, np.ones(len(names), np.int64), zeros, zeros, sizes, lost(left, once, once + 1, window), names, ids, ties)
 
-    def renamed(s: Symbols, got, level: int) -> Symbols:
-        symbols, which, lo, hi, made = proposed(s, level, window)
-        _, _, of, _ = entries(made, parts)
+    def renamed(kept, got, level: int) -> Symbols:
+        state, which, of = X.unframe(kept)
+        s, which, of = Symbols.of_packed(state), X.undelta(which, np.int64), X.unpack(of, np.int32)
         names = np.concatenate([np.empty(0, np.uint64), *(name_of(level, p, X.unpack(d, np.int64)) for p, d in got)])
         own = names[of] if len(of) else names
-        symbols.names[which] = own
+        s.names[which] = own
         once = which[own == 0]
-        symbols.left = lost(s.left, lo[once], hi[once], window)
-        return symbols
+        start = (np.cumsum(s.width) - s.width)[once]
+        s.left = lost(s.left, start - s.back[once], start + s.width[once] + s.ahead[once], window)
+        return s
 
     def naming(level: int):
         """Takes a round's names and asks for those of the next, or for the first occurrences of the windows that are left."""
 
         def run(kept, got):
-            s = renamed(Symbols.of_packed(kept), got, level) if level else words_named(kept, got)
+            s = renamed(kept, got, level) if level else words_named(kept, got)
             if level < rounds:
-                return [(-1, s.packed(window)), *asks_of(s, level + 1)]
+                return asking(s, level + 1)
             starts = np.flatnonzero(s.left)
             keys, check = window_keys(s.words, starts, window, parts, key_bits)
             one, _ = distinct_windows(keys, check)
