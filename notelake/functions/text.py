@@ -1,13 +1,31 @@
 """Column functions on text: tokens, estimates, frontmatter, titles, links, lines and previews. All JVM-side unless said."""
 
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
-CJK = "㐀-鿿豈-﫿"
-HAN = r"[㐀-䶿一-鿿豈-﫿]"
-FRONTMATTER = "(?U)" + r"(?s)\A---\s*\n(.*?)---\s*\n"
+# Character ranges and the patterns of the notes' grammar.
+CJK = "㐀-鿿豈-﫿"
+HAN = r"[㐀-䶿一-鿿豈-﫿]"
+FRONTMATTER = r"(?U)(?s)\A---\s*\n(.*?)---\s*\n"
+EDGE_SPACE = r"(?U)^\s+|\s+$"
+LIST_INLINE = r"(?Um)^{}\s*:\s*\[([^\]]*)\]"
+LIST_BLOCK = r"(?Udm)^{}\s*:\s*\n((?:\s+-\s+.+\n?)+)"
+LIST_ITEM = r"(?Udm)^\s+-\s+(.+)$"
+LIST_SINGLE = r"(?Udm)^{}\s*:\s+(.+)$"
+FENCED_CODE = r"(?sdm)^(`{3,})[^\n]*\n(.*?)^\1\s*$"
+INLINE_CODE = "`[^`]+`"
+WIKI_LINK = r"\[\[([^\[\]|]+?)(?:\|[^\[\]]*?)?\]\]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+SKIPPED_FOLDERS = ("todo", "archive")
 
 
 def col(c: Column | str) -> Column:
@@ -19,32 +37,50 @@ def tokens(text: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit("[a-zA-Z0-9]+"), F.lit(0)), F.lower)
 
 
-def tokens_unicode(text: Column | str, segment=None) -> Column:
-    """Tokens after NFKC, with runs of Han characters segmented; only rows with other than ASCII go through Python (Arrow).
+@lru_cache(maxsize=1)
+def beyond_ascii() -> str:
+    """A class of all characters that NFKC turns into letters or digits of ASCII or joins with them, and of Han; made from Unicode's own tables."""
+    def counts(c: int) -> bool:
+        ch = chr(c)
+        return unicodedata.combining(ch) != 0 or any((x.isascii() and x.isalnum()) or re.match(HAN, x) for x in unicodedata.normalize("NFKC", ch))
+
+    ranges: list[list[int]] = []
+    for c in (c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and counts(c)):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def pairs(run: str) -> list[str]:
+    """The overlapping pairs of a run of Han, or the run itself: any part of two characters or more is then found as a phrase."""
+    return [run] if len(run) < 3 else [run[i : i + 2] for i in range(len(run) - 1)]
+
+
+@dataclass(frozen=True)
+class Tokenizer:
+    """Lower-cased runs of ASCII letters and digits after NFKC, and the segments of runs of Han: one rule for texts and queries.
 
-    segment(run) -> tokens; by default overlapping pairs followed by the run itself.
+    segment(run) -> tokens may be any segmenter, a dictionary's for example.
     """
-    def pairs(run: str) -> list[str]:
-        return [run] if len(run) < 3 else [run[i : i + 2] for i in range(len(run) - 1)] + [run]
 
-    cut = segment or pairs
+    segment: Callable[[str], list[str]] = pairs
 
-    @F.pandas_udf("array<string>")
-    def slow(texts: pd.Series) -> pd.Series:
-        import re
-        import unicodedata
+    def split(self, text: str) -> tuple[str, ...]:
+        found = re.findall(HAN + "+|[a-zA-Z0-9]+", unicodedata.normalize("NFKC", text))
+        return tuple(x.lower() for w in found for x in (self.segment(w) if re.match(HAN, w) else [w]) if x.strip())
 
-        def one(t):
-            if t is None:
-                return None
-            found = re.findall(HAN + "+|[a-zA-Z0-9]+", unicodedata.normalize("NFKC", t))
-            return [x.lower() for w in found for x in (cut(w) if re.match(HAN, w) else [w])]
+    def column(self, text: Column | str) -> Column:
+        """The tokens of a text column; only rows that hold a character beyond ASCII which matters go through Python (Arrow)."""
+        split = self.split
 
-        return texts.map(one)
+        @F.pandas_udf("array<string>")
+        def slow(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: None if t is None else list(split(t)))
 
-    c = col(text)
-    other = F.when(c.rlike(r"[^\x00-\x7F]"), c)
-    return F.coalesce(slow(other), tokens(c))
+        c = col(text)
+        return F.coalesce(slow(F.when(c.rlike(beyond_ascii()), c)), tokens(c))
 
 
 def token_estimate(text: Column | str) -> Column:
@@ -76,14 +112,12 @@ def body(content: Column | str) -> Column:
 def list_field(yaml: Column | str, field: str) -> Column:
     """A list in frontmatter: inline, else an indented block, else a single value, else empty. Empty items go."""
     y = col(yaml)
-    strip = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), "^[\"']+|[\"']+$", "")
-    inline = F.regexp_extract(y, rf"(?Um)^{field}\s*:\s*\[([^\]]*)\]", 1)
-    has_inline = y.rlike(rf"(?Um)^{field}\s*:\s*\[([^\]]*)\]")
-    block = F.regexp_extract(y, rf"(?Udm)^{field}\s*:\s*\n((?:\s+-\s+.+\n?)+)", 1)
-    single = F.regexp_extract(y, rf"(?Udm)^{field}\s*:\s+(.+)$", 1)
+    strip = lambda x: F.regexp_replace(F.regexp_replace(x, EDGE_SPACE, ""), "^[\"']+|[\"']+$", "")
+    inline, block, single = (F.regexp_extract(y, p.replace("{}", field, 1), 1) for p in (LIST_INLINE, LIST_BLOCK, LIST_SINGLE))
+    has_inline = y.rlike(LIST_INLINE.replace("{}", field, 1))
     items = (
         F.when(has_inline, F.transform(F.split(inline, ","), strip))
-        .when(block != "", F.transform(F.regexp_extract_all(block, F.lit(r"(?Udm)^\s+-\s+(.+)$"), F.lit(1)), strip))
+        .when(block != "", F.transform(F.regexp_extract_all(block, F.lit(LIST_ITEM), F.lit(1)), strip))
         .when((single != "") & ~strip(single).startswith("["), F.array(strip(single)))
         .otherwise(F.array().cast("array<string>"))
     )
@@ -96,19 +130,19 @@ def stem(path: Column | str) -> Column:
 
 def title(body_text: Column | str, path: Column | str) -> Column:
     """The first line that starts with '# ' once stripped, else the file's stem."""
-    lines = F.filter(F.transform(F.split(col(body_text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x.startswith("# "))
-    return F.coalesce(F.regexp_replace(F.get(lines, F.lit(0)).substr(F.lit(3), F.lit(1 << 30)), r"(?U)^\s+|\s+$", ""), stem(path))
+    lines = F.filter(F.transform(F.split(col(body_text), LINE_END), lambda x: F.regexp_replace(x, EDGE_SPACE, "")), lambda x: x.startswith("# "))
+    return F.coalesce(F.regexp_replace(F.get(lines, F.lit(0)).substr(F.lit(3), F.lit(1 << 30)), EDGE_SPACE, ""), stem(path))
 
 
 def wiki_links(text: Column | str) -> Column:
     """Distinct link targets in order, outside fenced and inline code."""
-    fences = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?sdm)^(`{3,})[^\n]*\n(.*?)^\1\s*$", " ")
-    clean = F.regexp_replace(fences, "`[^`]+`", " ")
-    found = F.transform(F.regexp_extract_all(clean, F.lit(r"\[\[([^\[\]|]+?)(?:\|[^\[\]]*?)?\]\]"), F.lit(1)), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    fences = F.regexp_replace(F.coalesce(col(text), F.lit("")), FENCED_CODE, " ")
+    clean = F.regexp_replace(fences, INLINE_CODE, " ")
+    found = F.transform(F.regexp_extract_all(clean, F.lit(WIKI_LINK), F.lit(1)), lambda x: F.regexp_replace(x, EDGE_SPACE, ""))
     return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
-def is_hidden(rel_path: Column | str, skipped: tuple[str, ...] = ("todo", "archive")) -> Column:
+def is_hidden(rel_path: Column | str, skipped: tuple[str, ...] = SKIPPED_FOLDERS) -> Column:
     """Whether any component starts with a dot or is a skipped folder."""
     return F.exists(F.split(col(rel_path), "/"), lambda p: p.startswith(".") | p.isin(*skipped))
 

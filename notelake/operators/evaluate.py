@@ -1,10 +1,15 @@
-"""Retrieval metrics as column expressions over arrays of hits and expected paths, and their aggregates."""
+"""Retrieval metrics as column expressions over arrays of hits and expected paths, their aggregates, and the runner that makes reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.operators import fuse, search
+
 
 def expected_set(expected: Column) -> Column:
     return F.array_remove(F.array_distinct(expected), "")
@@ -71,8 +76,8 @@ METRICS = ("recall_at_10", "mrr", "precision_at_5", "ap_at_10", "ndcg_at_10")
 
 
 def means(rows: DataFrame, by: str | None = None) -> DataFrame:
-    """Mean of each metric and the number of rows; 0 where there are none."""
-    out = [F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in METRICS]
+    """Mean of each metric (and of latency_ms, if there) and the number of rows; 0 where there are none."""
+    out = [F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in (*METRICS, "latency_ms") if m in rows.columns]
     return (rows.groupBy(by) if by else rows).agg(F.count("*").alias("n"), *out)
 
 
@@ -86,8 +91,6 @@ def percentile(rows: DataFrame, value: str, q: float, by: list[str]) -> DataFram
 
     By window ranks, so a group is sorted and spilled by Spark rather than gathered into an array.
     """
-    from pyspark.sql import Window
-
     q = min(max(q, 0.0), 1.0)
     n, at = F.count(value).over(Window.partitionBy(*by)), F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
     return rows.filter(F.col(value).isNotNull()).withColumn("_n", n).withColumn("_at", at).filter(F.col("_at") == F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1)).select(*by, F.col(value).alias("percentile"))
@@ -95,3 +98,73 @@ def percentile(rows: DataFrame, value: str, q: float, by: list[str]) -> DataFram
 
 def rerank_histogram(rows: DataFrame, column: str = "resolved_rerank_k") -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+
+
+def run(index: search.Index, specs: DataFrame, spec: search.Spec, embed: Callable[[str], list | None], reranker=None, config: str = "A") -> DataFrame:
+    """(query_id, query, tags, hits, metrics) for a query set (``vault.query_specs``), all queries in one plan.
+
+    A: search as it is. C: each query and its expansions, fused by reciprocal ranks (queries without expansions are an error).
+    """
+    if config not in ("A", "C"):
+        raise ValueError(f"there is no config {config!r}")
+    asked = specs.select("query_id", "query", "expansion").orderBy("query_id").collect()  # a query set is small by nature
+    if config == "C" and (bare := [r["query"] for r in asked if not r["expansion"]]):
+        raise ValueError(f"no expansions for {bare[0]!r}")
+    each = [(r["query_id"], i, q) for r in asked for i, q in enumerate([r["query"], *(r["expansion"] if config == "C" else [])])]
+    spark = specs.sparkSession
+    of = spark.createDataFrame([(n, s, i) for n, (s, i, _) in enumerate(each)], "query_id long, set_id long, query_idx int")
+    found = search.search(index, [(n, q, embed(q)) for n, (_, _, q) in enumerate(each)], spec, reranker)
+    found = found.join(F.broadcast(of), "query_id").select("set_id", "query_idx", F.col("position").alias("rank"), "path")
+    if config == "C":
+        found = fuse.fuse_paths(found, limit=spec.top_k)
+    hits = found.groupBy(F.col("set_id").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("h"))
+    rows = specs.join(hits, "query_id", "left").withColumn("hits", F.coalesce(F.transform("h", lambda x: x["path"]), F.array().cast("array<string>")))
+    return rows.select("query_id", "query", "tags", "expected_paths", "hits", *row_metrics(F.col("hits"), F.col("expected_paths"), F.col("relevance")))
+
+
+def expected_ranks(index: search.Index, specs: DataFrame, spec: search.Spec, embed: Callable[[str], list | None]) -> DataFrame:
+    """(query_id, path, known, bm25, vector, title, metadata, indegree, rrf): where the first stage has each expected path; null where nowhere."""
+    asked = specs.select("query_id", "query").orderBy("query_id").collect()
+    got = search.channels(index, [(r["query_id"], r["query"], embed(r["query"])) for r in asked], spec)
+    fused = fuse.ranked(got["fused"], [F.desc("score"), "source_id"], "rrf")
+    wide = got["ranks"].select("query_id", "source_id", "channel", "rank").unionByName(fused.select("query_id", "source_id", "channel", "rank"))
+    names = ("bm25", "vector", "title", "metadata", "indegree", "rrf")
+    wide = wide.groupBy("query_id", "source_id").agg(*[F.max(F.when(F.col("channel") == c, F.col("rank"))).alias(c) for c in names])
+    want = specs.select("query_id", F.explode(F.array_distinct("expected_paths")).alias("path"))
+    known = index.sources.select("path", "source_id").join(F.broadcast(want), "path", "right")
+    return known.join(wide, ["query_id", "source_id"], "left").select("query_id", "path", F.col("source_id").isNotNull().alias("known"), *names)
+
+
+def nearest_rank(values: list[float], q: float) -> float:
+    ordered = sorted(values)
+    return ordered[min(int(min(max(q, 0.0), 1.0) * len(ordered)), len(ordered) - 1)] if ordered else 0.0
+
+
+def report(index: search.Index, specs: DataFrame, spec: search.Spec, embed: Callable[[str], list | None], reranker=None, config: str = "A", timed: bool = False) -> dict:
+    """Metrics of every query, their means, means by tag, first-stage ranks and latencies, as a dictionary for JSON.
+
+    Queries run as one batch and share its time evenly; timed=True runs them one after another and times each.
+    """
+    ids, began, latency = [r["query_id"] for r in specs.select("query_id").orderBy("query_id").collect()], time.time(), {}
+    if timed:
+        parts = []
+        for i in ids:
+            at = time.time()
+            parts += run(index, specs.filter(F.col("query_id") == i), spec, embed, reranker, config).collect()
+            latency[i] = (time.time() - at) * 1000
+    else:
+        parts = run(index, specs, spec, embed, reranker, config).collect()
+        latency = dict.fromkeys(ids, (time.time() - began) * 1000 / max(1, len(ids)))
+    rows = sorted((r.asDict() | {"latency_ms": latency[r["query_id"]]} for r in parts), key=lambda r: r["query_id"])
+    mean = lambda own: {f"mean_{m}": sum(r[m] for r in own) / len(own) if own else 0.0 for m in (*METRICS, "latency_ms")}
+    tags = sorted({t for r in rows for t in r["tags"]})
+    ranks: dict[int, list] = {}
+    for r in expected_ranks(index, specs, spec, embed).collect():
+        ranks.setdefault(r["query_id"], []).append({k: v for k, v in r.asDict().items() if k != "query_id"})
+    budget = "auto" if spec.rerank_k == "auto" else int(spec.rerank_k)
+    return {
+        "config": config, "n_queries": len(rows), "with_reranker": reranker is not None, "reranking": {"enabled": reranker is not None, "rerank_k": budget, "metadata_expansion": spec.metadata},
+        "aggregate": mean(rows) | {f"p{int(q * 100)}_latency_ms": nearest_rank(list(latency.values()), q) for q in (0.5, 0.95)},
+        "by_tag": {t: {"n": len(own)} | mean(own) for t in tags if (own := [r for r in rows if t in r["tags"]])},
+        "results": [r | {"first_stage": ranks.get(r["query_id"], [])} for r in rows],
+    }

@@ -1,20 +1,29 @@
-"""Full-text queries: a parser for the query language, and BM25 over token arrays or postings.
+"""Full-text search: a stored index of postings, a parser for the query language, and BM25.
 
-Scan mode evaluates any query as one expression over the rows' token arrays, many queries in one pass and without a shuffle of the
-rows. Postings mode serves large batches of plain AND queries by equi-joins on the term.
+The index is three tables: postings (bucket, term, field, key, n_tokens, positions), terms (bucket, term, df) and stats (one
+row). A bucket is a hash of the term and a folder of files that are sorted by term, so a query reads the buckets of its terms
+and of these the row groups that hold them, whatever the size of the corpus; a term's postings are dealt to several files of
+its bucket, so no task holds a hot term. The tokenizer is the index's own: texts and queries are cut by one rule.
+
+Queries of plain terms, all or any of which must occur, of any number, are one join on the term. Others (phrases, prefixes, first tokens, NEAR,
+columns, nesting) gather their terms' positions for each row and evaluate an expression over them, many queries in one pass.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.text import tokens
+from notelake.functions.text import Tokenizer
+from notelake.session import parts_for, written
 
 K1, B, TINY_IDF = 1.2, 0.75, 1e-6
+BUCKETS, MOST_LISTED = 16, 500
 
 
 class QuerySyntaxError(ValueError):
@@ -45,8 +54,7 @@ class Op:
 TOKEN = re.compile(r'\s*(?:("(?:[^"]|"")*")|([A-Za-z0-9_\x80-\U0010ffff\x1a]+)|([(){}:+*^,]|-))')
 
 
-def split_tokens(text: str) -> tuple[str, ...]:
-    return tuple(x.lower() for x in re.findall("[a-zA-Z0-9]+", text))
+split_tokens = Tokenizer().split
 
 
 class _Parser:
@@ -196,110 +204,205 @@ def parse(query: str, columns: tuple[str, ...] = ("content",), split=split_token
     return out
 
 
-def safe_parse(query: str, columns: tuple[str, ...] = ("content",), lenient: bool = False):
+def safe_parse(query: str, columns: tuple[str, ...] = ("content",), lenient: bool = False, split=split_tokens):
     """parse, or None where the query has an error: its channel stays empty."""
     try:
-        return parse(query, columns, lenient=lenient)
+        return parse(query, columns, split, lenient)
     except QuerySyntaxError:
         return None
 
 
-def phrases_of(node) -> list[Phrase]:
+def scored(node, near: Near | None = None) -> list[tuple[Phrase, Near | None]]:
+    """The phrases that count for the score, with the NEAR group that limits where they count."""
     if isinstance(node, Op):
-        return phrases_of(node.left) + phrases_of(node.right)
-    return list(node.phrases) if isinstance(node, Near) else [node] if node is not None else []
-
-
-def _starts(p: Phrase, toks: Column) -> Column:
-    """Zero-based positions where the phrase starts."""
-    n = len(p.terms)
-
-    def fits(i: Column) -> Column:
-        out = None
-        for k, t in enumerate(p.terms):
-            x = F.get(toks, i + k)
-            one = x.startswith(t) if p.prefix and k == n - 1 else x == t
-            out = one if out is None else out & one
-        return out
-
-    at = F.lit(0)
-    places = F.array(at) if p.initial else F.sequence(F.lit(0), F.size(toks) - n)
-    return F.when(F.size(toks) >= n, F.filter(places, fits)).otherwise(F.array().cast("array<int>"))
-
-
-def count_of(p: Phrase, toks: dict[str, Column]) -> Column:
-    """Occurrences over the phrase's columns."""
-    out = F.lit(0)
-    for c in toks if p.columns is None else p.columns:
-        if not p.terms:
-            continue
-        if len(p.terms) == 1 and not p.initial:
-            t = p.terms[0]
-            out = out + F.size(F.filter(toks[c], (lambda x: x.startswith(t)) if p.prefix else (lambda x: x == t)))
-        else:
-            out = out + F.size(_starts(p, toks[c]))
-    return out
-
-
-def _close(a: Phrase, b: Phrase, toks: Column, distance: int):
-    """A test of a start of a: whether b starts with at most distance tokens between them."""
-
-    def near(i: Column) -> Column:
-        between = lambda j: F.when(j > i, j - i - len(a.terms)).otherwise(i - j - len(b.terms))
-        return F.exists(_starts(b, toks), lambda j: between(j) <= distance)
-
-    return near
+        return scored(node.left) + scored(node.right)
+    if isinstance(node, Near):
+        return [(p, node) for p in node.phrases]
+    return [] if node is None else [(node, near)]
 
 
-def matches(node, toks: dict[str, Column]) -> Column:
-    if isinstance(node, Op):
-        a, b = matches(node.left, toks), matches(node.right, toks)
-        return a & b if node.kind == "and" else a | b if node.kind == "or" else a & ~b
-    if isinstance(node, Near):
-        out = F.lit(False)
-        for c in toks:
-            own = [p for p in node.phrases if p.columns is None or c in p.columns]
-            if len(own) < len(node.phrases) or not own:
-                continue
-            near = F.lit(True)
-            for p in own[1:]:
-                near = near & F.exists(_starts(own[0], toks[c]), _close(own[0], p, toks[c], node.distance))
-            out = out | (near & (F.size(_starts(own[0], toks[c])) > 0))
-        return out
-    return count_of(node, toks) > 0
-
-
-def bm25(rows: DataFrame, key: str, columns: dict[str, Column], queries: list[tuple[int, str]], limit: int | None = 50, lenient: bool = False) -> DataFrame:
-    """(query_id, key, score) of the best rows for each query; scores are negative, least is best, ties by key.
-
-    columns: name -> text column. The corpus is scanned once for statistics (counts only) and once for scores; both passes are free of
-    shuffles but for the aggregates and the top rows.
-    """
-    trees = [(q, t) for q, text in queries if (t := safe_parse(text, tuple(columns), lenient)) is not None]
-    spark = rows.sparkSession
-    kind = rows.schema[key].dataType.simpleString()
-    if not trees:
-        return spark.createDataFrame([], f"query_id long, {key} {kind}, score double")
-    read = rows.select(key, *[tokens(c).alias(f"_t_{n}") for n, c in columns.items()])
-    toks = {n: F.col(f"_t_{n}") for n in columns}
-    size = sum((F.size(c) for c in toks.values()), F.lit(0))
-    phrases = list(dict.fromkeys(p for _, t in trees for p in phrases_of(t)))
-    number = {p: i for i, p in enumerate(phrases)}
-    counted = read.select(key, size.alias("_n"), *[count_of(p, toks).alias(f"_f{i}") for i, p in enumerate(phrases)], *[matches(t, toks).alias(f"_m{q}") for q, t in enumerate(t for _, t in trees)])
-    stats = counted.agg(F.count("*").alias("_rows"), F.sum("_n").alias("_total"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(phrases))])
-    # one row of numbers, whatever the corpus
-    all_ = counted.join(F.broadcast(stats))
-    rows_, avg = F.col("_rows"), F.col("_total") / F.col("_rows")
-
-    def part(p: Phrase) -> Column:
-        f, d = F.col(f"_f{number[p]}"), F.col(f"_d{number[p]}")
-        idf = F.log((rows_ - d + 0.5) / (d + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(F.lit(TINY_IDF))
-        return idf * (f * F.lit(K1 + 1)) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("_n") / avg))
-
-    found = [F.when(F.col(f"_m{i}"), F.struct(F.lit(q).cast("long").alias("query_id"), (-sum((part(p) for p in phrases_of(t)), F.lit(0.0))).alias("score"))) for i, (q, t) in enumerate(trees)]
-    hits = all_.select(key, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("h")).select("h.query_id", key, "h.score")
-    return top(hits, ["score", key], limit)
+@dataclass(frozen=True)
+class TextIndex:
+    """key: the rows' id column; fields: the indexed columns' names."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+    key: str
+    fields: tuple[str, ...]
+    tokenizer: Tokenizer = field(default_factory=Tokenizer)
+    buckets: int = BUCKETS
+
+
+def tables(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: Tokenizer | None = None, buckets: int = BUCKETS) -> dict[str, DataFrame]:
+    """postings, terms and stats of rows, by one shuffle of the tokens; a bucket is spread over as many tasks as its share of the corpus asks for."""
+    tokenizer = tokenizer or Tokenizer()
+    read = rows.select(key, *[tokenizer.column(c).alias(f"t_{n}") for n, c in columns.items()])
+    read = read.withColumn("n_tokens", sum((F.size(f"t_{n}") for n in columns), F.lit(0)))
+
+    def placed(name: str) -> Column:
+        return F.transform(F.col(f"t_{name}"), lambda x, i: F.struct(F.lit(name).alias("field"), x.alias("term"), i.alias("pos")))
+
+    each = F.concat(*map(placed, columns))
+    spread = -(-parts_for(rows, 16) // buckets)
+    long = read.select(key, "n_tokens", F.explode(each).alias("e")).select(key, "n_tokens", "e.*")
+    long = long.withColumns({"bucket": (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"), "salt": F.pmod(F.xxhash64(key), F.lit(spread))})
+    post = long.repartition("bucket", "salt").groupBy("bucket", "salt", "term", "field", key, "n_tokens").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    post = written(post.select("bucket", "term", "field", key, "n_tokens", "positions").sortWithinPartitions("bucket", "term", key), "fts-postings")
+    return {"postings": post, **derived(post, rows, key, tuple(columns))}
+
+
+def derived(post: DataFrame, rows: DataFrame, key: str, fields: tuple[str, ...]) -> dict[str, DataFrame]:
+    """terms and stats, counted from postings; rows without any token count as well."""
+    df = F.count("*") if len(fields) == 1 else F.count_distinct(key)
+    terms = post.groupBy("bucket", "term").agg(df.alias("df"))
+    size = post.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("n_tokens"))
+    return {"terms": terms, "stats": rows.agg(F.count("*").alias("n_rows")).join(F.broadcast(size))}
+
+
+def built(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: Tokenizer | None = None) -> TextIndex:
+    """An index of rows that no store holds: its postings are a scratch table."""
+    t = tables(rows, key, columns, tokenizer)
+    return TextIndex(t["postings"], t["terms"], t["stats"], key, tuple(columns), tokenizer or Tokenizer())
+
+
+def _of_terms(table: DataFrame, terms: list[str], buckets: int) -> DataFrame:
+    """The rows of these terms: from their buckets alone, and by name (or by a join, if there are very many)."""
+    own = table.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % buckets for t in terms})))
+    if len(terms) <= MOST_LISTED:
+        return own.filter(F.col("term").isin(terms))
+    wanted = table.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    return own.join(F.broadcast(wanted), "term", "left_semi")
+
+
+def flat(node, kind: str | None = None) -> tuple[str, list[str]] | None:
+    """("and" or "or", terms) of a query that is only that, else None."""
+    if isinstance(node, Phrase):
+        return (kind or "and", [node.terms[0]]) if len(node.terms) == 1 and not (node.prefix or node.initial or node.columns) else None
+    if isinstance(node, Op) and node.kind in ("and", "or") and kind in (None, node.kind):
+        a, b = flat(node.left, node.kind), flat(node.right, node.kind)
+        return (node.kind, a[1] + b[1]) if a and b else None
+    return None
+
+
+def _bm25(f: Column, df: Column, n: Column, rows: Column, total: Column) -> Column:
+    idf = F.log((rows - df + 0.5) / (df + 0.5))
+    idf = F.when(idf > 0, idf).otherwise(F.lit(TINY_IDF))
+    return idf * (f * F.lit(K1 + 1)) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * n / (total / rows)))
+
+
+def _by_join(index: TextIndex, queries: list[tuple[int, str, list[str]]]) -> DataFrame:
+    """(query_id, key, score) for plain queries (id, and/or, terms): postings met with the asked terms, then gathered for each query and row."""
+    spark, key = index.postings.sparkSession, index.key
+    asked = []
+    for q, kind, terms in queries:
+        names = list(dict.fromkeys(terms))
+        asked += [(q, t, i, terms.count(t), len(names) if kind == "and" else 1) for i, t in enumerate(names)]
+    names = sorted({a[1] for a in asked})
+    wanted = spark.createDataFrame(asked, "query_id long, term string, place int, times int, need int")
+    known = _of_terms(index.terms, names, index.buckets).select("term", "df")
+    wanted = wanted.join(F.broadcast(known), "term").join(F.broadcast(index.stats.select("n_rows", F.col("n_tokens").alias("total"))))
+    post = _of_terms(index.postings, names, index.buckets)
+    if len(index.fields) == 1:
+        post = post.select("term", key, "n_tokens", F.size("positions").alias("tf"))
+    else:
+        post = post.groupBy("term", key, "n_tokens").agg(F.sum(F.size("positions")).alias("tf"))
+    part = F.col("times") * _bm25(F.col("tf"), F.col("df"), F.col("n_tokens"), F.col("n_rows"), F.col("total"))
+    met = post.join(F.broadcast(wanted), "term").select("query_id", key, "need", F.struct("place", part.alias("part")).alias("p"))
+    rows = met.groupBy("query_id", key, "need").agg(F.sort_array(F.collect_list("p")).alias("p")).filter(F.size("p") >= F.col("need"))
+    return rows.select("query_id", key, (-F.aggregate("p", F.lit(0.0), lambda s, x: s + x["part"])).alias("score"))  # always summed in one order
+
+
+class _Positions:
+    """The columns that hold the positions of each term or prefix in each field, for one row."""
+
+    def __init__(self, fields: tuple[str, ...], phrases: list[Phrase]):
+        self.fields = fields
+        kinds = [(t, p.prefix and k == len(p.terms) - 1) for p in phrases for k, t in enumerate(p.terms)]
+        self.slots = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
+
+    def of(self, p: Phrase, k: int, name: str) -> Column:
+        return F.col(f"p{self.slots[p.terms[k], p.prefix and k == len(p.terms) - 1]}_{name}")
+
+    def fields_of(self, p: Phrase) -> tuple[str, ...]:
+        return self.fields if p.columns is None else p.columns
+
+    def starts(self, p: Phrase, name: str) -> Column:
+        """Where the phrase starts in a field."""
+        fits = lambda i: reduce(lambda a, b: a & b, [F.array_contains(self.of(p, k, name), i + k) for k in range(1, len(p.terms))], F.lit(True))
+        first = self.of(p, 0, name)
+        out = first if len(p.terms) == 1 else F.filter(first, fits)
+        return F.filter(out, lambda i: i == 0) if p.initial else out
+
+    def count(self, p: Phrase, near: Near | None) -> Column:
+        parts = [F.size(self.starts(p, f) if near is None else self.clump(near, p, f)) for f in self.fields_of(p) if p.terms]
+        return sum(parts, F.lit(0))
+
+    def clump(self, near: Near, p: Phrase, name: str) -> Column:
+        """Starts of p inside a stretch that holds all of the group's phrases: each ends at most distance tokens before the start of the last."""
+        if any(name not in self.fields_of(x) or not x.terms for x in near.phrases):
+            return F.array().cast("array<int>")
+        lasts = F.concat(*[self.starts(x, name) for x in near.phrases])
+
+        def whole(last: Column) -> Column:
+            inside = lambda x: F.exists(self.starts(x, name), lambda i: (i <= last) & (i >= last - len(x.terms) - near.distance))
+            return reduce(lambda a, b: a & b, [inside(x) for x in near.phrases if x is not p], F.lit(True))
+
+        return F.filter(self.starts(p, name), lambda i: F.exists(lasts, lambda m: (i <= m) & (i >= m - len(p.terms) - near.distance) & whole(m)))
+
+    def matches(self, node) -> Column:
+        if isinstance(node, Op):
+            a, b = self.matches(node.left), self.matches(node.right)
+            return a & b if node.kind == "and" else a | b if node.kind == "or" else a & ~b
+        if isinstance(node, Near):
+            return self.count(node.phrases[0], node) > 0 if node.phrases else F.lit(False)
+        return self.count(node, None) > 0
+
+
+def _by_positions(index: TextIndex, trees: list[tuple[int, object]]) -> DataFrame:
+    """(query_id, key, score) for any queries."""
+    key, items = index.key, list(dict.fromkeys(x for _, t in trees for x in scored(t)))
+    at = _Positions(index.fields, [p for p, _ in items])
+    read = ("slot", "field", key, "n_tokens", "positions")
+    exact = {t: i for (t, prefix), i in at.slots.items() if not prefix}
+    found = []
+    if exact:
+        slot = F.element_at(F.create_map(*[F.lit(x) for kv in exact.items() for x in kv]), F.col("term"))
+        found.append(_of_terms(index.postings, list(exact), index.buckets).withColumn("slot", slot).select(*read))
+    found += [index.postings.filter(F.col("term").startswith(t)).withColumn("slot", F.lit(i)).select(*read) for (t, prefix), i in at.slots.items() if prefix]
+    if not found:
+        return index.postings.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("score")).limit(0)
+    gather = lambda i, f: F.flatten(F.collect_list(F.when((F.col("slot") == i) & (F.col("field") == f), F.col("positions")))).alias(f"p{i}_{f}")
+    rows = reduce(DataFrame.union, found).groupBy(key, "n_tokens").agg(*[gather(i, f) for i in at.slots.values() for f in index.fields])
+    number = {x: i for i, x in enumerate(items)}
+    alone = [at.count(p, None) for p, _ in items]
+    counted = rows.select(key, "n_tokens", *[c.alias(f"a{i}") for i, c in enumerate(alone)], *[(at.count(p, near) if near else a).alias(f"f{i}") for i, ((p, near), a) in enumerate(zip(items, alone))], *[at.matches(t).alias(f"m{i}") for i, (_, t) in enumerate(trees)])
+    df = counted.agg(*[F.count_if(F.col(f"a{i}") > 0).alias(f"d{i}") for i in range(len(items))])
+    one = df.join(F.broadcast(index.stats.select("n_rows", F.col("n_tokens").alias("total"))))  # one row of numbers, whatever the corpus
+    part = lambda x: _bm25(F.col(f"f{(i := number[x])}"), F.col(f"d{i}"), F.col("n_tokens"), F.col("n_rows"), F.col("total"))
+    hits = [F.when(F.col(f"m{i}"), F.struct(F.lit(q).cast("long").alias("query_id"), (-sum((part(x) for x in scored(t)), F.lit(0.0))).alias("score"))) for i, (q, t) in enumerate(trees)]
+    every = counted.join(F.broadcast(one))
+    return every.select(key, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h")).select("h.query_id", key, "h.score")
+
+
+def hits(index: TextIndex, queries: list[tuple[int, str]], limit: int | None = 50, lenient: bool = False) -> DataFrame:
+    """(query_id, key, score) of the best rows for each query; scores are negative, least is best, ties by key."""
+    trees = [(q, t) for q, text in queries if (t := safe_parse(text, index.fields, lenient, index.tokenizer.split)) is not None]
+    plain = [(q, *f) for q, t in trees if (f := flat(t))]
+    rich = [(q, t) for q, t in trees if not flat(t)]
+    found = ([_by_join(index, plain)] if plain else []) + ([_by_positions(index, rich)] if rich else [])
+    if not found:
+        return nothing(index.postings.sparkSession, index.postings, index.key)
+    return top(reduce(DataFrame.unionByName, found), ["score", index.key], limit)
+
+
+def nothing(spark: SparkSession, like: DataFrame, key: str) -> DataFrame:
+    return spark.createDataFrame([], f"query_id long, {key} {like.schema[key].dataType.simpleString()}, score double")
+
+
+def bm25(rows: DataFrame, key: str, columns: dict[str, Column], queries: list[tuple[int, str]], limit: int | None = 50, lenient: bool = False, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """The same over rows that have no stored index."""
+    return hits(built(rows, key, columns, tokenizer), queries, limit, lenient)
 
 
 def top(hits: DataFrame, order: list, limit: int | None, by: str = "query_id") -> DataFrame:
@@ -307,20 +410,3 @@ def top(hits: DataFrame, order: list, limit: int | None, by: str = "query_id") -
     if limit is None:
         return hits
     return hits.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_rn") <= limit).drop("_rn")
-
-
-def postings(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, tf, n_tokens), one row for each distinct term of a row."""
-    read = rows.select(key, tokens(text).alias("t")).select(key, F.size("t").alias("n_tokens"), F.explode("t").alias("term"))
-    return read.groupBy("term", key, "n_tokens").agg(F.count("*").alias("tf"))
-
-
-def bm25_postings(post: DataFrame, key: str, n_rows: int, total: int, queries: DataFrame, limit: int = 50) -> DataFrame:
-    """The same scores for plain AND queries (query_id, query) of any number, by joins on the term."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    df = post.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((n_rows - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(F.lit(TINY_IDF)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.lit(total / max(1, n_rows))))
-    hits = terms.join(df, "term").join(post, "term").groupBy("query_id", key).agg((-F.sum(part)).alias("score"), F.count("*").alias("n")).join(need, "query_id").filter("n = need")
-    return top(hits.select("query_id", key, "score"), ["score", key], limit)

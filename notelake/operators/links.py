@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.text import ascii_fold, stem
+from notelake.session import written
 
 
 def keys_of(sources: DataFrame) -> DataFrame:
@@ -37,34 +38,43 @@ def path_order(sources: DataFrame) -> DataFrame:
     return sources.select("source_id", F.split("path", "/").alias("parts"))
 
 
+def own_names(sources: DataFrame) -> DataFrame:
+    """(source_id, target_path): stem, path without .md and aliases, by which a file claims links that found nothing."""
+    path = F.regexp_replace("path", r"\.md$", "")
+    return sources.select("source_id", F.explode(F.array_distinct(F.concat(F.array(stem("path"), path), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("target_path"))
+
+
 def resolve(links: DataFrame, sources: DataFrame, mode: str = "compat") -> DataFrame:
     """(src_id, target_path, dst_id), dst_id null for forward references.
 
     global: the best match of all notes. compat: as if notes arrived in path order: a link takes the best match among notes up
-    to its own, else the first later note whose stem, path without .md or alias equals the target.
+    to its own, else the first later note that claims the target by name. Where sources have flags known and fresh, notes that are
+    known were there before all others, and only fresh ones (read in this run) claim links.
     """
     links = links.select("src_id", "target_path").distinct()
     found = candidates(links, sources)
     if mode == "global":
         best = found.groupBy("src_id", "target_path").agg(F.min(F.struct("priority", "source_id")).alias("b"))
         return links.join(best, ["src_id", "target_path"], "left").select("src_id", "target_path", F.col("b.source_id").alias("dst_id"))
-    order = path_order(sources)
-    own = order.select(F.col("source_id").alias("src_id"), F.col("parts").alias("own"))
+    own = path_order(sources).select(F.col("source_id").alias("src_id"), F.col("parts").alias("own"))
+    order, fresh = path_order(sources), sources
+    if "known" in sources.columns:
+        order = sources.select("source_id", F.when(F.col("known"), F.array().cast("array<string>")).otherwise(F.split("path", "/")).alias("parts"))
+        fresh = sources.filter("fresh")
     then = found.join(order, "source_id").join(own, "src_id")
     before = F.when(F.col("priority") == 4, F.col("parts") < F.col("own")).otherwise(F.col("parts") <= F.col("own"))
     first = then.filter(before).groupBy("src_id", "target_path").agg(F.min(F.struct("priority", "source_id")).alias("b"))
-    path = F.regexp_replace("path", r"\.md$", "")
-    keys = sources.select("source_id", F.explode(F.array_distinct(F.concat(F.array(stem("path"), path), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("target_path"))
-    later = links.join(keys, "target_path").join(order, "source_id").join(own, "src_id").filter(F.col("parts") >= F.col("own"))
+    later = links.join(own_names(fresh), "target_path").join(path_order(fresh), "source_id").join(own, "src_id").filter(F.col("parts") >= F.col("own"))
     later = later.groupBy("src_id", "target_path").agg(F.min(F.struct("parts", "source_id")).alias("l"))
     out = links.join(first, ["src_id", "target_path"], "left").join(later, ["src_id", "target_path"], "left")
     return out.select("src_id", "target_path", F.coalesce(F.col("b.source_id"), F.col("l.source_id")).alias("dst_id"))
 
 
 def forward_refs(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Unresolved edges that a source's stem, path without .md or alias now claims: (src_id, target_path, dst_id)."""
-    keys = sources.select("source_id", F.explode(F.array_distinct(F.concat(F.array(stem("path"), F.regexp_replace("path", r"\.md$", "")), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("target_path"))
-    return edges.filter("dst_id is null").drop("dst_id").join(keys, "target_path").groupBy("src_id", "target_path").agg(F.min("source_id").alias("dst_id"))
+    """Unresolved edges that a source's stem, path without .md or alias now claims, the first source in path order: (src_id, target_path, dst_id)."""
+    claims = own_names(sources).join(path_order(sources), "source_id")
+    found = edges.filter("dst_id is null").drop("dst_id").join(claims, "target_path")
+    return found.groupBy("src_id", "target_path").agg(F.min(F.struct("parts", "source_id")).alias("f")).select("src_id", "target_path", F.col("f.source_id").alias("dst_id"))
 
 
 def indegree(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -76,23 +86,24 @@ def indegree(edges: DataFrame, sources: DataFrame) -> DataFrame:
 def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(query_id, source_id): one step out of or into the seeds (query_id, source_id), distinct."""
     e = edges.filter("dst_id is not null").select("src_id", "dst_id")
-    out = seeds.join(e, seeds.source_id == e.src_id).select("query_id", F.col("dst_id").alias("source_id"))
-    into = seeds.join(e, seeds.source_id == e.dst_id).select("query_id", F.col("src_id").alias("source_id"))
+    out = e.join(seeds, seeds.source_id == e.src_id).select("query_id", F.col("dst_id").alias("source_id"))
+    into = e.join(seeds, seeds.source_id == e.dst_id).select("query_id", F.col("src_id").alias("source_id"))
     return out.union(into).distinct()
 
 
 def bfs(edges: DataFrame, center: int, depth: int, direction: str = "out") -> DataFrame:
-    """(source_id, depth): nodes within depth steps at their least depth, without the centre."""
+    """(source_id, depth): nodes within depth steps at their least depth, without the centre.
+
+    Each front is written, so a step reads the edges and small tables, and the plan doesn't grow with depth.
+    """
     a, b = ("src_id", "dst_id") if direction == "out" else ("dst_id", "src_id")
-    e = edges.filter("dst_id is not null").select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    e = edges.filter("dst_id is not null").select(F.col(a).alias("a"), F.col(b).alias("b"))
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(center, 0)], "source_id long, depth int")
-    front = seen
+    seen = front = spark.createDataFrame([(center, 0)], "source_id long, depth int")
     for d in range(1, depth + 1):
-        front = front.join(e, front.source_id == e.a).select(F.col("b").alias("source_id")).distinct().join(seen, "source_id", "left_anti").withColumn("depth", F.lit(d))
+        step = e.join(front, front.source_id == e.a, "left_semi").select(F.col("b").alias("source_id")).distinct()
+        front = written(step.join(seen, "source_id", "left_anti").withColumn("depth", F.lit(d)), "bfs")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.filter("depth > 0")
-
-
-def best_of(rows: DataFrame, by: list[str], order: list) -> DataFrame:
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_rn = 1").drop("_rn")

@@ -1,16 +1,23 @@
-"""Hybrid search: four ranked channels, post-filters, fusion, reranking with title-gated blending, and expansion."""
+"""Hybrid search: four ranked channels, post-filters, fusion, reranking with title-gated blending, and expansion.
+
+The channels read the stored indexes; what they find (at most a few hundred rows for each query) is written once, and everything
+after works on these rows.
+"""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import col, has_cjk, tokens
 from notelake.operators import fts, fuse, links
 from notelake.operators.knn import knn
+from notelake.session import written
 
 FAST_K, DEEP_K = 5, 20
 CHANNELS = ("bm25", "vector", "title", "indegree", "metadata")
@@ -54,13 +61,75 @@ class Spec:
 
 @dataclass(frozen=True)
 class Index:
-    """sources(source_id, path, title, aliases, tags, indegree), chunks(chunk_id, source_id, content), vectors(chunk_id, embedding), edges(src_id, dst_id)."""
+    """sources(source_id, path, title, aliases, tags, indegree), chunks(chunk_id, source_id, content), vectors(chunk_id, embedding), edges(src_id, dst_id).
+
+    text and names are the full-text indexes of contents and of titles with aliases, made on the fly where none is stored.
+    """
 
     sources: DataFrame
     chunks: DataFrame
     vectors: DataFrame
     edges: DataFrame
-    extra: dict = field(default_factory=dict)
+    text: fts.TextIndex | None = None
+    names: fts.TextIndex | None = None
+
+    def text_index(self) -> fts.TextIndex:
+        return self.text or fts.built(self.chunks, "chunk_id", text_columns())
+
+    def name_index(self) -> fts.TextIndex:
+        return self.names or fts.built(self.sources, "source_id", name_columns())
+
+
+def text_columns() -> dict[str, Column]:
+    return {"content": F.col("content")}
+
+
+def name_columns() -> dict[str, Column]:
+    return {"title": F.coalesce("title", F.lit("")), "aliases": F.to_json(F.coalesce("aliases", F.array().cast("array<string>")))}
+
+
+@dataclass(frozen=True)
+class Reranker:
+    """A scoring model: score(query, passages) -> a number in 0..1 for each passage.
+
+    Passages go to it in Arrow batches. Where it is disabled, fails, or gives other than one finite number for each passage,
+    the query keeps its first-stage order.
+    """
+
+    score: Callable[[str, list[str]], list[float] | None]
+    disabled: bool = False
+
+    def column(self, query: str = "query", content: str = "content") -> Column:
+        score = self.score
+
+        @F.pandas_udf("double")
+        def run(queries: pd.Series, passages: pd.Series) -> pd.Series:
+            import logging
+
+            out = pd.Series([None] * len(queries), index=queries.index, dtype="float64")
+            for q, own in passages.groupby(queries, sort=False):
+                try:
+                    found = score(q, own.tolist())
+                except Exception:  # any model may fail in its own way; the first stage stands
+                    logging.getLogger(__name__).warning("reranking failed for %r", q, exc_info=True)
+                    found = None
+                if found is not None and len(found) == len(own):
+                    out.loc[own.index] = [float(x) for x in found]
+            return out
+
+        return run(F.col(query), F.coalesce(F.col(content), F.lit("")))
+
+
+def safe_embed(embed: Callable[[str], list | None], query: str) -> list | None:
+    """The query's vector, or None where the embedder fails: its channel stays empty."""
+    import logging
+
+    try:
+        found = embed(query)
+        return None if found is None else [float(x) for x in found]
+    except Exception:  # any model may fail in its own way
+        logging.getLogger(__name__).warning("embedding failed for %r", query, exc_info=True)
+        return None
 
 
 def rerank_budget(query: Column | str, rerank_k: int | str, has_filter: Column | bool, has_title: Column | bool) -> tuple[Column, Column]:
@@ -89,23 +158,29 @@ def singular(toks: Column) -> Column:
 
 
 def title_hits(index: Index, queries: list[tuple[int, str]], limit: int, lenient: bool = False) -> DataFrame:
-    names = {"title": F.coalesce("title", F.lit("")), "aliases": F.to_json(F.coalesce("aliases", F.array().cast("array<string>")))}
-    return fts.bm25(index.sources, "source_id", names, queries, limit, lenient)
+    return fts.hits(index.name_index(), queries, limit, lenient)
+
 
+def metadata_seeds(index: Index, queries: list[tuple[int, str]], limit: int, titles: DataFrame) -> DataFrame:
+    """(query_id, source_id, seed_order): rows of the first term that has any, for queries without a title hit (titles: query_id, ...).
 
-def metadata_seeds(index: Index, queries: list[tuple[int, str]], limit: int) -> DataFrame:
-    """(query_id, source_id, seed_order): rows of the first term that has any, for queries without a title hit."""
-    terms = [(q, i, t, words) for q, text in queries for words in [[w for w in re.findall("[A-Za-z0-9]+", text.casefold()) if len(w) >= 3]] for i, t in enumerate(metadata_terms(text))]
+    A single word of a query of three words or more that hits several notes counts only for notes whose names hold another of its words.
+    """
     spark = index.sources.sparkSession
-    full = title_hits(index, queries, 1).select("query_id").distinct()
+    terms = []
+    for q, text in queries:
+        words = [w for w in re.findall("[A-Za-z0-9]+", text.casefold()) if len(w) >= 3]
+        for i, t in enumerate(metadata_terms(text)):
+            others = [c for w in words if w != t and w not in COMPANION_STOPWORDS for c in ([w, w[:-1]] if w.endswith("s") and len(w) > 3 else [w])]
+            terms.append((len(terms), q, i, t, " " in t, len(words), list(dict.fromkeys(others))))
     if not terms:
         return spark.createDataFrame([], "query_id long, source_id long, seed_order int")
-    table = spark.createDataFrame([(q * 1000 + i, q, i, " " in t, len(w), list(dict.fromkeys(c for x in w if x != t and x not in COMPANION_STOPWORDS for c in ([x, x[:-1]] if x.endswith("s") and len(x) > 3 else [x])))) for q, i, t, w in terms], "term_id long, query_id long, idx int, pair boolean, n_words int, companions array<string>")
-    hits = title_hits(index, [(q * 1000 + i, t) for q, i, t, _ in terms], limit).withColumnRenamed("query_id", "term_id")
+    table = spark.createDataFrame([(n, *x[:2], *x[3:]) for n, *x in terms], "term_id long, query_id long, idx int, pair boolean, n_words int, companions array<string>")
+    hits = title_hits(index, [(n, t) for n, _, _, t, *_ in terms], limit).withColumnRenamed("query_id", "term_id")
     names = index.sources.select("source_id", singular(tokens(F.concat_ws(" ", "title", F.array_join("aliases", " "), "path"))).alias("names"))
-    rows = hits.join(F.broadcast(table), "term_id").join(names, "source_id").withColumn("n", F.count("*").over(Window.partitionBy("term_id")))
+    rows = names.join(F.broadcast(hits), "source_id").join(F.broadcast(table), "term_id").withColumn("n", F.count("*").over(Window.partitionBy("term_id")))
     plain = F.col("pair") | (F.col("n") <= 1) | (F.col("n_words") < 3) | (F.size("companions") == 0)
-    kept = rows.filter(plain | F.arrays_overlap("names", "companions")).join(full, "query_id", "left_anti")
+    kept = rows.filter(plain | F.arrays_overlap("names", "companions")).join(titles.select("query_id").distinct(), "query_id", "left_anti")
     kept = kept.withColumn("least", F.min("idx").over(Window.partitionBy("query_id"))).filter("idx = least")
     return kept.select("query_id", "source_id", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "source_id")).alias("seed_order"))
 
@@ -113,11 +188,11 @@ def metadata_seeds(index: Index, queries: list[tuple[int, str]], limit: int) ->
 def metadata_candidates(index: Index, seeds: DataFrame, base: DataFrame, limit: int, min_rank: int) -> DataFrame:
     """(query_id, source_id, rank): each seed, then its neighbours out and in unless the seed ranks before min_rank; first seen counts."""
     known = seeds.join(base.select("query_id", "source_id", F.col("rank").alias("base")), ["query_id", "source_id"], "left").withColumn("base", F.coalesce("base", F.lit(9999)))
-    wide = known.filter(F.col("base") >= min_rank)
+    wide = F.broadcast(known.filter(F.col("base") >= min_rank))  # limit rows for each query
     e = index.edges.filter("dst_id is not null")
     own = known.select("query_id", "seed_order", F.lit(0).alias("kind"), F.lit("").alias("sub"), "source_id")
-    out = wide.join(e, wide.source_id == e.src_id).select("query_id", "seed_order", F.lit(1).alias("kind"), F.col("target_path").alias("sub"), F.col("dst_id").alias("source_id"))
-    into = wide.join(e, wide.source_id == e.dst_id).select("query_id", "seed_order", F.lit(2).alias("kind"), F.lpad(F.col("src_id").cast("string"), 20, "0").alias("sub"), F.col("src_id").alias("source_id"))
+    out = e.join(wide, wide.source_id == e.src_id).select("query_id", "seed_order", F.lit(1).alias("kind"), F.col("target_path").alias("sub"), F.col("dst_id").alias("source_id"))
+    into = e.join(wide, wide.source_id == e.dst_id).select("query_id", "seed_order", F.lit(2).alias("kind"), F.lpad(F.col("src_id").cast("string"), 20, "0").alias("sub"), F.col("src_id").alias("source_id"))
     every = own.union(out).union(into).groupBy("query_id", "source_id").agg(F.min(F.struct("seed_order", "kind", "sub")).alias("seen"))
     return every.select("query_id", "source_id", F.row_number().over(Window.partitionBy("query_id").orderBy("seen", "source_id")).alias("rank")).filter(F.col("rank") <= limit)
 
@@ -128,16 +203,23 @@ def channels(index: Index, queries: list[tuple[int, str, list | None]], spec: Sp
     texts = [(q, t) for q, t, _ in queries if t.strip()]
     vectors = [(q, [float(x) for x in v]) for q, t, v in queries if v is not None and t.strip()]
     owner = index.chunks.select("chunk_id", "source_id")
-    by_text = fts.bm25(index.chunks, "chunk_id", {"content": F.col("content")}, texts, spec.chunk_limit, spec.lenient).join(owner, "chunk_id")
-    bm25 = fuse.best_chunk(by_text, "score").cache()
     k = spec.knn_wide if spec.expand or spec.filtered else spec.knn_limit
-    near = knn(index.vectors, spark.createDataFrame(vectors, "query_id long, vector array<double>"), k).join(owner, "chunk_id").cache()
-    vec = fuse.best_chunk(near, "distance")
-    titles = title_hits(index, texts, spec.title_limit, spec.lenient).cache()
-    ranks = fuse.ranked(bm25, ["score", "chunk_id"], "bm25").unionByName(fuse.ranked(vec, ["distance", "chunk_id"], "vector")).unionByName(fuse.ranked(titles, ["score", "source_id"], "title"))
+    asked = spark.createDataFrame(vectors, "query_id long, vector array<double>")
+    by_text = fts.hits(index.text_index(), texts, spec.chunk_limit, spec.lenient)
+    by_vector = knn(index.vectors, asked, k).withColumnRenamed("distance", "score") if vectors else by_text.limit(0)
+    both = by_text.select("query_id", F.lit("bm25").alias("channel"), "chunk_id", "score").unionByName(by_vector.select("query_id", F.lit("vector").alias("channel"), "chunk_id", "score"))
+    by_name = title_hits(index, texts, spec.title_limit, spec.lenient).select("query_id", F.lit("title").alias("channel"), F.lit(None).cast("long").alias("chunk_id"), "score", "source_id")
+    # limits bound what the channels find, so it may be broadcast
+    found = written(owner.join(F.broadcast(both), "chunk_id").unionByName(by_name).coalesce(1), "search-hits")
+    best = found.groupBy("query_id", "channel", "source_id").agg(F.min(F.struct("score", F.coalesce("chunk_id", "source_id").alias("chunk_id"))).alias("b")).select("query_id", "channel", "source_id", "b.*")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy("score", "chunk_id")))
     info = index.sources.select("source_id", "path", "tags", "indegree")
     passes = fuse.folder_filter(F.col("path"), spec.prefix) & fuse.tags_filter(F.col("tags"), spec.tags)
-    ranks = ranks.join(info, "source_id").filter(passes).select("query_id", "source_id", "channel", "rank", "indegree").cache()
+    ranks = info.join(F.broadcast(ranked), "source_id").filter(passes).select("query_id", "source_id", "channel", "rank", "indegree", "chunk_id")
+    ranks = written(ranks.coalesce(1), "search-ranks")
+    bm25, vec = (ranks.filter(F.col("channel") == c).select("query_id", "source_id", "chunk_id") for c in ("bm25", "vector"))
+    near = found.filter("channel = 'vector'").select("query_id", "source_id", "chunk_id", F.col("score").alias("distance"))
+    ranks = ranks.drop("chunk_id")
 
     def with_indegree(rows: DataFrame) -> DataFrame:
         pool = rows.select("query_id", "source_id", "indegree").distinct()
@@ -147,19 +229,22 @@ def channels(index: Index, queries: list[tuple[int, str, list | None]], spec: Sp
     weights = {"bm25": spec.bm25_weight, "vector": spec.vec_weight, "title": spec.title_weight, "indegree": spec.indegree_weight, "metadata": spec.metadata_weight}
     fused = fuse.rrf(full, weights)
     if spec.metadata:
-        base = fuse.ranked(fused, [F.desc("score"), "source_id"])
-        found = metadata_candidates(index, metadata_seeds(index, texts, spec.metadata_limit), base, spec.metadata_limit, spec.neighbor_min_rank)
-        extra = found.join(info, "source_id").filter(passes).select("query_id", "source_id", F.lit("metadata").alias("channel"), "rank", "indegree")
+        base = written(fuse.ranked(fused, [F.desc("score"), "source_id"]), "search-base")
+        seeds = written(metadata_seeds(index, texts, spec.metadata_limit, found.filter("channel = 'title'")), "search-seeds")
+        more = written(metadata_candidates(index, seeds, base, spec.metadata_limit, spec.neighbor_min_rank), "search-metadata")
+        extra = info.join(F.broadcast(more), "source_id").filter(passes).select("query_id", "source_id", F.lit("metadata").alias("channel"), "rank", "indegree")
         full = with_indegree(ranks.unionByName(extra))
         fused = fuse.rrf(full, weights)
     return {"ranks": full, "fused": fused, "bm25": bm25, "vector": vec, "near": near}
 
 
-def search(index: Index, queries: list[tuple[int, str, list | None]], spec: Spec = Spec(), reranker: Column | None = None) -> DataFrame:  # noqa: B008
+def search(index: Index, queries: list[tuple[int, str, list | None]], spec: Spec = Spec(), reranker: Column | Reranker | None = None) -> DataFrame:  # noqa: B008
     """(query_id, position, source_id, chunk_id, path, title, content, score, indegree), in the order of position.
 
-    queries: (query_id, text, vector or None). reranker: a column over (query, content) in 0..1, evaluated on the head only.
+    queries: (query_id, text, vector or None). reranker: a model, or a column over (query, content) in 0..1, evaluated on the head only.
     """
+    if isinstance(reranker, Reranker):
+        reranker = None if reranker.disabled else reranker.column()
     spark = index.sources.sparkSession
     queries = [q for q in queries if q[1].strip()] if spec.top_k > 0 else []
     if not queries:
@@ -172,9 +257,12 @@ def search(index: Index, queries: list[tuple[int, str, list | None]], spec: Spec
     rows = got["fused"].join(F.broadcast(asked), "query_id")
     cut = F.greatest("budget", F.lit(spec.top_k)) if reranker is not None else F.lit(spec.top_k)
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id"))).filter(F.col("_r") <= cut)
-    b, v = got["bm25"].select("query_id", "source_id", F.col("chunk_id").alias("b")), got["vector"].select("query_id", "source_id", F.col("chunk_id").alias("v"))
+    b, v = got["bm25"].withColumnRenamed("chunk_id", "b"), got["vector"].withColumnRenamed("chunk_id", "v")
     rows = rows.join(b, ["query_id", "source_id"], "left").join(v, ["query_id", "source_id"], "left").withColumn("chunk_id", F.coalesce("b", "v"))
-    rows = rows.join(index.chunks.select("chunk_id", "content"), "chunk_id", "left").join(index.sources.select("source_id", "path", "title", "indegree"), "source_id")
+    rows = written(rows.coalesce(1), "search-rows")  # a few for each query: small enough to be sent to where contents and names lie
+    contents = index.chunks.select("chunk_id", "content").join(F.broadcast(rows.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    names = index.sources.select("source_id", "path", "title", "indegree").join(F.broadcast(rows.select("source_id").distinct()), "source_id", "left_semi")
+    rows = rows.join(F.broadcast(contents), "chunk_id", "left").join(F.broadcast(names), "source_id")
     rows = rows.withColumn("only_title", F.col("chunk_id").isNull()).withColumn("content", F.when(F.col("only_title"), F.coalesce(F.nullif("title", F.lit("")), "path")).otherwise(F.col("content")))
     rows = rows.withColumn("chunk_id", F.coalesce("chunk_id", F.lit(0)).cast("long"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "only_title", "source_id")
@@ -185,7 +273,7 @@ def search(index: Index, queries: list[tuple[int, str, list | None]], spec: Spec
     columns = ["query_id", "position", "source_id", "chunk_id", "path", "title", "content", "score", "indegree"]
     rows = rows.select(*columns)
     if spec.expand:
-        rows = expand(index, rows.cache(), got["near"], spec).select(*columns)
+        rows = expand(index, written(rows, "search-first"), got["near"], spec).select(*columns)
     return rows
 
 
@@ -199,9 +287,13 @@ def blend(rows: DataFrame, ranks: DataFrame, reranker: Column) -> DataFrame:
     gate = ranks.filter("(channel = 'title' and rank = 1) or channel = 'metadata'").select("query_id", "source_id").distinct().withColumn("opens", F.lit(True))
     rows = rows.join(gate, ["query_id", "source_id"], "left").withColumn("gate", F.max(F.coalesce("opens", F.lit(False)) & F.col("head")).over(q))
     scored = F.when(F.col("head"), reranker)
+    rows = rows.withColumn("p", scored)
+    # a model that failed for any passage of a query leaves its first-stage order
+    failed = F.max((F.col("head") & (F.col("p").isNull() | F.isnan("p"))).cast("int")).over(q) == 1
+    rows = rows.withColumn("head", F.col("head") & ~failed)
     top_rrf = F.max(F.when(F.col("position") == 1, F.col("score"))).over(q)
     alpha = F.when(F.col("position") <= 3, 0.60).when(F.col("position") <= 10, 0.50).otherwise(0.40)
-    rows = rows.withColumn("p", scored).withColumn("top_rrf", F.when(top_rrf > 0, top_rrf).otherwise(1.0))
+    rows = rows.withColumn("top_rrf", F.when(top_rrf > 0, top_rrf).otherwise(1.0))
     new = F.when(~F.col("head"), F.col("score")).when(F.col("gate"), alpha * F.col("score") / F.col("top_rrf") + (1 - alpha) * F.col("p")).otherwise(F.col("p"))
     rows = rows.withColumn("score", new)
     order = Window.partitionBy("query_id").orderBy(F.desc("head"), F.when(F.col("head"), -F.col("score")).otherwise(F.col("position").cast("double")), "position")
@@ -216,12 +308,14 @@ def overlap_scorer(query: str = "query", content: str = "content") -> Column:
 
 def expand(index: Index, rows: DataFrame, near: DataFrame, spec: Spec, discount: float = 0.7) -> DataFrame:
     """rows with the one-step neighbours of each query's first three results that the wide vector list holds, sorted anew and cut."""
-    seeds = rows.filter("position <= 3").select("query_id", "source_id")
+    seeds = F.broadcast(rows.filter("position <= 3").select("query_id", "source_id"))
     fresh = links.neighbours(index.edges, seeds).join(rows.select("query_id", "source_id"), ["query_id", "source_id"], "left_anti")
     best = fuse.best_chunk(near.join(fresh, ["query_id", "source_id"], "left_semi"), "distance")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "source_id"))
     more = best.withColumn("score", F.lit(discount * spec.vec_weight) / (F.lit(fuse.K_RRF) + rank)).drop("distance")
-    more = more.join(index.chunks.select("chunk_id", "content"), "chunk_id").join(index.sources.select("source_id", "path", "title", "indegree"), "source_id").withColumn("position", F.lit(1 << 30))
+    more = written(more.coalesce(1), "search-more")
+    more = index.chunks.select("chunk_id", "content").join(F.broadcast(more), "chunk_id")
+    more = index.sources.select("source_id", "path", "title", "indegree").join(F.broadcast(more), "source_id").withColumn("position", F.lit(1 << 30))
     every = rows.unionByName(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "position", "source_id")
     return every.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= spec.top_k)

@@ -1,11 +1,14 @@
-"""The index as versioned snapshots of Parquet tables: change detection, upserts, deletes, pruning, freshness, suggestions.
+"""The index as versioned snapshots of Parquet tables: lookups, change detection, upserts, deletes, pruning, freshness, suggestions.
 
-A snapshot is a folder of tables and a manifest row naming the current version; publishing writes a new folder first and moves the
-manifest last, so readers see either version whole.
+A version is a numbered manifest that names the folder of each table. Publishing writes the tables that changed into new folders, then the
+manifest under a temporary name, and renames it to the next number; nothing is ever deleted or overwritten on the way. So readers
+find the last complete manifest and see its version whole, a writer that dies leaves the last one in force, and of two
+writers of one number one fails.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -13,8 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 2
-TABLES = ("sources", "chunks", "vectors", "edges", "tags", "suggestions", "files")
+TABLES = (
+    "sources", "chunks", "vectors", "edges", "tags", "suggestions", "files",
+    "text_postings", "text_terms", "text_stats", "name_postings", "name_terms", "name_stats",
+)
+# The columns of a source that may be updated.
 SOURCE_COLUMNS = ("path", "title", "content_hash", "status", "indegree", "fs_modified_at", "indexed_at", "aliases")
+SUGGESTIONS = "suggestion_id long, source_note_id long, target_note_id long, score double, reason string, status string, created_at timestamp, resolved_at timestamp"
 
 
 class CapabilityError(RuntimeError):
@@ -26,38 +34,80 @@ def check_capabilities(spark: SparkSession) -> None:
         raise CapabilityError(f"Spark 4.1 or later is needed, not {spark.version}")
 
 
+class PublishConflict(RuntimeError):
+    """Another writer published the next version first."""
+
+
 @dataclass(frozen=True)
 class Store:
     """Snapshots under root."""
 
     root: str
 
-    def version(self, spark: SparkSession) -> str | None:
-        fs, path = _fs(spark, f"{self.root}/manifest")
-        if not fs.exists(path):
+    def number(self, spark: SparkSession) -> int:
+        """Of the last complete manifest, 0 if there is none."""
+        fs, path = _fs(spark, f"{self.root}/manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return max([int(n) for n in names if n.isdigit()], default=0)
+
+    def manifest(self, spark: SparkSession, number: int | None = None) -> dict | None:
+        n = self.number(spark) if number is None else number
+        if not n:
             return None
-        row = spark.read.parquet(f"{self.root}/manifest").first()
-        if row["schema_version"] > SCHEMA_VERSION:
-            raise CapabilityError(f"the store has schema {row['schema_version']}, this package knows {SCHEMA_VERSION}")
-        return row["version"]
+        fs, path = _fs(spark, f"{self.root}/manifests/{n}")
+        stream = fs.open(path)
+        try:
+            found = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        if found["schema_version"] > SCHEMA_VERSION:
+            raise CapabilityError(f"the store has schema {found['schema_version']}, this package knows {SCHEMA_VERSION}")
+        return found
+
+    def version(self, spark: SparkSession) -> str | None:
+        found = self.manifest(spark)
+        return None if found is None else found["version"]
+
+    def has(self, spark: SparkSession, name: str) -> bool:
+        return name in ((self.manifest(spark) or {}).get("tables") or {})
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/{self.version(spark)}/{name}")
-
-    def publish(self, spark: SparkSession, tables: dict[str, DataFrame]) -> str:
-        """Write all given tables as a new version (others are taken over from the current one) and make it current."""
-        old, new = self.version(spark), uuid.uuid4().hex
-        for name in TABLES:
-            fs, path = _fs(spark, f"{self.root}/{old}/{name}")
-            if name in tables:
-                tables[name].write.parquet(f"{self.root}/{new}/{name}")
-            elif old and fs.exists(path):
-                spark.read.parquet(f"{self.root}/{old}/{name}").write.parquet(f"{self.root}/{new}/{name}")
-        spark.createDataFrame([(new, SCHEMA_VERSION)], "version string, schema_version int").coalesce(1).write.parquet(f"{self.root}/manifest-{new}")
-        fs, path = _fs(spark, f"{self.root}/manifest")
-        fs.delete(path, True)
-        fs.rename(_fs(spark, f"{self.root}/manifest-{new}")[1], path)
-        return new
+        return self.read_all(spark, name)[name]
+
+    def read_all(self, spark: SparkSession, *names: str) -> dict[str, DataFrame]:
+        """Tables of one version (all that it has, if none are named)."""
+        found = self.manifest(spark)
+        if found is None:
+            raise FileNotFoundError(f"no index in {self.root}")
+        return {n: spark.read.parquet(f"{self.root}/{found['tables'][n]}") for n in names or found["tables"]}
+
+    def publish(self, spark: SparkSession, tables: dict[str, DataFrame], schema_version: int = SCHEMA_VERSION) -> str:
+        """Write the given tables as a new version; the others stay as they are in the current one, without being written again."""
+        n, version = self.number(spark), uuid.uuid4().hex
+        old = self.manifest(spark, n) if n else None
+        named = dict(old["tables"]) if old else {}
+        for name in tables:
+            named[name] = f"data/{version}/{name}"
+            writer = tables[name].write
+            (writer.partitionBy("bucket") if "bucket" in tables[name].columns else writer).parquet(f"{self.root}/{named[name]}")
+        fs, draft = _fs(spark, f"{self.root}/manifests/draft-{version}")
+        out = fs.create(draft, False)
+        try:
+            out.write(bytearray(json.dumps({"schema_version": schema_version, "version": version, "tables": named}).encode()))
+        finally:
+            out.close()
+        _, final = _fs(spark, f"{self.root}/manifests/{n + 1}")
+        if fs.exists(final) or not fs.rename(draft, final):
+            raise PublishConflict(f"version {n + 1} of {self.root} was published by another writer")
+        return version
+
+    def migrate(self, spark: SparkSession) -> bool:
+        """Bring an older schema to this one; whether there was anything to do."""
+        found = self.manifest(spark)
+        if found is None or found["schema_version"] >= SCHEMA_VERSION:
+            return False
+        self.publish(spark, {"sources": migrated(self.read(spark, "sources"))})
+        return True
 
 
 def _fs(spark: SparkSession, path: str):
@@ -65,6 +115,80 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
+# ---- lookups
+
+
+def sources_by(sources: DataFrame, column: str, values: list) -> DataFrame:
+    """Sources of these ids, uids or paths."""
+    if column not in ("source_id", "uid", "path"):
+        raise ValueError(f"sources are looked up by source_id, uid or path, not {column}")
+    return sources.filter(F.col(column).isin(list(values)))
+
+
+def listed_sources(sources: DataFrame, status: str | None = None) -> DataFrame:
+    return sources if status is None else sources.filter(F.col("status") == status)
+
+
+def chunks_of(chunks: DataFrame, source_ids: list[int]) -> DataFrame:
+    """The chunks of these sources with their places in order."""
+    own = chunks.filter(F.col("source_id").isin(list(source_ids)))
+    return own.withColumn("position", F.row_number().over(Window.partitionBy("source_id").orderBy("chunk_index")))
+
+
+def chunks_by_id(chunks: DataFrame, chunk_ids: list[int]) -> DataFrame:
+    return chunks.filter(F.col("chunk_id").isin(list(chunk_ids)))
+
+
+def tags_of(tags: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_id, tags): each source's distinct tags, sorted."""
+    return tags.join(sources.select("source_id"), "source_id", "left_semi").groupBy("source_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+
+
+def with_tags(tags: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tags with more (source_id, tag), one row: how many were new)."""
+    fresh = more.select("source_id", "tag").distinct().join(tags, ["source_id", "tag"], "left_anti")
+    return tags.select("source_id", "tag").unionByName(fresh), fresh.agg(F.count("*").alias("added"))
+
+
+def linked(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """edges with more (src_id, target_path, dst_id); a link that is there already stays as it is."""
+    return inserted_or_ignored(edges, more, ["src_id", "target_path"])
+
+
+def unlinked(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """edges without those out of these sources."""
+    return edges.join(sources.select(F.col("source_id").alias("src_id")).distinct(), "src_id", "left_anti").select(*edges.columns)
+
+
+def inserted(sources: DataFrame, rows: DataFrame, now: Column | None = None) -> DataFrame:
+    """sources with rows (path, ...) added: next numbers in path order, unprocessed unless they say otherwise; paths that are there already are an error."""
+    if not rows.join(sources.select("path"), "path", "left_semi").isEmpty() or rows.groupBy("path").count().filter("count > 1").count():
+        raise ValueError("a source of that path exists")
+    from notelake.sources.vault import numbered
+
+    top = sources.agg(F.coalesce(F.max("source_id"), F.lit(0)).alias("m")).first()["m"]
+    when = now if now is not None else F.current_timestamp()
+    given = numbered(rows, top + 1)
+    defaults = {"status": F.lit("unprocessed"), "created_at": when, "updated_at": when, "uid": uid_of(F.col("path"), F.col("source_id"))}
+    given = given.withColumns({c: v for c, v in defaults.items() if c not in given.columns})
+    return sources.unionByName(given.select(*[F.col(c) if c in given.columns else F.lit(None).cast(sources.schema[c].dataType).alias(c) for c in sources.columns]))
+
+
+def uid_of(path: Column, source_id: Column) -> Column:
+    """A source's lasting name, made once when it is added: it stays when the path changes."""
+    return F.sha2(F.concat_ws("\u0000", path, source_id.cast("string")), 256)
+
+
+def renamed(sources: DataFrame, moves: DataFrame) -> DataFrame:
+    """sources after moves (old_path, new_path): the path changes, number and uid stay."""
+    m = moves.select(F.col("old_path").alias("path"), F.col("new_path").alias("_new"))
+    out = sources.join(m, "path", "left")
+    return out.withColumn("path", F.coalesce("_new", "path")).select(*sources.columns)
+
+
+# ---- changes
+
+
 def migrated(sources: DataFrame) -> DataFrame:
     """Sources of schema 1 with the columns that schema 2 added."""
     out = sources
@@ -148,6 +272,38 @@ def stats(sources: DataFrame, chunks: DataFrame, edges: DataFrame, suggestions:
     return long.agg(*[F.max(F.when(F.col("k") == c, F.col("v"))).alias(c) for c in names])
 
 
+# ---- suggestions
+
+
+def suggested(suggestions: DataFrame, rows: DataFrame, at: Column | None = None) -> DataFrame:
+    """suggestions with rows (source_note_id, target_note_id, score, reason) added as pending, numbered onwards by pair.
+
+    A pair that is pending already, or repeated, is left out.
+    """
+    new = rows.groupBy("source_note_id", "target_note_id").agg(F.max(F.struct("score", "reason")).alias("s"))
+    new = new.join(suggestions.filter("status = 'pending'").select("source_note_id", "target_note_id"), ["source_note_id", "target_note_id"], "left_anti")
+    top = suggestions.agg(F.coalesce(F.max("suggestion_id"), F.lit(0)).alias("m"))
+    # pairs of one source are numbered together, sources by the running sum of their pairs (one short row for each source)
+    per = new.groupBy("source_note_id").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("source_note_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("source_note_id").orderBy("target_note_id"))
+    new = new.withColumn("place", place).join(per.withColumn("before", before).drop("n"), "source_note_id").join(F.broadcast(top))
+    when = at if at is not None else F.current_timestamp()
+    new = new.select((F.col("m") + F.col("before") + F.col("place")).alias("suggestion_id"), "source_note_id", "target_note_id", F.col("s.score").alias("score"), F.col("s.reason").alias("reason"), F.lit("pending").alias("status"), when.alias("created_at"), F.lit(None).cast("timestamp").alias("resolved_at"))
+    return suggestions.unionByName(new.select(*suggestions.columns))
+
+
+def pending(suggestions: DataFrame) -> DataFrame:
+    """Pending suggestions, best score first, ties by number."""
+    return suggestions.filter("status = 'pending'").orderBy(F.desc("score"), "suggestion_id")
+
+
+def is_pending(suggestions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (source_note_id, target_note_id) with a flag."""
+    known = suggestions.filter("status = 'pending'").select("source_note_id", "target_note_id").distinct().withColumn("is_pending", F.lit(True))
+    return pairs.join(known, ["source_note_id", "target_note_id"], "left").withColumn("is_pending", F.coalesce("is_pending", F.lit(False)))
+
+
 def resolved_suggestions(suggestions: DataFrame, decisions: DataFrame, at: Column | None = None) -> DataFrame:
     """Pending suggestions take the decision (suggestion_id, decision) approved or rejected; others stay as they are."""
     d = decisions.groupBy("suggestion_id").agg(F.min("decision").alias("decision"))

@@ -6,14 +6,19 @@ vectors, conversations are sources of several chunks, events serve as file chang
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
 from notelake.operators import chunk, evaluate, fts, fuse, links, search, store
 from notelake.operators.knn import knn
+from notelake.plans import index as I
 from notelake.plans.index import with_lines
-from notelake.session import table
+from notelake.session import shared_dir, table, written
 from notelake.sources import sinks, vault
 
 QUERIES: dict = {}
@@ -83,13 +88,31 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return links.resolve(raw_links(n), n.select("source_id", "path", "aliases"))
 
 
-def index(spark: SparkSession, sf: str) -> search.Index:
-    n = parsed(spark, sf).select("source_id", "path", "title", "aliases", "tags", "links")
-    e = links.resolve(raw_links(n), n).persist()
-    sources = n.drop("links").join(links.indegree(e, n), "source_id").persist()
+def index_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The vault's index: one chunk for each note, its text, and the vectors of the embeddings table."""
+    n = written(parsed(spark, sf).select("source_id", "path", "title", "aliases", "tags", "links"), "index-notes")
+    e = written(links.resolve(raw_links(n), n), "index-edges")
+    sources = n.drop("links").join(links.indegree(e, n), "source_id")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("source_id"), F.col("text").alias("content"))
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(docs.select("chunk_id"), "chunk_id", "left_semi")
-    return search.Index(sources, docs, vectors, e)
+    return {"sources": sources, "chunks": docs, "vectors": vectors, "edges": e, **I.text_tables(docs, n)}
+
+
+def stored(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The same from a store in the shared folder, which is made when these tables are first asked for and again when they change."""
+    stamps = []
+    for name in ("documents", "embeddings"):
+        fs, path = store._fs(spark, f"{sf}/{name}.parquet")
+        status = fs.getFileStatus(path)
+        stamps += [str(path), status.getModificationTime(), fs.getContentSummary(path).getLength()]
+    st = store.Store(f"{shared_dir(spark)}/index-{hashlib.md5(repr(stamps).encode()).hexdigest()}")
+    if st.version(spark) is None:
+        st.publish(spark, index_tables(spark, sf))
+    return st.read_all(spark)
+
+
+def index(spark: SparkSession, sf: str) -> search.Index:
+    return I.opened(stored(spark, sf))
 
 
 def vector_of(spark: SparkSession, sf: str, vec_id: int) -> list:
@@ -111,8 +134,7 @@ def _(spark, sf):
 
 @query("term_df", f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(t) AS term FROM ({DOCS}) q) x GROUP BY term")
 def _(spark, sf):
-    p = fts.postings(table(spark, sf, "documents"), "doc_id", F.col("text"))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index(spark, sf).text.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
 @query("token_estimate", "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, CAST(floor((length(text) - c) / 4.0 + c / 1.5) AS BIGINT)) END AS tokens FROM (SELECT doc_id, text, length(regexp_replace(text, '[^㐀-鿿豈-﫿]', '', 'g')) AS c FROM documents) q")
@@ -130,7 +152,7 @@ def _(spark, sf):
 
 def _bm25(q: str, lenient: bool = False):
     def run(spark, sf):
-        return fts.bm25(table(spark, sf, "documents"), "doc_id", {"content": F.col("text")}, [(1, q)], 50, lenient).select("doc_id", r6("score"))
+        return fts.hits(index(spark, sf).text, [(1, q)], 50, lenient).select(F.col("chunk_id").alias("doc_id"), r6("score"))
 
     return run
 
@@ -149,17 +171,52 @@ query("bm25_initial", _bm25_sql(["CASE WHEN t[1] = 'the' THEN 1 ELSE 0 END"], "f
 query("bm25_syntax_error", "SELECT doc_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE false")(_bm25("don't break"))
 query("bm25_lenient", _bm25_sql([has("t", "that"), has("t", "as")], "f0 > 0 AND f1 > 0"))(_bm25("that, as?", True))
 
+NEAR = "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = '{a}' AND len(list_filter(range(greatest(1, i - 3), least(len(t), i + 3) + 1), lambda j: t[j] = '{b}' AND ((j > i AND j - i - 1 <= 2) OR (j < i AND i - j - 1 <= 2)))) > 0))"
+
+
+def _near_sql():
+    """Counts inside stretches, document frequencies of the words alone."""
+    ts, near = [has("t", "the"), has("t", "that")], [NEAR.format(a="the", b="that"), NEAR.format(a="that", b="the")]
+    idf = lambda i: f"CASE WHEN ln((r - d{i} + 0.5) / (d{i} + 0.5)) > 0 THEN ln((r - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END"
+    total = " + ".join(f"({idf(i)}) * (n{i} * 2.2) / (n{i} + 1.2 * (0.25 + 0.75 * sz / av))" for i in range(2))
+    return f"""WITH c AS (SELECT doc_id, len(t) AS sz, {ts[0]} AS f0, {ts[1]} AS f1, {near[0]} AS n0, {near[1]} AS n1 FROM ({DOCS}) q),
+s AS (SELECT count(*) AS r, CAST(sum(sz) AS DOUBLE) / count(*) AS av, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM c)
+SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, -({total}) AS score FROM c, s WHERE n0 > 0 AND n1 > 0 ORDER BY score, doc_id LIMIT 50) x"""
+
+
+query("bm25_near", _near_sql())(_bm25("NEAR(the that, 2)"))
+
+HAN_TEXT = "CASE doc_id % 3 WHEN 0 THEN ' 向量数据库 ＡＢＣ' WHEN 1 THEN '，数据向量' ELSE ' 你好' END"
+HAN_TOKENS = f"list_concat({toks('text')}, CASE doc_id % 3 WHEN 0 THEN ['向量', '量数', '数据', '据库', 'abc'] WHEN 1 THEN ['数据', '据向', '向量'] ELSE ['你好'] END)"
+HAN_PHRASE = "len(list_filter(range(1, len(t)), lambda i: t[i] = '数据' AND t[i + 1] = '据库'))"
+
+
+def _han(q: str):
+    def run(spark, sf):
+        d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " 向量数据库 ＡＢＣ").when(F.col("doc_id") % 3 == 1, "，数据向量").otherwise(" 你好")).alias("text"))
+        return fts.bm25(d, "doc_id", {"content": F.col("text")}, [(1, q)]).select("doc_id", r6("score"))
+
+    return run
+
+
+def _han_sql(parts, where):
+    return f"WITH {bm25('h', f'SELECT doc_id, {HAN_TOKENS} AS t FROM documents', 'doc_id', parts, where)} SELECT doc_id, round(score, 6) AS score FROM h"
+
+
+query("bm25_cjk", _han_sql([has("t", "向量")], "f0 > 0"))(_han("向量"))
+query("bm25_cjk_phrase", _han_sql([HAN_PHRASE, has("t", "abc")], "f0 > 0 AND f1 > 0"))(_han("数据库 ａｂｃ"))
+
 TITLES = f"SELECT source_id, {toks('title')} AS t, {toks('alias')} AS u FROM v"
 
 
 @query("title_bm25", f"WITH {VAULT}, {bm25('h', TITLES, 'source_id', [has('t', 'the') + ' + ' + has('u', 'the'), has('t', 'of') + ' + ' + has('u', 'of')], 'f0 > 0 AND f1 > 0', size='len(t) + len(u)')} SELECT source_id, round(score, 6) AS score FROM h")
 def _(spark, sf):
-    return search.title_hits(search.Index(parsed(spark, sf), None, None, None), [(1, "the of")], 50).select("source_id", r6("score"))
+    return search.title_hits(index(spark, sf), [(1, "the of")], 50).select("source_id", r6("score"))
 
 
 @query("title_bm25_column", f"WITH {VAULT}, {bm25('h', TITLES, 'source_id', [has('u', 'd7')], 'f0 > 0', size='len(t) + len(u)')} SELECT source_id, round(score, 6) AS score FROM h")
 def _(spark, sf):
-    return search.title_hits(search.Index(parsed(spark, sf), None, None, None), [(1, "aliases: d7")], 50).select("source_id", r6("score"))
+    return search.title_hits(index(spark, sf), [(1, "aliases: d7")], 50).select("source_id", r6("score"))
 
 
 CONV = f"SELECT conv_id * 100000 + turn AS chunk_id, {toks('text')} AS t FROM conversations"
@@ -172,21 +229,27 @@ def _(spark, sf):
     return fuse.best_chunk(h, "score").select("source_id", "chunk_id", r6("score"))
 
 
-@query("bm25_batch_postings", f"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_slice({toks('text')}, 1, 2))) AS term FROM benchmark),
-need AS (SELECT query_id, count(*) AS need FROM q GROUP BY query_id),
+@query("bm25_batch_postings", f"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct({toks('text')})) AS term FROM benchmark),
 d AS ({DOCS}), s AS (SELECT count(*) AS r, CAST(sum(len(t)) AS DOUBLE) / count(*) AS av FROM d),
 p AS (SELECT doc_id, len(t) AS sz, unnest(t) AS term FROM d), pt AS (SELECT term, doc_id, sz, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM pt GROUP BY term),
 x AS (SELECT query_id, doc_id, count(*) AS n, -sum((CASE WHEN ln((r - df + 0.5) / (df + 0.5)) > 0 THEN ln((r - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sz / av))) AS score
   FROM q JOIN df USING (term) JOIN pt USING (term), s GROUP BY query_id, doc_id),
-k AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS k FROM x JOIN need USING (query_id) WHERE n = need)
+k AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS k FROM x)
 SELECT query_id, doc_id, round(score, 6) AS score FROM k WHERE k <= 10""")
 def _(spark, sf):
-    d = table(spark, sf, "documents")
-    size = d.agg(F.count("*").alias("n"), F.sum(F.size(T.tokens("text"))).alias("total")).first()
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens("text"), 1, 2), " ").alias("query"))
-    hits = fts.bm25_postings(fts.postings(d, "doc_id", F.col("text")), "doc_id", size["n"], size["total"], q, None)
-    return fts.top(hits.withColumn("_s", F.round("score", 9)), ["_s", "doc_id"], 10).select("query_id", "doc_id", r6("score"))
+    asked = table(spark, sf, "benchmark").select("item_id", T.tokens("text").alias("t")).collect()  # the query set
+    queries = [(r["item_id"], " OR ".join(f'"{t}"' for t in dict.fromkeys(r["t"]))) for r in asked]
+    hits = fts.hits(index(spark, sf).text, queries, None).withColumn("_s", F.round("score", 9))
+    return fts.top(hits, ["_s", "chunk_id"], 10).select("query_id", F.col("chunk_id").alias("doc_id"), r6("score"))
+
+
+@query("index_build", f"WITH {VAULT}, t AS (SELECT doc_id, unnest(t) AS term FROM ({DOCS}) q), u AS (SELECT source_id, unnest(t) AS term, 0 AS f FROM ({TITLES}) q UNION ALL SELECT source_id, unnest(u), 1 FROM ({TITLES}) q) SELECT * FROM (SELECT 'sources' AS name, count(*) AS n FROM v UNION ALL SELECT 'edges', count(*) FROM v v1, (SELECT unnest([0, 1]) AS i) x UNION ALL SELECT 'chunks', count(*) FROM v UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) UNION ALL SELECT 'text_postings', count(*) FROM (SELECT DISTINCT doc_id, term FROM t) x UNION ALL SELECT 'text_terms', count(DISTINCT term) FROM t UNION ALL SELECT 'name_postings', count(*) FROM (SELECT DISTINCT source_id, term, f FROM u) x UNION ALL SELECT 'name_terms', count(DISTINCT term) FROM u) z")
+def _(spark, sf):
+    st = store.Store(f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    st.publish(spark, index_tables(spark, sf))
+    one = lambda n, df: df.agg(F.lit(n).alias("name"), F.count("*").alias("n"))
+    return reduce(DataFrame.union, [one(n, df) for n, df in st.read_all(spark).items() if not n.endswith("_stats")])
 
 
 # ---- vectors
@@ -315,12 +378,12 @@ SELECT source_id, min(depth) AS depth FROM walk WHERE source_id <> 7 GROUP BY so
 
 @query("bfs_out", _bfs_sql("src_id", "dst_id"))
 def _(spark, sf):
-    return links.bfs(edges(spark, sf).persist(), 7, 3, "out")
+    return links.bfs(stored(spark, sf)["edges"], 7, 3, "out")
 
 
 @query("bfs_in", _bfs_sql("dst_id", "src_id"))
 def _(spark, sf):
-    return links.bfs(edges(spark, sf).persist(), 7, 3, "in")
+    return links.bfs(stored(spark, sf)["edges"], 7, 3, "in")
 
 
 @query("forward_refs", f"WITH {VAULT} SELECT src_id, target_path, dst_id FROM e WHERE src_id % 3 = 0")
@@ -334,17 +397,17 @@ def _(spark, sf):
 TEXT, VEC = "that as", 3
 
 
-def ranks_sql(filters: str = "true", k: int = 50, text: tuple[str, str] = ("that", "as")) -> str:
+def ranks_sql(filters: str = "true", k: int = 50, text: tuple[str, ...] = ("that", "as"), vec_weight: float = 1.0) -> str:
     ts = [has("t", x) for x in text]
     both = [f"{has('t', x)} + {has('u', x)}" for x in text]
-    where = "f0 > 0 AND f1 > 0"
+    where = " AND ".join(f"f{i} > 0" for i in range(len(text)))
     return f"""{VAULT}, {bm25('h', DOCS, 'doc_id', ts, where)}, {bm25('ti', TITLES, 'source_id', both, where, size='len(t) + len(u)')},
 nn AS (SELECT a.vec_id AS chunk_id, {COS} AS distance FROM embeddings a, embeddings b WHERE b.vec_id = {VEC} AND a.vec_id IN (SELECT doc_id FROM documents) ORDER BY {COS}, a.vec_id LIMIT {k}),
 c0 AS (SELECT doc_id AS source_id, 'bm25' AS channel, row_number() OVER (ORDER BY score, doc_id) AS rank FROM h
   UNION ALL SELECT chunk_id, 'vector', row_number() OVER (ORDER BY distance, chunk_id) FROM nn UNION ALL SELECT source_id, 'title', row_number() OVER (ORDER BY score, source_id) FROM ti),
 c1 AS (SELECT c0.* FROM c0 JOIN v USING (source_id) WHERE {filters}),
 ranks AS (SELECT * FROM c1 UNION ALL SELECT source_id, 'indegree', row_number() OVER (ORDER BY indegree DESC, source_id) FROM (SELECT DISTINCT source_id FROM c1) p JOIN deg USING (source_id)),
-fused AS (SELECT source_id, sum((CASE channel WHEN 'title' THEN 1.5 WHEN 'indegree' THEN 0.3 ELSE 1.0 END) / (60 + rank)) AS score FROM ranks GROUP BY source_id),
+fused AS (SELECT source_id, sum((CASE channel WHEN 'title' THEN 1.5 WHEN 'indegree' THEN 0.3 WHEN 'vector' THEN {vec_weight} ELSE 1.0 END) / (60 + rank)) AS score FROM ranks GROUP BY source_id),
 ck AS (SELECT f.*, coalesce(h.doc_id, nn.chunk_id) AS ck FROM fused f LEFT JOIN h ON h.doc_id = f.source_id LEFT JOIN nn ON nn.chunk_id = f.source_id),
 pos AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, ck IS NULL, source_id) AS position FROM (SELECT * FROM ck ORDER BY round(score, 12) DESC, source_id LIMIT {{cut}}) x)"""
 
@@ -408,15 +471,34 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "query string, state string").select("query", "state", k.alias("k"), reason.alias("reason"))
 
 
-@query("graph_expand", f"""WITH {ranks_sql(k=200).format(cut=10)}, base AS (SELECT position, source_id, coalesce(ck, 0) AS chunk_id, score FROM pos),
+@query("graph_expand", f"""WITH {ranks_sql(k=200, vec_weight=3.0).format(cut=30)}, base AS (SELECT position, source_id, coalesce(ck, 0) AS chunk_id, ck, score FROM pos),
 seeds AS (SELECT source_id AS s FROM base WHERE position <= 3),
 nb AS (SELECT DISTINCT x AS source_id FROM (SELECT dst_id AS x FROM e JOIN seeds ON src_id = s UNION ALL SELECT src_id FROM e JOIN seeds ON dst_id = s) y WHERE x NOT IN (SELECT source_id FROM base)),
-more AS (SELECT source_id, chunk_id, 0.7 / (60 + row_number() OVER (ORDER BY distance, source_id)) AS score FROM nb JOIN nn ON nn.chunk_id = nb.source_id),
-u AS (SELECT * FROM base UNION ALL SELECT 1073741824, source_id, chunk_id, score FROM more),
-z AS (SELECT row_number() OVER (ORDER BY round(score, 12) DESC, position, source_id) AS position, source_id, chunk_id, score FROM u)
-SELECT position, source_id, chunk_id, path, title, text AS content, round(score, 6) AS score, indegree FROM z JOIN v USING (source_id) JOIN deg USING (source_id) WHERE position <= 10""")
+more AS (SELECT source_id, chunk_id, 0.7 * 3.0 / (60 + row_number() OVER (ORDER BY distance, source_id)) AS score FROM nb JOIN nn ON nn.chunk_id = nb.source_id),
+u AS (SELECT * FROM base UNION ALL SELECT 1073741824, source_id, chunk_id, chunk_id, score FROM more),
+z AS (SELECT row_number() OVER (ORDER BY round(score, 12) DESC, position, source_id) AS position, source_id, chunk_id, ck, score, position > 1000000 AS expanded FROM u)
+SELECT position, source_id, chunk_id, path, title, CASE WHEN ck IS NULL THEN CASE WHEN title = '' THEN path ELSE title END ELSE text END AS content, round(score, 6) AS score, indegree FROM z JOIN v USING (source_id) JOIN deg USING (source_id) WHERE position <= 30""")
 def _(spark, sf):
-    return _hybrid(expand=True)(spark, sf)
+    return _hybrid(expand=True, vec_weight=3.0, top_k=30)(spark, sf)
+
+
+def metadata_sql(text: tuple[str, ...]) -> str:
+    """The query's only metadata seed is the note of its alias d123."""
+    return f"""WITH {ranks_sql(text=text).format(cut=10)},
+br AS (SELECT coalesce((SELECT r FROM (SELECT source_id, row_number() OVER (ORDER BY round(score, 12) DESC, source_id) AS r FROM fused) b WHERE source_id = 123), 9999) AS br),
+cand AS (SELECT source_id, min(seen) AS seen FROM (SELECT CAST(123 AS BIGINT) AS source_id, '0' AS seen
+  UNION ALL SELECT dst_id, '1' || target_path FROM e, br WHERE src_id = 123 AND br >= 4 UNION ALL SELECT src_id, '2' || lpad(CAST(src_id AS VARCHAR), 20, '0') FROM e, br WHERE dst_id = 123 AND br >= 4) x GROUP BY source_id),
+m1 AS (SELECT source_id, 'metadata' AS channel, row_number() OVER (ORDER BY seen, source_id) AS rank FROM cand QUALIFY rank <= 8),
+c2 AS (SELECT * FROM c1 UNION ALL SELECT * FROM m1),
+r2 AS (SELECT * FROM c2 UNION ALL SELECT source_id, 'indegree', row_number() OVER (ORDER BY indegree DESC, source_id) FROM (SELECT DISTINCT source_id FROM c2) p JOIN deg USING (source_id)),
+f2 AS (SELECT source_id, sum((CASE channel WHEN 'title' THEN 1.5 WHEN 'indegree' THEN 0.3 ELSE 1.0 END) / (60 + rank)) AS score FROM r2 GROUP BY source_id),
+k2 AS (SELECT f2.*, coalesce(h.doc_id, nn.chunk_id) AS ck FROM f2 LEFT JOIN h ON h.doc_id = f2.source_id LEFT JOIN nn ON nn.chunk_id = f2.source_id),
+p2 AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, ck IS NULL, source_id) AS position FROM (SELECT * FROM k2 ORDER BY round(score, 12) DESC, source_id LIMIT 10) x)
+SELECT position, source_id, coalesce(ck, 0) AS chunk_id, path, v.title, CASE WHEN ck IS NULL THEN CASE WHEN v.title = '' THEN path ELSE v.title END ELSE text END AS content, round(score, 6) AS score, indegree FROM p2 JOIN v USING (source_id) JOIN deg USING (source_id)"""
+
+
+query("metadata_expansion", metadata_sql(("d123", "d156")))(_hybrid("d123 d156", metadata=True))
+query("metadata_ambiguous", metadata_sql(("the", "dans", "d123")))(_hybrid("the dans d123", metadata=True))
 
 
 @query("metadata_terms", "SELECT unnest(['hybrid search', 'search for', 'for notes', 'hybrid', 'search', 'for', 'notes']) AS term")
@@ -517,14 +599,14 @@ def _runs(spark, sf):
     w = Window.partitionBy("conv_id")
     c = table(spark, sf, "conversations").withColumn("first", F.min("turn").over(w))
     hits = c.filter("turn > first").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x")).select("conv_id", T.tokens(F.array_join(F.transform("x", lambda s: s["text"]), " ")).alias("hits"))
-    want = c.filter("turn = first").select("conv_id", F.slice(F.array_distinct(T.tokens("text")), 1, 8).alias("expected"), F.array(F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")), F.lit("all")).alias("tags"))
+    want = c.filter("turn = first").select("conv_id", F.array_distinct(T.tokens("text")).alias("expected"), F.array(F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")), F.lit("all")).alias("tags"))
     return want.join(hits, "conv_id")
 
 
 RUNS = rf"""c AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations),
 hits AS (SELECT conv_id, {toks("string_agg(text, ' ' ORDER BY turn, text)")} AS hits FROM c WHERE turn > first GROUP BY conv_id),
 firsts AS (SELECT conv_id, {toks('text')} AS t0 FROM c WHERE turn = first),
-want AS (SELECT conv_id, list_slice(list_filter(t0, lambda x, i: list_position(t0, x) = i), 1, 8) AS expected FROM firsts),
+want AS (SELECT conv_id, list_filter(t0, lambda x, i: list_position(t0, x) = i) AS expected FROM firsts),
 runs AS (SELECT want.*, hits, list_slice(hits, 1, 10) AS h10, list_slice(hits, 1, 5) AS h5 FROM want JOIN hits USING (conv_id)),
 rk AS (SELECT *, list_filter(range(1, 11), lambda i: i <= len(h10) AND list_contains(expected, h10[i]) AND list_position(h10, h10[i]) = i) AS r FROM runs),
 m AS (SELECT conv_id, CASE WHEN len(expected) > 0 THEN len(r) / len(expected) ELSE 0 END AS recall_at_10, CASE WHEN len(r) > 0 THEN 1.0 / r[1] ELSE 0 END AS mrr,
@@ -579,3 +661,184 @@ def _(spark, sf):
 def _(spark, sf):
     e = table(spark, sf, "events").select(F.when(F.col("event_id") % 3 != 0, 5 + 15 * (F.col("event_id") % 2)).alias("resolved_rerank_k"))
     return evaluate.rerank_histogram(e)
+
+
+# ---- lookups, inserts and the index over time
+
+
+@query("source_lookup", f"WITH {VAULT} SELECT 'path' AS kind, source_id, path FROM v WHERE source_id IN (3, 77) UNION ALL SELECT 'source_id', source_id, path FROM v WHERE source_id IN (5, 8) UNION ALL SELECT 'uid', source_id, path FROM v WHERE source_id = 11")
+def _(spark, sf):
+    n = notes(spark, sf).withColumn("uid", store.uid_of(F.col("path"), F.col("source_id")))
+    row = n.filter("source_id in (3, 77, 11)").select("source_id", "path", "uid").collect()
+    asked = {"path": [r["path"] for r in row if r["source_id"] != 11], "source_id": [5, 8], "uid": [r["uid"] for r in row if r["source_id"] == 11]}
+    return reduce(DataFrame.union, [store.sources_by(n, k, v).select(F.lit(k).alias("kind"), "source_id", "path") for k, v in asked.items()])
+
+
+@query("list_sources", "SELECT doc_id AS source_id, CASE WHEN lang = 'fr' THEN 'unprocessed' ELSE 'indexed' END AS status FROM documents WHERE lang <> 'fr'")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.when(F.col("lang") == "fr", "unprocessed").otherwise("indexed").alias("status"))
+    return store.listed_sources(d, "indexed")
+
+
+def _conv_chunks(spark, sf):
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("source_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("content"))
+
+
+@query("chunks_of_sources", "SELECT conv_id AS source_id, conv_id * 100000 + turn AS chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, text AS content FROM conversations WHERE conv_id IN (1, 4, 9)")
+def _(spark, sf):
+    return store.chunks_of(_conv_chunks(spark, sf), [1, 4, 9]).select("source_id", "chunk_id", F.col("position").cast("long").alias("position"), "content")
+
+
+@query("chunk_lookup", "SELECT conv_id * 100000 + turn AS chunk_id, text AS content FROM conversations WHERE (conv_id = 2 AND turn = 1) OR (conv_id = 7 AND turn = 0)")
+def _(spark, sf):
+    return store.chunks_by_id(_conv_chunks(spark, sf), [200001, 700000]).select("chunk_id", "content")
+
+
+@query("tags_of_sources", f"WITH {VAULT} SELECT source_id, array_to_string(list_sort([lang, source]), '|') AS tags FROM v WHERE source_id % 4 = 1")
+def _(spark, sf):
+    n = parsed(spark, sf).select("source_id", "tags")
+    return store.tags_of(n.select("source_id", F.explode("tags").alias("tag")), n.filter("source_id % 4 = 1")).select("source_id", F.array_join("tags", "|").alias("tags"))
+
+
+@query("tags_insert_or_ignore", "SELECT (SELECT count(*) FROM documents WHERE lang <> 'en') + (SELECT count(*) FROM documents) AS added, (SELECT count(*) FROM documents) * 2 AS total")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    have = d.filter("lang = 'en'").select(F.col("doc_id").alias("source_id"), F.lit("en").alias("tag"))
+    more = d.select(F.col("doc_id").alias("source_id"), F.explode(F.array("lang", "source", "lang")).alias("tag"))
+    now, added = store.with_tags(have, more)
+    return added.join(F.broadcast(now.agg(F.count("*").alias("total"))))
+
+
+@query("links_insert_or_ignore", f"WITH {VAULT} SELECT src_id, target_path, CASE WHEN src_id % 2 = 0 THEN dst_id ELSE -7 END AS dst_id FROM e")
+def _(spark, sf):
+    e = stored(spark, sf)["edges"]
+    return store.linked(e.filter("src_id % 2 = 0"), e.withColumn("dst_id", F.lit(-7).cast("long")))
+
+
+@query("links_delete", f"WITH {VAULT} SELECT src_id, target_path, dst_id FROM e WHERE src_id % 5 <> 0")
+def _(spark, sf):
+    return store.unlinked(stored(spark, sf)["edges"], table(spark, sf, "documents").filter("doc_id % 5 = 0").select(F.col("doc_id").alias("source_id")))
+
+
+@query("source_insert", f"WITH {VAULT} SELECT source_id, path, 'indexed' AS status FROM v WHERE source_id % 2 = 0 UNION ALL SELECT (SELECT max(source_id) FROM v WHERE source_id % 2 = 0) + row_number() OVER (ORDER BY string_split(path, '/')), path, 'unprocessed' FROM v WHERE source_id % 2 = 1")
+def _(spark, sf):
+    n = notes(spark, sf)
+    old = n.filter("source_id % 2 = 0").select("source_id", "path", F.lit("indexed").alias("status"))
+    return store.inserted(old, n.filter("source_id % 2 = 1").select("path"))
+
+
+@query("source_update", f"WITH {VAULT} SELECT source_id, CASE WHEN lang = 'de' THEN 'unprocessed' ELSE 'indexed' END AS status, CASE WHEN lang = 'de' THEN upper(title) ELSE title END AS title FROM (SELECT source_id, lang, CASE WHEN title = '' THEN 'doc-' || source_id ELSE title END AS title FROM v) x")
+def _(spark, sf):
+    n = parsed(spark, sf).select("source_id", "title", F.lit("indexed").alias("status"), F.get("tags", F.lit(0)).alias("lang"))
+    return store.updated(n, F.col("lang") == "de", status="unprocessed", title=F.upper("title")).select("source_id", "status", "title")
+
+
+@query("rename_keeps_uid", f"WITH {VAULT} SELECT source_id, CASE WHEN source_id % 3 = 0 THEN 'moved/' || path ELSE path END AS path, sha256(path || chr(0) || source_id) AS uid FROM v")
+def _(spark, sf):
+    n = notes(spark, sf).withColumn("uid", store.uid_of(F.col("path"), F.col("source_id"))).select("source_id", "path", "uid")
+    return store.renamed(n, n.filter("source_id % 3 = 0").select(F.col("path").alias("old_path"), F.concat(F.lit("moved/"), "path").alias("new_path")))
+
+
+@query("suggestion_insert", f"""WITH {VAULT}, new AS (SELECT DISTINCT src_id, dst_id FROM e WHERE src_id % 10 = 3 AND NOT (dst_id = src_id + 1 AND EXISTS (SELECT 1 FROM labels WHERE doc_id = src_id AND toxic <> 1)))
+SELECT doc_id AS suggestion_id, doc_id AS source_note_id, doc_id + 1 AS target_note_id, CASE WHEN toxic = 1 THEN 'rejected' ELSE 'pending' END AS status FROM labels
+UNION ALL SELECT (SELECT max(doc_id) FROM labels) + row_number() OVER (ORDER BY src_id, dst_id), src_id, dst_id, 'pending' FROM new""")
+def _(spark, sf):
+    old = _suggestions(spark, sf).withColumns({"score": F.lit(0.5), "reason": F.lit(None).cast("string"), "created_at": F.current_timestamp(), "resolved_at": F.lit(None).cast("timestamp")})
+    rows = stored(spark, sf)["edges"].filter("src_id % 10 = 3").select(F.col("src_id").alias("source_note_id"), F.col("dst_id").alias("target_note_id"), F.lit(0.9).alias("score"), F.col("target_path").alias("reason"))
+    return store.suggested(old, rows).select("suggestion_id", "source_note_id", "target_note_id", "status")
+
+
+@query("suggestions_pending", "SELECT row_number() OVER (ORDER BY (doc_id * 7) % 101 DESC, doc_id) AS position, doc_id AS suggestion_id FROM labels WHERE toxic <> 1")
+def _(spark, sf):
+    s = _suggestions(spark, sf).withColumn("score", ((F.col("suggestion_id") * 7) % 101).cast("double"))
+    return store.pending(s).select(F.row_number().over(Window.orderBy(F.desc("score"), "suggestion_id")).cast("long").alias("position"), "suggestion_id")
+
+
+@query("suggestion_probe", "SELECT doc_id AS source_note_id, doc_id + 1 + doc_id % 2 AS target_note_id, coalesce(doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic <> 1), false) AS is_pending FROM documents")
+def _(spark, sf):
+    pairs = table(spark, sf, "documents").select(F.col("doc_id").alias("source_note_id"), (F.col("doc_id") + 1 + F.col("doc_id") % 2).alias("target_note_id"))
+    return store.is_pending(_suggestions(spark, sf), pairs)
+
+
+@query("ingest_stats", "SELECT count(*) FILTER (doc_id % 7 <> 0 AND (doc_id % 11 = 0 OR doc_id % 5 = 0)) AS ingested, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 5 <> 0) AS unchanged, count(*) FILTER (doc_id % 7 = 0 AND doc_id % 11 <> 0) AS pruned FROM documents")
+def _(spark, sf):
+    c = F.col("change")
+    return store.changes(_files(spark, sf), _indexed(spark, sf)).agg(F.count_if(c.isin("new", "changed")).alias("ingested"), F.count_if(c == "unchanged").alias("unchanged"), F.count_if(c == "gone").alias("pruned"))
+
+
+@query("incremental_index", f"""WITH {VAULT}, was AS (SELECT *, sha256(path || chr(0) || source_id) AS uid FROM w WHERE source_id % 11 <> 0), now AS (SELECT * FROM w WHERE source_id % 7 <> 0),
+fresh AS (SELECT path, (SELECT max(source_id) FROM was) + row_number() OVER (ORDER BY string_split(path, '/')) AS source_id FROM now WHERE source_id % 11 = 0)
+SELECT coalesce(was.source_id, fresh.source_id) AS source_id, now.path, coalesce(was.uid, sha256(now.path || chr(0) || fresh.source_id)) AS uid, sha256(CASE WHEN now.source_id % 5 = 0 THEN now.content || '!' ELSE now.content END) AS content_hash
+FROM now LEFT JOIN was USING (path) LEFT JOIN fresh USING (path)""")
+def _(spark, sf):
+    before = I.build(_indexed(spark, sf).drop("content_hash"))
+    before = {n: written(t, f"incremental-{n}") for n, t in before.items()}
+    tables, _ = I.updated(before, _files(spark, sf))
+    return tables["sources"].select("source_id", "path", "uid", "content_hash")
+
+
+# ---- evaluation of searches
+
+
+def _specs(spark, sf) -> DataFrame:
+    paths = [r["path"] for r in notes(spark, sf).filter("source_id % 9 = 1 and source_id < 200").select("path").orderBy("source_id").collect()]
+    return vault.query_specs(spark, [{"query": TEXT, "expected_paths": paths, "tags": ["plain"]}])
+
+
+@query("eval_run", f"""WITH {ranks_sql().format(cut=10)}, x AS (SELECT list(position ORDER BY position) FILTER (pos.source_id % 9 = 1 AND pos.source_id < 200) AS r FROM pos), n AS (SELECT count(*) AS k FROM v WHERE source_id % 9 = 1 AND source_id < 200), y AS (SELECT coalesce(r, []) AS r, k FROM x, n)
+SELECT CAST(0 AS BIGINT) AS query_id, round(len(r) / k, 6) AS recall_at_10, round(CASE WHEN len(r) > 0 THEN 1.0 / r[1] ELSE 0 END, 6) AS mrr, round(len(list_filter(r, lambda i: i <= 5)) / 5.0, 6) AS precision_at_5,
+ round(coalesce(list_sum(list_transform(r, lambda i, j: j / i)), 0) / least(k, 10), 6) AS ap_at_10, round(coalesce(list_sum(list_transform(r, lambda i: 1 / log2(i + 1))), 0) / list_sum(list_transform(range(1, least(k, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg_at_10 FROM y""")
+def _(spark, sf):
+    vector = vector_of(spark, sf, VEC)
+    got = evaluate.run(index(spark, sf), _specs(spark, sf), search.Spec(), lambda q: vector)
+    return got.select("query_id", *map(r6, evaluate.METRICS))
+
+
+@query("eval_expected_ranks", f"""WITH {ranks_sql().format(cut=10)}, f AS (SELECT source_id, row_number() OVER (ORDER BY round(score, 12) DESC, source_id) AS rrf FROM fused)
+SELECT path, coalesce(max(rank) FILTER (channel = 'bm25'), 0) AS bm25, coalesce(max(rank) FILTER (channel = 'vector'), 0) AS vector, coalesce(max(rank) FILTER (channel = 'title'), 0) AS title, coalesce(max(rank) FILTER (channel = 'indegree'), 0) AS indegree, coalesce(max(rrf), 0) AS rrf
+FROM v LEFT JOIN ranks USING (source_id) LEFT JOIN f USING (source_id) WHERE v.source_id % 9 = 1 AND v.source_id < 200 GROUP BY path""")
+def _(spark, sf):
+    vector = vector_of(spark, sf, VEC)
+    got = evaluate.expected_ranks(index(spark, sf), _specs(spark, sf), search.Spec(), lambda q: vector)
+    return got.select("path", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("bm25", "vector", "title", "indegree", "rrf")])
+
+
+# ---- chunks of sentences
+
+CHUNKS = r"""WITH RECURSIVE d AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS x, length(text) - length(ltrim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS lead FROM documents),
+p AS (SELECT doc_id, lead, length(x) AS n, x, string_split(regexp_replace(x, '([.!?])[ 	
+
+]+', '' || chr(1), 'g'), chr(1)) AS s, regexp_extract_all(x, '[.!?][ 	
+
+]+') AS g FROM d WHERE x <> ''),
+q AS (SELECT doc_id, lead, n, CASE WHEN n // 4 > 100 THEN s ELSE [x] END AS s, CASE WHEN n // 4 > 100 THEN g ELSE [] END AS g FROM p),
+u AS (SELECT doc_id, i, lead + list_sum(list_concat([0], list_transform(s[1:i - 1], lambda y: length(y)))) + list_sum(list_concat([0], list_transform(g[1:i - 1], lambda y: length(y) - 1))) AS a, length(s[i]) AS n FROM (SELECT doc_id, lead, s, g, unnest(range(1, len(s) + 1)) AS i FROM q) z),
+w AS (SELECT doc_id, i, a, a + n AS b, CASE WHEN n = 0 THEN 0 ELSE greatest(1, n // 4) END AS t FROM u),
+walk AS (SELECT doc_id, i, a, b, t AS held, CAST(0 AS BIGINT) AS k FROM w WHERE i = 1
+  UNION ALL SELECT w.doc_id, w.i, w.a, w.b, CASE WHEN held + w.t > 100 THEN w.t ELSE held + w.t END, CASE WHEN held + w.t > 100 THEN k + 1 ELSE k END FROM walk JOIN w ON w.doc_id = walk.doc_id AND w.i = walk.i + 1),
+c AS (SELECT doc_id, k, min(a) AS a, max(b) AS b FROM walk GROUP BY doc_id, k),
+o AS (SELECT doc_id, k, greatest(a - {overlap}, coalesce(lag(a) OVER (PARTITION BY doc_id ORDER BY k), a)) AS a, b FROM c)
+SELECT doc_id AS source_id, k AS chunk_index, CAST(a AS BIGINT) AS char_start, CAST(b AS BIGINT) AS char_end, greatest(1, CAST(b - a AS BIGINT) // 4) AS token_count FROM o"""
+
+
+def _chunks(overlap: int):
+    def run(spark, sf):
+        d = table(spark, sf, "documents").withColumnRenamed("doc_id", "source_id")
+        c = chunk.chunked(d, F.col("text"), 100, overlap)
+        return c.select("source_id", *[F.col(x).cast("long").alias(x) for x in ("chunk_index", "char_start", "char_end", "token_count")])
+
+    return run
+
+
+query("chunk_sentences", CHUNKS.replace("{overlap}", "0"))(_chunks(0))
+query("chunk_overlap", CHUNKS.replace("{overlap}", "30"))(_chunks(30))
+
+
+@query("knn_finite", f"SELECT a.vec_id AS chunk_id, round({COS}, 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 3 AND a.vec_id % 3 <> 0 ORDER BY {COS}, a.vec_id LIMIT 50")
+def _(spark, sf):
+    """Vectors of length zero, null, short or not finite have no distance."""
+    e = table(spark, sf, "embeddings")
+    i, v = F.col("vec_id"), F.col("embedding")
+    bad = F.when(i % 12 == 0, F.transform(v, lambda x: x * 0)).when(i % 12 == 3, F.lit(None)).when(i % 12 == 6, F.slice(v, 1, 5)).when(i % 12 == 9, F.transform(v, lambda x: F.lit(float("nan")).cast("float"))).otherwise(v)
+    q = e.filter("vec_id = 3").select(F.lit(1).cast("long").alias("query_id"), v.alias("vector"))
+    return knn(e.select(i.alias("chunk_id"), bad.alias("embedding")), q, 50).select("chunk_id", r6("distance"))

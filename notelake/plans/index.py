@@ -1,4 +1,4 @@
-"""The index build as one DataFrame plan: files -> sources, tags, chunks, vectors, edges."""
+"""The index build as DataFrame plans: files -> sources, tags, chunks, vectors, edges and full-text indexes, whole or for what has changed."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.operators import chunk, links
-from notelake.operators.search import Index
+from notelake.functions.text import Tokenizer
+from notelake.operators import chunk, fts, links, search, store
+from notelake.session import parts_for, written
 from notelake.sources import vault
 
 
@@ -24,26 +25,113 @@ def hashing_embedder(dimension: int = 64) -> Callable[[Column], Column]:
     return embed
 
 
-def build(files: DataFrame, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0, mode: str = "compat") -> dict[str, DataFrame]:
+INDEXED = ("title", "aliases")  # of a source: its columns with an index of names
+
+
+def build(files: DataFrame, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0, mode: str = "compat", now: Column | None = None, tokenizer: Tokenizer | None = None) -> dict[str, DataFrame]:
     """Tables of a fresh index. files: (path, content[, source_id, mtime]).
 
     Sources are numbered in path order where they come without ids; an empty file is a source without chunks.
     """
+    when = now if now is not None else F.current_timestamp()
     notes = vault.parsed(files if "source_id" in files.columns else vault.numbered(files))
-    raw = notes.select(F.col("source_id").alias("src_id"), F.explode("links").alias("target_path"))
-    edges = links.resolve(raw, notes, mode)
-    degree = links.indegree(edges, notes)
-    sources = notes.select("source_id", F.sha2("path", 256).alias("uid"), "path", "title", "content_hash", F.lit("indexed").alias("status"), "aliases", "tags").join(degree, "source_id")
+    edges = links.resolve(notes.select(F.col("source_id").alias("src_id"), F.explode("links").alias("target_path")), notes, mode)
+    notes = notes.withColumns({"uid": store.uid_of(F.col("path"), F.col("source_id")), "status": F.lit("indexed"), "indexed_at": when, "created_at": when, "updated_at": when})
+    own = contents(notes, embed, target, overlap)
+    sources = notes.select(*SOURCES).join(links.indegree(edges, notes), "source_id")
+    return {"sources": sources, **own, "edges": edges, **text_tables(own["chunks"], sources, tokenizer)}
+
+
+SOURCES = ("source_id", "uid", "path", "title", "content_hash", "status", "aliases", "tags", "indexed_at", "created_at", "updated_at")
+
+
+def contents(notes: DataFrame, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0) -> dict[str, DataFrame]:
+    """chunks, vectors and tags of parsed notes."""
     cut = chunk.chunked(notes, F.col("body"), target, overlap)
     # deterministic: the source's number, then the place in the source
     chunks = cut.withColumn("chunk_id", F.col("source_id") * 1_000_000 + F.col("chunk_index") + 1)
     vectors = chunks.select("chunk_id", (embed or hashing_embedder())(F.col("content")).alias("embedding"))
-    tags = sources.select("source_id", F.explode(F.array_distinct("tags")).alias("tag"))
-    return {"sources": sources, "chunks": chunks, "vectors": vectors, "edges": edges, "tags": tags}
+    tags = notes.select("source_id", F.explode(F.array_distinct("tags")).alias("tag"))
+    return {"chunks": chunks, "vectors": vectors, "tags": tags}
+
 
+def text_tables(chunks: DataFrame, sources: DataFrame, tokenizer: Tokenizer | None = None) -> dict[str, DataFrame]:
+    """Both full-text indexes as tables of the store."""
+    text, names = fts.tables(chunks, "chunk_id", search.text_columns(), tokenizer), fts.tables(sources, "source_id", search.name_columns(), tokenizer)
+    return {f"text_{k}": v for k, v in text.items()} | {f"name_{k}": v for k, v in names.items()}
 
-def opened(tables: dict[str, DataFrame]) -> Index:
-    return Index(tables["sources"], tables["chunks"], tables["vectors"], tables["edges"])
+
+def opened(tables: dict[str, DataFrame], tokenizer: Tokenizer | None = None) -> search.Index:
+    """An index of the store's tables; searches read the postings that are there."""
+    def of(kind: str, key: str, fields) -> fts.TextIndex | None:
+        if f"{kind}_postings" not in tables:
+            return None
+        return fts.TextIndex(*(tables[f"{kind}_{t}"] for t in ("postings", "terms", "stats")), key, tuple(fields), tokenizer or Tokenizer())
+
+    return search.Index(tables["sources"], tables["chunks"], tables["vectors"], tables["edges"], of("text", "chunk_id", search.text_columns()), of("name", "source_id", INDEXED))
+
+
+def updated(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0, now: Column | None = None, tokenizer: Tokenizer | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """(the tables that change, counts) for the files (path, content) as they are now.
+
+    Only new and changed files are parsed, cut, embedded and tokenized; numbers, uids and creation times of known paths stay, new
+    paths get the next numbers in path order. Unchanged sources get a new indexed_at, so that a touched file isn't stale for ever.
+    prune: sources whose files are gone go, and links into them become unresolved. Links elsewhere keep their targets; unresolved
+    ones are claimed by the files read now.
+    """
+    when = now if now is not None else F.current_timestamp()
+    sources = old["sources"]
+    files = written(files.select("path", "content").withColumn("content_hash", F.sha2("content", 256)), "index-files")
+    kinds = written(store.changes(files, sources), "index-changes")
+    counts = {r["change"]: r["n"] for r in kinds.groupBy("change").agg(F.count("*").alias("n")).collect()}
+    counts = {k: counts.get(k, 0) for k in ("new", "changed", "unchanged", "gone")}
+    seen = files.join(sources.select("path", "source_id"), "path")
+    refreshed = lambda df: df.withColumn("indexed_at", F.when(F.col("_seen") & (F.col("status") == "indexed"), when).otherwise(F.col("indexed_at"))).drop("_seen")
+    flagged = lambda df: df.join(seen.select("source_id", F.lit(True).alias("_seen")), "source_id", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+    if not (counts["new"] or counts["changed"] or (prune and counts["gone"])):
+        return {"sources": refreshed(flagged(sources))}, counts
+    moved = files.join(kinds.filter("change = 'changed'"), "path", "left_semi").join(sources.select("path", "source_id"), "path")
+    top = sources.agg(F.coalesce(F.max("source_id"), F.lit(0)).alias("m")).first()["m"]
+    added = vault.numbered(files.join(kinds.filter("change = 'new'"), "path", "left_semi"), top + 1)
+    gone = sources.join(kinds.filter("change = 'gone'"), "path", "left_semi").select("source_id") if prune else sources.select("source_id").limit(0)
+    fresh = written(vault.parsed(moved.unionByName(added.select(*moved.columns))), "index-fresh")
+    ids = fresh.select("source_id")
+    # rows of changed and of gone sources go, those of the files read now come
+    base = store.without({n: old[n] for n in ("sources", "edges", "suggestions") if n in old}, gone)
+    away = written(ids.unionByName(gone), "index-away")
+    not_away = lambda df, c="source_id": df.join(away.withColumnRenamed("source_id", c), c, "left_anti").select(*df.columns)
+    own = {n: written(t, f"index-{n}") for n, t in contents(fresh, embed, target, overlap).items()}
+    out = {n: not_away(old[n]).unionByName(own[n].select(*old[n].columns)) for n in ("chunks", "tags")}
+    lost = old["chunks"].join(away, "source_id", "left_semi").select("chunk_id")
+    out["vectors"] = old["vectors"].join(lost, "chunk_id", "left_anti").unionByName(own["vectors"])
+    before = sources.select("source_id", F.col("uid").alias("_uid"), F.col("created_at").alias("_created"))
+    rows = fresh.join(before, "source_id", "left").withColumns({
+        "uid": F.coalesce("_uid", store.uid_of(F.col("path"), F.col("source_id"))), "created_at": F.coalesce("_created", when), "status": F.lit("indexed"), "indexed_at": when, "updated_at": when,
+    })
+    stays = refreshed(flagged(not_away(base["sources"])))
+    every = written(stays.select(*SOURCES).unionByName(rows.select(*SOURCES)), "index-sources")
+    known = sources.select("source_id", F.lit(True).alias("known"))
+    named = every.select("source_id", "path", "aliases").join(known, "source_id", "left").join(ids.withColumn("fresh", F.lit(True)), "source_id", "left")
+    named = named.withColumns({"known": F.coalesce("known", F.lit(False)), "fresh": F.coalesce("fresh", F.lit(False))})
+    kept = base["edges"].join(ids.withColumnRenamed("source_id", "src_id"), "src_id", "left_anti").select("src_id", "target_path", "dst_id")
+    claimed = links.forward_refs(kept, named.filter("fresh")).withColumnRenamed("dst_id", "_now")
+    kept = kept.join(claimed, ["src_id", "target_path"], "left").select("src_id", "target_path", F.coalesce("dst_id", "_now").alias("dst_id"))
+    made = links.resolve(fresh.select(F.col("source_id").alias("src_id"), F.explode("links").alias("target_path")), named)
+    out["edges"] = written(kept.unionByName(made), "index-edges")
+    out["sources"] = every.join(links.indegree(out["edges"], every), "source_id")
+    if "suggestions" in base:
+        out["suggestions"] = base["suggestions"]
+    # postings: those of changed rows alone are made anew
+    new_rows = {"text": (own["chunks"], "chunk_id", search.text_columns(), lost, out["chunks"]), "name": (rows.select("source_id", *INDEXED), "source_id", search.name_columns(), away, every)}
+    for kind, (added_rows, key, columns, left, whole) in new_rows.items():
+        stay = old[f"{kind}_postings"].join(left, key, "left_anti")
+        post = stay.unionByName(fts.tables(added_rows, key, columns, tokenizer)["postings"].select(*stay.columns))
+        post = written(post.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(-(-parts_for(post, 16) // fts.BUCKETS)))).sortWithinPartitions("bucket", "term", key), f"index-{kind}")
+        out |= {f"{kind}_postings": post} | {f"{kind}_{n}": t for n, t in fts.derived(post, whole, key, tuple(columns)).items()}
+    if "files" in old:
+        away_paths = kinds.filter("change <> 'unchanged'" if prune else "change in ('new', 'changed')").select("path")
+        out["files"] = old["files"].join(away_paths, "path", "left_anti").select("path", "content").unionByName(fresh.select("path", "content"))
+    return out, counts
 
 
 def with_lines(results: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.text import preview
 
+EMPTY = '{"schema_version":1,"count":0,"results":[]}'
+
 
 def as_lines(results: DataFrame) -> DataFrame:
     """(query_id, position, line): score, path[:line], title and a preview of 120 characters."""
@@ -42,5 +46,17 @@ def with_related(content: Column, target: str) -> Column:
     return F.when(F.size(parts) < 2, made).when(F.contains(section, F.lit(link)), content).when(body == "", empty).otherwise(filled)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def status_json(counts: dict[str, int]) -> str:
+    """The status payload: counts of the index, and of files that are new, stale or missing."""
+    fresh = {k: counts.get(k, 0) for k in ("new", "stale", "missing")}
+    return json.dumps({"schema_version": 1, "index": {k: v for k, v in counts.items() if k not in fresh}, "freshness": fresh, "fresh": not any(fresh.values())})
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """A report as one JSON file, in any store that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, True)
+    try:
+        out.write(bytearray(json.dumps(report, indent=2, ensure_ascii=False).encode()))
+    finally:
+        out.close()

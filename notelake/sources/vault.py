@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from notelake.functions import text as T
 
 
-def files(spark: SparkSession, root: str, everything: bool = False) -> DataFrame:
+def files(spark: SparkSession, root: str, everything: bool = False, valid: bool = True) -> DataFrame:
     """(path, content, mtime) of all *.md files under root that are valid UTF-8; hidden and skipped folders are left out.
 
-    path is relative to root. Line ends become LF. everything: keep hidden and skipped paths, as single-file indexing does.
+    path is relative to root. Line ends become LF. everything: keep hidden and skipped paths, and suffixes in any case, as single-file
+    indexing does. valid=False: files of other bytes stay, with null content.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    suffix = "*.[mM][dD]" if everything else "*.md"
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(root)
     at = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), r"/+", "/")
     base = root.rstrip("/").split("://")[-1]
     base = "/" + base.split(":", 1)[-1].lstrip("/") if ":" in base else base
     rel = F.regexp_replace(F.url_decode(F.replace(at, F.lit("+"), F.lit("%2B"))), "^" + _quoted(base) + "/", "")
-    out = read.select(rel.alias("path"), "content", F.col("modificationTime").alias("mtime")).filter(F.is_valid_utf8(F.col("content").cast("string")))
-    out = out.select("path", T.normalized_newlines(F.col("content").cast("string")).alias("content"), "mtime")
+    out = read.select(rel.alias("path"), "content", F.col("modificationTime").alias("mtime"))
+    text = F.col("content").cast("string")
+    out = out.select("path", F.when(F.is_valid_utf8(text), T.normalized_newlines(text)).alias("content"), "mtime")
+    if valid:
+        out = out.filter("content is not null")
     return out if everything else out.filter(~T.is_hidden("path"))
 
 
@@ -58,6 +63,20 @@ def numbered(files: DataFrame, start: int = 1) -> DataFrame:
     return first.join(offset, "_top").withColumn("source_id", (F.col("_before") + rank + (start - 1)).cast("long")).drop("_top", "_parts", "_before")
 
 
+def query_file(spark: SparkSession, path: str) -> list[dict]:
+    """The items of a query set in a JSON file (a list, or one item on each line), or in YAML where a YAML reader is installed."""
+    import json
+
+    text = spark.read.text(path, wholetext=True).first()["value"]
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("reading YAML needs the yaml package; JSON needs nothing") from e
+        return yaml.safe_load(text) or []
+    return json.loads(text) if text.lstrip().startswith("[") else [json.loads(x) for x in text.splitlines() if x.strip()]
+
+
 def query_specs(spark: SparkSession, items: list[dict]) -> DataFrame:
     """Query sets (parsed YAML or JSON) as rows; expected paths get grade 3, graded labels override, bad grades are errors."""
     rows = []

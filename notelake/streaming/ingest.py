@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.operators.store import Store, changes, latest, upserted
-from notelake.plans.index import build
+from notelake.operators.store import Store, latest
+from notelake.plans.index import build, updated
 
 FILES = "path string, content string, mtime timestamp"
 
 
-def merge_batch(store: Store, batch: DataFrame) -> None:
-    """Index the batch's new and changed files (latest version of each path) and publish a snapshot; unchanged hashes do nothing."""
+def merge_batch(store: Store, batch: DataFrame) -> dict[str, int]:
+    """Index the batch's new and changed files (latest version of each path) and publish what changed; files that are not in the batch stay."""
     spark = batch.sparkSession
-    files = latest(batch, ["path"], F.col("mtime")).withColumn("content_hash", F.sha2("content", 256))
-    if store.version(spark):
-        moved = changes(files, store.read(spark, "sources")).filter("change in ('new', 'changed')").select("path")
-        fresh = files.join(moved, "path", "left_semi").select("path", "content")
-        if fresh.isEmpty():
-            return
-        now = upserted(store.read(spark, "files"), fresh, ["path"])
-    else:
-        now = files.select("path", "content")
-    store.publish(spark, build(now) | {"files": now})
+    files = latest(batch, ["path"], F.col("mtime")).select("path", "content")
+    if store.version(spark) is None:
+        store.publish(spark, build(files) | {"files": files})
+        return {"new": files.count()}
+    store.migrate(spark)
+    tables, counts = updated(store.read_all(spark), files, prune=False)
+    store.publish(spark, tables)
+    return counts
 
 
 def follow(spark: SparkSession, folder: str, store: Store, checkpoint: str, once: bool = True):

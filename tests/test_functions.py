@@ -15,7 +15,7 @@ def one(spark, value, *columns):
 
 def test_tokens(spark):
     assert one(spark, "für hello_World 42é", T.tokens("t"))[0] == ["f", "r", "hello", "world", "42"]
-    assert one(spark, "ﬁne 向量检索 ok", T.tokens_unicode("t"))[0] == ["fine", "向量", "量检", "检索", "向量检索", "ok"]
+    assert one(spark, "ﬁne 向量检索 ok", T.Tokenizer().column("t"))[0] == ["fine", "向量", "量检", "检索", "ok"]
     assert one(spark, None, T.tokens("t"))[0] == []
 
 
@@ -86,3 +86,13 @@ def test_related(spark):
     first = "# T\n\n## Related\n- [[y]]\n\n## More\nz"
     assert link(first) == "# T\n\n## Related\n- [[y]]\n- [[x]]\n## More\nz"
     assert link("## Related\n- [[x]]\n") == "## Related\n- [[x]]\n"
+
+
+def test_vectors_from_blobs(spark):
+    import numpy as np
+
+    from notelake.functions.vectors import from_blob
+
+    blob = np.array([1.5, -2.0, 0.25], "<f4").tobytes()
+    rows = spark.createDataFrame([(bytearray(blob),), (None,)], "b binary").select(from_blob(F.col("b")).alias("v")).collect()
+    assert [r.v for r in rows] == [[1.5, -2.0, 0.25], None]

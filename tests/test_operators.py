@@ -125,7 +125,7 @@ def test_folder_to_search(spark, tmp_path):
     (root / "bad.md").write_bytes(b"\xff\xfe")
     assert {r.path for r in vault.files(spark, str(root)).collect()} == {p for p, _ in NOTES} | {"sub dir/é+1.md"}
     at = str(tmp_path / "store")
-    assert api.index(spark, str(root), at) == {"ingested": 5, "unchanged": 0, "pruned": 0}
+    assert api.index(spark, str(root), at) == {"ingested": 5, "unchanged": 0, "skipped": 1, "errors": 0, "pruned": 0}
     assert api.index(spark, str(root), at)["unchanged"] == 5
     assert "hub.md" in api.search(spark, at, "hub")
     assert '"schema_version":1' in api.search(spark, at, "beta", as_json=True)
