@@ -13,7 +13,7 @@ Exact copies share a fingerprint and never enter the search twice. Components co
 
 Edge cases: null and empty texts, and texts of white space only, have fingerprint zero and are linked like any other;
 fewer than four words are one shingle; null ids take part, a component of null ids alone has a null id; repeated rows
-are copies; an empty table gives an empty result; further columns are passed over, or kept by ``one_of_each``.
+are copies; an empty table gives an empty result; further columns are passed over.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.graph import components
-from notelake.llm.text import batch_of, docs, kept_columns, slices, values
+from notelake.llm.text import batch_of, docs, slices, values
 from notelake.session import written
 
 SHINGLE, SEED, RADIUS, HOT = 4, 42, 4, 2048
@@ -181,15 +181,3 @@ def grouped(documents: DataFrame, k: int = SHINGLE, radius: int = RADIUS, hot: i
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(documents: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, that of its least doc_id (of equal ids the text of the least hash), columns unchanged.
-
-    Rows of null ids can't be named, so they all stay; the pipeline uses ``near.one_of_each``, which keeps one row of each component.
-    """
-    named = documents.filter("doc_id is not null")
-    keep = written(grouped(named, k, radius).filter("component_id = doc_id").select("doc_id").distinct(), "simhash-keep")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
-    firsts = named.join(keep, "doc_id", "left_semi").withColumn("_rank_of_id", F.row_number().over(order)).filter("_rank_of_id = 1")
-    return kept_columns(firsts, documents).union(documents.filter("doc_id is null"))
