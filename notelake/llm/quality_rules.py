@@ -100,16 +100,6 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return math.fsum(math.exp(log(i)) for i in range(k + 1))
 
 
-def cutoffs(drops: dict[tuple[str, str], dict[float, int]], good: dict[str, int], n_ratios: int, alpha: float = ALPHA, delta: float = DELTA, grid: tuple = GRID) -> dict[tuple[str, str], float]:
-    """The tightest certified cutoff per (stratum, ratio). drops: good documents above each grid point, 0 where missing."""
-    tests, each = max(1, len(good)) * n_ratios * len(grid), alpha / n_ratios
-    return {key: min(found) for key, by in drops.items() if (found := [t for t in grid if binomial_tail(by.get(t, 0), good[key[0]], each) <= delta / tests])}
-
-
-def least_n(n_ratios: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
-    return math.ceil(math.log(delta / (n_ratios * len(GRID))) / math.log1p(-alpha / n_ratios))
-
-
 def least_joint(n_groups: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
     """Good labels without which no member of the family can be certified."""
     return math.ceil(math.log(delta / max(1, n_groups)) / math.log1p(-alpha))

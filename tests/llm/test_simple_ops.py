@@ -291,15 +291,10 @@ def test_rules(spark):
     assert quality_rules.judged(frame(spark, []), labels).count() == 0
 
 
-def test_exact_bound_and_risk():
+def test_exact_bound():
     from math import comb
 
     assert abs(quality_rules.binomial_tail(3, 20, 0.1) - sum(comb(20, i) * 0.1**i * 0.9 ** (20 - i) for i in range(4))) < 1e-12
-    n = quality_rules.least_n(5)
-    key = ("1en", "symbols")
-    cuts = quality_rules.cutoffs({key: {t: (50_000 if t < 0.05 else 0) for t in quality_rules.GRID}}, {"1en": 50_000}, 5)
-    assert min(t for t in quality_rules.GRID if t >= 0.05) == cuts[key]
-    assert quality_rules.cutoffs({key: {}}, {"1en": n // 2}, 5) == {}
 
 
 def test_rules_lose_few_good_documents(spark):
