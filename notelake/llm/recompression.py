@@ -1,7 +1,7 @@
 """Substring dedup of word windows by recompression.
 
 Every round is a Spark exchange over all documents that names strings globally. Round 0 names words: a part gathers its
-share of all distinct words and numbers them, comparing bytes. Each further round finds, in every document, the runs of one
+share of all distinct words and numbers them, comparing bytes; a block keeps its texts as a list of words and places in it. Each further round finds, in every document, the runs of one
 symbol and the pairs of neighbours (first of the left half of the alphabet, second of the right; halves are drawn anew each
 round by a hash of the name); parts number them, comparing the names that they are made of. So a name stands for one
 string, equal in all documents, and equal substrings get equal interior symbols. A string that occurs once in the corpus gets no
@@ -254,8 +254,8 @@ def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None,
         place[order] = np.arange(len(order))
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         asks = [(p, X.frame(X.squeezed(b" ".join([vocabulary[i] for i in order[s:e].tolist()])), X.pack(times[order[s:e]]))) for p, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
-        words = X.frame(*map(X.pack, ((place[at] if len(at) else at).astype(np.int32), sizes, ids, ties)))
-        return [(-2, X.frame(X.texts_frame(ids, texts), X.pack(ties))), (-1, words), *asks]
+        words = map(X.pack, ((place[at] if len(at) else at).astype(np.int32), sizes, ids, ties))
+        return [(-2, X.frame(*words, X.squeezed(b" ".join([vocabulary[i] for i in order.tolist()]), 3))), *asks]
 
     def word_names(part, got):
         frames = [X.unframe(d) for _, d in got]
@@ -288,7 +288,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None,
         return [(-1, X.frame(s.packed(window), X.deltas(np.searchsorted(at, which)), X.pack(of.astype(np.int32)))), *asks]
 
     def words_named(kept, got) -> Symbols:
-        at, sizes, ids, ties = (X.unpack(x, t) for x, t in zip(X.unframe(kept), (np.int32, np.int64, np.int64, np.int64), strict=True))
+        at, sizes, ids, ties = (X.unpack(x, t) for x, t in zip(X.unframe(kept), (np.int32, np.int64, np.int64, np.int64)))
         names = np.concatenate([np.empty(0, np.uint64), *(name_of(0, p, X.unpack(d, np.int64)) for p, d in got)])
         names = names[at] if len(at) else names
         left = np.arange(len(names)) + window <= np.repeat(np.cumsum(sizes), sizes)
@@ -324,34 +324,36 @@ def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None,
         return run
 
     def remove(kept, got):
-        framed, ties = X.unframe(kept)
-        (ids, texts), ties = X.framed_texts(framed), X.unpack(ties, np.int64)
+        *arrays, vocabulary = X.unframe(kept)
+        at, sizes, ids, ties = (X.unpack(x, t) for x, t in zip(arrays, (np.int32, np.int64, np.int64, np.int64), strict=True))
+        vocabulary = X.expanded(vocabulary).split(b" ")
         starts, one = X.unframe(got[0][1])
         starts, one = X.undelta(starts, np.int64), X.unpack(one, np.int32)
         stays = np.zeros(len(starts), bool)
         if len(one):
             stays[one[np.concatenate([X.unpack(d, np.bool_) for _, d in got[1:]])]] = True
         gone = starts[~stays]
-        split = [t.split() for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
         edge = np.zeros(int(sizes.sum()) + window + 1, np.int64)
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + window, -1)
         covered = np.cumsum(edge) > 0
         removed, hashes, start = [], [], 0
-        for ws, n in zip(split, sizes.tolist()):
+        for n in sizes.tolist():
             own = covered[start : start + n]
+            words = at[start : start + n][~own]
             start += n
-            removed.append(int(own.sum()))
-            hashes.append(hashlib.sha256(b" ".join(ws if not removed[-1] else [w for w, c in zip(ws, own.tolist()) if not c])).hexdigest())
+            removed.append(n - len(words))
+            hashes.append(hashlib.sha256(b" ".join([vocabulary[i] for i in words.tolist()])).hexdigest())
         return pa.Table.from_arrays([pa.array(ids, mask=X.is_null(ids, ties)), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())], schema=OUTPUT)
 
     asks, state, texts = X.saved(X.asked(documents, ask), "recompression-words", "texts")
+    dropped(state)
+    state = texts
     for level in range(rounds + 1):
         names = tidied(written(X.answered(asks, parts, symbol_names if level else word_names), "recompression-names"))
         dropped(asks)
         asks, now = X.saved(X.by_block(state, names, naming(level)), "recompression-symbols")
-        dropped(state, names)
+        dropped(names, *([state] if level else []))
         state = now
     holders = tidied(written(X.answered(asks, parts, firsts), "recompression-firsts"))
     dropped(asks)
