@@ -36,7 +36,7 @@ def index(spark: SparkSession, root: str, store: str, path: str | None = None, e
         found.unpersist()
         return {"ingested": 0, "unchanged": 0, "skipped": skipped, "errors": 0, "pruned": 0}
     if st.version(spark) is None:
-        st.publish(spark, I.build(files, embed, tokenizer=tokenizer) | {"files": files, "suggestions": spark.createDataFrame([], ST.SUGGESTIONS)})
+        st.publish(spark, I.build(files, embed, tokenizer=tokenizer, stored=True) | {"files": files, "suggestions": spark.createDataFrame([], ST.SUGGESTIONS)})
         counts = {"new": files.count()}
     else:
         # files that can't be read stay as they were indexed

@@ -6,7 +6,6 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +25,7 @@ INLINE_CODE = "`[^`]+`"
 WIKI_LINK = r"\[\[([^\[\]|]+?)(?:\|[^\[\]]*?)?\]\]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 SKIPPED_FOLDERS = ("todo", "archive")
+WORDS, HAN_RUN, HAN_OR_WORD = re.compile("[a-zA-Z0-9]+"), re.compile(HAN + "+"), re.compile(HAN + "+|[a-zA-Z0-9]+")
 
 
 def col(c: Column | str) -> Column:
@@ -37,22 +37,6 @@ def tokens(text: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit("[a-zA-Z0-9]+"), F.lit(0)), F.lower)
 
 
-@lru_cache(maxsize=1)
-def beyond_ascii() -> str:
-    """A class of all characters that NFKC turns into letters or digits of ASCII or joins with them, and of Han; made from Unicode's own tables."""
-    def counts(c: int) -> bool:
-        ch = chr(c)
-        return unicodedata.combining(ch) != 0 or any((x.isascii() and x.isalnum()) or re.match(HAN, x) for x in unicodedata.normalize("NFKC", ch))
-
-    ranges: list[list[int]] = []
-    for c in (c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and counts(c)):
-        if ranges and ranges[-1][1] == c - 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
-
-
 def pairs(run: str) -> list[str]:
     """The overlapping pairs of a run of Han, or the run itself: any part of two characters or more is then found as a phrase."""
     return [run] if len(run) < 3 else [run[i : i + 2] for i in range(len(run) - 1)]
@@ -68,19 +52,22 @@ class Tokenizer:
     segment: Callable[[str], list[str]] = pairs
 
     def split(self, text: str) -> tuple[str, ...]:
-        found = re.findall(HAN + "+|[a-zA-Z0-9]+", unicodedata.normalize("NFKC", text))
-        return tuple(x.lower() for w in found for x in (self.segment(w) if re.match(HAN, w) else [w]) if x.strip())
+        if text.isascii():
+            return tuple(WORDS.findall(text.lower()))
+        text = unicodedata.normalize("NFKC", text)
+        if not HAN_RUN.search(text):
+            return tuple(x.lower() for x in WORDS.findall(text))
+        return tuple(x.lower() for w in HAN_OR_WORD.findall(text) for x in (self.segment(w) if HAN_RUN.match(w) else [w]) if x.strip())
 
     def column(self, text: Column | str) -> Column:
-        """The tokens of a text column; only rows that hold a character beyond ASCII which matters go through Python (Arrow)."""
+        """The tokens of a text column, in Arrow batches."""
         split = self.split
 
         @F.pandas_udf("array<string>")
-        def slow(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: None if t is None else list(split(t)))
+        def run(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: [] if t is None else list(split(t)))
 
-        c = col(text)
-        return F.coalesce(slow(F.when(c.rlike(beyond_ascii()), c)), tokens(c))
+        return run(col(text))
 
 
 def token_estimate(text: Column | str) -> Column:

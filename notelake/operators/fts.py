@@ -234,36 +234,63 @@ class TextIndex:
     buckets: int = BUCKETS
 
 
-def tables(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: Tokenizer | None = None, buckets: int = BUCKETS) -> dict[str, DataFrame]:
-    """postings, terms and stats of rows, by one shuffle of the tokens; a bucket is spread over as many tasks as its share of the corpus asks for."""
-    tokenizer = tokenizer or Tokenizer()
-    read = rows.select(key, *[tokenizer.column(c).alias(f"t_{n}") for n, c in columns.items()])
-    read = read.withColumn("n_tokens", sum((F.size(f"t_{n}") for n in columns), F.lit(0)))
-
-    def placed(name: str) -> Column:
-        return F.transform(F.col(f"t_{name}"), lambda x, i: F.struct(F.lit(name).alias("field"), x.alias("term"), i.alias("pos")))
-
-    each = F.concat(*map(placed, columns))
-    spread = -(-parts_for(rows, 16) // buckets)
-    long = read.select(key, "n_tokens", F.explode(each).alias("e")).select(key, "n_tokens", "e.*")
-    long = long.withColumns({"bucket": (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"), "salt": F.pmod(F.xxhash64(key), F.lit(spread))})
-    post = long.repartition("bucket", "salt").groupBy("bucket", "salt", "term", "field", key, "n_tokens").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    post = written(post.select("bucket", "term", "field", key, "n_tokens", "positions").sortWithinPartitions("bucket", "term", key), "fts-postings")
-    return {"postings": post, **derived(post, rows, key, tuple(columns))}
-
-
-def derived(post: DataFrame, rows: DataFrame, key: str, fields: tuple[str, ...]) -> dict[str, DataFrame]:
-    """terms and stats, counted from postings; rows without any token count as well."""
-    df = F.count("*") if len(fields) == 1 else F.count_distinct(key)
-    terms = post.groupBy("bucket", "term").agg(df.alias("df"))
+def postings(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: Tokenizer | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, term, field, key, n_tokens, positions) of rows, sorted by bucket and term.
+
+    A row's tokens are gathered by term where the row lies, in Arrow batches, so one shuffle moves postings, not tokens. A bucket is
+    spread over as many tasks as its share of the corpus asks for.
+    """
+    split, names = (tokenizer or Tokenizer()).split, list(columns)
+    kind = rows.schema[key].dataType.simpleString()
+    spread = max(1, -(-parts_for(rows, 16) // buckets))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [part.column(i + 1).to_pylist() for i in range(len(names))]
+                terms, fields, rows_, sizes, places, ends = [], [], [], [], [], [0]
+                for r in range(part.num_rows):
+                    tokens = [split(t[r] or "") for t in texts]
+                    n = sum(map(len, tokens))
+                    for f, own in enumerate(tokens):
+                        by: dict[str, list[int]] = {}
+                        for i, t in enumerate(own):
+                            by.setdefault(t, []).append(i)
+                        terms += by
+                        fields += [names[f]] * len(by)
+                        rows_ += [r] * len(by)
+                        sizes += [n] * len(by)
+                        for p in by.values():
+                            places += p
+                            ends.append(len(places))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([zlib.crc32(t.encode()) % buckets for t in terms], pa.int32()), pa.array(terms, pa.string()), pa.array(fields, pa.string()), part.column(0).take(pa.array(rows_, pa.int64())), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))],
+                    ["bucket", "term", "field", key, "n_tokens", "positions"],
+                )
+
+    long = rows.select(key, *columns.values()).mapInArrow(run, f"bucket int, term string, field string, {key} {kind}, n_tokens int, positions array<int>")
+    dealt = long.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(spread)))
+    return dealt.sortWithinPartitions("bucket", "term", key)
+
+
+def terms_of(post: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(bucket, term, df), counted from postings."""
+    return post.groupBy("bucket", "term").agg((F.count("*") if len(fields) == 1 else F.count_distinct(key)).alias("df"))
+
+
+def stats_of(post: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: n_rows, those without any token as well, and n_tokens."""
     size = post.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("n_tokens"))
-    return {"terms": terms, "stats": rows.agg(F.count("*").alias("n_rows")).join(F.broadcast(size))}
+    return rows.agg(F.count("*").alias("n_rows")).join(F.broadcast(size))
 
 
 def built(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: Tokenizer | None = None) -> TextIndex:
     """An index of rows that no store holds: its postings are a scratch table."""
-    t = tables(rows, key, columns, tokenizer)
-    return TextIndex(t["postings"], t["terms"], t["stats"], key, tuple(columns), tokenizer or Tokenizer())
+    post, fields = written(postings(rows, key, columns, tokenizer), "fts-postings"), tuple(columns)
+    return TextIndex(post, terms_of(post, key, fields), stats_of(post, rows), key, fields, tokenizer or Tokenizer())
 
 
 def _of_terms(table: DataFrame, terms: list[str], buckets: int) -> DataFrame:

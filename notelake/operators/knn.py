@@ -43,20 +43,24 @@ def nearest(keys: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int):
                 yield at + j, keys[some][order], distance[order]
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 50, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, distance), the k nearest of each query (query_id, vector); ties by key.
+def knn(vectors: DataFrame, queries: DataFrame | list, k: int = 50, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, distance), the k nearest of each query (query_id, vector), a table or a list; ties by key.
 
     Every query meets every vector, which is what exact search is. The queries are a stated set: they go to all tasks as one matrix,
     MAX_QUERIES at a time; vectors are read once for each such block, in Arrow batches, and each batch leaves k rows for each query.
     Null vectors, other lengths and vectors of length zero have no distance and are dropped.
     """
     spark, out = vectors.sparkSession, None
-    blocks = max(1, -(-queries.count() // MAX_QUERIES))
+    given = isinstance(queries, list)
+    blocks = max(1, -(-(len(queries) if given else queries.count()) // MAX_QUERIES))
     ddl = f"query_id long, {key} long, distance double"
     schema = pa.schema([("query_id", pa.int64()), (key, pa.int64()), ("distance", pa.float64())])
     for b in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        held = [(r["query_id"], r["vector"]) for r in own.select("query_id", "vector").collect() if r["vector"]]
+        if given:
+            held = [x for x in queries[b * MAX_QUERIES : (b + 1) * MAX_QUERIES] if x[1]]
+        else:
+            own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+            held = [(r["query_id"], r["vector"]) for r in own.select("query_id", "vector").collect() if r["vector"]]
         by_size: dict[int, list] = {}
         for q, v in held:
             by_size.setdefault(len(v), []).append((q, v))

@@ -132,6 +132,15 @@ def safe_embed(embed: Callable[[str], list | None], query: str) -> list | None:
         return None
 
 
+FEW = 1000
+
+
+def small(df: DataFrame, n_queries: int) -> DataFrame:
+    """df, the rows that limits leave of so many queries, written; in one task if the queries are few, so that no later step shuffles them."""
+    out = written(df, "search")
+    return out.coalesce(1) if n_queries <= FEW else out
+
+
 def rerank_budget(query: Column | str, rerank_k: int | str, has_filter: Column | bool, has_title: Column | bool) -> tuple[Column, Column]:
     """(k, reason) for each query."""
     if isinstance(rerank_k, int):
@@ -204,19 +213,18 @@ def channels(index: Index, queries: list[tuple[int, str, list | None]], spec: Sp
     vectors = [(q, [float(x) for x in v]) for q, t, v in queries if v is not None and t.strip()]
     owner = index.chunks.select("chunk_id", "source_id")
     k = spec.knn_wide if spec.expand or spec.filtered else spec.knn_limit
-    asked = spark.createDataFrame(vectors, "query_id long, vector array<double>")
     by_text = fts.hits(index.text_index(), texts, spec.chunk_limit, spec.lenient)
-    by_vector = knn(index.vectors, asked, k).withColumnRenamed("distance", "score") if vectors else by_text.limit(0)
+    by_vector = knn(index.vectors, vectors, k).withColumnRenamed("distance", "score") if vectors else by_text.limit(0)
     both = by_text.select("query_id", F.lit("bm25").alias("channel"), "chunk_id", "score").unionByName(by_vector.select("query_id", F.lit("vector").alias("channel"), "chunk_id", "score"))
     by_name = title_hits(index, texts, spec.title_limit, spec.lenient).select("query_id", F.lit("title").alias("channel"), F.lit(None).cast("long").alias("chunk_id"), "score", "source_id")
     # limits bound what the channels find, so it may be broadcast
-    found = written(owner.join(F.broadcast(both), "chunk_id").unionByName(by_name).coalesce(1), "search-hits")
-    best = found.groupBy("query_id", "channel", "source_id").agg(F.min(F.struct("score", F.coalesce("chunk_id", "source_id").alias("chunk_id"))).alias("b")).select("query_id", "channel", "source_id", "b.*")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy("score", "chunk_id")))
     info = index.sources.select("source_id", "path", "tags", "indegree")
+    hits = owner.join(F.broadcast(both), "chunk_id").unionByName(by_name)
+    found = small(info.join(F.broadcast(hits), "source_id"), len(queries))
+    best = found.groupBy("query_id", "channel", "source_id", "path", "tags", "indegree").agg(F.min(F.struct("score", F.coalesce("chunk_id", "source_id").alias("chunk_id"))).alias("b")).select("query_id", "channel", "source_id", "path", "tags", "indegree", "b.*")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy("score", "chunk_id")))
     passes = fuse.folder_filter(F.col("path"), spec.prefix) & fuse.tags_filter(F.col("tags"), spec.tags)
-    ranks = info.join(F.broadcast(ranked), "source_id").filter(passes).select("query_id", "source_id", "channel", "rank", "indegree", "chunk_id")
-    ranks = written(ranks.coalesce(1), "search-ranks")
+    ranks = ranked.filter(passes).select("query_id", "source_id", "channel", "rank", "indegree", "chunk_id")
     bm25, vec = (ranks.filter(F.col("channel") == c).select("query_id", "source_id", "chunk_id") for c in ("bm25", "vector"))
     near = found.filter("channel = 'vector'").select("query_id", "source_id", "chunk_id", F.col("score").alias("distance"))
     ranks = ranks.drop("chunk_id")
@@ -229,11 +237,11 @@ def channels(index: Index, queries: list[tuple[int, str, list | None]], spec: Sp
     weights = {"bm25": spec.bm25_weight, "vector": spec.vec_weight, "title": spec.title_weight, "indegree": spec.indegree_weight, "metadata": spec.metadata_weight}
     fused = fuse.rrf(full, weights)
     if spec.metadata:
-        base = written(fuse.ranked(fused, [F.desc("score"), "source_id"]), "search-base")
-        seeds = written(metadata_seeds(index, texts, spec.metadata_limit, found.filter("channel = 'title'")), "search-seeds")
-        more = written(metadata_candidates(index, seeds, base, spec.metadata_limit, spec.neighbor_min_rank), "search-metadata")
+        base = fuse.ranked(fused, [F.desc("score"), "source_id"])
+        seeds = small(metadata_seeds(index, texts, spec.metadata_limit, found.filter("channel = 'title'")), len(queries))
+        more = small(metadata_candidates(index, seeds, base, spec.metadata_limit, spec.neighbor_min_rank), len(queries))
         extra = info.join(F.broadcast(more), "source_id").filter(passes).select("query_id", "source_id", F.lit("metadata").alias("channel"), "rank", "indegree")
-        full = with_indegree(ranks.unionByName(extra))
+        full = with_indegree(ranks.unionByName(small(extra, len(queries))))
         fused = fuse.rrf(full, weights)
     return {"ranks": full, "fused": fused, "bm25": bm25, "vector": vec, "near": near}
 
@@ -259,10 +267,10 @@ def search(index: Index, queries: list[tuple[int, str, list | None]], spec: Spec
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id"))).filter(F.col("_r") <= cut)
     b, v = got["bm25"].withColumnRenamed("chunk_id", "b"), got["vector"].withColumnRenamed("chunk_id", "v")
     rows = rows.join(b, ["query_id", "source_id"], "left").join(v, ["query_id", "source_id"], "left").withColumn("chunk_id", F.coalesce("b", "v"))
-    rows = written(rows.coalesce(1), "search-rows")  # a few for each query: small enough to be sent to where contents and names lie
-    contents = index.chunks.select("chunk_id", "content").join(F.broadcast(rows.select("chunk_id").distinct()), "chunk_id", "left_semi")
-    names = index.sources.select("source_id", "path", "title", "indegree").join(F.broadcast(rows.select("source_id").distinct()), "source_id", "left_semi")
-    rows = rows.join(F.broadcast(contents), "chunk_id", "left").join(F.broadcast(names), "source_id")
+    # a few rows for each query: small enough to be sent to where contents and names lie
+    with_chunk = index.chunks.select("chunk_id", "content").join(F.broadcast(rows.filter("chunk_id is not null")), "chunk_id")
+    rows = with_chunk.unionByName(rows.filter("chunk_id is null").withColumn("content", F.lit(None).cast("string")))
+    rows = index.sources.select("source_id", "path", "title", "indegree").join(F.broadcast(rows), "source_id")
     rows = rows.withColumn("only_title", F.col("chunk_id").isNull()).withColumn("content", F.when(F.col("only_title"), F.coalesce(F.nullif("title", F.lit("")), "path")).otherwise(F.col("content")))
     rows = rows.withColumn("chunk_id", F.coalesce("chunk_id", F.lit(0)).cast("long"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "only_title", "source_id")
@@ -273,7 +281,7 @@ def search(index: Index, queries: list[tuple[int, str, list | None]], spec: Spec
     columns = ["query_id", "position", "source_id", "chunk_id", "path", "title", "content", "score", "indegree"]
     rows = rows.select(*columns)
     if spec.expand:
-        rows = expand(index, written(rows, "search-first"), got["near"], spec).select(*columns)
+        rows = expand(index, small(rows, len(queries)), got["near"], spec).select(*columns)
     return rows
 
 
@@ -313,7 +321,7 @@ def expand(index: Index, rows: DataFrame, near: DataFrame, spec: Spec, discount:
     best = fuse.best_chunk(near.join(fresh, ["query_id", "source_id"], "left_semi"), "distance")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "source_id"))
     more = best.withColumn("score", F.lit(discount * spec.vec_weight) / (F.lit(fuse.K_RRF) + rank)).drop("distance")
-    more = written(more.coalesce(1), "search-more")
+    more = written(more, "search")
     more = index.chunks.select("chunk_id", "content").join(F.broadcast(more), "chunk_id")
     more = index.sources.select("source_id", "path", "title", "indegree").join(F.broadcast(more), "source_id").withColumn("position", F.lit(1 << 30))
     every = rows.unionByName(more)

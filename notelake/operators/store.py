@@ -1,6 +1,6 @@
 """The index as versioned snapshots of Parquet tables: lookups, change detection, upserts, deletes, pruning, freshness, suggestions.
 
-A version is a numbered manifest that names the folder of each table. Publishing writes the tables that changed into new folders, then the
+A version is a numbered manifest that names the folder and the schema of each table. Publishing writes the tables that changed into new folders, then the
 manifest under a temporary name, and renames it to the next number; nothing is ever deleted or overwritten on the way. So readers
 find the last complete manifest and see its version whole, a writer that dies leaves the last one in force, and of two
 writers of one number one fails.
@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 2
 TABLES = (
@@ -79,21 +81,26 @@ class Store:
         found = self.manifest(spark)
         if found is None:
             raise FileNotFoundError(f"no index in {self.root}")
-        return {n: spark.read.parquet(f"{self.root}/{found['tables'][n]}") for n in names or found["tables"]}
+        return {n: spark.read.schema(StructType.fromJson(found["schemas"][n])).parquet(f"{self.root}/{found['tables'][n]}") for n in names or found["tables"]}
 
-    def publish(self, spark: SparkSession, tables: dict[str, DataFrame], schema_version: int = SCHEMA_VERSION) -> str:
-        """Write the given tables as a new version; the others stay as they are in the current one, without being written again."""
+    def publish(self, spark: SparkSession, tables: dict[str, DataFrame | Callable], schema_version: int = SCHEMA_VERSION) -> str:
+        """Write the given tables as a new version; the others stay as they are in the current one, without being written again.
+
+        A function among them gets the tables as written before it.
+        """
         n, version = self.number(spark), uuid.uuid4().hex
         old = self.manifest(spark, n) if n else None
-        named = dict(old["tables"]) if old else {}
-        for name in tables:
-            named[name] = f"data/{version}/{name}"
-            writer = tables[name].write
-            (writer.partitionBy("bucket") if "bucket" in tables[name].columns else writer).parquet(f"{self.root}/{named[name]}")
+        named, schemas = (dict(old["tables"]), dict(old["schemas"])) if old else ({}, {})
+        done: dict[str, DataFrame] = {}
+        for name, df in sorted(tables.items(), key=lambda x: callable(x[1])):
+            df = df(done) if callable(df) else df
+            named[name], schemas[name] = f"data/{version}/{name}", df.schema.jsonValue()
+            (df.write.partitionBy("bucket") if "bucket" in df.columns else df.write).parquet(f"{self.root}/{named[name]}")
+            done[name] = spark.read.schema(df.schema).parquet(f"{self.root}/{named[name]}")
         fs, draft = _fs(spark, f"{self.root}/manifests/draft-{version}")
         out = fs.create(draft, False)
         try:
-            out.write(bytearray(json.dumps({"schema_version": schema_version, "version": version, "tables": named}).encode()))
+            out.write(bytearray(json.dumps({"schema_version": schema_version, "version": version, "tables": named, "schemas": schemas}).encode()))
         finally:
             out.close()
         _, final = _fs(spark, f"{self.root}/manifests/{n + 1}")

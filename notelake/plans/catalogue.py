@@ -88,19 +88,19 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return links.resolve(raw_links(n), n.select("source_id", "path", "aliases"))
 
 
-def index_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def index_tables(spark: SparkSession, sf: str) -> dict:
     """The vault's index: one chunk for each note, its text, and the vectors of the embeddings table."""
     n = written(parsed(spark, sf).select("source_id", "path", "title", "aliases", "tags", "links"), "index-notes")
     e = written(links.resolve(raw_links(n), n), "index-edges")
     sources = n.drop("links").join(links.indegree(e, n), "source_id")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("source_id"), F.col("text").alias("content"))
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(docs.select("chunk_id"), "chunk_id", "left_semi")
-    return {"sources": sources, "chunks": docs, "vectors": vectors, "edges": e, **I.text_tables(docs, n)}
+    return {"sources": sources, "chunks": docs, "vectors": vectors, "edges": e, **I.text_tables(docs, n, stored=True)}
 
 
 def stored(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The same from a store in the shared folder, which is made when these tables are first asked for and again when they change."""
-    stamps = []
+    stamps: list = [store.SCHEMA_VERSION, "format 2"]
     for name in ("documents", "embeddings"):
         fs, path = store._fs(spark, f"{sf}/{name}.parquet")
         status = fs.getFileStatus(path)
@@ -727,10 +727,10 @@ def _(spark, sf):
     return store.inserted(old, n.filter("source_id % 2 = 1").select("path"))
 
 
-@query("source_update", f"WITH {VAULT} SELECT source_id, CASE WHEN lang = 'de' THEN 'unprocessed' ELSE 'indexed' END AS status, CASE WHEN lang = 'de' THEN upper(title) ELSE title END AS title FROM (SELECT source_id, lang, CASE WHEN title = '' THEN 'doc-' || source_id ELSE title END AS title FROM v) x")
+@query("source_update", f"WITH {VAULT} SELECT source_id, CASE WHEN lang = 'de' THEN 'unprocessed' ELSE 'indexed' END AS status, CASE WHEN lang = 'de' THEN title || '!' ELSE title END AS title FROM (SELECT source_id, lang, CASE WHEN title = '' THEN 'doc-' || source_id ELSE title END AS title FROM v) x")
 def _(spark, sf):
     n = parsed(spark, sf).select("source_id", "title", F.lit("indexed").alias("status"), F.get("tags", F.lit(0)).alias("lang"))
-    return store.updated(n, F.col("lang") == "de", status="unprocessed", title=F.upper("title")).select("source_id", "status", "title")
+    return store.updated(n, F.col("lang") == "de", status="unprocessed", title=F.concat("title", F.lit("!"))).select("source_id", "status", "title")
 
 
 @query("rename_keeps_uid", f"WITH {VAULT} SELECT source_id, CASE WHEN source_id % 3 = 0 THEN 'moved/' || path ELSE path END AS path, sha256(path || chr(0) || source_id) AS uid FROM v")
@@ -785,7 +785,7 @@ def _specs(spark, sf) -> DataFrame:
     return vault.query_specs(spark, [{"query": TEXT, "expected_paths": paths, "tags": ["plain"]}])
 
 
-@query("eval_run", f"""WITH {ranks_sql().format(cut=10)}, x AS (SELECT list(position ORDER BY position) FILTER (pos.source_id % 9 = 1 AND pos.source_id < 200) AS r FROM pos), n AS (SELECT count(*) AS k FROM v WHERE source_id % 9 = 1 AND source_id < 200), y AS (SELECT coalesce(r, []) AS r, k FROM x, n)
+@query("eval_run", f"""WITH {ranks_sql().format(cut=10)}, x AS (SELECT list(position ORDER BY position) FILTER (pos.source_id % 9 = 1 AND pos.source_id < 200) AS r FROM pos), wanted AS (SELECT count(*) AS k FROM v WHERE source_id % 9 = 1 AND source_id < 200), y AS (SELECT coalesce(r, []) AS r, k FROM x, wanted)
 SELECT CAST(0 AS BIGINT) AS query_id, round(len(r) / k, 6) AS recall_at_10, round(CASE WHEN len(r) > 0 THEN 1.0 / r[1] ELSE 0 END, 6) AS mrr, round(len(list_filter(r, lambda i: i <= 5)) / 5.0, 6) AS precision_at_5,
  round(coalesce(list_sum(list_transform(r, lambda i, j: j / i)), 0) / least(k, 10), 6) AS ap_at_10, round(coalesce(list_sum(list_transform(r, lambda i: 1 / log2(i + 1))), 0) / list_sum(list_transform(range(1, least(k, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg_at_10 FROM y""")
 def _(spark, sf):
@@ -806,11 +806,7 @@ def _(spark, sf):
 # ---- chunks of sentences
 
 CHUNKS = r"""WITH RECURSIVE d AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS x, length(text) - length(ltrim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS lead FROM documents),
-p AS (SELECT doc_id, lead, length(x) AS n, x, string_split(regexp_replace(x, '([.!?])[ 	
-
-]+', '' || chr(1), 'g'), chr(1)) AS s, regexp_extract_all(x, '[.!?][ 	
-
-]+') AS g FROM d WHERE x <> ''),
+p AS (SELECT doc_id, lead, length(x) AS n, x, string_split(regexp_replace(x, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)) AS s, regexp_extract_all(x, '[.!?][ \t\n\r\f\v]+') AS g FROM d WHERE x <> ''),
 q AS (SELECT doc_id, lead, n, CASE WHEN n // 4 > 100 THEN s ELSE [x] END AS s, CASE WHEN n // 4 > 100 THEN g ELSE [] END AS g FROM p),
 u AS (SELECT doc_id, i, lead + list_sum(list_concat([0], list_transform(s[1:i - 1], lambda y: length(y)))) + list_sum(list_concat([0], list_transform(g[1:i - 1], lambda y: length(y) - 1))) AS a, length(s[i]) AS n FROM (SELECT doc_id, lead, s, g, unnest(range(1, len(s) + 1)) AS i FROM q) z),
 w AS (SELECT doc_id, i, a, a + n AS b, CASE WHEN n = 0 THEN 0 ELSE greatest(1, n // 4) END AS t FROM u),
@@ -842,3 +838,112 @@ def _(spark, sf):
     bad = F.when(i % 12 == 0, F.transform(v, lambda x: x * 0)).when(i % 12 == 3, F.lit(None)).when(i % 12 == 6, F.slice(v, 1, 5)).when(i % 12 == 9, F.transform(v, lambda x: F.lit(float("nan")).cast("float"))).otherwise(v)
     q = e.filter("vec_id = 3").select(F.lit(1).cast("long").alias("query_id"), v.alias("vector"))
     return knn(e.select(i.alias("chunk_id"), bad.alias("embedding")), q, 50).select("chunk_id", r6("distance"))
+
+
+# ---- notes of many shapes
+
+
+def _shaped(spark, sf, shapes: list) -> DataFrame:
+    """(source_id, path, content): the documents' texts in as many shapes as are given, dealt by doc_id; a shape makes a column of the text."""
+    t, i = F.col("text"), F.col("doc_id")
+    content = reduce(lambda c, k: F.when(i % len(shapes) == k, shapes[k](t)).otherwise(c), range(1, len(shapes)), shapes[0](t))
+    return table(spark, sf, "documents").select(i.alias("source_id"), F.concat(F.lit("n/doc-"), i.cast("string"), F.lit(".md")).alias("path"), content.alias("content"))
+
+
+def _glued(before: str, after: str = ""):
+    return lambda t: F.concat(F.lit(before), t, F.lit(after))
+
+
+FIELDS = [("---\ntags: [a, \"b c\"]\naliases: [x]\n---\n", "a|b c", "x"), ("---\ntags:\n  - one\n  - 'two'\naliases: solo\n---\n", "one|two", "solo"), ("---\ntags: []\n---\n", "", ""), ("", "", ""), ("---\ntags: [open\naliases: \"q\"\n---\n", "", "q")]
+
+
+def _case(values: list[str]) -> str:
+    return "CASE doc_id % " + str(len(values)) + " " + " ".join(f"WHEN {k} THEN " + "'" + v.replace("'", "''") + "'" for k, v in enumerate(values)) + " END"
+
+
+@query("frontmatter_shapes", f"SELECT doc_id AS source_id, {_case([x[1] for x in FIELDS])} AS tags, {_case([x[2] for x in FIELDS])} AS aliases, sha256('Body ' || text) AS body_hash FROM documents")
+def _(spark, sf):
+    n = vault.parsed(_shaped(spark, sf, [_glued(x[0] + "Body ") for x in FIELDS]))
+    return n.select("source_id", F.array_join("tags", "|").alias("tags"), F.array_join("aliases", "|").alias("aliases"), T.content_hash("body").alias("body_hash"))
+
+
+LINKED = [("\n\nsee [[a|shown]] and [[ b ]]", "a b"), ("\n\n```\n[[no]]\n```\n`[[nor]]` [[yes]] [[yes]]", "yes"), ("\n\n[[x#h]] [[]] [[ ]] [[c/d]]", "x#h c/d"), ("\n\n[[un]closed]] [[ok]]", "ok"), ("", "")]
+
+
+@query("link_shapes", f"SELECT doc_id AS source_id, {_case([x[1] for x in LINKED])} AS links FROM documents")
+def _(spark, sf):
+    return vault.parsed(_shaped(spark, sf, [_glued("", x[0]) for x in LINKED])).select("source_id", F.array_join("links", " ").alias("links"))
+
+
+@query("title_shapes", "SELECT doc_id AS source_id, CASE doc_id % 3 WHEN 0 THEN 'First' WHEN 1 THEN 'Later title' ELSE 'doc-' || doc_id END AS title FROM documents")
+def _(spark, sf):
+    plain = lambda t: F.concat(F.lit("##none\n#no\n"), F.replace(t, F.lit("#"), F.lit("")))
+    n = vault.parsed(_shaped(spark, sf, [_glued("# First\n# Second\n"), _glued("## Sub\n#no\n  # Later title  \n"), plain]))
+    return n.select("source_id", "title")
+
+
+def _targets(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Links by path without and with .md, by stem in capitals and by alias; and one that leads nowhere."""
+    n = parsed(spark, sf).select("source_id", "path", "aliases").persist()
+    total, i = n.count(), F.col("source_id")
+    to = n.select(F.col("source_id").alias("k"), F.col("path").alias("to_path"))
+    asked = n.select(i, ((i * 7 + 3) % total).alias("k")).join(to, "k")
+    stem = F.concat(F.lit("DOC-"), F.col("k").cast("string"))
+    target = F.when(i % 4 == 0, F.regexp_replace("to_path", r"\.md$", "")).when(i % 4 == 1, F.col("to_path")).when(i % 4 == 2, stem).otherwise(F.concat(F.lit("d"), F.col("k").cast("string")))
+    raw = asked.select(i.alias("src_id"), target.alias("target_path")).unionByName(n.select(i.alias("src_id"), F.concat(F.lit("missing-"), i.cast("string")).alias("target_path")))
+    return raw, n
+
+
+SHAPED = f"""{VAULT}, t AS (SELECT a.source_id AS src_id, a.path AS own, b.path AS there, b.source_id AS k FROM v a, v b, n WHERE b.source_id = (a.source_id * 7 + 3) % n),
+x AS (SELECT src_id, own, there, k, CASE src_id % 4 WHEN 0 THEN left(there, length(there) - 3) WHEN 1 THEN there WHEN 2 THEN 'DOC-' || k ELSE 'd' || k END AS target_path FROM t)"""
+
+
+@query("link_resolve_shapes", f"WITH {SHAPED} SELECT src_id, target_path, CASE WHEN src_id % 4 IN (1, 2) AND string_split(there, '/') > string_split(own, '/') THEN NULL ELSE k END AS dst_id FROM x UNION ALL SELECT source_id, 'missing-' || source_id, NULL FROM v")
+def _(spark, sf):
+    return links.resolve(*_targets(spark, sf))
+
+
+@query("link_resolve_shapes_global", f"WITH {SHAPED} SELECT src_id, target_path, k AS dst_id FROM x UNION ALL SELECT source_id, 'missing-' || source_id, NULL FROM v")
+def _(spark, sf):
+    return links.resolve(*_targets(spark, sf), "global")
+
+
+RELATED = [("", "\n", "\n\n## Related\n\n- [[other]]\n"), ("", "\n\n## Related\n\n- [[old]]\n", "\n\n## Related\n\n- [[old]]\n- [[other]]\n"), ("", "\n\n## Related\n\n- [[other]]\n", "\n\n## Related\n\n- [[other]]\n"), ("", "\n\n## Related\n", "\n\n## Related\n\n- [[other]]\n")]
+
+
+@query("related_shapes", f"SELECT doc_id AS source_id, sha256('T ' || text || {_case([x[2] for x in RELATED])}) AS hash FROM documents")
+def _(spark, sf):
+    n = _shaped(spark, sf, [_glued("T ", x[1]) for x in RELATED])
+    return n.select("source_id", T.content_hash(sinks.with_related(F.col("content"), "other")).alias("hash"))
+
+
+def _cut(spark, sf, shape, target: int) -> DataFrame:
+    c = chunk.chunked(_shaped(spark, sf, [shape]), F.col("content"), target)
+    return c.select("source_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content", F.col("char_start").cast("long").alias("char_start"))
+
+
+@query("chunk_headers", "SELECT doc_id AS source_id, unnest([0, 1, 2]) AS chunk_index, unnest(['Intro ' || x, '## Part' || chr(10) || chr(10) || 'then ' || x, '### Last' || chr(10) || 'end']) AS content, unnest([0, length(x) + 8, 2 * length(x) + 23]) AS char_start FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z.,]+', ' ', 'g') || '.' AS x FROM documents) d")
+def _(spark, sf):
+    def shape(t):
+        x = F.concat(F.regexp_replace(t, "[^a-zA-Z.,]+", " "), F.lit("."))
+        return F.concat(F.lit("Intro "), x, F.lit("\n\n## Part\n\nthen "), x, F.lit("\n### Last\nend\n"))
+
+    return _cut(spark, sf, shape, 1 << 30)
+
+
+@query("chunk_fences", "SELECT doc_id AS source_id, unnest([0, 1, 2]) AS chunk_index, unnest(['Intro ' || x, '````py' || chr(10) || '# no head' || chr(10) || chr(10) || '```' || chr(10) || x || chr(10) || '````' || chr(10), 'tail']) AS content, unnest([0, length(x) + 8, 2 * length(x) + 37]) AS char_start FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z.,]+', ' ', 'g') || '.' AS x FROM documents) d")
+def _(spark, sf):
+    def shape(t):
+        x = F.concat(F.regexp_replace(t, "[^a-zA-Z.,]+", " "), F.lit("."))
+        return F.concat(F.lit("Intro "), x, F.lit("\n\n````py\n# no head\n\n```\n"), x, F.lit("\n````\n\ntail\n"))
+
+    return _cut(spark, sf, shape, 1 << 30)
+
+
+@query("chunk_paragraphs", "SELECT doc_id AS source_id, unnest([0, 1, 2]) AS chunk_index, unnest([p || chr(10) || chr(10) || p, p || chr(10) || chr(10) || p, p]) AS content, unnest([0, 2 * length(p) + 4, 4 * length(p) + 8]) AS char_start FROM (SELECT doc_id, repeat('x', 40 + doc_id % 7) AS p FROM documents) d")
+def _(spark, sf):
+    def shape(t):
+        p = F.repeat(F.lit("x"), (F.col("doc_id") % 7 + 40).cast("int"))
+        return F.concat_ws("\n\n", p, p, p, p, p)
+
+    return _cut(spark, sf, shape, 25)

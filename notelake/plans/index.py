@@ -28,10 +28,10 @@ def hashing_embedder(dimension: int = 64) -> Callable[[Column], Column]:
 INDEXED = ("title", "aliases")  # of a source: its columns with an index of names
 
 
-def build(files: DataFrame, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0, mode: str = "compat", now: Column | None = None, tokenizer: Tokenizer | None = None) -> dict[str, DataFrame]:
+def build(files: DataFrame, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0, mode: str = "compat", now: Column | None = None, tokenizer: Tokenizer | None = None, stored: bool = False) -> dict:
     """Tables of a fresh index. files: (path, content[, source_id, mtime]).
 
-    Sources are numbered in path order where they come without ids; an empty file is a source without chunks.
+    Sources are numbered in path order where they come without ids; an empty file is a source without chunks. stored: for ``Store.publish``.
     """
     when = now if now is not None else F.current_timestamp()
     notes = vault.parsed(files if "source_id" in files.columns else vault.numbered(files))
@@ -39,7 +39,7 @@ def build(files: DataFrame, embed: Callable[[Column], Column] | None = None, tar
     notes = notes.withColumns({"uid": store.uid_of(F.col("path"), F.col("source_id")), "status": F.lit("indexed"), "indexed_at": when, "created_at": when, "updated_at": when})
     own = contents(notes, embed, target, overlap)
     sources = notes.select(*SOURCES).join(links.indegree(edges, notes), "source_id")
-    return {"sources": sources, **own, "edges": edges, **text_tables(own["chunks"], sources, tokenizer)}
+    return {"sources": sources, **own, "edges": edges, **text_tables(own["chunks"], sources, tokenizer, stored)}
 
 
 SOURCES = ("source_id", "uid", "path", "title", "content_hash", "status", "aliases", "tags", "indexed_at", "created_at", "updated_at")
@@ -55,10 +55,19 @@ def contents(notes: DataFrame, embed: Callable[[Column], Column] | None = None,
     return {"chunks": chunks, "vectors": vectors, "tags": tags}
 
 
-def text_tables(chunks: DataFrame, sources: DataFrame, tokenizer: Tokenizer | None = None) -> dict[str, DataFrame]:
-    """Both full-text indexes as tables of the store."""
-    text, names = fts.tables(chunks, "chunk_id", search.text_columns(), tokenizer), fts.tables(sources, "source_id", search.name_columns(), tokenizer)
-    return {f"text_{k}": v for k, v in text.items()} | {f"name_{k}": v for k, v in names.items()}
+def text_tables(chunks: DataFrame, sources: DataFrame, tokenizer: Tokenizer | None = None, stored: bool = False) -> dict:
+    """Both full-text indexes as tables of the store. stored: terms and statistics are functions of the tables as written, for ``Store.publish``."""
+    out: dict = {}
+    for kind, rows, key, columns, of in (("text", chunks, "chunk_id", search.text_columns(), "chunks"), ("name", sources, "source_id", search.name_columns(), "sources")):
+        fields, post = tuple(columns), fts.postings(rows, key, columns, tokenizer)
+        if stored:
+            out[f"{kind}_postings"] = post
+            out[f"{kind}_terms"] = lambda t, kind=kind, key=key, fields=fields: fts.terms_of(t[f"{kind}_postings"], key, fields)
+            out[f"{kind}_stats"] = lambda t, kind=kind, of=of: fts.stats_of(t[f"{kind}_postings"], t[of])
+        else:
+            post = written(post, "fts-postings")
+            out |= {f"{kind}_postings": post, f"{kind}_terms": fts.terms_of(post, key, fields), f"{kind}_stats": fts.stats_of(post, rows)}
+    return out
 
 
 def opened(tables: dict[str, DataFrame], tokenizer: Tokenizer | None = None) -> search.Index:
@@ -125,9 +134,9 @@ def updated(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, emb
     new_rows = {"text": (own["chunks"], "chunk_id", search.text_columns(), lost, out["chunks"]), "name": (rows.select("source_id", *INDEXED), "source_id", search.name_columns(), away, every)}
     for kind, (added_rows, key, columns, left, whole) in new_rows.items():
         stay = old[f"{kind}_postings"].join(left, key, "left_anti")
-        post = stay.unionByName(fts.tables(added_rows, key, columns, tokenizer)["postings"].select(*stay.columns))
+        post = stay.unionByName(fts.postings(added_rows, key, columns, tokenizer).select(*stay.columns))
         post = written(post.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(-(-parts_for(post, 16) // fts.BUCKETS)))).sortWithinPartitions("bucket", "term", key), f"index-{kind}")
-        out |= {f"{kind}_postings": post} | {f"{kind}_{n}": t for n, t in fts.derived(post, whole, key, tuple(columns)).items()}
+        out |= {f"{kind}_postings": post, f"{kind}_terms": fts.terms_of(post, key, tuple(columns)), f"{kind}_stats": fts.stats_of(post, whole)}
     if "files" in old:
         away_paths = kinds.filter("change <> 'unchanged'" if prune else "change in ('new', 'changed')").select("path")
         out["files"] = old["files"].join(away_paths, "path", "left_anti").select("path", "content").unionByName(fresh.select("path", "content"))

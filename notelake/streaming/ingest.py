@@ -16,7 +16,7 @@ def merge_batch(store: Store, batch: DataFrame) -> dict[str, int]:
     spark = batch.sparkSession
     files = latest(batch, ["path"], F.col("mtime")).select("path", "content")
     if store.version(spark) is None:
-        store.publish(spark, build(files) | {"files": files})
+        store.publish(spark, build(files, stored=True) | {"files": files})
         return {"new": files.count()}
     store.migrate(spark)
     tables, counts = updated(store.read_all(spark), files, prune=False)
