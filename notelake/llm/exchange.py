@@ -52,6 +52,15 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
 
 
+def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, the most frequent first; each value's place among them): small numbers for what is common, which packs best."""
+    table, at, n = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return table[order], rank[at] if len(at) else np.empty(0, np.int32)
+
+
 def squeezed(data: bytes, level: int = 1) -> bytes:
     import zstandard
 

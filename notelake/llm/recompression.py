@@ -76,8 +76,8 @@ class Symbols:
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + window, -1)
         words = np.where(np.cumsum(edge)[: len(self.left)] > 0, self.words, np.uint64(0))
-        (table, at), (known, word) = (np.unique(x, return_inverse=True) for x in (self.names, words))
-        arrays = (table, at.astype(np.int32), self.width.astype(np.int32), self.back, self.ahead, self.sizes.astype(np.int32), np.packbits(self.left), known, word.astype(np.int32), self.ids, self.ties)
+        (table, at), (known, word) = X.coded(self.names), X.coded(words)
+        arrays = (table, at, self.width.astype(np.int32), self.back, self.ahead, self.sizes.astype(np.int32), np.packbits(self.left), known, word, self.ids, self.ties)
         return X.frame(*map(X.pack, arrays))
 
     @classmethod
@@ -243,19 +243,24 @@ def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None,
         at = np.array([get(w, len(known)) for ws in split for w in ws], np.int64)
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         del split
+        vocabulary, times = list(known), np.bincount(at, minlength=len(known))
+        common = np.argsort(-times, kind="stable")  # the most frequent first: small numbers, which pack best
+        rank = np.empty(len(common), np.int32)
+        rank[common] = np.arange(len(common), dtype=np.int32)
+        vocabulary, times = [vocabulary[i] for i in common.tolist()], np.minimum(times[common], 2).astype(np.uint8)
+        order, edges = asking_order(vocabulary)
+        asks = [(p, X.frame(X.squeezed(b" ".join([vocabulary[i] for i in order[s:e].tolist()])), X.pack(times[order[s:e]]))) for p, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
+        words = map(X.pack, (rank[at] if len(at) else at.astype(np.int32), sizes, ids, ties))
+        return [(-2, X.frame(*words, X.squeezed(b" ".join(vocabulary), 3))), *asks]
+
+    def asking_order(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the words by part, where each part starts)."""
         from xxhash import xxh64_intdigest
 
-        vocabulary = list(known)
-        h = np.fromiter((xxh64_intdigest(w, 5) for w in vocabulary), np.uint64, len(known))
+        h = np.fromiter((xxh64_intdigest(w, 5) for w in vocabulary), np.uint64, len(vocabulary))
         part = ((h >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        times = np.minimum(np.bincount(at, minlength=len(known)), 2).astype(np.uint8)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        asks = [(p, X.frame(X.squeezed(b" ".join([vocabulary[i] for i in order[s:e].tolist()])), X.pack(times[order[s:e]]))) for p, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
-        words = map(X.pack, ((place[at] if len(at) else at).astype(np.int32), sizes, ids, ties))
-        return [(-2, X.frame(*words, X.squeezed(b" ".join([vocabulary[i] for i in order.tolist()]), 3))), *asks]
+        return order, np.searchsorted(part[order], np.arange(parts + 1))
 
     def word_names(part, got):
         frames = [X.unframe(d) for _, d in got]
@@ -287,9 +292,15 @@ def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None,
         s, at = without_gaps(s)
         return [(-1, X.frame(s.packed(window), X.deltas(np.searchsorted(at, which)), X.pack(of.astype(np.int32)))), *asks]
 
+    def opened(kept):
+        *arrays, vocabulary = X.unframe(kept)
+        at, sizes, ids, ties = (X.unpack(x, t) for x, t in zip(arrays, (np.int32, np.int64, np.int64, np.int64), strict=True))
+        return at, sizes, ids, ties, X.expanded(vocabulary).split(b" ") if len(at) else []
+
     def words_named(kept, got) -> Symbols:
-        at, sizes, ids, ties = (X.unpack(x, t) for x, t in zip(X.unframe(kept), (np.int32, np.int64, np.int64, np.int64)))
-        names = np.concatenate([np.empty(0, np.uint64), *(name_of(0, p, X.unpack(d, np.int64)) for p, d in got)])
+        at, sizes, ids, ties, vocabulary = opened(kept)
+        names = np.empty(len(vocabulary), np.uint64)
+        names[asking_order(vocabulary)[0]] = np.concatenate([np.empty(0, np.uint64), *(name_of(0, p, X.unpack(d, np.int64)) for p, d in got)])
         names = names[at] if len(at) else names
         left = np.arange(len(names)) + window <= np.repeat(np.cumsum(sizes), sizes)
         once, zeros = np.flatnonzero(names == 0), np.zeros(len(names), np.uint8)
@@ -324,9 +335,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, parts: int | None = None,
         return run
 
     def remove(kept, got):
-        *arrays, vocabulary = X.unframe(kept)
-        at, sizes, ids, ties = (X.unpack(x, t) for x, t in zip(arrays, (np.int32, np.int64, np.int64, np.int64), strict=True))
-        vocabulary = X.expanded(vocabulary).split(b" ")
+        at, sizes, ids, ties, vocabulary = opened(kept)
         starts, one = X.unframe(got[0][1])
         starts, one = X.undelta(starts, np.int64), X.unpack(one, np.int32)
         stays = np.zeros(len(starts), bool)
