@@ -12,7 +12,8 @@ The next document is found without a global sort: ids are dealt to ranges at qua
 the first row of a range also goes to the range before it (that of the first range to the last).
 
 Edge cases: null text counts as empty; null ids come first, ties of ids are ordered by text hash, so repeated rows stand side by
-side; a single document is its own next; an empty table gives an empty result; further columns are passed over.
+side; a single document is its own next; an empty table gives an empty result; further columns are passed over. A text's words
+are held together: memory grows with the longest text.
 """
 
 from __future__ import annotations

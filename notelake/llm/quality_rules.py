@@ -15,7 +15,8 @@ Counts cover all documents and all labels; what reaches the driver is one number
 
 Edge cases: null or empty text has no words and fails the base rule; null lang is a stratum; repeated labels of a document
 count once (good only if all say so); repeated rows are judged alike; an empty table gives an empty result; without
-labels only the base rules act; further columns are passed over.
+labels only the base rules act; further columns are passed over. A text's words are held
+together: memory grows with the longest text.
 """
 
 from __future__ import annotations
