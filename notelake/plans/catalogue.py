@@ -520,6 +520,25 @@ def _(spark, sf):
     return sinks.as_json(with_lines(rows, table(spark, sf, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content")), chunks))
 
 
+PAYLOAD = "schema_version int, count int, results array<struct<position: int, source_id: long, chunk_id: long, path: string, score: double, indegree: long, line_start: long, line_end: long, content: string>>"
+
+
+def _payload_sql() -> str:
+    rows = result_sql().replace("round(score, 6) AS score", "round(score, 6) AS score, CASE WHEN ck IS NULL THEN 1 ELSE 1 + length(left(text, length(text) - 1)) - length(replace(left(text, length(text) - 1), chr(10), '')) END AS line_end")
+    return f"SELECT CAST(1 AS BIGINT) AS schema_version, CAST(10 AS BIGINT) AS n, position, source_id, chunk_id, path, score, indegree, CAST(1 AS BIGINT) AS line_start, line_end, left(replace(content, chr(10), ' '), 200) AS content FROM ({rows}) q"
+
+
+@query("result_json_rows", _payload_sql())
+def _(spark, sf):
+    """The JSON payload of one query, read again as any client would."""
+    idx = index(spark, sf)
+    rows = search.search(idx, [(1, TEXT, vector_of(spark, sf, VEC))])
+    chunks = idx.chunks.select("chunk_id", F.lit(0).alias("char_start"), F.length("content").alias("char_end"))
+    files = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    out = sinks.as_json(with_lines(rows, files, chunks)).select(F.from_json("json", PAYLOAD).alias("j")).select(F.col("j.schema_version").cast("long").alias("schema_version"), F.col("j.count").cast("long").alias("n"), F.explode("j.results").alias("r"))
+    return out.select("schema_version", "n", F.col("r.position").cast("long").alias("position"), *[F.col(f"r.{c}").alias(c) for c in ("source_id", "chunk_id", "path")], F.round("r.score", 6).alias("score"), *[F.col(f"r.{c}").alias(c) for c in ("indegree", "line_start", "line_end", "content")])
+
+
 @query("related_link", "SELECT doc_id, sha256(CASE WHEN text = '' OR ends_with(text, chr(10)) THEN text ELSE text || chr(10) END || chr(10) || '## Related' || chr(10) || chr(10) || '- [[other]]' || chr(10)) AS hash FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.content_hash(sinks.with_related(F.col("text"), "other")).alias("hash"))

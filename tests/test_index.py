@@ -178,6 +178,13 @@ def test_status_of_streams_and_suggestions(spark, tmp_path):
         api.decide(spark, at, 2, "maybe")
 
 
+def test_live_indegree(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 2), (3, "a", 2), (3, "x", None)], "src_id long, target_path string, dst_id long").coalesce(1).write.json(str(tmp_path / "e"))
+    edges = spark.readStream.schema("src_id long, target_path string, dst_id long").json(str(tmp_path / "e"))
+    ingest.live_indegree(edges).writeStream.outputMode("update").format("memory").queryName("degrees").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.table("degrees").collect()] == [(2, 2)]
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     return I.opened({k: v.persist() for k, v in I.build(frame(spark, NOTES)).items()})
