@@ -10,12 +10,12 @@ By default the document and cost capacities are those that the token capacity im
 of sequences is as small as tokens allow. Where they bind, documents are cut into pieces that an empty sequence can hold under every
 capacity (the square root of the cost capacity, if that is less than the tokens); no piece is ever placed over a capacity.
 
-Words are tokenized once per task: the tokenizer's splitting never joins what white space parts, so a text's ids are
+Words are tokenized once per worker process: the tokenizer's splitting never joins what white space parts, so a text's ids are
 its words' ids in a row.
 
 Edge cases: null text counts as empty and gives one piece with the end id alone; repeated rows and repeated ids are
 packed each; a text of any length is cut, never shortened; an empty table gives an empty result; further columns are
-passed over.
+passed over. A text's words and ids are held together: memory grows with the longest text.
 """
 
 from __future__ import annotations
@@ -33,12 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.exchange import trimmed
-from notelake.llm.text import batch_of, docs, slices, values
+from notelake.llm.text import SPACES, batch_of, docs, slices, values
 from notelake.session import written
 
 BLOCK = 12_000
 # Punctuation that ends words; the apostrophe is left out, as the tokenizer joins it with letters.
-BEHIND = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+BEHIND = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
+BYTE = np.random.default_rng(4).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -68,81 +71,167 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Words:
+    """The words of some texts, found and hashed without making an object of each: 64 bits of a polynomial over random numbers for bytes.
+
+    Of two million different words any two agree with odds of 1e-7.
+    """
+
+    def __init__(self, texts: list[bytes], powers: tuple[np.ndarray, np.ndarray]):
+        self.data = b"\n".join(texts) + b"\n"
+        b = np.frombuffer(self.data, np.uint8)
+        space = IS_SPACE[b]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edge = edge if space[0] else np.r_[0, edge]
+        self.starts, self.ends = edge[0::2], edge[1::2]
+        prefix = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(BYTE[b] * powers[0][: len(b)], out=prefix[1:])
+        h = (prefix[self.ends] - prefix[self.starts]) * powers[1][self.starts]
+        order = np.argsort(h)
+        new = np.ones(len(h), bool)
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        self.first, self.of = order[new], np.empty(len(h), np.int64)  # any one occurrence of each, and each word's number
+        self.of[order] = np.cumsum(new) - 1
+        self.hashes = h[self.first]
+        self.before = np.searchsorted(self.starts, np.r_[0, np.cumsum([len(t) + 1 for t in texts])])  # words before each text
+
+
 class WordIds:
-    """The ids of words as packed unsigned 32-bit numbers, kept while the task runs (up to a bound, then anew).
+    """The ids of words, kept while the worker process lives (up to a bound, then anew): sorted hashes, and each word's ids in one flat array.
 
     A word of letters, maybe with punctuation behind, has its letters' ids and then its punctuation's. Letters are encoded
     many words at a time; as each such word is one unit of the tokenizer, its last id is the only one that ends a word.
     Any other word is encoded by itself.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    PIECE = 256 << 10  # bytes of text whose words are found at a time, so that arrays stay in the processor's caches
+
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        self.encode, self.most, self.known, self.plain = model.encode_batch_fast, most, {}, {}
+        self.encode, self.most = model.encode_batch_fast, most
         suffix = getattr(model.model, "end_of_word_suffix", None)
-        self.ends = np.zeros(model.get_vocab_size() + 1, bool)
+        self.last = np.zeros(model.get_vocab_size() + 1, bool)
         if suffix:
-            self.ends[[i for t, i in model.get_vocab().items() if t.endswith(suffix)]] = True
+            self.last[[i for t, i in model.get_vocab().items() if t.endswith(suffix)]] = True
+        self.powers = (np.empty(0, np.uint64), np.empty(0, np.uint64))
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.rows = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.flat, self.at = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
 
     def alone(self, words: list[bytes]) -> list[bytes]:
         found = self.encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
-    def letters(self, words: list[str]) -> None:
+    def letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words of letters in lower case."""
+        out: dict[bytes, bytes] = {}
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = np.array(self.encode([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.last[ids]) + 1
             if len(last) == len(part) and last[-1] == len(ids):
                 data, edges = ids.tobytes(), [0, *(4 * last).tolist()]
-                self.plain.update((w, data[a:b]) for w, a, b in zip(part, edges, edges[1:]))
+                out.update((w, data[a:b]) for w, a, b in zip(part, edges, edges[1:]))
             else:
-                self.plain.update(zip(part, self.alone([w.encode() for w in part]), strict=True))
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.known) > self.most:
-            self.known, self.plain = {}, {}
-        known = self.known
-        new = [w for w in set().union(*texts) if w not in known]
-        if not new:
-            return
-        lower = b"\n".join(new).lower().decode("utf-8", "replace").split("\n")
+                out.update(zip(part, self.alone(part), strict=True))
+        return out
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        lower = b"\n".join(words).lower().split(b"\n")
         bases = [w.rstrip(BEHIND) for w in lower]
+        plain = [b.isalpha() or bool((t := b.decode("utf-8", "replace")).isalpha() and t.islower()) for b in bases]  # isalpha of bytes: letters of ASCII alone
+        known = self.letters(list({b for b, p in zip(bases, plain) if p}))
         tails = [w[len(b) :] for w, b in zip(lower, bases)]
-        plain = [b.isalpha() and b.islower() for b in bases]
-        self.letters([b for b in {b for b, p in zip(bases, plain) if p} if b not in self.plain])
         ends = list(set(tails))
-        behind = dict(zip(ends, self.alone([t.encode() for t in ends]), strict=True))
-        others = [w for w, p in zip(new, plain) if not p]
-        at = self.plain
-        known.update((w, at[b] + behind[t]) for w, b, t, p in zip(new, bases, tails, plain) if p)
-        known.update(zip(others, self.alone(others), strict=True))
-
-    def ids(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words)) + b"\0\0\0\0"
+        behind = dict(zip(ends, self.alone(ends), strict=True))
+        others = iter(self.alone([w for w, p in zip(words, plain) if not p]))
+        return [known[b] + behind[t] if p else next(others) for b, t, p in zip(bases, tails, plain)]
+
+    def learn(self, found: list[Words]) -> None:
+        """Make every word of these known."""
+        if len(self.hashes) > self.most:
+            self.forget()
+        every = np.unique(np.concatenate([f.hashes for f in found]))
+        new = every[~self.knows(every)]
+        if not len(new):
+            return
+        words: list[bytes] = [b""] * len(new)
+        for f in found:
+            place = np.minimum(np.searchsorted(new, f.hashes), len(new) - 1)
+            mine = np.flatnonzero(new[place] == f.hashes)
+            for i, s, e in zip(place[mine].tolist(), f.starts[f.first[mine]].tolist(), f.ends[f.first[mine]].tolist()):
+                words[i] = f.data[s:e]
+        ids = self.encoded(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        end = int(self.at[-1])
+        if end + int(sizes.sum()) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:end], np.empty(end + 2 * int(sizes.sum()), np.uint32)])
+        self.flat[end : end + int(sizes.sum())] = np.frombuffer(b"".join(ids), np.uint32)
+        where = np.searchsorted(self.hashes, new)
+        self.hashes = np.insert(self.hashes, where, new)
+        self.rows = np.insert(self.rows, where, np.arange(len(self.at) - 1, len(self.at) - 1 + len(new)))
+        self.at = np.concatenate([self.at, end + np.cumsum(sizes)])
+
+    def knows(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, packed as unsigned 32-bit numbers, with 0 behind."""
+        pieces: list[list[bytes]] = []
+        size = 0
+        for t in texts:
+            if not pieces or size + len(t) > self.PIECE:
+                pieces.append([])
+                size = 0
+            pieces[-1].append(t)
+            size += len(t) + 1
+        longest = max((sum(map(len, p)) + len(p) for p in pieces), default=0)
+        if longest > len(self.powers[0]):
+            self.powers = tuple(np.cumprod(np.r_[np.uint64(1), np.full(longest, x, np.uint64)], dtype=np.uint64) for x in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))))
+        found = [Words(p, self.powers) for p in pieces]
+        self.learn([f for f in found if len(f.hashes)] or found)
+        out: list[bytes] = []
+        for f in found:
+            rows = self.rows[np.searchsorted(self.hashes, f.hashes)][f.of] if len(f.hashes) else np.empty(0, np.int64)
+            sizes = self.at[rows + 1] - self.at[rows]
+            stop = np.cumsum(sizes)
+            ids = self.flat[np.repeat(self.at[rows] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+            cut = (4 * np.r_[0, stop][f.before]).tolist()
+            out += [ids[a:b] + b"\0\0\0\0" for a, b in zip(cut, cut[1:])]
+        return out
+
+
+KNOWN: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """This process's words, which later tasks of a worker find as earlier ones left them: ids depend on the word alone."""
+    if path not in KNOWN:
+        KNOWN[path] = WordIds(path)
+    return KNOWN[path]
 
 
 def pieces(documents: DataFrame, path: str, tokens: int = 2048) -> DataFrame:
     """One row per piece: doc_id, row (a number of the row in its task), piece, start, length, ids_crc32."""
 
     def cut(batches):
-        known, row = None, 0
+        known, row = word_ids(path), 0
         for batch in slices(batches):
-            known = known or WordIds(path)
-            texts = [t.split() for t in values(batch, "text")]
-            known.learn(texts)
             out = []
-            for doc_id, words in zip(values(batch, "doc_id"), texts, strict=True):
-                ids = known.ids(words)
+            for doc_id, ids in zip(values(batch, "doc_id"), known.of(values(batch, "text")), strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * tokens)):
                     part = ids[at : at + 4 * tokens]
                     out.append((doc_id, row, k, at // 4, len(part) // 4, zlib.crc32(part)))
                 row += 1
             yield batch_of(PIECES, *map(list, zip(*out, strict=True)))
-        del known
         trimmed()
 
     return docs(documents).mapInArrow(cut, PIECES_DDL)
@@ -152,30 +241,36 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     """(bin, offset) of each piece; the pieces come in any order and are placed longest first. None is longer than capacity.longest."""
     if len(lengths) and lengths.max() > capacity.longest:
         raise ValueError(f"a piece of {lengths.max()} tokens fits no sequence of {capacity}")
-    full = np.array([capacity.tokens, capacity.documents, capacity.cost], float)
-    weight = np.array(capacity.weights, float) / full**2
+    full = (float(capacity.tokens), float(capacity.documents), float(capacity.cost))
+    weight = [w / f**2 for w, f in zip(capacity.weights, full)]
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    left = np.empty((64, 3))
+    left = [np.empty(64) for _ in full]  # of each open bin, by capacity
     number = np.empty(64, np.int64)
     n = made = 0
-    for i in np.argsort(-lengths, kind="stable"):
-        need = np.array([lengths[i], 1, float(lengths[i]) ** 2])
-        open_ = left[:n]
-        rest = open_ - need
-        fits = np.flatnonzero((rest >= 0).all(axis=1))
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size = float(lengths[i])
+        need = (size, 1.0, size * size)
+        room = [x[:n] for x in left]
+        fits = np.flatnonzero((room[0] >= need[0]) & (room[1] >= 1) & (room[2] >= need[2]))
         if len(fits):
-            score = (rest[fits] ** 2) @ weight if capacity.rule == "norm" else -(open_[fits] * need) @ weight
-            at = fits[np.argmin(score)]
+            own = [x[fits] for x in room]
+            score = sum(w * (x - a) ** 2 for w, x, a in zip(weight, own, need)) if capacity.rule == "norm" else -sum(w * a * x for w, x, a in zip(weight, own, need))
+            at = int(fits[np.argmin(score)])
         else:
-            if n == len(left):
-                left, number = np.concatenate([left, np.empty_like(left)]), np.concatenate([number, np.empty_like(number)])
-            at, n = n, n + 1
-            left[at], number[at], made = full, made, made + 1
-        bins[i], offsets[i] = number[at], capacity.tokens - left[at][0]
-        left[at] -= need
-        if left[at].min() < 1:  # nothing more fits: close it
+            if n == len(number):
+                left, number = [np.concatenate([x, np.empty_like(x)]) for x in left], np.concatenate([number, np.empty_like(number)])
+            at, n, made = n, n + 1, made + 1
+            number[at] = made - 1
+            for x, f in zip(left, full):
+                x[at] = f
+        bins[i], offsets[i] = number[at], full[0] - left[0][at]
+        for x, a in zip(left, need):
+            x[at] -= a
+        if min(x[at] for x in left) < 1:  # nothing more fits: close it
             n -= 1
-            left[at], number[at] = left[n], number[n]
+            number[at] = number[n]
+            for x in left:
+                x[at] = x[n]
     return bins, offsets
 
 
