@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.llm.exchange import trimmed
 from notelake.llm.text import batch_of, docs, slices, values
 from notelake.session import dropped, written
 
@@ -60,15 +61,16 @@ def fit(rows: list[np.ndarray], good: np.ndarray, epochs: int = EPOCHS, c: float
         counts[int(g), f] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     y = np.where(good, 1.0, -1.0)
-    scaled = [ratio[f] / np.sqrt(max(1, len(f))) for f in rows]
-    norm = np.array([x @ x + 1.0 for x in scaled])
+    scale = [1 / np.sqrt(max(1, len(f))) for f in rows]
+    norm = np.array([x @ x + 1.0 for x in (ratio[f] * c for f, c in zip(rows, scale))])
     w, bias, alpha, rng = np.zeros(BUCKETS), 0.0, np.zeros(len(rows)), np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (w[rows[i]] @ scaled[i] + bias) - 1
+            x = ratio[rows[i]] * scale[i]  # made anew each time, so that memory holds the indicators alone
+            gradient = y[i] * (w[rows[i]] @ x + bias) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), c)
             if (step := (new - alpha[i]) * y[i]) != 0:
-                w[rows[i]] += step * scaled[i]
+                w[rows[i]] += step * x
                 bias += step
                 alpha[i] = new
     return (SLOPE * w * ratio).astype(np.float32), SLOPE * bias
@@ -98,7 +100,17 @@ def trained(documents: DataFrame, labels: DataFrame, mod: int = 3, out: int = 1,
     used = one.filter((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("doc_id") <= last["doc_id"]))) if last else one.limit(0)
     got = used.select("doc_id", "f", "y").toArrow().sort_by("doc_id")
     dropped(one)
-    return fit([np.frombuffer(f, np.int32) for f in got["f"].to_pylist()], np.array(got["y"].to_pylist(), int) == 1)
+    found, y = got["f"].combine_chunks(), np.array(got["y"].to_pylist(), int) == 1
+    del got
+    rows, data = [], None
+    for part in found.chunks if isinstance(found, pa.ChunkedArray) else [found]:
+        _, ends, data = part.buffers()
+        ends = np.frombuffer(ends, np.int32)[part.offset : part.offset + len(part) + 1].tolist() if len(part) else [0]
+        rows += [np.frombuffer(data, np.int32, (b - a) // 4, a) if b > a else np.empty(0, np.int32) for a, b in zip(ends, ends[1:])]  # without a copy
+    weights = fit(rows, y)
+    del rows, found, data
+    trimmed()
+    return weights
 
 
 def scored(documents: DataFrame, weights: np.ndarray, bias: float, mod: int = 3, out: int = 1) -> DataFrame:
