@@ -471,15 +471,15 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "query string, state string").select("query", "state", k.alias("k"), reason.alias("reason"))
 
 
-@query("graph_expand", f"""WITH {ranks_sql(k=200, vec_weight=3.0).format(cut=60)}, base AS (SELECT position, source_id, coalesce(ck, 0) AS chunk_id, ck, score FROM pos),
+@query("graph_expand", f"""WITH {ranks_sql(k=200, vec_weight=2.5).format(cut=60)}, base AS (SELECT position, source_id, coalesce(ck, 0) AS chunk_id, ck, score FROM pos),
 seeds AS (SELECT source_id AS s FROM base WHERE position <= 3),
 nb AS (SELECT DISTINCT x AS source_id FROM (SELECT dst_id AS x FROM e JOIN seeds ON src_id = s UNION ALL SELECT src_id FROM e JOIN seeds ON dst_id = s) y WHERE x NOT IN (SELECT source_id FROM base)),
-more AS (SELECT source_id, chunk_id, 0.7 * 3.0 / (60 + row_number() OVER (ORDER BY distance, source_id)) AS score FROM nb JOIN nn ON nn.chunk_id = nb.source_id),
+more AS (SELECT source_id, chunk_id, 1.75 / (60 + row_number() OVER (ORDER BY distance, source_id)) AS score FROM nb JOIN nn ON nn.chunk_id = nb.source_id),
 u AS (SELECT * FROM base UNION ALL SELECT 1073741824, source_id, chunk_id, chunk_id, score FROM more),
 z AS (SELECT row_number() OVER (ORDER BY round(score, 12) DESC, position, source_id) AS position, source_id, chunk_id, ck, score, position > 1000000 AS expanded FROM u)
 SELECT position, source_id, chunk_id, path, title, CASE WHEN ck IS NULL THEN CASE WHEN title = '' THEN path ELSE title END ELSE text END AS content, round(score, 6) AS score, indegree FROM z JOIN v USING (source_id) JOIN deg USING (source_id) WHERE position <= 60""")
 def _(spark, sf):
-    return _hybrid(expand=True, vec_weight=3.0, top_k=60)(spark, sf)
+    return _hybrid(expand=True, vec_weight=2.5, top_k=60)(spark, sf)
 
 
 def metadata_sql(text: tuple[str, ...]) -> str:
