@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notelake.llm import classifier, compaction, imatch, katz, mixing, packing, quality_rules, recompression, simhash, suffix, url_filter
+from notelake.llm import alignment, classifier, compaction, imatch, katz, mixing, packing, quality_rules, recompression, simhash, suffix, url_filter
 from notelake.session import table
 
 
@@ -26,5 +26,6 @@ QUERIES = {
     "op9_quality_rules": _labelled(quality_rules.judged),
     "op10_katz": _on("documents", katz.score),
     "op11_compaction": _on("clicks", compaction.compacted),
+    "op12_alignment": _on("documents", alignment.align),
 }
 ORACLE = {"op6_mixing": mixing.ORACLE, "op7_url_filter": url_filter.ORACLE}
