@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notelake.llm import alignment, classifier, compaction, imatch, katz, mixing, packing, quality_rules, recompression, simhash, suffix, url_filter
+from notelake.llm import alignment, classifier, compaction, imatch, jaccard_join, katz, mixing, packing, quality_rules, recompression, simhash, suffix, url_filter
 from notelake.session import table
 
 
@@ -27,5 +27,6 @@ QUERIES = {
     "op10_katz": _on("documents", katz.score),
     "op11_compaction": _on("clicks", compaction.compacted),
     "op12_alignment": _on("documents", alignment.align),
+    "op13_jaccard_join": _on("documents", jaccard_join.grouped),
 }
 ORACLE = {"op6_mixing": mixing.ORACLE, "op7_url_filter": url_filter.ORACLE}
