@@ -42,6 +42,8 @@ BEHIND = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
 BYTE = np.random.default_rng(4).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SPARE, LONG = 8, np.uint64(1 << 63)
+MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)  # of the first n bytes of eight
 PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -71,33 +73,61 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def same_bytes(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each stretch of a equals that of b; both arrays have SPARE bytes behind. Eight bytes are compared at a time, for all stretches that are as long."""
+    same, wide = np.ones(len(sizes), bool), [np.lib.stride_tricks.as_strided(x, (len(x) - 7, 8), (1, 1)) for x in (a, b)]
+    for k in range(0, min(int(sizes.max(initial=0)), 256), 8):
+        left = np.flatnonzero(sizes > k)
+        x, y = (w[at[left] + k].view(np.uint64).ravel() for w, at in zip(wide, (at_a, at_b)))
+        same[left] &= ((x ^ y) & MASK[np.minimum(sizes[left] - k, 8)]) == 0
+    for i in np.flatnonzero(sizes > 256).tolist():
+        same[i] = np.array_equal(a[at_a[i] : at_a[i] + sizes[i]], b[at_b[i] : at_b[i] + sizes[i]])
+    return same
+
+
 class Words:
-    """The words of some texts, found and hashed without making an object of each: 64 bits of a polynomial over random numbers for bytes.
+    """The words of some texts, told apart by their bytes without making an object of each.
 
-    Of two million different words any two agree with odds of 1e-7.
+    A word of up to seven bytes has a key that is its bytes and length. A longer one has a hash for a key, and each occurrence is compared with the first of its key, byte for
+    byte; those that differ (``odd``) stand behind the others under numbers of their own.
     """
 
     def __init__(self, texts: list[bytes], powers: tuple[np.ndarray, np.ndarray]):
-        self.data = b"\n".join(texts) + b"\n"
-        b = np.frombuffer(self.data, np.uint8)
+        self.data = b"\n".join(texts) + b"\n" + bytes(SPARE)
+        self.bytes = np.frombuffer(self.data, np.uint8)
+        b = self.bytes[:-SPARE]
         space = IS_SPACE[b]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         edge = edge if space[0] else np.r_[0, edge]
         self.starts, self.ends = edge[0::2], edge[1::2]
-        prefix = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(BYTE[b] * powers[0][: len(b)], out=prefix[1:])
-        h = (prefix[self.ends] - prefix[self.starts]) * powers[1][self.starts]
-        order = np.argsort(h)
-        new = np.ones(len(h), bool)
-        new[1:] = h[order[1:]] != h[order[:-1]]
-        self.first, self.of = order[new], np.empty(len(h), np.int64)  # any one occurrence of each, and each word's number
+        size = self.ends - self.starts
+        head = np.lib.stride_tricks.as_strided(self.bytes, (len(b), 8), (1, 1))[self.starts].view(np.uint64).ravel()
+        key = (head & MASK[np.minimum(size, 7)]) | (size.astype(np.uint64) << np.uint64(56))
+        long = np.flatnonzero(size > 7)
+        if len(long):
+            prefix = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(BYTE[b] * powers[0][: len(b)], out=prefix[1:])
+            key[long] = (prefix[self.ends[long]] - prefix[self.starts[long]]) * powers[1][self.starts[long]] | LONG
+        order = np.argsort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        self.first, self.of = order[new], np.empty(len(key), np.int64)  # any one occurrence of each, and each word's number
         self.of[order] = np.cumsum(new) - 1
-        self.hashes = h[self.first]
+        self.keys, self.odd = key[self.first], {}
+        first = self.first[self.of[long]]
+        again = first != long
+        long, first = long[again], first[again]
+        same = size[long] == size[first]
+        same[same] = same_bytes(self.bytes, self.starts[long[same]], self.bytes, self.starts[first[same]], size[long[same]])
+        for i in long[~same].tolist():
+            self.of[i] = len(self.keys) + self.odd.setdefault(self.data[self.starts[i] : self.ends[i]], len(self.odd))
         self.before = np.searchsorted(self.starts, np.r_[0, np.cumsum([len(t) + 1 for t in texts])])  # words before each text
 
 
 class WordIds:
-    """The ids of words, kept while the worker process lives (up to a bound, then anew): sorted hashes, and each word's ids in one flat array.
+    """The ids of words, kept while the worker process lives (up to a bound, then anew): sorted keys, and each word's ids in one flat array.
+
+    The bytes of longer words are kept too and compared, so that a key which two words share never gives one the ids of the other.
 
     A word of letters, maybe with punctuation behind, has its letters' ids and then its punctuation's. Letters are encoded
     many words at a time; as each such word is one unit of the tokenizer, its last id is the only one that ends a word.
@@ -120,8 +150,9 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.rows = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.keys, self.rows = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.flat, self.at = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
+        self.blob, self.blob_at = np.zeros(1 << 16, np.uint8), np.zeros(1, np.int64)  # each row's bytes, none for short words
 
     def alone(self, words: list[bytes]) -> list[bytes]:
         found = self.encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -153,35 +184,59 @@ class WordIds:
         others = iter(self.alone([w for w, p in zip(words, plain) if not p]))
         return [known[b] + behind[t] if p else next(others) for b, t, p in zip(bases, tails, plain)]
 
+    def add(self, words: list[bytes]) -> np.ndarray:
+        """Rows of these words' ids, which no key leads to yet."""
+        ids = self.encoded(words)
+        for data, at, flat, kind in ((ids, "at", "flat", np.uint32), ([w if len(w) > 7 else b"" for w in words], "blob_at", "blob", np.uint8)):
+            ends, held = getattr(self, at), getattr(self, flat)
+            sizes = np.fromiter(map(len, data), np.int64, len(data)) // np.dtype(kind).itemsize
+            start, end = int(ends[-1]), int(ends[-1] + sizes.sum())
+            if end + SPARE > len(held):
+                held = np.concatenate([held[:start], np.zeros(end - start + end + SPARE, kind)])
+                setattr(self, flat, held)
+            held[start:end] = np.frombuffer(b"".join(data), kind)
+            setattr(self, at, np.concatenate([ends, start + np.cumsum(sizes)]))
+        return np.arange(len(self.at) - 1 - len(words), len(self.at) - 1)
+
     def learn(self, found: list[Words]) -> None:
-        """Make every word of these known."""
-        if len(self.hashes) > self.most:
+        """Make every key of these known."""
+        if len(self.at) > self.most:
             self.forget()
-        every = np.unique(np.concatenate([f.hashes for f in found]))
+        every = np.unique(np.concatenate([f.keys for f in found]))
         new = every[~self.knows(every)]
         if not len(new):
             return
         words: list[bytes] = [b""] * len(new)
         for f in found:
-            place = np.minimum(np.searchsorted(new, f.hashes), len(new) - 1)
-            mine = np.flatnonzero(new[place] == f.hashes)
+            place = np.minimum(np.searchsorted(new, f.keys), len(new) - 1)
+            mine = np.flatnonzero(new[place] == f.keys)
             for i, s, e in zip(place[mine].tolist(), f.starts[f.first[mine]].tolist(), f.ends[f.first[mine]].tolist()):
                 words[i] = f.data[s:e]
-        ids = self.encoded(words)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        end = int(self.at[-1])
-        if end + int(sizes.sum()) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:end], np.empty(end + 2 * int(sizes.sum()), np.uint32)])
-        self.flat[end : end + int(sizes.sum())] = np.frombuffer(b"".join(ids), np.uint32)
-        where = np.searchsorted(self.hashes, new)
-        self.hashes = np.insert(self.hashes, where, new)
-        self.rows = np.insert(self.rows, where, np.arange(len(self.at) - 1, len(self.at) - 1 + len(new)))
-        self.at = np.concatenate([self.at, end + np.cumsum(sizes)])
-
-    def knows(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), bool)
-        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
+        rows = self.add(words)
+        where = np.searchsorted(self.keys, new)
+        self.keys, self.rows = np.insert(self.keys, where, new), np.insert(self.rows, where, rows)
+
+    def rows_of(self, f: Words) -> np.ndarray:
+        """The row of each distinct word of f, odd ones behind."""
+        if not len(f.keys):
+            return np.empty(0, np.int64)
+        rows = self.rows[np.searchsorted(self.keys, f.keys)]
+        long = np.flatnonzero(f.keys >= LONG)
+        start, size = f.starts[f.first[long]], (f.ends - f.starts)[f.first[long]]
+        same = size == self.blob_at[rows[long] + 1] - self.blob_at[rows[long]]
+        same[same] = same_bytes(f.bytes, start[same], self.blob, self.blob_at[rows[long[same]]], size[same])
+        other = long[~same].tolist()
+        more = [f.data[f.starts[f.first[i]] : f.ends[f.first[i]]] for i in other] + list(f.odd)
+        if more:
+            own = self.add(more)
+            rows[other] = own[: len(other)]
+            rows = np.r_[rows, own[len(other) :]]
+        return rows
+
+    def knows(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, packed as unsigned 32-bit numbers, with 0 behind."""
@@ -193,14 +248,14 @@ class WordIds:
                 size = 0
             pieces[-1].append(t)
             size += len(t) + 1
-        longest = max((sum(map(len, p)) + len(p) for p in pieces), default=0)
+        longest = max((sum(map(len, p)) + len(p) + 1 for p in pieces), default=0)
         if longest > len(self.powers[0]):
             self.powers = tuple(np.cumprod(np.r_[np.uint64(1), np.full(longest, x, np.uint64)], dtype=np.uint64) for x in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))))
         found = [Words(p, self.powers) for p in pieces]
-        self.learn([f for f in found if len(f.hashes)] or found)
+        self.learn([f for f in found if len(f.keys)] or found)
         out: list[bytes] = []
         for f in found:
-            rows = self.rows[np.searchsorted(self.hashes, f.hashes)][f.of] if len(f.hashes) else np.empty(0, np.int64)
+            rows = self.rows_of(f)[f.of] if len(f.keys) else np.empty(0, np.int64)
             sizes = self.at[rows + 1] - self.at[rows]
             stop = np.cumsum(sizes)
             ids = self.flat[np.repeat(self.at[rows] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)].tobytes()

@@ -75,3 +75,41 @@ def test_capacities_that_hold_nothing():
         packing.Capacity(cost=0).longest  # noqa: B018
     with pytest.raises(ValueError):
         packing.best_fit(np.array([101]), packing.Capacity(400, 9, 10_000))
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("order", [0, 1])
+def test_words_of_one_key_are_told_apart(order):
+    """A word and its complement, which sums of powers modulo 2 ** 64 can't tell apart, in one text, in two, and in later calls."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.tokenizer_path())
+    two = [thue_morse(2048), thue_morse(2048, "b", "a")]
+    two = two[::-1] if order else two
+    texts = [f"x {two[0]} {two[1]} {two[0]}", two[1], two[0] + ", " + two[1], "abcdefg abcdefg\0 abcdefgh", "\0 \0\0 a\0", ""]
+    want = [np.array(model.encode(t, add_special_tokens=False).ids + [0], np.uint32).tobytes() for t in texts]
+    known = packing.WordIds(packing.tokenizer_path())
+    assert known.of(texts_of(texts)) == want
+    for t, w in zip(texts[::-1], want[::-1]):
+        assert known.of(texts_of([t])) == [w]
+    one = packing.WordIds(packing.tokenizer_path())
+    assert [one.of(texts_of([t]))[0] for t in (two[1], two[0])] == [want[1], np.array(model.encode(two[0], add_special_tokens=False).ids + [0], np.uint32).tobytes()]
+
+
+def texts_of(texts):
+    return [t.encode() for t in texts]
+
+
+def test_every_key_shared(monkeypatch):
+    """All longer words under one key: ids are still those of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "BYTE", np.zeros(256, np.uint64))
+    model = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["elephants and crocodiles, crocodiles", "crocodiles elephants hippopotamus and elephants", "q" * 300 + " " + "r" * 300]
+    known = packing.WordIds(packing.tokenizer_path())
+    for t in [*texts, *texts[::-1]]:
+        assert known.of([t.encode()]) == [np.array(model.encode(t, add_special_tokens=False).ids + [0], np.uint32).tobytes()]
