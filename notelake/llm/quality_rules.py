@@ -2,8 +2,10 @@
 
 Per document a few counts of words, symbols, repeated lines and repeated windows; two fixed base rules; and one cutoff per
 stratum (lang) and ratio, chosen from labelled holdouts. A stratum has one family of joint cutoffs, ordered from loose to tight
-and made from one good label in FIT (by hash of the id): some grid steps above the largest ratio of these labels, then cutoffs
-that drop a few thousandths of them. The other good labels certify: fixed-sequence testing goes down the family and stops
+and made from one label in FIT (by hash of the id). It starts without any cutoff, and each member tightens one ratio by one step: first some grid
+steps above the largest ratio of the good ones among these labels, ratio by ratio, then fewer steps, at last cutoffs that drop a few thousandths of them. At each
+step the ratio that catches most bad labels comes first, and one that catches no more than before isn't tightened, so that a ratio which good documents
+of a language exceed now and then doesn't stand before those that tell bad ones. The good labels outside FIT certify: fixed-sequence testing goes down the family and stops
 at the first member for which an exact binomial test doesn't reject "it drops more than ALPHA of the good documents of this
 stratum" at level DELTA / groups; the last one before it holds. No split over ratios or grid is needed, so that with
 probability 1 - DELTA no group loses more than ALPHA of its good documents to the cutoffs.
@@ -51,15 +53,20 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     at = np.array([ids.setdefault(w, len(ids)) for w in words], np.uint64)
     if len(ids) == len(words):
         return 0
-    at = (at + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    at ^= at >> np.uint64(29)
+    mixed = (at + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
     key = np.zeros(n, np.uint64)
     for k in range(window):
-        key += at[k : k + n] * MULTIPLIERS[k]
+        key += mixed[k : k + n] * MULTIPLIERS[k]
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     if not same.any():
         return 0
+    a, b = order[1:][same], order[:-1][same]
+    if any((at[a + k] != at[b + k]).any() for k in range(window)):  # two windows of one key: compare the words themselves
+        _, key = np.unique(np.lib.stride_tricks.sliding_window_view(at, window), axis=0, return_inverse=True)
+        order = np.argsort(key.ravel(), kind="stable")
+        same = key.ravel()[order[1:]] == key.ravel()[order[:-1]]
     twice = np.zeros(n, bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     edge = np.zeros(n + window, np.int32)
@@ -106,15 +113,22 @@ def least_joint(n_groups: int, alpha: float = ALPHA, delta: float = DELTA) -> in
     return math.ceil(math.log(delta / max(1, n_groups)) / math.log1p(-alpha))
 
 
-def family(bins: dict[str, dict[int, int]]) -> list[dict[str, float]]:
-    """Joint cutoffs, loose to tight. bins: per ratio, good labels by the number of grid points below them."""
+def family(good: dict[str, dict[int, int]], bad: dict[str, dict[int, int]]) -> list[dict[str, float]]:
+    """Joint cutoffs, loose to tight. good, bad: per ratio, labels by the number of grid points below them."""
 
     def least(by: dict[int, int], share: float) -> int:
         most = share * sum(by.values())
         return next(j for j in range(len(GRID) + 1) if sum(n for b, n in by.items() if b > j) <= most)
 
-    at = [{k: least(by, 0) + i for k, by in bins.items()} for i in STEPS] + [{k: least(by, e) for k, by in bins.items()} for e in SHARES]
-    return [{k: GRID[j] for k, j in member.items() if j < len(GRID)} for member in at]
+    now, members, caught = {}, [], dict.fromkeys(good, 0)
+    for share, up in [*((0, i) for i in STEPS), *((e, 0) for e in SHARES)]:
+        at = {k: least(by, share) + up for k, by in good.items()}
+        catches = {k: sum(n for b, n in bad.get(k, {}).items() if b > j) if j < len(GRID) else 0 for k, j in at.items()}
+        for k in sorted(at, key=lambda k: (-catches[k], k)):
+            if catches[k] > caught[k]:
+                caught[k], now = catches[k], {**now, k: GRID[at[k]]}
+                members.append(now)
+    return members
 
 
 def tightest(drops: list[int], n: int, n_groups: int, alpha: float = ALPHA, delta: float = DELTA) -> int | None:
@@ -133,10 +147,10 @@ def judged(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     parts = ratios()
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stratum = F.concat(F.when(F.col("lang").isNull(), "0").otherwise("1"), F.coalesce("lang", F.lit("")))
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
+    own = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q is not null").select("doc_id", (F.col("q") == 1).alias("good"))
     fit = (F.pmod(F.xxhash64("doc_id"), F.lit(FIT)) == 0).alias("fit")
-    held = written(stats.filter(~base).join(good, "doc_id", "left_semi").select(stratum.alias("stratum"), fit, *[c.alias(k) for k, c in parts.items()]), "rules-held")
-    found = {r["stratum"]: r["n"] for r in held.filter("not fit").groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    held = written(stats.filter(~base).join(own, "doc_id").select(stratum.alias("stratum"), fit, "good", *[c.alias(k) for k, c in parts.items()]), "rules-held")
+    found = {r["stratum"]: r["n"] for r in held.filter("good and not fit").groupBy("stratum").agg(F.count("*").alias("n")).collect()}
     n_groups = len(found) + 1  # the pool may be one
     large = sorted(k for k, n in found.items() if n >= least_joint(n_groups, alpha, delta))
     sizes = {k: found[k] for k in large}
@@ -146,15 +160,16 @@ def judged(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     over = lambda member, of: F.coalesce(*[F.when(of[k] > t, True) for k, t in sorted(member.items())], F.lit(False))
     kept = ~base
     if sizes:
-        long = held.filter("fit").select(group.alias("g"), F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), F.col(k).alias("x")) for k in parts])).alias("m")).select("g", "m.*")
-        bins: dict[str, dict[str, dict[int, int]]] = {}
-        for r in long.groupBy("g", "ratio", F.size(F.filter(F.array(*map(F.lit, GRID)), lambda t: t < F.col("x"))).alias("b")).agg(F.count("*").alias("n")).collect():
-            bins.setdefault(r["g"], {}).setdefault(r["ratio"], {})[r["b"]] = r["n"]
-        own = {k: F.col(k) for k in parts}
+        long = held.filter("fit").select(group.alias("g"), "good", F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), F.col(k).alias("x")) for k in parts])).alias("m")).select("g", "good", "m.*")
+        bins: dict[tuple[str, bool], dict[str, dict[int, int]]] = {}
+        for r in long.groupBy("g", "good", "ratio", F.size(F.filter(F.array(*map(F.lit, GRID)), lambda t: t < F.col("x"))).alias("b")).agg(F.count("*").alias("n")).collect():
+            bins.setdefault((r["g"], r["good"]), {}).setdefault(r["ratio"], {})[r["b"]] = r["n"]
+        columns = {k: F.col(k) for k in parts}
         for s, n in sorted(sizes.items()):
-            members = family(bins.get(s, {}))
-            sums = [F.sum(over(m, own).cast("long")) for m in members]
-            drops = list(held.filter(~F.col("fit") & (group == s)).agg(*sums).first())
+            if not (members := family(bins.get((s, True), {}), bins.get((s, False), {}))):
+                continue
+            sums = [F.sum(over(m, columns).cast("long")) for m in members]
+            drops = list(held.filter(F.col("good") & ~F.col("fit") & (group == s)).agg(*sums).first())
             if (i := tightest(drops, n, n_groups, alpha, delta)) is not None:
                 inside = ~stratum.isin(large) if s == POOL else stratum == s
                 kept = kept & ~(inside & over(members[i], parts))

@@ -25,8 +25,17 @@ def test_sequence_stops_at_the_first_member_not_certified():
     n = quality_rules.least_joint(5)
     assert quality_rules.tightest([0], n, 5) == 0 and quality_rules.tightest([0], n - 1, 5) is None
     assert quality_rules.tightest([0, 0, 40, 0], 1000, 5) == 1
-    members = quality_rules.family({"symbols": {3: 990, 9: 10}})
+    members = quality_rules.family({"symbols": {3: 990, 9: 10}, "repeats": {0: 1000}}, {"symbols": {40: 50, 12: 1, 8: 2}, "repeats": {20: 3}})
     assert [m["symbols"] for m in members] == sorted((m["symbols"] for m in members), reverse=True)
+    assert members[0].keys() == {"symbols"} and members[1].keys() == {"symbols", "repeats"}
+    assert quality_rules.family({"symbols": {3: 990}}, {}) == [] and quality_rules.family({}, {"symbols": {3: 9}}) == []
+
+
+def test_repeats_when_all_keys_agree(monkeypatch):
+    words = brute.words("a b c d e f g h i a b c d e f g h j k l m n o p q r s t")
+    want = quality_rules.repeat_words(words)
+    monkeypatch.setattr(quality_rules, "MULTIPLIERS", np.zeros(64, np.uint64))
+    assert quality_rules.repeat_words(words) == want == 16
 
 
 def plain_kept(rows, labels, alpha=quality_rules.ALPHA, delta=quality_rules.DELTA):
@@ -45,6 +54,7 @@ def plain_kept(rows, labels, alpha=quality_rules.ALPHA, delta=quality_rules.DELT
 
     fit = lambda i: (h if (h := xxh(i.to_bytes(8, "little", signed=True), 42)) < 1 << 63 else h - (1 << 64)) % 4 == 0
     good = [(i, lang, ratios(s)) for i, lang, s, failed in rows if not failed and labels.get(i) == 1]
+    bad = [(i, lang, ratios(s)) for i, lang, s, failed in rows if not failed and labels.get(i) == 0]
     count = {}
     for i, lang, _ in good:
         if not fit(i):
@@ -59,20 +69,22 @@ def plain_kept(rows, labels, alpha=quality_rules.ALPHA, delta=quality_rules.DELT
         test = [r for i, lang, r in good if of(lang) == g and not fit(i)]
         if len(test) < need:
             continue
-        held = None
+        lost = [r for i, lang, r in bad if of(lang) == g and fit(i)]
+        held, member, caught, going = None, {}, {}, True
         for share, up in [(0, u) for u in (16, 8, 4, 2, 1, 0)] + [(e, 0) for e in (0.002, 0.004, 0.008)]:
-            member = {}
+            moves = []
             for k in ("symbols", "dup_lines", "repeats", "long_words", "short_words"):
                 bins = [sum(t < r[k] for t in grid) for r in own]
-                if not bins:
-                    continue
-                j = next(j for j in range(48) if sum(b > j for b in bins) <= share * len(bins)) + up
+                j = next(j for j in range(48) if sum(b > j for b in bins) <= share * len(bins)) + up if bins else 47
                 if j < 47:
-                    member[k] = grid[j]
-            drops = sum(any(r[k] > t for k, t in member.items()) for r in test)
-            if tail(drops, len(test)) > delta / groups:
-                break
-            held = member
+                    moves.append((-sum(r[k] > grid[j] for r in lost), k, grid[j]))
+            for n, k, t in sorted(moves):
+                if -n <= caught.get(k, 0) or not going:
+                    continue
+                caught[k], member = -n, {**member, k: t}
+                drops = sum(any(r[k] > t for k, t in member.items()) for r in test)
+                if going := tail(drops, len(test)) <= delta / groups:
+                    held = member
         if held is not None:
             cutoff[g] = held
     return {i: not failed and not any(ratios(s)[k] > t for k, t in cutoff.get(of(lang), {}).items()) for i, lang, s, failed in rows}
@@ -109,5 +121,7 @@ def test_promise_holds_on_labels_left_out(spark):
     for name in set(lang.values()):
         own = [kept[x.doc_id][0] for x in rest if x.quality == 1 and lang[x.doc_id] == name]
         assert own.count(False) <= 0.02 * len(own) + 3 * (0.02 * len(own)) ** 0.5, name
-    bad = [kept[x.doc_id][0] for x in rest if x.quality == 0]
-    assert bad.count(False) > 0.5 * len(bad)
+        bad = [kept[x.doc_id][0] for x in rest if x.quality == 0 and lang[x.doc_id] == name]
+        print(name, len(own), own.count(False), len(bad), bad.count(False))
+        whole = len(own) >= 228
+        assert bad.count(False) > (0.5 if whole else 0.3) * len(bad), name
