@@ -93,9 +93,9 @@ def folders(columns: list[str]) -> tuple[str, str, str]:
     return f"by_day{end}", f"by_lot{end}", f"by_piece{end}"
 
 
-def written_by_key(rows: DataFrame, columns: list[str], names: tuple[str, str, str], order: list[Column], path: str, mode: str) -> None:
+def written_by_key(rows: DataFrame, parts: int, columns: list[str], names: tuple[str, str, str], order: list[Column], path: str, mode: str) -> None:
     """One file for each distinct names, its rows by order. rows: columns, names and whatever order needs."""
-    dealt = rows.repartition(parts_for(rows), *names).sortWithinPartitions(*names, *order)
+    dealt = rows.repartition(parts, *names).sortWithinPartitions(*names, *order)
     dealt.select(*[F.col(f"`{c}`") for c in [*columns, *names]]).write.mode(mode).partitionBy(*names).option("maxRecordsPerFile", 0).parquet(path)
 
 
@@ -110,7 +110,7 @@ def land(rows: DataFrame, path: str, when: str, key: str, shares: Shares = Share
     marked = with_h.withColumns({names[1]: F.shiftright("_h", 4) % F.col("_lots"), names[2]: F.least(F.col("_h") % 4, F.shiftright("_h", 2) % 4)})
     orderable = [f.name for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     order = [F.col(f"`{c}`") for c in dict.fromkeys([when, key, *orderable])]
-    written_by_key(marked, rows.columns, names, order, path, "errorifexists")
+    written_by_key(marked, parts_for(rows), rows.columns, names, order, path, "errorifexists")
     return Landed(path, rows.schema, names, total)
 
 
@@ -185,7 +185,7 @@ def compact(spark: SparkSession, landed: Landed, shares: Shares = Shares()) -> D
     rows = landed.rows(spark).withColumns({"_row": F.col("_metadata.row_index")})
     target = written(moving.select(F.col("day").alias(day), F.col("lot").alias(lot), F.col("piece").alias(piece), "first_lot", "first_piece", "place"), "compact-moves")
     met = rows.join(hinted(target), [day, lot, piece]).withColumns({lot: F.col("first_lot"), piece: F.col("first_piece")})
-    written_by_key(met, landed.schema.names, landed.names, [F.col("place"), F.col("_row")], landed.path, "append")
+    written_by_key(met, parts_for(rows), landed.schema.names, landed.names, [F.col("place"), F.col("_row")], landed.path, "append")
     deleted(spark, there.join(moving.select(*keys), keys, "left_semi").select("path"))
     return plan
 

@@ -237,8 +237,8 @@ class Region:
         return us, vs
 
 
-def joined(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Links within each group of bounded size. rows: by, node, label, grams. Groups come one after another in sorted order."""
+def joined(rows: DataFrame, sets: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """Links within each group of bounded size. rows: by, node, label. Groups come one after another in sorted order."""
     k = len(by)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -268,8 +268,8 @@ def joined(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
         if held:
             yield from given()
 
-    dealt = rows.select(*by, "node", "label", "grams")
-    return dealt.repartition(parts_for(dealt, 32), *by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
+    dealt = rows.join(sets.select("node", "grams"), "node").select(*by, "node", "label", "grams")
+    return dealt.repartition(2 * parts_for(sets, 32), *by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
 
 
 def around_pivots(rows: DataFrame, percent: int) -> DataFrame:
@@ -315,7 +315,7 @@ def large_links(rows: DataFrame, sets: DataFrame, percent: int, limit: int, load
         several = written(several, "jaccard-regions")
         small = (F.col("held") <= limit) & (F.col("load") <= load) | (F.col("held") == 2)
         members = kept.drop("free").join(several, "region")
-        edges.append(joined(members.filter(small).join(sets.select("node", "grams"), "node"), ["region"], percent))
+        edges.append(joined(members.filter(small), sets, ["region"], percent))
         ended = members.filter(~small & (F.col("left") == 0))
         edges.append(blocks(ended, sets, percent, limit, load))
         rows = written(members.filter(~small & (F.col("left") > 0)).select("region", "node", "n", "label"), "jaccard-large")
@@ -331,7 +331,7 @@ def blocks(rows: DataFrame, sets: DataFrame, percent: int, limit: int, load: int
     own = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
     both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
     spread = own.withColumn("pair", F.explode(both)).select("region", "node", "label", "pair.i", "pair.j")
-    return joined(spread.join(sets.select("node", "grams"), "node"), ["region", "i", "j"], percent)
+    return joined(spread, sets, ["region", "i", "j"], percent)
 
 
 def links(placed: DataFrame, sets: DataFrame, percent: int = PERCENT, limit: int = LIMIT, load: int = LOAD, rounds: int = ROUNDS) -> DataFrame:
@@ -340,7 +340,7 @@ def links(placed: DataFrame, sets: DataFrame, percent: int = PERCENT, limit: int
     members = placed.join(size, "region")
     small = (F.col("held") <= limit) & (F.col("load") <= load) | (F.col("held") == 2)
     own = members.filter(small).select("region", "node", F.col("node").alias("label"))
-    edges = [joined(own.join(sets.select("node", "grams"), "node"), ["region"], percent)]
+    edges = [joined(own, sets, ["region"], percent)]
     large = written(members.filter(~small).select("region", "node", "n"), "jaccard-large")
     if not large.isEmpty():
         edges += large_links(large, sets, percent, limit, load, rounds)
