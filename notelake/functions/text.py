@@ -42,11 +42,24 @@ def pairs(run: str) -> list[str]:
     return [run] if len(run) < 3 else [run[i : i + 2] for i in range(len(run) - 1)]
 
 
+def starts(run: str, own: list[str], known: Callable[[str], list[int]] | None = None) -> list[int]:
+    """Where each of a run's tokens starts in it: as its segmenter says, else each at or behind the one before."""
+    if known is not None:
+        return known(run)
+    out, at, last = [], 0, ""
+    for t in own:
+        at = max(at, run.find(t, at + (t == last)))
+        last = t
+        out.append(at)
+    return out
+
+
 @dataclass(frozen=True)
 class Tokenizer:
     """Lower-cased runs of ASCII letters and digits after NFKC, and the segments of runs of Han: one rule for texts and queries.
 
-    segment(run) -> tokens may be any segmenter, a dictionary's for example.
+    segment(run) -> tokens may be any segmenter, ``han.Segmenter`` for example. Texts also hold the single characters of their runs of Han, outside the sequence of tokens: a
+    query of one character finds them, phrases and lengths don't see them.
     """
 
     segment: Callable[[str], list[str]] = pairs
@@ -59,6 +72,23 @@ class Tokenizer:
             return tuple(x.lower() for x in WORDS.findall(text))
         return tuple(x.lower() for w in HAN_OR_WORD.findall(text) for x in (self.segment(w) if HAN_RUN.match(w) else [w]) if x.strip())
 
+    def characters(self, text: str) -> list[tuple[str, int]]:
+        """(character, place of the first token that holds it) for the characters of runs of Han that aren't tokens there themselves."""
+        if text.isascii():
+            return []
+        out, place = [], 0
+        for w in HAN_OR_WORD.findall(unicodedata.normalize("NFKC", text)):
+            if not HAN_RUN.match(w):
+                place += 1
+                continue
+            own = [x for x in self.segment(w) if x.strip()]
+            holder: list[int | None] = [None] * len(w)
+            for k, start in reversed(list(enumerate(starts(w, own, getattr(self.segment, "starts", None))))):
+                holder[start : start + len(own[k])] = [k] * len(w[start : start + len(own[k])])
+            out += [(c, place + k) for c, k in zip(w, holder) if k is not None and own[k] != c]
+            place += len(own)
+        return out
+
     def column(self, text: Column | str) -> Column:
         """The tokens of a text column, in Arrow batches."""
         split = self.split

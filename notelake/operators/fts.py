@@ -1,6 +1,6 @@
 """Full-text search: a stored index of postings, a parser for the query language, and BM25.
 
-The index is three tables: postings (bucket, term, field, key, n_tokens, positions), terms (bucket, term, df) and stats (one
+The index is three tables: postings (bucket, term, field, key, n_tokens, positions; below 0 for characters of Han that stand outside the sequence), terms (bucket, term, df) and stats (one
 row). A bucket is a hash of the term and a folder of files that are sorted by term, so a query reads the buckets of its terms
 and of these the row groups that hold them, whatever the size of the corpus; a term's postings are dealt to several files of
 its bucket, so no task holds a hot term. The tokenizer is the index's own: texts and queries are cut by one rule.
@@ -240,7 +240,8 @@ def postings(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: T
     A row's tokens are gathered by term where the row lies, in Arrow batches, so one shuffle moves postings, not tokens. A bucket is
     spread over as many tasks as its share of the corpus asks for.
     """
-    split, names = (tokenizer or Tokenizer()).split, list(columns)
+    own_tokenizer, names = tokenizer or Tokenizer(), list(columns)
+    split, characters = own_tokenizer.split, own_tokenizer.characters
     kind = rows.schema[key].dataType.simpleString()
     spread = max(1, -(-parts_for(rows, 16) // buckets))
 
@@ -259,6 +260,8 @@ def postings(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: T
                         by: dict[str, list[int]] = {}
                         for i, t in enumerate(own):
                             by.setdefault(t, []).append(i)
+                        for c, i in characters(texts[f][r] or ""):
+                            by.setdefault(c, []).append(-1 - i)
                         terms += by
                         fields += [names[f]] * len(by)
                         rows_ += [r] * len(by)
@@ -283,7 +286,7 @@ def terms_of(post: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
 
 def stats_of(post: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: n_rows, those without any token as well, and n_tokens."""
-    size = post.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("n_tokens"))
+    size = post.agg(F.coalesce(F.sum(F.size(F.filter("positions", lambda i: i >= 0))), F.lit(0)).alias("n_tokens"))
     return rows.agg(F.count("*").alias("n_rows")).join(F.broadcast(size))
 
 

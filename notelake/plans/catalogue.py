@@ -13,7 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from notelake.functions import han
 from notelake.functions import text as T
+from notelake.functions.text import Tokenizer
 from notelake.operators import chunk, evaluate, fts, fuse, links, search, store
 from notelake.operators.knn import knn
 from notelake.plans import index as I
@@ -206,6 +208,33 @@ def _han_sql(parts, where):
 query("bm25_cjk", _han_sql([has("t", "向量")], "f0 > 0"))(_han("向量"))
 query("bm25_cjk_phrase", _han_sql([HAN_PHRASE, has("t", "abc")], "f0 > 0 AND f1 > 0"))(_han("数据库 ａｂｃ"))
 
+HAN_WORDS = {"向量": 50, "数据": 40, "数据库": 30, "你好": 10, "库": 5}
+HAN_WORD_TOKENS = f"list_concat({toks('text')}, CASE doc_id % 3 WHEN 0 THEN ['向量', '数据', '数据库', 'abc'] WHEN 1 THEN ['数据', '向量'] ELSE ['你好'] END)"
+
+
+@query("bm25_han_words", f"WITH {bm25('h', f'SELECT doc_id, {HAN_WORD_TOKENS} AS t FROM documents', 'doc_id', [has('t', '数据'), has('t', '数据库'), 'CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END'], '(f0 > 0 AND f1 > 0) OR f2 > 0')} SELECT doc_id, round(score, 6) AS score FROM h")
+def bm25_han_words(spark, sf):
+    """Words of a given dictionary, the parts of a longer one, and a single character inside a word."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " 向量数据库 ＡＢＣ").when(F.col("doc_id") % 3 == 1, "，数据向量").otherwise(" 你好")).alias("text"))
+    return fts.bm25(d, "doc_id", {"content": F.col("text")}, [(1, "(数据 AND 数据库) OR 好")], tokenizer=Tokenizer(han.Segmenter(HAN_WORDS))).select("doc_id", r6("score"))
+
+
+LETTERS, AS_HAN = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26))
+
+
+@query("han_candidates", f"""WITH w AS (SELECT unnest(regexp_extract_all(translate(lower(text), '{LETTERS}', '{AS_HAN}'), '[{AS_HAN}]+')) AS r FROM documents),
+g AS (SELECT substr(r, i, n) AS gram, CASE WHEN i > 1 THEN substr(r, i - 1, 1) ELSE '' END AS a, substr(r, i + n, 1) AS b FROM (SELECT r, unnest(range(1, length(r) + 1)) AS i FROM w) x, (SELECT unnest([1, 2, 3]) AS n) y WHERE i + n - 1 <= length(r)),
+c AS (SELECT gram, count(*) AS n FROM g GROUP BY gram), t AS (SELECT sum(n) AS total FROM c WHERE length(gram) = 1),
+f AS (SELECT gram, least(max(h) FILTER (side = 1), max(h) FILTER (side = 2)) AS entropy FROM (SELECT gram, side, ln(sum(n)) - sum(CASE WHEN nb <> '' THEN n * ln(n) ELSE 0 END) / sum(n) AS h FROM (SELECT gram, 1 AS side, a AS nb, count(*) AS n FROM g GROUP BY gram, a UNION ALL SELECT gram, 2, b, count(*) FROM g GROUP BY gram, b) z GROUP BY gram, side) q GROUP BY gram),
+p AS (SELECT c.gram, min(ln(c.n * total / (x.n * y.n))) AS cohesion FROM c, t, (SELECT unnest([1, 2]) AS k) s, c x, c y WHERE k < length(c.gram) AND x.gram = substr(c.gram, 1, k) AND y.gram = substr(c.gram, k + 1) GROUP BY c.gram)
+SELECT c.gram AS word, c.n AS "count", round(cohesion, 6) + 0.0 AS cohesion, round(entropy, 6) + 0.0 AS entropy FROM c LEFT JOIN p ON p.gram = c.gram JOIN f ON f.gram = c.gram WHERE c.n >= 5""")
+def han_candidates(spark, sf):
+    """Candidate words with cohesion and boundary entropy; letters stand for characters of Han, which the tables lack."""
+    d = table(spark, sf, "documents").select(F.translate(F.lower("text"), LETTERS, AS_HAN).alias("text"))
+    found = han.candidates(written(han.grams(d, longest=3), "han-grams"))
+    return found.select("word", "count", *[(F.round(c, 6) + 0.0).alias(c) for c in ("cohesion", "entropy")])
+
+
 TITLES = f"SELECT source_id, {toks('title')} AS t, {toks('alias')} AS u FROM v"
 
 

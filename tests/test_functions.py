@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from notelake.functions import han
 from notelake.functions import text as T
 from notelake.functions import vectors as V
 from notelake.operators import chunk
@@ -96,3 +97,45 @@ def test_vectors_from_blobs(spark):
     blob = np.array([1.5, -2.0, 0.25], "<f4").tobytes()
     rows = spark.createDataFrame([(bytearray(blob),), (None,)], "b binary").select(from_blob(F.col("b")).alias("v")).collect()
     assert [r.v for r in rows] == [[1.5, -2.0, 0.25], None]
+
+
+def test_likeliest_path_equals_all_paths():
+    """Every way to cut a short run, by brute force."""
+    import math
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(60):
+        counts = {"".join(rnd.choice("甲乙丙丁") for _ in range(rnd.randrange(1, 5))): rnd.randrange(1, 60) for _ in range(rnd.randrange(1, 14))}
+        own = han.Segmenter(counts)
+        run = "".join(rnd.choice("甲乙丙丁戊") for _ in range(rnd.randrange(1, 9)))
+        cost = lambda words, own=own: math.fsum(own.logs.get(w, own.unknown if len(w) == 1 else -math.inf) for w in words)
+        ways = [[run[a:b] for a, b in zip((0, *cut), (*cut, len(run)))] for m in range(1 << (len(run) - 1)) for cut in [[i + 1 for i in range(len(run) - 1) if m >> i & 1]]]
+        got = own.path(run)
+        assert "".join(got) == run and abs(cost(got) - max(map(cost, ways))) < 1e-9
+
+
+def test_segmenter_gives_parts_before_the_whole():
+    own = han.Segmenter({"数据": 9, "据库": 1, "数据库": 20, "知识": 5, "管理": 5, "知识管理": 30})
+    assert own("数据库知识管理") == ["数据", "据库", "数据库", "知识", "管理", "知识管理"] and own("库") == ["库"]
+    t = T.Tokenizer(own)
+    assert t.split("用数据库") == ("用", "数据", "据库", "数据库")
+    assert t.characters("x 用数据库") == [("数", 2), ("据", 2), ("库", 3)]
+    assert T.Tokenizer().characters("天天天a库") == [("天", 0), ("天", 0), ("天", 1)]
+
+
+def test_words_are_learned_from_text(spark):
+    """Words that recur in varied company are found, fragments of them aren't."""
+    import random
+
+    rnd = random.Random(2)
+    true = ["知识", "管理", "数据库", "向量", "检索", "方法"]
+    filler = [chr(0x4E00 + 7 * i) for i in range(300)]
+    rows = [("".join(rnd.choice(true) if rnd.random() < 0.5 else rnd.choice(filler) for _ in range(12)),) for _ in range(600)] + [(None,), ("",), ("abc",)]
+    counts = han.grams(spark.createDataFrame(rows, "text string"))
+    found = han.words(han.candidates(counts, 60), 2.0).filter("length(word) > 1")
+    assert {r["word"] for r in found.collect()} == set(true)
+    few = han.dictionary(han.words(han.candidates(counts, 60), 2.0), 3)
+    assert len(few) == 3
+    assert han.Segmenter(han.dictionary(han.words(han.candidates(counts, 60), 2.0))).path("知识管理数据库") == ["知识", "管理", "数据库"]
+    assert han.dictionary(han.words(han.candidates(han.grams(spark.createDataFrame([], "text string"))))) == {}

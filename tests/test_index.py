@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from notelake import __main__ as cli
 from notelake import api
 from notelake.config import Config
+from notelake.functions import han
 from notelake.functions import text as T
 from notelake.operators import evaluate, fts, links, search, store
 from notelake.plans import index as I
@@ -41,6 +42,9 @@ def test_search_in_chinese(spark):
     df = spark.createDataFrame([(1, "关于向量数据库的笔记"), (2, "向量"), (3, "数据 库")], "id long, t string")
     hits = lambda q, tk=None: {r.id for r in fts.bm25(df, "id", {"content": F.col("t")}, [(1, q)], tokenizer=tk).collect()}
     assert hits("向量") == {1, 2} and hits("数据库") == {1} and hits("向量 AND 笔记") == {1} and hits("数据") == {1, 3}
+    assert hits("库") == {1, 3} and hits("库*") == {1, 3} and hits("量 OR 笔") == {1, 2} and hits('"据 库"') == set()
+    words = T.Tokenizer(han.Segmenter({"向量": 5, "数据": 4, "数据库": 3, "笔记": 2, "关于": 2, "的": 9}))
+    assert hits("数据库", words) == {1} and hits("数据", words) == {1, 3} and hits("记", words) == {1} and hits("量数", words) == set()
     chars = T.Tokenizer(list)  # another segmenter: single characters
     assert hits("库", chars) == {1, 3} and hits("据库", chars) == {1, 3}
 
