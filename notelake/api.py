@@ -25,25 +25,27 @@ def index(spark: SparkSession, root: str, store: str, path: str | None = None, e
     ST.check_capabilities(spark)
     since = len(WRITTEN)
     st = ST.Store(store)
-    st.migrate(spark)
+    upgrade(spark, store, tokenizer)
     found = vault.files(spark, root, everything=path is not None, valid=False)
     if path is not None:
         found = found.filter(F.col("path") == path)
     found = found.persist()
     skipped = found.filter("content is null").count()
-    files = found.filter("content is not null").select("path", "content")
+    files = found.filter("content is not null").select("path", "content", "mtime")
     if path is not None and files.isEmpty():
         found.unpersist()
         return {"ingested": 0, "unchanged": 0, "skipped": skipped, "errors": 0, "pruned": 0}
     if st.version(spark) is None:
+        files = files.drop("mtime")
         st.publish(spark, I.build(files, embed, tokenizer=tokenizer, stored=True) | {"files": files, "suggestions": spark.createDataFrame([], ST.SUGGESTIONS)})
         counts = {"new": files.count()}
     else:
         # files that can't be read stay as they were indexed
         old = st.read_all(spark)
-        unread = old["files"].join(found.filter("content is null").select("path"), "path", "left_semi").select("path", "content")
-        tables, counts = I.updated(old, files.unionByName(unread), path is None, embed, tokenizer=tokenizer)
-        st.publish(spark, tables)
+        unread = old["files"].join(found.filter("content is null").select("path", "mtime"), "path").select("path", "content", "mtime")
+        changes, counts = I.changed(old, files.unionByName(unread), path is None, embed, tokenizer=tokenizer)
+        if changes:
+            st.change(spark, changes)
     found.unpersist()
     cleared(spark, since)
     out = {"ingested": counts.get("new", 0) + counts.get("changed", 0), "unchanged": counts.get("unchanged", 0), "skipped": skipped, "errors": 0, "pruned": counts.get("gone", 0) if path is None else 0}
@@ -51,6 +53,17 @@ def index(spark: SparkSession, root: str, store: str, path: str | None = None, e
     return out
 
 
+def upgrade(spark: SparkSession, store: str, tokenizer: Tokenizer | None = None) -> bool:
+    """Bring an index of an older schema to this one, with the tables that it lacks; whether there was anything to do."""
+    st = ST.Store(store)
+    done = st.migrate(spark)
+    if st.version(spark) is None or not {"chunks", "sources"} <= st.manifest(spark)["tables"].keys():
+        return done
+    if more := I.missing_tables(st.read_all(spark), tokenizer):
+        st.publish(spark, more)
+    return done or bool(more)
+
+
 def hashing_query(spark: SparkSession) -> Callable[[str], list | None]:
     """The vector of a query by the default embedder, None where it has no token."""
     def embed(query: str) -> list | None:

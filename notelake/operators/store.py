@@ -1,6 +1,8 @@
 """The index as versioned snapshots of Parquet tables: lookups, change detection, upserts, deletes, pruning, freshness, suggestions.
 
-A version is a numbered manifest that names the folder and the schema of each table. Publishing writes the tables that changed into new folders, then the
+A version is a numbered manifest that names the segments and the schema of each table. A segment is a folder of rows, with the keys whose rows in
+older segments it takes the place of; a table is what is left of all its segments, so a change writes its own rows and keys and nothing else. Counts (SUMMED) are tables whose
+segments are added up. Segments of like size are merged when their number passes MOST_SEGMENTS, so a row is rewritten a logarithmic number of times. Publishing writes the tables that changed into new folders, then the
 manifest under a temporary name, and renames it to the next number; nothing is ever deleted or overwritten on the way. So readers
 find the last complete manifest and see its version whole, a writer that dies leaves the last one in force, and of two
 writers of one number one fails.
@@ -12,6 +14,7 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +27,13 @@ TABLES = (
 )
 # The columns of a source that may be updated.
 SOURCE_COLUMNS = ("path", "title", "content_hash", "status", "indegree", "fs_modified_at", "indexed_at", "aliases")
+# The key by which a change takes rows of a table away, and tables whose rows are added up by their keys.
+KEYS = {
+    "sources": "source_id", "chunks": "source_id", "vectors": "chunk_id", "edges": "src_id", "tags": "source_id", "suggestions": "suggestion_id", "files": "path",
+    "text_postings": "chunk_id", "name_postings": "source_id",
+}
+SUMMED = {"text_terms": ("df", "bucket", "term"), "name_terms": ("df", "bucket", "term"), "text_stats": ("n_rows",), "name_stats": ("n_rows",)}
+MOST_SEGMENTS, LIKE, FEW_ROWS, MOST_KEYS = 6, 4, 100_000, 1_000_000
 SUGGESTIONS = "suggestion_id long, source_note_id long, target_note_id long, score double, reason string, status string, created_at timestamp, resolved_at timestamp"
 
 
@@ -40,6 +50,31 @@ class PublishConflict(RuntimeError):
     """Another writer published the next version first."""
 
 
+@dataclass(frozen=True)
+class Change:
+    """What a change does to a table: rows come, and rows of these keys (a table of the key's column) go first."""
+
+    rows: DataFrame | None = None
+    gone: DataFrame | None = None
+
+
+def added_up(name: str, rows: DataFrame) -> DataFrame:
+    """A table of counts from the rows of its segments."""
+    value, *by = SUMMED[name]
+    if not by:
+        return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
+    return rows.groupBy(*by).agg(F.sum(value).alias(value)).filter(F.col(value) != 0).select(*rows.columns)
+
+
+def applied(name: str, table: DataFrame, change: Change, few: bool = True) -> DataFrame:
+    """The table after the change. few: the keys were counted to be few enough for a broadcast."""
+    if name in SUMMED:
+        return added_up(name, table.unionByName(change.rows.select(*table.columns)))
+    if change.gone is not None:
+        table = table.join(F.broadcast(change.gone) if few else change.gone, KEYS[name], "left_anti").select(*table.columns)
+    return table if change.rows is None else table.unionByName(change.rows.select(*table.columns))
+
+
 @dataclass(frozen=True)
 class Store:
     """Snapshots under root."""
@@ -62,6 +97,8 @@ class Store:
             found = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
+        # a table of an older manifest is one folder
+        found["tables"] = {t: [{"rows": f, "gone": None, "keys": 0, "bytes": _bytes(spark, f"{self.root}/{f}")}] if isinstance(f, str) else f for t, f in found["tables"].items()}
         if found["schema_version"] > SCHEMA_VERSION:
             raise CapabilityError(f"the store has schema {found['schema_version']}, this package knows {SCHEMA_VERSION}")
         return found
@@ -81,10 +118,45 @@ class Store:
         found = self.manifest(spark)
         if found is None:
             raise FileNotFoundError(f"no index in {self.root}")
-        return {n: spark.read.schema(StructType.fromJson(found["schemas"][n])).parquet(f"{self.root}/{found['tables'][n]}") for n in names or found["tables"]}
+        return {n: self.of_segments(spark, n, found["tables"][n], found["schemas"][n]) for n in names or found["tables"]}
+
+    def rows_of(self, spark: SparkSession, folder: str, schema: dict | StructType) -> DataFrame:
+        return spark.read.schema(schema if isinstance(schema, StructType) else StructType.fromJson(schema)).parquet(f"{self.root}/{folder}")
+
+    def of_segments(self, spark: SparkSession, name: str, segments: list[dict], schema: dict) -> DataFrame:
+        """The rows that are left of segments, old to new."""
+        rows = [self.rows_of(spark, s["rows"], schema) for s in segments]
+        if name in SUMMED:
+            return rows[0] if len(rows) == 1 else added_up(name, _union(rows))
+        out = rows[-1]
+        gone, keys = None, 0
+        for seg, newer in zip(rows[-2::-1], segments[:0:-1]):
+            if newer["gone"]:
+                own = self.rows_of(spark, newer["gone"], StructType([StructType.fromJson(schema)[KEYS[name]]]))
+                gone, keys = own if gone is None else gone.unionByName(own), keys + newer["keys"]
+            if gone is not None:  # the number of keys was counted when they were written
+                seg = seg.join(F.broadcast(gone) if keys <= MOST_KEYS else gone, KEYS[name], "left_anti").select(*seg.columns)
+            out = seg.unionByName(out)
+        return out
+
+    def segment(self, spark: SparkSession, folder: str, rows: DataFrame, gone: DataFrame | None = None, few: bool = False) -> dict:
+        """Write a segment. few: of so few rows that one file holds them; else a table of postings has a folder for each bucket."""
+        out = {"rows": folder, "gone": None, "keys": 0}
+        if few:
+            one = rows.coalesce(1)
+            (one.sortWithinPartitions("bucket", "term") if "bucket" in rows.columns else one).write.parquet(f"{self.root}/{folder}")
+        else:
+            (rows.write.partitionBy("bucket") if "bucket" in rows.columns else rows.write).parquet(f"{self.root}/{folder}")
+        if gone is not None:
+            at = f"{folder}-gone"
+            keys = gone.distinct()
+            out["keys"] = keys.count()
+            (keys.coalesce(1) if out["keys"] <= FEW_ROWS else keys).write.parquet(f"{self.root}/{at}")
+            out["gone"] = at
+        return out | {"bytes": sum(_bytes(spark, f"{self.root}/{f}") for f in (out["rows"], out["gone"]) if f)}
 
     def publish(self, spark: SparkSession, tables: dict[str, DataFrame | Callable], schema_version: int = SCHEMA_VERSION) -> str:
-        """Write the given tables as a new version; the others stay as they are in the current one, without being written again.
+        """Write the given tables whole as a new version; the others stay as they are in the current one, without being written again.
 
         A function among them gets the tables as written before it.
         """
@@ -94,19 +166,79 @@ class Store:
         done: dict[str, DataFrame] = {}
         for name, df in sorted(tables.items(), key=lambda x: callable(x[1])):
             df = df(done) if callable(df) else df
-            named[name], schemas[name] = f"data/{version}/{name}", df.schema.jsonValue()
-            (df.write.partitionBy("bucket") if "bucket" in df.columns else df.write).parquet(f"{self.root}/{named[name]}")
-            done[name] = spark.read.schema(df.schema).parquet(f"{self.root}/{named[name]}")
-        fs, draft = _fs(spark, f"{self.root}/manifests/draft-{version}")
+            named[name], schemas[name] = [self.segment(spark, f"data/{version}/{name}", df)], df.schema.jsonValue()
+            done[name] = self.rows_of(spark, named[name][0]["rows"], df.schema)
+        self._commit(spark, n + 1, {"schema_version": schema_version, "version": version, "tables": named, "schemas": schemas})
+        return version
+
+    def change(self, spark: SparkSession, changes: dict[str, Change], tries: int = 5) -> str:
+        """Publish a version with a segment more for each changed table.
+
+        A writer that comes second puts its segments on top of the other's version, if the other has touched other keys only; else it fails.
+        """
+        n, version = self.number(spark), uuid.uuid4().hex
+        base = now = self.manifest(spark, n)
+        if base is None:
+            raise FileNotFoundError(f"no index in {self.root}")
+        made: dict[str, dict] = {}
+        for name, c in changes.items():
+            like = StructType.fromJson(base["schemas"][name])
+            rows = spark.createDataFrame([], like) if c.rows is None else c.rows.select(*like.fieldNames())
+            few = c.rows is None or rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+            made[name] = self.segment(spark, f"data/{version}/{name}", rows, None if c.gone is None or name in SUMMED else c.gone.select(KEYS[name]), few)
+        for _ in range(tries):
+            named = {t: list(s) for t, s in now["tables"].items()}
+            for name, seg in made.items():
+                named[name] = self.merged(spark, name, [*named[name], seg], now["schemas"][name], version)
+            try:
+                self._commit(spark, n + 1, {**now, "version": version, "tables": named})
+                return version
+            except PublishConflict:
+                n = self.number(spark)
+                now = self.manifest(spark, n)
+                self._apart(spark, base, now, made)
+        raise PublishConflict(f"{self.root} is written by others all the time")
+
+    def _apart(self, spark: SparkSession, base: dict, now: dict, made: dict[str, dict]) -> None:
+        """Raise unless what others have added to the base touches other keys than these segments."""
+        for name, seg in made.items():
+            own, theirs = base["tables"][name], now["tables"].get(name, [])
+            if theirs[: len(own)] != own:
+                raise PublishConflict(f"{name} of {self.root} was written whole by another writer")
+            if name in SUMMED:
+                continue
+            key = KEYS[name]
+            schema = StructType.fromJson(base["schemas"][name])
+            keys = lambda s: _union([self.rows_of(spark, s["rows"], schema).select(key), *([self.rows_of(spark, s["gone"], StructType([schema[key]]))] if s["gone"] else [])])
+            for other in theirs[len(own) :]:
+                if not keys(other).join(keys(seg), key, "left_semi").isEmpty():
+                    raise PublishConflict(f"{name} of {self.root}: another writer changed the same {key}")
+
+    def merged(self, spark: SparkSession, name: str, segments: list[dict], schema: dict, version: str) -> list[dict]:
+        """The segments; where there are too many, the newest of like size as one."""
+        if len(segments) <= MOST_SEGMENTS:
+            return segments
+        take = 2
+        while take < len(segments) and segments[-take - 1]["bytes"] <= LIKE * sum(s["bytes"] for s in segments[-take:]):
+            take += 1
+        last, older = segments[-take:], segments[:-take]
+        rows = self.of_segments(spark, name, last, schema)
+        gone = [self.rows_of(spark, s["gone"], StructType([StructType.fromJson(schema)[KEYS[name]]])) for s in last if s["gone"]] if older and name not in SUMMED else []
+        few = rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+        if "bucket" in rows.columns and not few:
+            rows = rows.repartition("bucket").sortWithinPartitions("bucket", "term")
+        return [*older, self.segment(spark, f"data/{version}/{name}-merged-{uuid.uuid4().hex[:8]}", rows, _union(gone) if gone else None, few)]
+
+    def _commit(self, spark: SparkSession, number: int, found: dict) -> None:
+        fs, draft = _fs(spark, f"{self.root}/manifests/draft-{uuid.uuid4().hex}")
         out = fs.create(draft, False)
         try:
-            out.write(bytearray(json.dumps({"schema_version": schema_version, "version": version, "tables": named, "schemas": schemas}).encode()))
+            out.write(bytearray(json.dumps(found).encode()))
         finally:
             out.close()
-        _, final = _fs(spark, f"{self.root}/manifests/{n + 1}")
+        _, final = _fs(spark, f"{self.root}/manifests/{number}")
         if fs.exists(final) or not fs.rename(draft, final):
-            raise PublishConflict(f"version {n + 1} of {self.root} was published by another writer")
-        return version
+            raise PublishConflict(f"version {number} of {self.root} was published by another writer")
 
     def migrate(self, spark: SparkSession) -> bool:
         """Bring an older schema to this one; whether there was anything to do."""
@@ -117,6 +249,15 @@ class Store:
         return True
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _bytes(spark: SparkSession, folder: str) -> int:
+    fs, path = _fs(spark, folder)
+    return fs.getContentSummary(path).getLength()
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions.text import Tokenizer
 from notelake.operators import chunk, fts, links, search, store
-from notelake.session import parts_for, written
+from notelake.session import written
 from notelake.sources import vault
 
 
@@ -81,68 +81,106 @@ def opened(tables: dict[str, DataFrame], tokenizer: Tokenizer | None = None) ->
 
 
 def updated(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0, now: Column | None = None, tokenizer: Tokenizer | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    """(the tables that change, counts) for the files (path, content) as they are now.
+    """(the tables that change, whole, counts) for the files as they are now: what ``changed`` says, applied."""
+    found, counts = changed(old, files, prune, embed, target, overlap, now, tokenizer)
+    return {n: store.applied(n, old[n], c, few=False) for n, c in found.items()}, counts
 
-    Only new and changed files are parsed, cut, embedded and tokenized; numbers, uids and creation times of known paths stay, new
-    paths get the next numbers in path order. Unchanged sources get a new indexed_at, so that a touched file isn't stale for ever.
-    prune: sources whose files are gone go, and links into them become unresolved. Links elsewhere keep their targets; unresolved
+
+def changed(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0, now: Column | None = None, tokenizer: Tokenizer | None = None) -> tuple[dict[str, store.Change], dict[str, int]]:
+    """(what changes in which table, counts) for the files (path, content[, mtime]) as they are now.
+
+    Only new and changed files are parsed, cut, embedded and tokenized, and only rows that differ are given: those of these files, those of sources whose in-degree
+    changes, the links of sources that lose or gain a target, and differences of term counts and statistics. Numbers, uids and creation times of known paths stay, new
+    paths get the next numbers in path order. Unchanged sources whose file is younger than their indexed_at (all of them, if files have no mtime) get a new one, so that a
+    touched file isn't stale for ever. prune: sources whose files are gone go, and links into them become unresolved. Links elsewhere keep their targets; unresolved
     ones are claimed by the files read now.
     """
     when = now if now is not None else F.current_timestamp()
     sources = old["sources"]
-    files = written(files.select("path", "content").withColumn("content_hash", F.sha2("content", 256)), "index-files")
+    mtime = F.col("mtime").cast("timestamp") if "mtime" in files.columns else F.lit(None).cast("timestamp")
+    files = written(files.select("path", "content", mtime.alias("mtime")).withColumn("content_hash", F.sha2("content", 256)), "index-files")
     kinds = written(store.changes(files, sources), "index-changes")
     counts = {r["change"]: r["n"] for r in kinds.groupBy("change").agg(F.count("*").alias("n")).collect()}
     counts = {k: counts.get(k, 0) for k in ("new", "changed", "unchanged", "gone")}
-    seen = files.join(sources.select("path", "source_id"), "path")
-    refreshed = lambda df: df.withColumn("indexed_at", F.when(F.col("_seen") & (F.col("status") == "indexed"), when).otherwise(F.col("indexed_at"))).drop("_seen")
-    flagged = lambda df: df.join(seen.select("source_id", F.lit(True).alias("_seen")), "source_id", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+    same = files.join(kinds.filter("change = 'unchanged'"), "path", "left_semi").select("path", F.col("mtime").alias("_mtime"))
+    seen = sources.filter("status = 'indexed'").join(same, "path").filter(F.col("_mtime").isNull() | F.col("indexed_at").isNull() | (F.col("_mtime") > F.col("indexed_at").cast("timestamp")))
+    seen = written(seen.select("source_id"), "index-seen")
     if not (counts["new"] or counts["changed"] or (prune and counts["gone"])):
-        return {"sources": refreshed(flagged(sources))}, counts
-    moved = files.join(kinds.filter("change = 'changed'"), "path", "left_semi").join(sources.select("path", "source_id"), "path")
+        if seen.isEmpty():
+            return {}, counts
+        return {"sources": store.Change(sources.join(seen, "source_id", "left_semi").withColumn("indexed_at", when).select(*sources.columns), seen)}, counts
+    moved = files.drop("mtime").join(kinds.filter("change = 'changed'"), "path", "left_semi").join(sources.select("path", "source_id"), "path")
     top = sources.agg(F.coalesce(F.max("source_id"), F.lit(0)).alias("m")).first()["m"]
-    added = vault.numbered(files.join(kinds.filter("change = 'new'"), "path", "left_semi"), top + 1)
+    added = vault.numbered(files.drop("mtime").join(kinds.filter("change = 'new'"), "path", "left_semi"), top + 1)
     gone = sources.join(kinds.filter("change = 'gone'"), "path", "left_semi").select("source_id") if prune else sources.select("source_id").limit(0)
+    gone = written(gone, "index-gone")
     fresh = written(vault.parsed(moved.unionByName(added.select(*moved.columns))), "index-fresh")
     ids = fresh.select("source_id")
-    # rows of changed and of gone sources go, those of the files read now come
-    base = store.without({n: old[n] for n in ("sources", "edges", "suggestions") if n in old}, gone)
-    away = written(ids.unionByName(gone), "index-away")
-    not_away = lambda df, c="source_id": df.join(away.withColumnRenamed("source_id", c), c, "left_anti").select(*df.columns)
+    away = written(ids.unionByName(gone), "index-away")  # sources whose rows go
+    of = lambda df, c="source_id", rows=None: df.join((away if rows is None else rows).withColumnRenamed("source_id", c), c, "left_semi").select(*df.columns)
     own = {n: written(t, f"index-{n}") for n, t in contents(fresh, embed, target, overlap).items()}
-    out = {n: not_away(old[n]).unionByName(own[n].select(*old[n].columns)) for n in ("chunks", "tags")}
-    lost = old["chunks"].join(away, "source_id", "left_semi").select("chunk_id")
-    out["vectors"] = old["vectors"].join(lost, "chunk_id", "left_anti").unionByName(own["vectors"])
-    before = sources.select("source_id", F.col("uid").alias("_uid"), F.col("created_at").alias("_created"))
-    rows = fresh.join(before, "source_id", "left").withColumns({
+    out = {n: store.Change(own[n], away) for n in ("chunks", "tags")}
+    before = written(of(old["chunks"]), "index-lost")
+    lost = before.select("chunk_id")
+    out["vectors"] = store.Change(own["vectors"], lost)
+    # links: those of the files read now, and of others those that lose their target or find one
+    was = written(of(sources), "index-were")
+    known = sources.select("source_id", "path", "aliases").join(gone, "source_id", "left_anti").withColumns({"known": F.lit(True), "fresh": F.lit(False)})
+    named = known.join(ids, "source_id", "left_anti").unionByName(fresh.select("source_id", "path", "aliases").join(was.select("source_id", F.lit(True).alias("known")), "source_id", "left").select("source_id", "path", "aliases", F.coalesce("known", F.lit(False)).alias("known"), F.lit(True).alias("fresh")))
+    edges = old["edges"].select("src_id", "target_path", "dst_id")
+    others = edges.join(away.withColumnRenamed("source_id", "src_id"), "src_id", "left_anti")
+    cut = others.join(gone.withColumnRenamed("source_id", "dst_id"), "dst_id", "left_semi").select("src_id", "target_path", F.lit(None).cast("long").alias("dst_id"))
+    open_ = written(others.filter("dst_id is null").unionByName(cut), "index-open")
+    claimed = written(links.forward_refs(open_, fresh), "index-claimed")
+    differ = written(cut.join(claimed, ["src_id", "target_path"], "left_anti").unionByName(claimed), "index-differ")
+    touched = differ.select("src_id").distinct()
+    theirs = others.join(touched, "src_id", "left_semi").join(differ.withColumnRenamed("dst_id", "_now").withColumn("_is", F.lit(True)), ["src_id", "target_path"], "left")
+    theirs = theirs.select("src_id", "target_path", F.when(F.col("_is"), F.col("_now")).otherwise(F.col("dst_id")).alias("dst_id"))
+    made = written(links.resolve(fresh.select(F.col("source_id").alias("src_id"), F.explode("links").alias("target_path")), named), "index-made")
+    out["edges"] = store.Change(made.unionByName(theirs), away.withColumnRenamed("source_id", "src_id").unionByName(touched))
+    # in-degrees: one more for each link that finds its target, one fewer for each of a source that goes or is read anew
+    left = of(edges, "src_id")
+    steps = [made.select("dst_id", F.lit(1).alias("n")), claimed.select("dst_id", F.lit(1).alias("n")), left.select("dst_id", F.lit(-1).alias("n"))]
+    delta = steps[0].unionByName(steps[1]).unionByName(steps[2]).filter("dst_id is not null").groupBy(F.col("dst_id").alias("source_id")).agg(F.sum("n").alias("_delta")).filter("_delta <> 0")
+    delta = written(delta.join(gone, "source_id", "left_anti"), "index-delta")
+    held = was.select("source_id", F.col("uid").alias("_uid"), F.col("created_at").alias("_created"), F.col("indegree").alias("_indegree"))
+    rows = fresh.join(held, "source_id", "left").join(delta, "source_id", "left").withColumns({
         "uid": F.coalesce("_uid", store.uid_of(F.col("path"), F.col("source_id"))), "created_at": F.coalesce("_created", when), "status": F.lit("indexed"), "indexed_at": when, "updated_at": when,
-    })
-    stays = refreshed(flagged(not_away(base["sources"])))
-    every = written(stays.select(*SOURCES).unionByName(rows.select(*SOURCES)), "index-sources")
-    known = sources.select("source_id", F.lit(True).alias("known"))
-    named = every.select("source_id", "path", "aliases").join(known, "source_id", "left").join(ids.withColumn("fresh", F.lit(True)), "source_id", "left")
-    named = named.withColumns({"known": F.coalesce("known", F.lit(False)), "fresh": F.coalesce("fresh", F.lit(False))})
-    kept = base["edges"].join(ids.withColumnRenamed("source_id", "src_id"), "src_id", "left_anti").select("src_id", "target_path", "dst_id")
-    claimed = links.forward_refs(kept, named.filter("fresh")).withColumnRenamed("dst_id", "_now")
-    kept = kept.join(claimed, ["src_id", "target_path"], "left").select("src_id", "target_path", F.coalesce("dst_id", "_now").alias("dst_id"))
-    made = links.resolve(fresh.select(F.col("source_id").alias("src_id"), F.explode("links").alias("target_path")), named)
-    out["edges"] = written(kept.unionByName(made), "index-edges")
-    out["sources"] = every.join(links.indegree(out["edges"], every), "source_id")
-    if "suggestions" in base:
-        out["suggestions"] = base["suggestions"]
-    # postings: those of changed rows alone are made anew
-    new_rows = {"text": (own["chunks"], "chunk_id", search.text_columns(), lost, out["chunks"]), "name": (rows.select("source_id", *INDEXED), "source_id", search.name_columns(), away, every)}
-    for kind, (added_rows, key, columns, left, whole) in new_rows.items():
-        stay = old[f"{kind}_postings"].join(left, key, "left_anti")
-        post = stay.unionByName(fts.postings(added_rows, key, columns, tokenizer).select(*stay.columns))
-        post = written(post.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(-(-parts_for(post, 16) // fts.BUCKETS)))).sortWithinPartitions("bucket", "term", key), f"index-{kind}")
-        out |= {f"{kind}_postings": post, f"{kind}_terms": fts.terms_of(post, key, tuple(columns)), f"{kind}_stats": fts.stats_of(post, whole)}
+        "indegree": (F.coalesce("_indegree", F.lit(0)) + F.coalesce("_delta", F.lit(0))).cast("long"),
+    }).select(*sources.columns)
+    rows = written(rows, "index-rows")
+    others_too = written(delta.select("source_id").unionByName(seen).distinct().join(away, "source_id", "left_anti"), "index-others")
+    stays = sources.join(others_too, "source_id", "left_semi").join(delta, "source_id", "left").join(seen.withColumn("_seen", F.lit(True)), "source_id", "left")
+    stays = stays.withColumns({"indegree": (F.col("indegree") + F.coalesce("_delta", F.lit(0))).cast("long"), "indexed_at": F.when(F.col("_seen"), when).otherwise(F.col("indexed_at"))}).select(*sources.columns)
+    out["sources"] = store.Change(rows.unionByName(stays), away.unionByName(others_too))
+    if "suggestions" in old:
+        named_gone = [old["suggestions"].join(gone.withColumnRenamed("source_id", c), c, "left_semi").select("suggestion_id") for c in ("source_note_id", "target_note_id")]
+        out["suggestions"] = store.Change(None, named_gone[0].unionByName(named_gone[1]).distinct())
     if "files" in old:
-        away_paths = kinds.filter("change <> 'unchanged'" if prune else "change in ('new', 'changed')").select("path")
-        out["files"] = old["files"].join(away_paths, "path", "left_anti").select("path", "content").unionByName(fresh.select("path", "content"))
+        left_paths = kinds.filter("change in ('gone', 'changed')" if prune else "change = 'changed'").select("path")
+        out["files"] = store.Change(fresh.select("path", "content"), left_paths)
+    # postings: those of the rows read now; counts: theirs, less those of the rows that go
+    for kind, new, gone_rows, key, columns, keys in (("text", own["chunks"], before, "chunk_id", search.text_columns(), lost), ("name", rows, was, "source_id", search.name_columns(), away)):
+        if f"{kind}_postings" not in old:
+            continue
+        fields = tuple(columns)
+        post, minus = (written(fts.postings(x, key, columns, tokenizer), f"index-{kind}") for x in (new, gone_rows))
+        out[f"{kind}_postings"] = store.Change(post, keys)
+        both = fts.terms_of(post, key, fields).unionByName(fts.terms_of(minus, key, fields).withColumn("df", -F.col("df")))
+        out[f"{kind}_terms"] = store.Change(store.added_up(f"{kind}_terms", both))
+        sums = fts.stats_of(post, new).unionByName(fts.stats_of(minus, gone_rows).select(*[(-F.col(c)).alias(c) for c in ("n_rows", "n_tokens")]))
+        out[f"{kind}_stats"] = store.Change(store.added_up(f"{kind}_stats", sums))
     return out, counts
 
 
+def missing_tables(old: dict[str, DataFrame], tokenizer: Tokenizer | None = None) -> dict:
+    """Tables that an index of an older schema lacks, made from those that it has, for ``Store.publish``."""
+    if all(f"{kind}_{t}" in old for kind in ("text", "name") for t in ("postings", "terms", "stats")):
+        return {}
+    found = text_tables(old["chunks"], old["sources"], tokenizer, stored=True)
+    return {n: t if not callable(t) else (lambda done, t=t: t({**old, **done})) for n, t in found.items()}
+
+
 def with_lines(results: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
     """results with line_start and line_end: of the chunk in its file; 1 for title-only rows; 0 where file or chunk is missing."""
     from notelake.functions.text import line_of

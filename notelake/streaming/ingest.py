@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.operators.store import Store, latest
-from notelake.plans.index import build, updated
+from notelake.plans.index import build, changed
 
 FILES = "path string, content string, mtime timestamp"
 
@@ -19,8 +19,9 @@ def merge_batch(store: Store, batch: DataFrame) -> dict[str, int]:
         store.publish(spark, build(files, stored=True) | {"files": files})
         return {"new": files.count()}
     store.migrate(spark)
-    tables, counts = updated(store.read_all(spark), files, prune=False)
-    store.publish(spark, tables)
+    changes, counts = changed(store.read_all(spark), files, prune=False)
+    if changes:
+        store.change(spark, changes)
     return counts
 
 

@@ -93,6 +93,8 @@ def test_incremental_runs(spark, tmp_path):
     put(root, {"aa.md": "new words [[center]]", "later.md": "late", "b.md": "beta changed [[sea]]"})
     (root / "hub.md").unlink()
     (root / "bad.md").write_bytes(b"\xff\xfe")
+    for p in ("a.md", "dir/c.md"):  # touched, though not changed
+        __import__("os").utime(root / p, (time.time() + 60, time.time() + 60))
     assert run(spark, root, at) == {"ingested": 3, "unchanged": 2, "skipped": 1, "pruned": 1}
     now = {r.path: r for r in st.read(spark, "sources").collect()}
     for p in ("a.md", "b.md", "dir/c.md"):
@@ -263,3 +265,102 @@ def test_scratch_tables_can_be_cleared(spark):
     since = len(WRITTEN)
     path = written(spark.range(3).toDF("x"), "scratch").inputFiles()[0]
     assert cleared(spark, since) == 1 and not __import__("os").path.exists(path.removeprefix("file://").removeprefix("file:"))
+
+
+def table_bytes(manifest):
+    return {n: sum(x["bytes"] for x in t) for n, t in manifest["tables"].items()}
+
+
+def test_one_changed_note_of_many_writes_little(spark, tmp_path):
+    """Under a hundredth of the index's bytes, by the manifest; scores, links and in-degrees are those of a rebuild."""
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: f"w{int(rnd.random() ** 3 * 30000)}"
+    notes = {f"{i % 40}/n{i}.md": " ".join(word() for _ in range(120)) + f" [[n{(i * 7) % 10000}]]" for i in range(10_000)}
+    st = store.Store(str(tmp_path / "s"))
+    files = lambda: frame(spark, notes).repartition(4)
+    st.publish(spark, I.build(files(), stored=True) | {"files": files()})
+    first = st.manifest(spark)
+    whole = sum(table_bytes(first).values())
+    target = {r.target_path: r.dst_id for r in st.read(spark, "edges").filter("target_path = 'n14'").collect()}["n14"]
+    degree = lambda: st.read(spark, "sources").filter(F.col("source_id") == target).first().indegree
+    assert degree() == 1
+    notes["2/n2.md"] = "something else altogether zebra " + " ".join(word() for _ in range(100))  # linked to n14
+    changes, counts = I.changed(st.read_all(spark), files().withColumn("mtime", F.lit("2020-01-01").cast("timestamp")))
+    assert counts == {"new": 0, "changed": 1, "unchanged": 9999, "gone": 0}
+    st.change(spark, changes)
+    now = st.manifest(spark)
+    assert sum(table_bytes(now).values()) - whole < 0.01 * whole
+    assert all(now["tables"][n][0] == first["tables"][n][0] for n in first["tables"])  # nothing is written again
+    assert degree() == 0
+    mine, rebuilt = I.opened(st.read_all(spark)), I.opened(I.build(files()))
+    for q in ("zebra", "w1 w2", "w3 OR w77 OR zebra", "w5*"):
+        read = lambda i: {(r.chunk_id // 1_000_000, round(r.score, 9)) for r in fts.hits(i.text, [(1, q)]).collect()}
+        assert read(mine) == read(rebuilt) and read(mine), q
+
+
+def test_segments_are_merged_and_stay_right(spark, tmp_path, monkeypatch):
+    """Many small changes, adds, deletions and links that come and go: every table is that of a rebuild, and segments stay few."""
+    monkeypatch.setattr(store, "MOST_SEGMENTS", 2)
+    notes = dict(NOTES)
+    st = store.Store(str(tmp_path / "s"))
+    st.publish(spark, I.build(frame(spark, notes), stored=True, mode="global") | {"files": frame(spark, notes), "suggestions": spark.createDataFrame([(1, 1, 2, 0.5, "x", "pending", None, None)], store.SUGGESTIONS)})
+    steps = [{"later.md": "late [[hub]] zebra", "b.md": "beta [[nowhere]]"}, {"hub.md": None, "new/d.md": "zebra [[later]] [[b]]", "a.md": None}, {"hub.md": "# Hub again\n[[later]]", "b.md": "gamma zebra zebra"}]
+    for step in steps:
+        notes = {p: t for p, t in {**notes, **step}.items() if t is not None}
+        changes, _ = I.changed(st.read_all(spark), frame(spark, notes))
+        st.change(spark, changes)
+    assert max(map(len, st.manifest(spark)["tables"].values())) <= 2
+    now = st.read_all(spark)
+    path = {r.source_id: r.path for r in now["sources"].collect()}
+    assert set(path.values()) == set(notes) and {r.path: r.content for r in now["files"].collect()} == notes
+    whole = {k: written(v, "whole") for k, v in I.build(frame(spark, notes), mode="global").items()}
+    its = {r.source_id: r.path for r in whole["sources"].collect()}
+    terms = lambda t, n: {(r.term, r.df) for r in t[n].collect()}
+    for kind in ("text", "name"):
+        assert terms(now, f"{kind}_terms") == terms(whole, f"{kind}_terms")
+        assert tuple(now[f"{kind}_stats"].first()) == tuple(whole[f"{kind}_stats"].first())
+    degrees = lambda t, p: {p[r.source_id]: r.indegree for r in t["sources"].collect()}
+    count = {}
+    for r in now["edges"].collect():
+        count[path.get(r.dst_id)] = count.get(path.get(r.dst_id), 0) + 1
+    assert degrees(now, path) == {p: count.get(p, 0) for p in notes} == degrees(whole, its)
+    assert now["chunks"].count() == whole["chunks"].count() == now["vectors"].count() and now["suggestions"].count() == 0
+    zebra = lambda t, p: {(p[r.chunk_id // 1_000_000], round(r.score, 9)) for r in fts.hits(I.opened(t).text, [(1, "zebra")]).collect()}
+    assert zebra(now, path) == zebra(whole, its) and zebra(now, path)
+
+
+def test_second_writer_goes_on_top_or_fails(spark, tmp_path):
+    st = store.Store(str(tmp_path / "s"))
+    frame_of = lambda rows: spark.createDataFrame(rows, "source_id long, tag string")
+    st.publish(spark, {"tags": frame_of([(1, "a"), (2, "b"), (3, "c")])})
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "source_id long")
+    real, stale = store.Store.number, [1]
+    store.Store.number = lambda self, spark: stale.pop() if stale else real(self, spark)
+    try:
+        st.change(spark, {"tags": store.Change(frame_of([(1, "aa")]), ids(1))})
+        stale.append(1)
+        st.change(spark, {"tags": store.Change(frame_of([(2, "bb")]), ids(2))})  # read version 1 as well, touches another source
+        assert {(r.source_id, r.tag) for r in st.read(spark, "tags").collect()} == {(1, "aa"), (2, "bb"), (3, "c")}
+        stale.append(2)
+        with pytest.raises(store.PublishConflict):
+            st.change(spark, {"tags": store.Change(frame_of([(2, "late")]), ids(2))})
+    finally:
+        store.Store.number = real
+    assert {r.tag for r in st.read(spark, "tags").collect()} == {"aa", "bb", "c"}
+
+
+def test_old_schema_is_upgraded_and_searched(spark, tmp_path):
+    """A store of schema 1, without aliases, tags and postings, is indexed on and searched from postings."""
+    root, at = tmp_path / "v", str(tmp_path / "s")
+    put(root, NOTES)
+    made = I.build(frame(spark, NOTES))
+    old = {n: made[n] for n in ("chunks", "vectors", "edges", "tags")} | {"sources": made["sources"].drop("aliases", "tags"), "files": frame(spark, NOTES)}
+    store.Store(at).publish(spark, old, schema_version=1)
+    assert api.upgrade(spark, at) and not api.upgrade(spark, at)
+    put(root, {"new.md": "zebra alpha"})
+    assert run(spark, root, at) == {"ingested": 1, "unchanged": 4}
+    idx, _ = api.opened(spark, at)
+    assert idx.text is not None and idx.names is not None
+    assert {r.path for r in api.results(spark, at, "alpha", rerank=False).collect()} >= {"a.md", "new.md"}
