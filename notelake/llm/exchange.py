@@ -9,7 +9,7 @@ Order: rows stand by (doc_id, tie, text), null ids first. The tie is 0, but for
 the text, so "first" means the same however rows lie in blocks and partitions; rows equal in id and text are interchangeable.
 Null ids have a negative tie, which tells them from the least long.
 
-A key has 64 bits in all: its part and, inside the part, 48 bits (fewer only beyond 65,536 parts). What must be equal for certain
+A key is its part's number and, inside the part, 48 bits (fewer beyond 65,536 parts): 48 + log2(parts) bits in all, 64 at 65,536 parts. What must be equal for certain
 carries 64 more bits (``check``) or its content.
 
 Table columns: block, part, data. Negative parts are what the block keeps for itself: -1 its state, -2 its texts.

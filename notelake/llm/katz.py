@@ -8,8 +8,8 @@ second exchange, alpha(a) = (1 - sum P*(b|a)) / (1 - sum P(b)). A token is then
 alpha of the context times the unigram, which itself backs off to the mass of unknown words.
 
 Denominators are C + 1/2, so some mass is always left for backing off; unknown words are one event, as in the base score.
-N-grams travel as hashes of 64 bits, part and bits inside the part together: at 1e13 distinct pairs a given pair shares its key
-with another with odds of 5e-7, and such a pair's count is then that of both.
+N-grams travel as hashes of 48 bits and the part's number: 54 bits at 65 parts, 64 from 65,536 parts on. At 65 parts (2 GB of input) and 5e7 distinct pairs two of them
+share a key with odds of 7 %, and such pairs' counts are then those of both; a given pair is merged with odds of 3e-9.
 
 Edge cases: null and empty texts have one token, the end; null ids count as the text ``null`` for the split; repeated rows
 are counted and scored each; without training rows every word is unknown; an empty table gives an empty result; further

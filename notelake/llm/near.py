@@ -10,7 +10,8 @@ Candidates meet in two ways and are then verified by the exact Jaccard of their
 A bucket of up to SMALL texts is compared in all pairs. A larger one is dealt on: in FINE ways by THREE further minimum hashes, of which
 a pair of Jaccard 0.8 shares one way with probability 0.9998, so that texts which only look alike part. What is still larger
 holds texts that agree in eight minimum hashes each way; there all are compared with the least of each way, at linear cost, which
-links close copies through one another. Texts are told apart by 64-bit hashes, so exact copies enter the search once.
+links close copies through one another. Texts are told apart by 128 bits (MD5; of 1e12 texts two
+share them with odds of 1e-15), so exact copies enter the search once; each distinct text has a number, by which links are kept.
 
 Of each component the row of the least doc_id stays, null ids last; of equal ids the one whose text has the least hash, of
 equal texts the least by its columns. Null ids, empty texts and texts of white space only (copies of one another) take part like any other.
@@ -33,12 +34,12 @@ from notelake.session import written
 WORDS, LEAST, BANDS, ROWS, FINE, THREE, SMALL = 5, 0.8, 20, 5, 12, 3, 32
 RANDOM = np.random.default_rng(7).integers(0, 1 << 64, (3, BANDS * ROWS + FINE * THREE), np.uint64, endpoint=False)
 XOR, TIMES, MIX = RANDOM[0], RANDOM[1] | np.uint64(1), RANDOM[2] | np.uint64(1)
-SIGNED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("buckets", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("hash", pa.binary()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("buckets", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64()))])
 PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def key() -> Column:
-    return F.xxhash64(bytes_col())
+def text_hash() -> Column:
+    return F.unhex(F.md5(bytes_col()))
 
 
 def buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +53,7 @@ def buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(documents: DataFrame) -> DataFrame:
-    """Per distinct text: key, its first row's (id is null, id), the SimHash, and buckets."""
+    """Per distinct text: hash, key (a number), its first row's (id is null, id), the SimHash, and buckets, as a written table."""
 
     def run(batches):
         for batch in slices(batches):
@@ -65,9 +66,10 @@ def signed(documents: DataFrame) -> DataFrame:
                 fine.append(ways.view(np.int64))
             yield batch_of(SIGNED, batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(found, SIGNED.field("buckets").type), pa.array(fine, SIGNED.field("fine").type))
 
-    rows = documents.select(key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), bytes_col())
-    signs = rows.mapInArrow(run, "key long, doc_id long, fp long, buckets array<long>, fine array<long>")
-    return signs.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.min("fp").alias("fp"), F.min("buckets").alias("buckets"), F.min("fine").alias("fine"))
+    rows = documents.select(text_hash().alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), bytes_col())
+    signs = rows.mapInArrow(run, "hash binary, doc_id long, fp long, buckets array<long>, fine array<long>")
+    one = signs.groupBy("hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.min("fp").alias("fp"), F.min("buckets").alias("buckets"), F.min("fine").alias("fine"))
+    return written(one.withColumn("key", F.monotonically_increasing_id()), "near-signs")
 
 
 def candidates(signs: DataFrame, small: int = SMALL) -> DataFrame:
@@ -109,7 +111,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def verified(pairs: DataFrame, documents: DataFrame, least: float = LEAST) -> DataFrame:
+def verified(pairs: DataFrame, documents: DataFrame, signs: DataFrame, least: float = LEAST) -> DataFrame:
     """The pairs whose sets of shingles have that Jaccard similarity or more."""
 
     def run(batches):
@@ -127,20 +129,21 @@ def verified(pairs: DataFrame, documents: DataFrame, least: float = LEAST) -> Da
                     keep.append(jaccard(of(u, x), of(v, y)) >= least)
                 yield part.select(["u", "v"]).filter(pa.array(keep))
 
-    texts = documents.select(key().alias("key"), bytes_col()).groupBy("key").agg(F.min("text").alias("text"))
     used = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    texts = written(texts.join(used, "key", "left_semi"), "near-texts")
+    used = signs.select("hash", "key").join(used, "key", "left_semi")
+    texts = documents.select(text_hash().alias("hash"), bytes_col()).groupBy("hash").agg(F.first("text").alias("text"))
+    texts = written(texts.join(used, "hash").select("key", "text"), "near-texts")
     of = lambda end, name: texts.select(F.col("key").alias(end), F.col("text").alias(name))
     return pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def one_of_each(documents: DataFrame, least: float = LEAST, small: int = SMALL) -> DataFrame:
     """One row of each component of near copies, columns unchanged."""
-    signs = written(signed(documents), "near-signs")
+    signs = signed(documents)
     pairs = written(candidates(signs, small), "near-pairs")
-    roots = components(verified(pairs, documents, least))
-    rooted = signs.select("key", "first").join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min(F.struct("first", "key")).alias("best")).select(F.col("best.key").alias("_key"))
+    roots = components(verified(pairs, documents, signs, least))
+    rooted = signs.select("hash", "key", "first").join(roots, F.col("key") == F.col("node"), "left").select("hash", "first", F.coalesce("root", "key").alias("root"))
+    keep = rooted.groupBy("root").agg(F.min(F.struct("first", "hash")).alias("best")).select(F.col("best.hash").alias("_hash"))
     whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
-    by_text = documents.groupBy(key().alias("_key")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), whole.alias("row"))).alias("_best"))
-    return kept_columns(by_text.join(keep, "_key", "left_semi").select("_best.row.*"), documents)
+    by_text = documents.groupBy(text_hash().alias("_hash")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), whole.alias("row"))).alias("_best"))
+    return kept_columns(by_text.join(keep, "_hash", "left_semi").select("_best.row.*"), documents)

@@ -98,3 +98,13 @@ def test_copies_inside_large_buckets(spark):
     assert 0.5 < similarity(shingles(rows[0][1]), shingles(rows[2][1])) < 0.8 < similarity(shingles(rows[0][1]), shingles(rows[1][1]))
     got = sorted(x.doc_id for x in near.one_of_each(spark.createDataFrame(rows, DDL).repartition(4), small=6).collect())
     assert got == list(range(0, 120, 2))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chain_in_buckets_above_the_default_bound(spark, seed):
+    """Three hundred texts, each a few words further on in one sequence than the last, leave one row: no link of the chain is lost where buckets hold hundreds."""
+    r = random.Random(seed)
+    words = [f"w{r.randrange(10**6)}" for _ in range(1500)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 600]), "a") for i in range(300)]
+    r.shuffle(rows)
+    assert [x.doc_id for x in near.one_of_each(spark.createDataFrame(rows, DDL).repartition(4)).collect()] == [0]
