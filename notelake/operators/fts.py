@@ -1,9 +1,14 @@
 """Full-text search: a stored index of postings, a parser for the query language, and BM25.
 
-The index is three tables: postings (bucket, term, field, key, n_tokens, positions; below 0 for characters of Han that stand outside the sequence), terms (bucket, term, df) and stats (one
-row). A bucket is a hash of the term and a folder of files that are sorted by term, so a query reads the buckets of its terms
-and of these the row groups that hold them, whatever the size of the corpus; a term's postings are dealt to several files of
-its bucket, so no task holds a hot term. The tokenizer is the index's own: texts and queries are cut by one rule.
+The index is three tables: postings (bucket, term, field, key, n_tokens, positions, below 0 for characters of Han that stand outside the sequence, impact), terms (bucket, term, df,
+and bounds of impacts) and stats (one row). A bucket is a hash of the term and a folder of files that are sorted by term, then from the greatest impact down, so a query reads the
+buckets of its terms only and of these the pages that hold them, whatever the size of the corpus; a term's postings are dealt to several files of
+its bucket, so no task holds a hot term. Terms are dealt by ranges and sorted: a prefix is a range of them, and names the buckets it needs. The tokenizer is the index's own: texts
+and queries are cut by one rule.
+
+Impact is a posting's part of the score without its term's weight, at the average length known when it was written. A term keeps the greatest impact and one that at least
+KEPT postings reach. For a query of one term, or of any of several, the k-th score is at least that of the best such term alone; what a posting would need beside the greatest
+impacts of all other terms to reach it is a bound on its own impact, which goes to the scan as a filter, so pages and row groups below it are skipped. The rows found are the same.
 
 Queries of plain terms, all or any of which must occur, of any number, are one join on the term. Others (phrases, prefixes, first tokens, NEAR,
 columns, nesting) gather their terms' positions for each row and evaluate an expression over them, many queries in one pass.
@@ -11,6 +16,7 @@ columns, nesting) gather their terms' positions for each row and evaluate an exp
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -24,6 +30,7 @@ from notelake.session import parts_for, written
 
 K1, B, TINY_IDF = 1.2, 0.75, 1e-6
 BUCKETS, MOST_LISTED = 16, 500
+KEPT, LEVELS, USUAL_TOKENS = 64, 64, 100.0  # LEVELS: steps in which impacts are counted
 
 
 class QuerySyntaxError(ValueError):
@@ -234,8 +241,13 @@ class TextIndex:
     buckets: int = BUCKETS
 
 
-def postings(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: Tokenizer | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, field, key, n_tokens, positions) of rows, sorted by bucket and term.
+def usual_tokens(rows: DataFrame, columns: dict[str, Column]) -> float:
+    """About how many tokens a row has: runs of ASCII letters and digits are counted."""
+    return rows.agg(F.avg(sum((F.regexp_count(c, F.lit("[a-zA-Z0-9]+")) for c in columns.values()), F.lit(0)))).first()[0] or USUAL_TOKENS
+
+
+def postings(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: Tokenizer | None = None, buckets: int = BUCKETS, usual: float = USUAL_TOKENS) -> DataFrame:
+    """(bucket, term, field, key, n_tokens, positions, impact, usual) of rows, sorted by bucket, term and falling impact. usual: an average length, which impacts are made with.
 
     A row's tokens are gathered by term where the row lies, in Arrow batches, so one shuffle moves postings, not tokens. A bucket is
     spread over as many tasks as its share of the corpus asks for.
@@ -275,13 +287,34 @@ def postings(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: T
                 )
 
     long = rows.select(key, *columns.values()).mapInArrow(run, f"bucket int, term string, field string, {key} {kind}, n_tokens int, positions array<int>")
-    dealt = long.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(spread)))
-    return dealt.sortWithinPartitions("bucket", "term", key)
+    tf = F.size("positions")
+    long = long.withColumns({"impact": tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.lit(float(usual)))), "usual": F.lit(float(usual))})
+    return in_order(long.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(spread))), key)
+
+
+def in_order(post: DataFrame, key: str | None = None) -> DataFrame:
+    """Postings sorted as the files of a bucket are."""
+    return post.sortWithinPartitions("bucket", "term", *([F.desc("impact")] if "impact" in post.columns else []), *([key] if key else []))
 
 
 def terms_of(post: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
-    """(bucket, term, df), counted from postings."""
-    return post.groupBy("bucket", "term").agg((F.count("*") if len(fields) == 1 else F.count_distinct(key)).alias("df"))
+    """(bucket, term, df, best, top, low, high, removed), counted from postings.
+
+    best: the greatest impact; top: one that KEPT postings reach, 0 if there are fewer; low, high: the least and greatest average the impacts were made with;
+    removed: how many postings have gone since. An index of several fields has no bounds, as impacts are those of single fields.
+    """
+    bounds = {"low": F.min("usual"), "high": F.max("usual")}
+    if len(fields) > 1 or "impact" not in post.columns:
+        none = {"best": F.lit(0.0), "top": F.lit(0.0)} | (bounds if "usual" in post.columns else {"low": F.lit(USUAL_TOKENS), "high": F.lit(USUAL_TOKENS)})
+        found = post.groupBy("bucket", "term").agg((F.count("*") if len(fields) == 1 else F.count_distinct(key)).alias("df"), *[v.alias(k) for k, v in none.items()])
+        return found.withColumn("removed", F.lit(0).cast("long"))
+    step = F.lit(LEVELS / (K1 + 1))
+    by_level = post.groupBy("bucket", "term", F.floor(F.col("impact") * step).alias("level")).agg(F.count("*").alias("n"), F.max("impact").alias("best"), *[v.alias(k) for k, v in bounds.items()])
+    falling = F.reverse(F.array_sort(F.collect_list(F.struct("level", "n"))))  # LEVELS rows for a term at most
+    one = by_level.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("best").alias("best"), falling.alias("by"), F.min("low").alias("low"), F.max("high").alias("high"))
+    reached = F.aggregate("by", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("level")), lambda s, x: F.when(s["n"] >= KEPT, s).otherwise(F.struct((s["n"] + x["n"]).alias("n"), x["level"].alias("level"))))
+    top = F.when(reached["n"] >= KEPT, reached["level"] / step).otherwise(F.lit(0.0))
+    return one.select("bucket", "term", "df", "best", top.alias("top"), "low", "high", F.lit(0).cast("long").alias("removed"))
 
 
 def stats_of(post: DataFrame, rows: DataFrame) -> DataFrame:
@@ -321,28 +354,84 @@ def _bm25(f: Column, df: Column, n: Column, rows: Column, total: Column) -> Colu
     return idf * (f * F.lit(K1 + 1)) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * n / (total / rows)))
 
 
-def _by_join(index: TextIndex, queries: list[tuple[int, str, list[str]]]) -> DataFrame:
-    """(query_id, key, score) for plain queries (id, and/or, terms): postings met with the asked terms, then gathered for each query and row."""
+def _known(index: TextIndex, names: list[str]) -> tuple[dict[str, dict], int, int]:
+    """(what the index knows of these terms, its rows, its tokens), by one job; at most MOST_LISTED terms."""
+    bounds = [c for c in ("best", "top", "low", "high", "removed") if c in index.terms.columns]
+    of_terms = _of_terms(index.terms, names, index.buckets).select("term", "df", F.lit(0).cast("long").alias("n"), *[F.col(c).cast("double").alias(c) for c in bounds])
+    of_all = index.stats.select(F.lit(None).cast("string").alias("term"), F.col("n_rows").alias("df"), F.col("n_tokens").alias("n"), *[F.lit(0.0).alias(c) for c in bounds])
+    rows = of_terms.unionByName(of_all).collect()
+    stats = next(r for r in rows if r["term"] is None)
+    return {r["term"]: r.asDict() for r in rows if r["term"] is not None}, stats["df"], stats["n"]
+
+
+def _needed(terms: list[tuple[str, int]], kind: str, known: dict[str, dict], weights: dict[str, float], usual: float, limit: int | None) -> dict[str, float]:
+    """The impact that a posting of each term needs if its row is to be among the first limit; 0 where no bound is known."""
+    none = dict.fromkeys((t for t, _ in terms), 0.0)
+    if limit is None or any(t not in known or "top" not in known[t] for t, _ in terms) or (kind == "and" and len(terms) > 1):
+        return none
+    sure = [n * weights[t] * k["top"] * min(1.0, usual / k["high"]) for t, n in terms if (k := known[t])["top"] > 0 and KEPT - k["removed"] >= limit]
+    most = {t: n * weights[t] * known[t]["best"] * max(1.0, usual / known[t]["low"]) for t, n in terms}
+    if not sure or any(known[t]["best"] <= 0 for t, _ in terms):
+        return none
+    return {t: max(0.0, (max(sure) * (1 - 1e-9) - (sum(most.values()) - most[t])) / (n * weights[t] * max(1.0, usual / known[t]["low"]))) for t, n in terms}
+
+
+def _by_join(index: TextIndex, queries: list[tuple[int, str, list[str]]], limit: int | None = None) -> DataFrame:
+    """(query_id, key, score) for plain queries (id, and/or, terms): postings met with the asked terms, then gathered for each query and row.
+
+    limit: how many rows of each query are wanted; rows that can't be among them may be left out.
+    """
     spark, key = index.postings.sparkSession, index.key
-    asked = []
-    for q, kind, terms in queries:
-        names = list(dict.fromkeys(terms))
-        asked += [(q, t, i, terms.count(t), len(names) if kind == "and" else 1) for i, t in enumerate(names)]
-    names = sorted({a[1] for a in asked})
-    wanted = spark.createDataFrame(asked, "query_id long, term string, place int, times int, need int")
-    known = _of_terms(index.terms, names, index.buckets).select("term", "df")
-    wanted = wanted.join(F.broadcast(known), "term").join(F.broadcast(index.stats.select("n_rows", F.col("n_tokens").alias("total"))))
+    asked = [(q, kind, [(t, terms.count(t)) for t in dict.fromkeys(terms)]) for q, kind, terms in queries]
+    names = sorted({t for _, _, terms in asked for t, _ in terms})
     post = _of_terms(index.postings, names, index.buckets)
+    if len(names) <= MOST_LISTED:
+        known, n_rows, total = _known(index, names)
+        weights = {t: max(math.log((n_rows - k["df"] + 0.5) / (k["df"] + 0.5)), 0.0) or TINY_IDF for t, k in known.items()}
+        usual = total / n_rows if n_rows else 1.0
+        rows, need = [], {}
+        for q, kind, terms in asked:
+            least = _needed(terms, kind, known, weights, usual, limit)
+            for i, (t, n) in enumerate(terms):
+                if t in known:
+                    rows.append((q, t, i, n * weights[t], len(terms) if kind == "and" else 1, least[t]))
+                    need[t] = min(need.get(t, least[t]), least[t])
+        wanted = spark.createDataFrame(rows, "query_id long, term string, place int, weight double, need int, least double")
+        if "impact" in post.columns and any(need.values()):
+            post = post.filter(reduce(lambda a, b: a | b, [(F.col("term") == t) & (F.col("impact") >= x) for t, x in sorted(need.items())]))
+        length = F.lit(float(usual))
+    else:
+        long = [(q, t, i, n, len(terms) if kind == "and" else 1) for q, kind, terms in asked for i, (t, n) in enumerate(terms)]
+        known = _of_terms(index.terms, names, index.buckets).select("term", "df")
+        wanted = spark.createDataFrame(long, "query_id long, term string, place int, times int, need int").join(F.broadcast(known), "term").join(F.broadcast(index.stats.select("n_rows", F.col("n_tokens").alias("total"))))
+        idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        wanted = wanted.withColumn("weight", F.col("times") * F.when(idf > 0, idf).otherwise(F.lit(TINY_IDF))).withColumn("length", F.col("total") / F.col("n_rows"))
+        length = F.col("length")
     if len(index.fields) == 1:
         post = post.select("term", key, "n_tokens", F.size("positions").alias("tf"))
     else:
         post = post.groupBy("term", key, "n_tokens").agg(F.sum(F.size("positions")).alias("tf"))
-    part = F.col("times") * _bm25(F.col("tf"), F.col("df"), F.col("n_tokens"), F.col("n_rows"), F.col("total"))
+    f = F.col("tf")
+    part = F.col("weight") * (f * F.lit(K1 + 1)) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n_tokens") / length))
     met = post.join(F.broadcast(wanted), "term").select("query_id", key, "need", F.struct("place", part.alias("part")).alias("p"))
     rows = met.groupBy("query_id", key, "need").agg(F.sort_array(F.collect_list("p")).alias("p")).filter(F.size("p") >= F.col("need"))
     return rows.select("query_id", key, (-F.aggregate("p", F.lit(0.0), lambda s, x: s + x["part"])).alias("score"))  # always summed in one order
 
 
+def prefix_buckets(index: TextIndex, prefixes: list[str]) -> list[int]:
+    """The buckets that hold the terms of these prefixes: each is a range of the sorted term table."""
+    own = reduce(lambda a, b: a | b, [in_range(t) for t in prefixes])
+    return sorted(r["bucket"] for r in index.terms.filter(own).select("bucket").distinct().collect())  # as many numbers as there are buckets, at most
+
+
+def in_range(prefix: str) -> Column:
+    """Terms that start so. The term's own order (that of its bytes) makes it a range, which sorted files skip by."""
+    last = prefix[-1:]
+    above = prefix[:-1] + chr(ord(last) + 1) if last and ord(last) + 1 not in (0xD800, 0x110000) else None
+    least = F.col("term") >= prefix
+    return least & F.col("term").startswith(prefix) if above is None else least & (F.col("term") < above)
+
+
 class _Positions:
     """The columns that hold the positions of each term or prefix in each field, for one row."""
 
@@ -399,7 +488,9 @@ def _by_positions(index: TextIndex, trees: list[tuple[int, object]]) -> DataFram
     if exact:
         slot = F.element_at(F.create_map(*[F.lit(x) for kv in exact.items() for x in kv]), F.col("term"))
         found.append(_of_terms(index.postings, list(exact), index.buckets).withColumn("slot", slot).select(*read))
-    found += [index.postings.filter(F.col("term").startswith(t)).withColumn("slot", F.lit(i)).select(*read) for (t, prefix), i in at.slots.items() if prefix]
+    if starts := {t: i for (t, prefix), i in at.slots.items() if prefix}:
+        own = index.postings.filter(F.col("bucket").isin(prefix_buckets(index, list(starts))))
+        found += [own.filter(in_range(t)).withColumn("slot", F.lit(i)).select(*read) for t, i in starts.items()]
     if not found:
         return index.postings.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("score")).limit(0)
     gather = lambda i, f: F.flatten(F.collect_list(F.when((F.col("slot") == i) & (F.col("field") == f), F.col("positions")))).alias(f"p{i}_{f}")
@@ -420,7 +511,7 @@ def hits(index: TextIndex, queries: list[tuple[int, str]], limit: int | None = 5
     trees = [(q, t) for q, text in queries if (t := safe_parse(text, index.fields, lenient, index.tokenizer.split)) is not None]
     plain = [(q, *f) for q, t in trees if (f := flat(t))]
     rich = [(q, t) for q, t in trees if not flat(t)]
-    found = ([_by_join(index, plain)] if plain else []) + ([_by_positions(index, rich)] if rich else [])
+    found = ([_by_join(index, plain, limit)] if plain else []) + ([_by_positions(index, rich)] if rich else [])
     if not found:
         return nothing(index.postings.sparkSession, index.postings, index.key)
     return top(reduce(DataFrame.unionByName, found), ["score", index.key], limit)

@@ -33,7 +33,7 @@ KEYS = {
     "text_postings": "chunk_id", "name_postings": "source_id",
 }
 SUMMED = {"text_terms": ("df", "bucket", "term"), "name_terms": ("df", "bucket", "term"), "text_stats": ("n_rows",), "name_stats": ("n_rows",)}
-MOST_SEGMENTS, LIKE, FEW_ROWS, MOST_KEYS = 6, 4, 100_000, 1_000_000
+MOST_SEGMENTS, LIKE, FEW_ROWS, MOST_KEYS, PAGE_ROWS = 6, 4, 100_000, 1_000_000, 2_000
 SUGGESTIONS = "suggestion_id long, source_note_id long, target_note_id long, score double, reason string, status string, created_at timestamp, resolved_at timestamp"
 
 
@@ -63,13 +63,22 @@ def added_up(name: str, rows: DataFrame) -> DataFrame:
     value, *by = SUMMED[name]
     if not by:
         return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
-    return rows.groupBy(*by).agg(F.sum(value).alias(value)).filter(F.col(value) != 0).select(*rows.columns)
+    how = {c: F.max if c in ("best", "top", "high") else F.min if c == "low" else F.sum for c in rows.columns if c not in by}
+    out = rows.groupBy(*by).agg(*[f(c).alias(c) for c, f in how.items()])
+    # terms that are gone count no more, but that some of their postings went must be known to those who add this up further
+    return out.filter((F.col(value) != 0) | (F.col("removed") != 0) if "removed" in how else F.col(value) != 0).select(*rows.columns)
+
+
+def counted(name: str, table: DataFrame) -> DataFrame:
+    """A table as readers see it: counts that came to nothing are left out."""
+    value, *by = SUMMED.get(name, ("",))
+    return table.filter(F.col(value) > 0) if by else table
 
 
 def applied(name: str, table: DataFrame, change: Change, few: bool = True) -> DataFrame:
     """The table after the change. few: the keys were counted to be few enough for a broadcast."""
     if name in SUMMED:
-        return added_up(name, table.unionByName(change.rows.select(*table.columns)))
+        return counted(name, added_up(name, table.unionByName(change.rows.select(*table.columns))))
     if change.gone is not None:
         table = table.join(F.broadcast(change.gone) if few else change.gone, KEYS[name], "left_anti").select(*table.columns)
     return table if change.rows is None else table.unionByName(change.rows.select(*table.columns))
@@ -118,7 +127,7 @@ class Store:
         found = self.manifest(spark)
         if found is None:
             raise FileNotFoundError(f"no index in {self.root}")
-        return {n: self.of_segments(spark, n, found["tables"][n], found["schemas"][n]) for n in names or found["tables"]}
+        return {n: counted(n, self.of_segments(spark, n, found["tables"][n], found["schemas"][n])) for n in names or found["tables"]}
 
     def rows_of(self, spark: SparkSession, folder: str, schema: dict | StructType) -> DataFrame:
         return spark.read.schema(schema if isinstance(schema, StructType) else StructType.fromJson(schema)).parquet(f"{self.root}/{folder}")
@@ -143,10 +152,11 @@ class Store:
         """Write a segment. few: of so few rows that one file holds them; else a table of postings has a folder for each bucket."""
         out = {"rows": folder, "gone": None, "keys": 0}
         if few:
-            one = rows.coalesce(1)
-            (one.sortWithinPartitions("bucket", "term") if "bucket" in rows.columns else one).write.parquet(f"{self.root}/{folder}")
+            _sorted(rows.coalesce(1)).write.parquet(f"{self.root}/{folder}")
+        elif "positions" in rows.columns:  # postings come sorted, and are written in small pages, so that scans can skip
+            rows.write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.root}/{folder}")
         else:
-            (rows.write.partitionBy("bucket") if "bucket" in rows.columns else rows.write).parquet(f"{self.root}/{folder}")
+            (_sorted(rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, "term")) if "term" in rows.columns else rows).write.parquet(f"{self.root}/{folder}")
         if gone is not None:
             at = f"{folder}-gone"
             keys = gone.distinct()
@@ -225,8 +235,8 @@ class Store:
         rows = self.of_segments(spark, name, last, schema)
         gone = [self.rows_of(spark, s["gone"], StructType([StructType.fromJson(schema)[KEYS[name]]])) for s in last if s["gone"]] if older and name not in SUMMED else []
         few = rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
-        if "bucket" in rows.columns and not few:
-            rows = rows.repartition("bucket").sortWithinPartitions("bucket", "term")
+        if "positions" in rows.columns and not few:
+            rows = _sorted(rows.repartition("bucket"))
         return [*older, self.segment(spark, f"data/{version}/{name}-merged-{uuid.uuid4().hex[:8]}", rows, _union(gone) if gone else None, few)]
 
     def _commit(self, spark: SparkSession, number: int, found: dict) -> None:
@@ -249,6 +259,13 @@ class Store:
         return True
 
 
+def _sorted(rows: DataFrame) -> DataFrame:
+    """Postings by bucket, term and falling impact, terms by name; other tables as they are."""
+    if "positions" in rows.columns:
+        return rows.sortWithinPartitions("bucket", "term", *([F.desc("impact")] if "impact" in rows.columns else []))
+    return rows.sortWithinPartitions("term") if "term" in rows.columns else rows
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 

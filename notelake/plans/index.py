@@ -59,7 +59,7 @@ def text_tables(chunks: DataFrame, sources: DataFrame, tokenizer: Tokenizer | No
     """Both full-text indexes as tables of the store. stored: terms and statistics are functions of the tables as written, for ``Store.publish``."""
     out: dict = {}
     for kind, rows, key, columns, of in (("text", chunks, "chunk_id", search.text_columns(), "chunks"), ("name", sources, "source_id", search.name_columns(), "sources")):
-        fields, post = tuple(columns), fts.postings(rows, key, columns, tokenizer)
+        fields, post = tuple(columns), fts.postings(rows, key, columns, tokenizer, usual=fts.usual_tokens(rows, columns))
         if stored:
             out[f"{kind}_postings"] = post
             out[f"{kind}_terms"] = lambda t, kind=kind, key=key, fields=fields: fts.terms_of(t[f"{kind}_postings"], key, fields)
@@ -164,10 +164,12 @@ def changed(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, emb
         if f"{kind}_postings" not in old:
             continue
         fields = tuple(columns)
-        post, minus = (written(fts.postings(x, key, columns, tokenizer), f"index-{kind}") for x in (new, gone_rows))
+        sizes = old[f"{kind}_stats"].first()
+        usual = sizes["n_tokens"] / sizes["n_rows"] if sizes["n_tokens"] else fts.USUAL_TOKENS
+        post, minus = (written(fts.postings(x, key, columns, tokenizer, usual=usual), f"index-{kind}") for x in (new, gone_rows))
         out[f"{kind}_postings"] = store.Change(post, keys)
-        both = fts.terms_of(post, key, fields).unionByName(fts.terms_of(minus, key, fields).withColumn("df", -F.col("df")))
-        out[f"{kind}_terms"] = store.Change(store.added_up(f"{kind}_terms", both))
+        both = fts.terms_of(post, key, fields).unionByName(fts.terms_of(minus, key, fields).withColumns({"df": -F.col("df"), "removed": F.col("df"), "best": F.lit(0.0), "top": F.lit(0.0)}))
+        out[f"{kind}_terms"] = store.Change(store.added_up(f"{kind}_terms", both.select(*old[f"{kind}_terms"].columns)))
         sums = fts.stats_of(post, new).unionByName(fts.stats_of(minus, gone_rows).select(*[(-F.col(c)).alias(c) for c in ("n_rows", "n_tokens")]))
         out[f"{kind}_stats"] = store.Change(store.added_up(f"{kind}_stats", sums))
     return out, counts

@@ -306,7 +306,7 @@ def test_segments_are_merged_and_stay_right(spark, tmp_path, monkeypatch):
     notes = dict(NOTES)
     st = store.Store(str(tmp_path / "s"))
     st.publish(spark, I.build(frame(spark, notes), stored=True, mode="global") | {"files": frame(spark, notes), "suggestions": spark.createDataFrame([(1, 1, 2, 0.5, "x", "pending", None, None)], store.SUGGESTIONS)})
-    steps = [{"later.md": "late [[hub]] zebra", "b.md": "beta [[nowhere]]"}, {"hub.md": None, "new/d.md": "zebra [[later]] [[b]]", "a.md": None}, {"hub.md": "# Hub again\n[[later]]", "b.md": "gamma zebra zebra"}]
+    steps = [{"later.md": "late [[hub]] zebra", "b.md": "beta [[nowhere]]", "a.md": None}, {"hub.md": "# Hub again\n[[later]]", "new/d.md": "zebra [[later]] [[b]]", "dir/c.md": None}]
     for step in steps:
         notes = {p: t for p, t in {**notes, **step}.items() if t is not None}
         changes, _ = I.changed(st.read_all(spark), frame(spark, notes))
@@ -364,3 +364,61 @@ def test_old_schema_is_upgraded_and_searched(spark, tmp_path):
     idx, _ = api.opened(spark, at)
     assert idx.text is not None and idx.names is not None
     assert {r.path for r in api.results(spark, at, "alpha", rerank=False).collect()} >= {"a.md", "new.md"}
+
+
+def scanned(df):
+    """Rows that the scans of an executed query gave, of tables with positions."""
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(p.plan())
+        if name == "FileSourceScanExec" and "positions" in p.simpleString(100):
+            return p.metrics().apply("numOutputRows").value()
+        kids = p.children()
+        return sum(walk(kids.apply(i)) for i in range(kids.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A stored index of 12,000 texts, nearly all of which hold one word, a few of them often."""
+    import random
+
+    rnd = random.Random(7)
+    rows = [(i, " ".join(["common"] * (rnd.randrange(5, 30) if rnd.random() < 0.02 else rnd.randrange(0, 3)) + [f"w{rnd.randrange(400)}" for _ in range(rnd.randrange(5, 60))])) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "chunk_id long, content string")
+    st = store.Store(str(tmp_path_factory.mktemp("many") / "s"))
+    columns = search.text_columns()
+    post = fts.postings(df, "chunk_id", columns, usual=fts.usual_tokens(df, columns))
+    st.publish(spark, {"text_postings": post, "text_terms": lambda t: fts.terms_of(t["text_postings"], "chunk_id", ("content",)), "text_stats": lambda t: fts.stats_of(t["text_postings"], df)})
+    t = st.read_all(spark)
+    return fts.TextIndex(t["text_postings"], t["text_terms"], t["text_stats"], "chunk_id", ("content",))
+
+
+@pytest.mark.parametrize("query,falls", [("common", True), ("common OR w5", False), ("w5 OR w6 OR w7", False), ("common w5", False), ("common OR common OR w9", False), ("nowhere OR common", False), ("nowhere", False)])
+def test_bounds_leave_the_best_rows_as_they_are(spark, many, query, falls):
+    tree = fts.flat(fts.parse(query))
+    every = sorted((round(r.score, 14), r.chunk_id) for r in fts._by_join(many, [(1, *tree)]).collect())[:50]
+    got = fts.hits(many, [(1, query)])
+    assert every == sorted((round(r.score, 14), r.chunk_id) for r in got.collect())
+    whole = many.postings.filter(F.col("term").isin(tree[1])).count()
+    if falls:
+        assert scanned(got) < 0.5 * whole
+
+
+def test_prefix_reads_the_buckets_of_its_terms(spark, many):
+    """w39* is a range of the term table: w39 and w390 to w399, which lie in some of the buckets."""
+    of = lambda p: sorted({r.bucket for r in many.postings.filter(F.col("term").startswith(p)).select("bucket").distinct().collect()})
+    assert fts.prefix_buckets(many, ["w39"]) == of("w39") and len(of("w39")) < 16
+    assert fts.prefix_buckets(many, ["common"]) == of("common") and fts.prefix_buckets(many, ["zz"]) == []
+    got = fts.hits(many, [(1, "comm*")], None)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(", "").replace("PartitionFilters: [(", "PartitionFilters: [")
+    assert got.count() == many.postings.filter("term = 'common'").count()
+    assert fts.hits(many, [(1, "zz*")]).count() == 0
+    for odd in ("퟿", "\U0010ffff", "é"):
+        df = spark.createDataFrame([(odd,), (odd + "a",), ("b",)], "term string")
+        assert df.filter(fts.in_range(odd)).count() == 2
