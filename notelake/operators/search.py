@@ -1,7 +1,8 @@
 """Hybrid search: four ranked channels, post-filters, fusion, reranking with title-gated blending, and expansion.
 
-The channels read the stored indexes; what they find (at most a few hundred rows for each query) is written once, and everything
-after works on these rows.
+The channels read the stored indexes; what they find (at most a few hundred rows for each query) is kept once, and everything
+after works on these rows. Of up to FEW queries it comes to the driver as a local relation (bounded by FEW times the limits), so that what belongs to the found numbers is
+read by filters that reach the scans, and no later step shuffles; of more it is a written table that is joined.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from notelake.operators.knn import knn
 from notelake.session import written
 
 FAST_K, DEEP_K = 5, 20
+SHOWN = ("source_id", "path", "title", "tags", "indegree")
 CHANNELS = ("bm25", "vector", "title", "indegree", "metadata")
 # Fixed values.
 TECHNICAL_TERMS = ("向量", "嵌入", "文档", "切块", "算法", "搜索", "检索", "融合", "模型", "数据库", "fsrs", "bm25", "rrf", "rag", "anki", "hybrid", "chunk", "embedding", "vector")
@@ -92,32 +94,34 @@ def name_columns() -> dict[str, Column]:
 class Reranker:
     """A scoring model: score(query, passages) -> a number in 0..1 for each passage.
 
-    Passages go to it in Arrow batches. Where it is disabled, fails, or gives other than one finite number for each passage,
-    the query keeps its first-stage order.
+    A query's passages are one row, so it is called once for each query with all of them, however batches fall. Where it is disabled, fails, or gives other than one number for each
+    passage, the query keeps its first-stage order.
     """
 
     score: Callable[[str, list[str]], list[float] | None]
     disabled: bool = False
 
-    def column(self, query: str = "query", content: str = "content") -> Column:
+    def scores(self, rows: DataFrame) -> DataFrame:
+        """(query_id, position, p) of rows (query_id, query, position, content), of which a query has a bounded number; p is null where the model failed."""
         score = self.score
 
-        @F.pandas_udf("double")
+        @F.pandas_udf("array<double>")
         def run(queries: pd.Series, passages: pd.Series) -> pd.Series:
             import logging
 
-            out = pd.Series([None] * len(queries), index=queries.index, dtype="float64")
-            for q, own in passages.groupby(queries, sort=False):
+            out = []
+            for q, own in zip(queries, passages, strict=True):
                 try:
-                    found = score(q, own.tolist())
+                    found = [float(x) for x in score(q, list(own))]
                 except Exception:  # any model may fail in its own way; the first stage stands
                     logging.getLogger(__name__).warning("reranking failed for %r", q, exc_info=True)
-                    found = None
-                if found is not None and len(found) == len(own):
-                    out.loc[own.index] = [float(x) for x in found]
-            return out
+                    found = []
+                out.append(found if len(found) == len(own) else [None] * len(own))
+            return pd.Series(out, dtype=object)
 
-        return run(F.col(query), F.coalesce(F.col(content), F.lit("")))
+        head = rows.groupBy("query_id", "query").agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce("content", F.lit("")).alias("content")))).alias("h"))
+        found = head.withColumn("p", run(F.col("query"), F.col("h.content")))
+        return found.select("query_id", F.explode(F.arrays_zip(F.col("h.position").alias("position"), F.col("p").alias("p"))).alias("x")).select("query_id", "x.position", "x.p")
 
 
 def safe_embed(embed: Callable[[str], list | None], query: str) -> list | None:
@@ -132,13 +136,17 @@ def safe_embed(embed: Callable[[str], list | None], query: str) -> list | None:
         return None
 
 
-FEW = 1000
+FEW = 20
 
 
 def small(df: DataFrame, n_queries: int) -> DataFrame:
-    """df, the rows that limits leave of so many queries, written; in one task if the queries are few, so that no later step shuffles them."""
-    out = written(df, "search")
-    return out.coalesce(1) if n_queries <= FEW else out
+    """df, the rows that limits leave of so many queries: a local relation in one partition if the queries are few, else a written table."""
+    return df.sparkSession.createDataFrame(df.toArrow()).coalesce(1) if n_queries <= FEW else written(df, "search")
+
+
+def of_ids(table: DataFrame, column: str, ids: list[int]) -> DataFrame:
+    """The rows of these numbers, by a filter that files are skipped by."""
+    return table.filter(F.col(column).isin(sorted(set(ids))))
 
 
 def rerank_budget(query: Column | str, rerank_k: int | str, has_filter: Column | bool, has_title: Column | bool) -> tuple[Column, Column]:
@@ -211,16 +219,26 @@ def channels(index: Index, queries: list[tuple[int, str, list | None]], spec: Sp
     spark = index.sources.sparkSession
     texts = [(q, t) for q, t, _ in queries if t.strip()]
     vectors = [(q, [float(x) for x in v]) for q, t, v in queries if v is not None and t.strip()]
-    owner = index.chunks.select("chunk_id", "source_id")
     k = spec.knn_wide if spec.expand or spec.filtered else spec.knn_limit
     by_text = fts.hits(index.text_index(), texts, spec.chunk_limit, spec.lenient)
     by_vector = knn(index.vectors, vectors, k).withColumnRenamed("distance", "score") if vectors else by_text.limit(0)
     both = by_text.select("query_id", F.lit("bm25").alias("channel"), "chunk_id", "score").unionByName(by_vector.select("query_id", F.lit("vector").alias("channel"), "chunk_id", "score"))
     by_name = title_hits(index, texts, spec.title_limit, spec.lenient).select("query_id", F.lit("title").alias("channel"), F.lit(None).cast("long").alias("chunk_id"), "score", "source_id")
-    # limits bound what the channels find, so it may be broadcast
-    info = index.sources.select("source_id", "path", "tags", "indegree")
-    hits = owner.join(F.broadcast(both), "chunk_id").unionByName(by_name)
-    found = small(info.join(F.broadcast(hits), "source_id"), len(queries))
+    few = len(queries) <= FEW
+    chunks, sources = index.chunks, index.sources
+    hits = both.withColumn("source_id", F.lit(None).cast("long")).unionByName(by_name)
+    if few:  # limits bound what the channels find
+        table = hits.toArrow()
+        ids = lambda t, c: [i for i in t[c].to_pylist() if i is not None]
+        chunks = of_ids(chunks, "chunk_id", ids(table, "chunk_id"))
+        own = chunks.select("chunk_id", "source_id").toArrow()
+        sources = small(of_ids(sources, "source_id", ids(own, "source_id") + ids(table, "source_id")).select(*SHOWN), 1)
+        hits, own = spark.createDataFrame(table).coalesce(1), spark.createDataFrame(own).withColumnRenamed("source_id", "_own")
+        hits = hits.join(F.broadcast(own), "chunk_id", "left").withColumn("source_id", F.coalesce("source_id", "_own")).drop("_own")
+        found = small(hits.join(F.broadcast(sources.drop("title")), "source_id"), 1)
+    else:
+        hits = hits.join(index.chunks.select("chunk_id", F.col("source_id").alias("_own")), "chunk_id", "left").withColumn("source_id", F.coalesce("source_id", "_own")).drop("_own")
+        found = small(index.sources.select(*SHOWN).drop("title").join(hits, "source_id"), len(queries))
     best = found.groupBy("query_id", "channel", "source_id", "path", "tags", "indegree").agg(F.min(F.struct("score", F.coalesce("chunk_id", "source_id").alias("chunk_id"))).alias("b")).select("query_id", "channel", "source_id", "path", "tags", "indegree", "b.*")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy("score", "chunk_id")))
     passes = fuse.folder_filter(F.col("path"), spec.prefix) & fuse.tags_filter(F.col("tags"), spec.tags)
@@ -240,10 +258,13 @@ def channels(index: Index, queries: list[tuple[int, str, list | None]], spec: Sp
         base = fuse.ranked(fused, [F.desc("score"), "source_id"])
         seeds = small(metadata_seeds(index, texts, spec.metadata_limit, found.filter("channel = 'title'")), len(queries))
         more = small(metadata_candidates(index, seeds, base, spec.metadata_limit, spec.neighbor_min_rank), len(queries))
-        extra = info.join(F.broadcast(more), "source_id").filter(passes).select("query_id", "source_id", F.lit("metadata").alias("channel"), "rank", "indegree")
+        if few:
+            with_more = {r["source_id"] for t in (found, more) for r in t.select("source_id").collect()}
+            sources = small(of_ids(index.sources, "source_id", list(with_more)).select(*SHOWN), 1)
+        extra = sources.select("source_id", "path", "tags", "indegree").join(more, "source_id").filter(passes).select("query_id", "source_id", F.lit("metadata").alias("channel"), "rank", "indegree")
         full = with_indegree(ranks.unionByName(small(extra, len(queries))))
         fused = fuse.rrf(full, weights)
-    return {"ranks": full, "fused": fused, "bm25": bm25, "vector": vec, "near": near}
+    return {"ranks": full, "fused": fused, "bm25": bm25, "vector": vec, "near": near, "chunks": chunks, "sources": sources}
 
 
 def search(index: Index, queries: list[tuple[int, str, list | None]], spec: Spec = Spec(), reranker: Column | Reranker | None = None) -> DataFrame:  # noqa: B008
@@ -252,25 +273,25 @@ def search(index: Index, queries: list[tuple[int, str, list | None]], spec: Spec
     queries: (query_id, text, vector or None). reranker: a model, or a column over (query, content) in 0..1, evaluated on the head only.
     """
     if isinstance(reranker, Reranker):
-        reranker = None if reranker.disabled else reranker.column()
+        reranker = None if reranker.disabled else reranker
     spark = index.sources.sparkSession
     queries = [q for q in queries if q[1].strip()] if spec.top_k > 0 else []
     if not queries:
         return spark.createDataFrame([], "query_id long, position int, source_id long, chunk_id long, path string, title string, content string, score double, indegree long")
     got = channels(index, queries, spec)
+    sent = F.broadcast if len(queries) <= FEW else lambda df: df  # a few rows for each query go to where contents and names lie
     asked = spark.createDataFrame([(q, t) for q, t, _ in queries], "query_id long, query string")
     title_any = got["ranks"].filter("channel = 'title'").select("query_id").distinct().withColumn("has_title", F.lit(True))
     budget, reason = rerank_budget("query", spec.rerank_k, spec.filtered, F.coalesce("has_title", F.lit(False)))
     asked = asked.join(title_any, "query_id", "left").select("query_id", "query", budget.alias("budget"), reason.alias("reason"))
-    rows = got["fused"].join(F.broadcast(asked), "query_id")
+    rows = got["fused"].join(sent(asked), "query_id")
     cut = F.greatest("budget", F.lit(spec.top_k)) if reranker is not None else F.lit(spec.top_k)
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id"))).filter(F.col("_r") <= cut)
     b, v = got["bm25"].withColumnRenamed("chunk_id", "b"), got["vector"].withColumnRenamed("chunk_id", "v")
     rows = rows.join(b, ["query_id", "source_id"], "left").join(v, ["query_id", "source_id"], "left").withColumn("chunk_id", F.coalesce("b", "v"))
-    # a few rows for each query: small enough to be sent to where contents and names lie
-    with_chunk = index.chunks.select("chunk_id", "content").join(F.broadcast(rows.filter("chunk_id is not null")), "chunk_id")
+    with_chunk = got["chunks"].select("chunk_id", "content").join(sent(rows.filter("chunk_id is not null")), "chunk_id")
     rows = with_chunk.unionByName(rows.filter("chunk_id is null").withColumn("content", F.lit(None).cast("string")))
-    rows = index.sources.select("source_id", "path", "title", "indegree").join(F.broadcast(rows), "source_id")
+    rows = got["sources"].select("source_id", "path", "title", "indegree").join(sent(rows), "source_id")
     rows = rows.withColumn("only_title", F.col("chunk_id").isNull()).withColumn("content", F.when(F.col("only_title"), F.coalesce(F.nullif("title", F.lit("")), "path")).otherwise(F.col("content")))
     rows = rows.withColumn("chunk_id", F.coalesce("chunk_id", F.lit(0)).cast("long"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "only_title", "source_id")
@@ -281,11 +302,11 @@ def search(index: Index, queries: list[tuple[int, str, list | None]], spec: Spec
     columns = ["query_id", "position", "source_id", "chunk_id", "path", "title", "content", "score", "indegree"]
     rows = rows.select(*columns)
     if spec.expand:
-        rows = expand(index, small(rows, len(queries)), got["near"], spec).select(*columns)
+        rows = expand(index, small(rows, len(queries)), got["near"], spec, n_queries=len(queries)).select(*columns)
     return rows
 
 
-def blend(rows: DataFrame, ranks: DataFrame, reranker: Column) -> DataFrame:
+def blend(rows: DataFrame, ranks: DataFrame, reranker: Column | Reranker) -> DataFrame:
     """New scores and positions for the head of each query: reranked alone, or blended with the fused score if the gate is open.
 
     The gate: the best title match or a metadata candidate is in the head. The tail keeps fused scores and stands behind the head.
@@ -294,8 +315,10 @@ def blend(rows: DataFrame, ranks: DataFrame, reranker: Column) -> DataFrame:
     rows = rows.withColumn("n", F.count("*").over(q)).withColumn("head", (F.col("position") <= F.col("budget")) & (F.least("budget", "n") > 1))
     gate = ranks.filter("(channel = 'title' and rank = 1) or channel = 'metadata'").select("query_id", "source_id").distinct().withColumn("opens", F.lit(True))
     rows = rows.join(gate, ["query_id", "source_id"], "left").withColumn("gate", F.max(F.coalesce("opens", F.lit(False)) & F.col("head")).over(q))
-    scored = F.when(F.col("head"), reranker)
-    rows = rows.withColumn("p", scored)
+    if isinstance(reranker, Reranker):
+        rows = rows.join(reranker.scores(rows.filter("head")), ["query_id", "position"], "left")
+    else:
+        rows = rows.withColumn("p", F.when(F.col("head"), reranker))
     # a model that failed for any passage of a query leaves its first-stage order
     failed = F.max((F.col("head") & (F.col("p").isNull() | F.isnan("p"))).cast("int")).over(q) == 1
     rows = rows.withColumn("head", F.col("head") & ~failed)
@@ -314,16 +337,21 @@ def overlap_scorer(query: str = "query", content: str = "content") -> Column:
     return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, tokens(content))) / F.size(q))
 
 
-def expand(index: Index, rows: DataFrame, near: DataFrame, spec: Spec, discount: float = 0.7) -> DataFrame:
+def expand(index: Index, rows: DataFrame, near: DataFrame, spec: Spec, discount: float = 0.7, n_queries: int = FEW) -> DataFrame:
     """rows with the one-step neighbours of each query's first three results that the wide vector list holds, sorted anew and cut."""
-    seeds = F.broadcast(rows.filter("position <= 3").select("query_id", "source_id"))
+    seeds = rows.filter("position <= 3").select("query_id", "source_id")
+    seeds = F.broadcast(seeds) if n_queries <= FEW else seeds
     fresh = links.neighbours(index.edges, seeds).join(rows.select("query_id", "source_id"), ["query_id", "source_id"], "left_anti")
     best = fuse.best_chunk(near.join(fresh, ["query_id", "source_id"], "left_semi"), "distance")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "source_id"))
     more = best.withColumn("score", F.lit(discount * spec.vec_weight) / (F.lit(fuse.K_RRF) + rank)).drop("distance")
-    more = written(more, "search")
-    more = index.chunks.select("chunk_id", "content").join(F.broadcast(more), "chunk_id")
-    more = index.sources.select("source_id", "path", "title", "indegree").join(F.broadcast(more), "source_id").withColumn("position", F.lit(1 << 30))
+    more = small(more, n_queries)
+    chunks, sources = index.chunks, index.sources
+    if n_queries <= FEW:
+        found = more.select("chunk_id", "source_id").toArrow()
+        chunks, sources = (of_ids(t, c, found[c].to_pylist()) for t, c in ((chunks, "chunk_id"), (sources, "source_id")))
+    more = chunks.select("chunk_id", "content").join(more, "chunk_id")
+    more = sources.select("source_id", "path", "title", "indegree").join(more, "source_id").withColumn("position", F.lit(1 << 30))
     every = rows.unionByName(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "position", "source_id")
     return every.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= spec.top_k)

@@ -422,3 +422,16 @@ def test_prefix_reads_the_buckets_of_its_terms(spark, many):
     for odd in ("퟿", "\U0010ffff", "é"):
         df = spark.createDataFrame([(odd,), (odd + "a",), ("b",)], "term string")
         assert df.filter(fts.in_range(odd)).count() == 2
+
+
+def test_reranker_sees_all_passages_of_a_query(spark):
+    """One call for each query with all its passages, in the order of position, though Arrow batches hold seven rows; a wrong length leaves that query alone without scores."""
+    rows = spark.createDataFrame([(q, f"query {q}", p, f"{p}") for q in range(3) for p in range(1, 21)], "query_id long, query string, position int, content string").repartition(3)
+    model = search.Reranker(lambda q, own: [float(x) for x in own] if len(own) == 20 and own == sorted(own, key=int) and q != "query 1" else [1.0])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.query_id, r.position): r.p for r in model.scores(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(q, p): None if q == 1 else float(p) for q in range(3) for p in range(1, 21)}
