@@ -102,7 +102,7 @@ def index_tables(spark: SparkSession, sf: str) -> dict:
 
 def stored(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The same from a store in the shared folder, which is made when these tables are first asked for and again when they change."""
-    stamps: list = [store.SCHEMA_VERSION, "format 2"]
+    stamps: list = [store.SCHEMA_VERSION, "format 3"]
     for name in ("documents", "embeddings"):
         fs, path = store._fs(spark, f"{sf}/{name}.parquet")
         status = fs.getFileStatus(path)
@@ -825,6 +825,22 @@ def _(spark, sf):
     return tables["sources"].select("source_id", "path", "uid", "content_hash")
 
 
+@query("index_segments", f"WITH {bm25('h', f'{DOCS} WHERE doc_id % 11 <> 0', 'doc_id', [has('t', 'that'), has('t', 'dans'), has('t', 'for')], 'f0 > 0 OR f1 > 0 OR f2 > 0')} SELECT doc_id, round(score, 6) AS score FROM h")
+def _(spark, sf):
+    """A stored index after two changes: texts added, texts replaced and texts taken away, each a segment; the answers are those of an index of what is left."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    columns, st = search.text_columns(), store.Store(f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}")
+    base = d.filter("chunk_id % 7 <> 0").withColumn("content", F.when(F.col("chunk_id") % 5 == 0, "that was for old").otherwise(F.col("content")))
+    post = fts.postings(base, "chunk_id", columns, usual=fts.usual_tokens(base, columns))
+    st.publish(spark, {"text_postings": post, "text_terms": lambda t: fts.terms_of(t["text_postings"], "chunk_id", ("content",)), "text_stats": lambda t: fts.stats_of(t["text_postings"], base)})
+    left = d.filter("chunk_id % 7 <> 0 and chunk_id % 5 <> 0 and chunk_id % 11 = 0").unionByName(base.filter("chunk_id % 5 = 0"))
+    for new, gone in ((d.filter("chunk_id % 7 = 0 and chunk_id % 11 <> 0"), left), (d.filter("chunk_id % 7 <> 0 and chunk_id % 5 = 0 and chunk_id % 11 <> 0"), d.limit(0))):
+        st.change(spark, I.text_changes("text", st.read_all(spark), new, gone, gone.select("chunk_id"), "chunk_id", columns))
+    t = st.read_all(spark)
+    idx = fts.TextIndex(t["text_postings"], t["text_terms"], t["text_stats"], "chunk_id", ("content",))
+    return fts.hits(idx, [(1, "that OR dans OR for")]).select(F.col("chunk_id").alias("doc_id"), r6("score"))
+
+
 # ---- evaluation of searches
 
 

@@ -163,18 +163,21 @@ def changed(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, emb
     for kind, new, gone_rows, key, columns, keys in (("text", own["chunks"], before, "chunk_id", search.text_columns(), lost), ("name", rows, was, "source_id", search.name_columns(), away)):
         if f"{kind}_postings" not in old:
             continue
-        fields = tuple(columns)
-        sizes = old[f"{kind}_stats"].first()
-        usual = sizes["n_tokens"] / sizes["n_rows"] if sizes["n_tokens"] else fts.USUAL_TOKENS
-        post, minus = (written(fts.postings(x, key, columns, tokenizer, usual=usual), f"index-{kind}") for x in (new, gone_rows))
-        out[f"{kind}_postings"] = store.Change(post, keys)
-        both = fts.terms_of(post, key, fields).unionByName(fts.terms_of(minus, key, fields).withColumns({"df": -F.col("df"), "removed": F.col("df"), "best": F.lit(0.0), "top": F.lit(0.0)}))
-        out[f"{kind}_terms"] = store.Change(store.added_up(f"{kind}_terms", both.select(*old[f"{kind}_terms"].columns)))
-        sums = fts.stats_of(post, new).unionByName(fts.stats_of(minus, gone_rows).select(*[(-F.col(c)).alias(c) for c in ("n_rows", "n_tokens")]))
-        out[f"{kind}_stats"] = store.Change(store.added_up(f"{kind}_stats", sums))
+        out |= text_changes(kind, old, new, gone_rows, keys, key, columns, tokenizer)
     return out, counts
 
 
+def text_changes(kind: str, old: dict[str, DataFrame], new: DataFrame, gone_rows: DataFrame, keys: DataFrame, key: str, columns: dict[str, Column], tokenizer: Tokenizer | None = None) -> dict[str, store.Change]:
+    """What changes in a full-text index: postings of new rows come, those of keys (the numbers of gone_rows) go, and counts of terms and rows by their differences."""
+    fields, sizes = tuple(columns), old[f"{kind}_stats"].first()
+    usual = sizes["n_tokens"] / sizes["n_rows"] if sizes["n_tokens"] else fts.USUAL_TOKENS
+    post, minus = (written(fts.postings(x, key, columns, tokenizer, usual=usual), f"index-{kind}") for x in (new, gone_rows))
+    both = fts.terms_of(post, key, fields).unionByName(fts.terms_of(minus, key, fields).withColumns({"df": -F.col("df"), "removed": F.col("df"), "best": F.lit(0.0), "top": F.lit(0.0)}))
+    sums = fts.stats_of(post, new).unionByName(fts.stats_of(minus, gone_rows).select(*[(-F.col(c)).alias(c) for c in ("n_rows", "n_tokens")]))
+    terms, stats = f"{kind}_terms", f"{kind}_stats"
+    return {f"{kind}_postings": store.Change(post, keys), terms: store.Change(store.added_up(terms, both.select(*old[terms].columns))), stats: store.Change(store.added_up(stats, sums))}
+
+
 def missing_tables(old: dict[str, DataFrame], tokenizer: Tokenizer | None = None) -> dict:
     """Tables that an index of an older schema lacks, made from those that it has, for ``Store.publish``."""
     if all(f"{kind}_{t}" in old for kind in ("text", "name") for t in ("postings", "terms", "stats")):
