@@ -5,8 +5,10 @@ chunk's text is the body between them.
 """
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 CHUNK_DDL = "array<struct<text:string,char_start:int,char_end:int,token_count:int>>"
 # Fixed values.
@@ -81,3 +83,35 @@ def chunks_of(body: Column, target: int = 400, overlap: int = 0) -> Column:
 def chunked(sources: DataFrame, body: Column, target: int = 400, overlap: int = 0) -> DataFrame:
     """(source_id, chunk_index, content, char_start, char_end, token_count)."""
     return sources.select("source_id", F.posexplode(chunks_of(body, target, overlap)).alias("chunk_index", "c")).select("source_id", "chunk_index", F.col("c.text").alias("content"), "c.char_start", "c.char_end", "c.token_count")
+
+
+class ChunkTable:
+    """The table function ``chunk(text[, target[, overlap[, with_text]]])`` for SQL: a row for each chunk, so a long note is never one value.
+
+    with_text => false leaves the text column out: the schema follows the arguments. A null text has no rows.
+    """
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, target: AnalyzeArgument | None = None, overlap: AnalyzeArgument | None = None, with_text: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if not isinstance(text.dataType, StringType):
+            raise ValueError(f"chunk() takes a text, not {text.dataType.simpleString()}")
+        for name, a in (("target", target), ("overlap", overlap), ("with_text", with_text)):
+            if a is not None and not a.isConstantExpression:
+                raise ValueError(f"{name} of chunk() must be a constant")
+        if target is not None and target.value < 1:
+            raise ValueError("target of chunk() must be positive")
+        schema = StructType().add("chunk_index", IntegerType())
+        if with_text is None or with_text.value:
+            schema = schema.add("text", StringType())
+        for c in ("char_start", "char_end", "token_count"):
+            schema = schema.add(c, IntegerType())
+        return AnalyzeResult(schema=schema)
+
+    def eval(self, text: str, target: int = 400, overlap: int = 0, with_text: bool = True):
+        for i, (a, b, n) in enumerate(spans(text, target, overlap) if text is not None else ()):
+            yield (i, *([text[a:b]] if with_text else []), a, b, n)
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``chunk`` known to SQL: SELECT ... FROM notes, LATERAL chunk(text, target => 400)."""
+    spark.udtf.register("chunk", F.udtf(ChunkTable))

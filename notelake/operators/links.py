@@ -107,3 +107,21 @@ def bfs(edges: DataFrame, center: int, depth: int, direction: str = "out") -> Da
             break
         seen = seen.unionByName(front)
     return seen.filter("depth > 0")
+
+
+def bfs_many(edges: DataFrame, centres: DataFrame, depth: int, direction: str = "out") -> DataFrame:
+    """(centre, source_id, depth): for each of centres (source_id), the nodes within depth steps at their least depth, without the centre.
+
+    One iteration over (centre, node) for all centres, so the number of steps is that of one walk. Only the last front is joined with the edges, on the node: a hub that many centres reach
+    at once is a skewed key of an ordinary join, which Spark splits; what is found is reduced to distinct pairs before it is compared with what was seen.
+    """
+    a, b = ("src_id", "dst_id") if direction == "out" else ("dst_id", "src_id")
+    e = edges.filter("dst_id is not null").select(F.col(a).alias("source_id"), F.col(b).alias("next")).distinct()
+    seen = front = written(centres.select(F.col("source_id").alias("centre"), "source_id").distinct().withColumn("depth", F.lit(0)), "walk")
+    for d in range(1, depth + 1):
+        step = front.join(e, "source_id").select("centre", F.col("next").alias("source_id")).distinct()
+        front = written(step.join(seen, ["centre", "source_id"], "left_anti").withColumn("depth", F.lit(d)), "walk")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.filter("depth > 0")

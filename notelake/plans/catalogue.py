@@ -415,6 +415,14 @@ def _(spark, sf):
     return links.bfs(stored(spark, sf)["edges"], 7, 3, "in")
 
 
+@query("bfs_many", f"""WITH RECURSIVE {VAULT}, walk AS (SELECT source_id AS centre, source_id, 0 AS depth FROM v WHERE source_id % 20 = 0 UNION SELECT centre, e.dst_id, depth + 1 FROM walk JOIN e ON e.src_id = walk.source_id WHERE depth < 4)
+SELECT centre, source_id, min(depth) AS depth FROM walk WHERE source_id <> centre GROUP BY centre, source_id""")
+def _(spark, sf):
+    """Walks out of every note whose number is divisible by 20."""
+    t = stored(spark, sf)
+    return links.bfs_many(t["edges"], t["sources"].filter("source_id % 20 = 0"), 4)
+
+
 @query("forward_refs", f"WITH {VAULT} SELECT src_id, target_path, dst_id FROM e WHERE src_id % 3 = 0")
 def _(spark, sf):
     e = edges(spark, sf).withColumn("dst_id", F.when(F.col("src_id") % 3 != 0, F.col("dst_id")))
@@ -894,6 +902,15 @@ query("chunk_sentences", CHUNKS.replace("{overlap}", "0"))(_chunks(0))
 query("chunk_overlap", CHUNKS.replace("{overlap}", "30"))(_chunks(30))
 
 
+@query("chunk_lateral", CHUNKS.replace("{overlap}", "30"))
+def _(spark, sf):
+    """The same as a table function in SQL; positions alone are asked for."""
+    chunk.register(spark)
+    notes_ = table(spark, sf, "documents")
+    got = spark.sql("SELECT doc_id AS source_id, c.* FROM {notes}, LATERAL chunk(text, target => 100, overlap => 30, with_text => false) AS c", notes=notes_)
+    return got.select("source_id", *[F.col(x).cast("long").alias(x) for x in ("chunk_index", "char_start", "char_end", "token_count")])
+
+
 @query("knn_finite", f"SELECT a.vec_id AS chunk_id, round({COS}, 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 3 AND a.vec_id % 3 <> 0 ORDER BY {COS}, a.vec_id LIMIT 50")
 def _(spark, sf):
     """Vectors of length zero, null, short or not finite have no distance."""

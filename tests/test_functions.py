@@ -139,3 +139,18 @@ def test_words_are_learned_from_text(spark):
     assert len(few) == 3
     assert han.Segmenter(han.dictionary(han.words(han.candidates(counts, 60), 2.0))).path("知识管理数据库") == ["知识", "管理", "数据库"]
     assert han.dictionary(han.words(han.candidates(han.grams(spark.createDataFrame([], "text string"))))) == {}
+
+
+def test_chunk_as_a_table_function(spark):
+    """A row for each chunk, a schema that follows the arguments, and arguments that are refused."""
+    from pyspark.errors import PySparkException
+
+    chunk.register(spark)
+    df = spark.createDataFrame([(1, "One. Two. Three."), (2, None), (3, "")], "id long, body string")
+    got = spark.sql("SELECT id, c.* FROM {d}, LATERAL chunk(body, target => 1) AS c ORDER BY id, chunk_index", d=df)
+    assert got.columns == ["id", "chunk_index", "text", "char_start", "char_end", "token_count"]
+    assert [(r.id, r.text) for r in got.collect()] == [(1, "One."), (1, "Two."), (1, "Three.")]
+    assert "text" not in spark.sql("SELECT * FROM chunk('a b', with_text => false)").columns
+    for bad in ("chunk(1)", "chunk('a', target => 0)"):
+        with pytest.raises(PySparkException):
+            spark.sql(f"SELECT * FROM {bad}").collect()

@@ -148,3 +148,24 @@ def test_plans(spark):
     rows = spark.createDataFrame([(1, "beta"), (2, "gamma")], "chunk_id long, content string")
     plan = fts.bm25(rows, "chunk_id", {"content": F.col("content")}, [(1, "beta")])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan
+
+
+def test_walks_from_many_centres_take_the_steps_of_one(spark):
+    """A ring with a hub: every centre's walk equals its own, and the number of written fronts doesn't grow with centres."""
+    from notelake.operators import links
+    from notelake.session import WRITTEN
+
+    e = spark.createDataFrame([(i, "x", (i + 1) % 30) for i in range(30)] + [(i, "h", 99) for i in range(0, 30, 3)] + [(99, "y", 5), (3, "n", None)], "src_id long, target_path string, dst_id long")
+    for way in ("out", "in"):
+        counts = []
+        for k in (1, 10):
+            before = len(WRITTEN)
+            centres = spark.createDataFrame([(i,) for i in range(k)], "source_id long")
+            got = {(r.centre, r.source_id, r.depth) for r in links.bfs_many(e, centres, 3, way).collect()}
+            counts.append(len(WRITTEN) - before)
+            if k == 1:
+                assert got == {(0, r.source_id, r.depth) for r in links.bfs(e, 0, 3, way).collect()}
+            else:
+                assert {x for x in got if x[0] == 7} == {(7, r.source_id, r.depth) for r in links.bfs(e, 7, 3, way).collect()}
+        assert counts[0] == counts[1] == 4
+    assert links.bfs_many(e, spark.createDataFrame([], "source_id long"), 3).count() == 0
