@@ -44,8 +44,8 @@ def test_planted_copies_of_four_fifths_are_met(spark):
     assert all(2 * i + 1 in kept for i, x in enumerate(at) if x < near.LEAST) and all(2 * i in kept for i in range(300))
 
 
-@pytest.mark.parametrize("small", [32, 3])
-def test_group_of_copies_of_one_text(spark, small):
+@pytest.mark.parametrize("small,region", [(32, 2048), (3, 2048), (3, 20)])
+def test_group_of_copies_of_one_text(spark, small, region):
     """Copies that are further from each other than from their source, in buckets below and above the size compared in all pairs."""
     r = random.Random(2)
     words = [f"w{r.randrange(3000)}" for _ in range(200)]
@@ -55,12 +55,13 @@ def test_group_of_copies_of_one_text(spark, small):
         for at in r.sample(range(200), 2):
             copy[at] = f"new{r.randrange(999)}"
         rows.append((i, " ".join(copy), "a"))
-    assert [x.doc_id for x in near.one_of_each(spark.createDataFrame(rows, DDL).repartition(4), small=small).collect()] == [0]
+    assert [x.doc_id for x in near.one_of_each(spark.createDataFrame(rows, DDL).repartition(4), small=small, region=region).collect()] == [0]
 
 
 def test_columns_and_exact_links(spark):
     rows = brute.hard_cases(3)
     df = spark.createDataFrame(rows, brute.DDL).repartition(4)
+    assert near.one_of_each(spark.createDataFrame([(i, " " * i, "a") for i in range(40)], DDL)).count() == 1  # a large bucket of white space
     got = near.one_of_each(df)
     assert got.columns == df.columns
     sets, todo, want = [shingles(r[1]) for r in rows], set(range(len(rows))), []
