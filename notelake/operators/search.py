@@ -231,11 +231,16 @@ def channels(index: Index, queries: list[tuple[int, str, list | None]], spec: Sp
         table = hits.toArrow()
         ids = lambda t, c: [i for i in t[c].to_pylist() if i is not None]
         chunks = of_ids(chunks, "chunk_id", ids(table, "chunk_id"))
-        own = chunks.select("chunk_id", "source_id").toArrow()
-        sources = small(of_ids(sources, "source_id", ids(own, "source_id") + ids(table, "source_id")).select(*SHOWN), 1)
-        hits, own = spark.createDataFrame(table).coalesce(1), spark.createDataFrame(own).withColumnRenamed("source_id", "_own")
-        hits = hits.join(F.broadcast(own), "chunk_id", "left").withColumn("source_id", F.coalesce("source_id", "_own")).drop("_own")
-        found = small(hits.join(F.broadcast(sources.drop("title")), "source_id"), 1)
+        of_chunk = {r["chunk_id"]: r["source_id"] for r in chunks.select("chunk_id", "source_id").collect()}
+        where = [s if s is not None else of_chunk.get(c) for c, s in zip(table["chunk_id"].to_pylist(), table["source_id"].to_pylist())]
+        shown = of_ids(sources, "source_id", [s for s in where if s is not None]).select(*SHOWN).toArrow()
+        sources = spark.createDataFrame(shown).coalesce(1)
+        at = {s: i for i, s in enumerate(shown["source_id"].to_pylist())}
+        rows = [i for i, s in enumerate(where) if s in at]
+        met, own = table.drop_columns("source_id").take(rows), shown.take([at[where[i]] for i in rows])
+        for c in ("source_id", "path", "tags", "indegree"):
+            met = met.append_column(own.schema.field(c), own[c])
+        found = spark.createDataFrame(met).coalesce(1)
     else:
         hits = hits.join(index.chunks.select("chunk_id", F.col("source_id").alias("_own")), "chunk_id", "left").withColumn("source_id", F.coalesce("source_id", "_own")).drop("_own")
         found = small(index.sources.select(*SHOWN).drop("title").join(hits, "source_id"), len(queries))
