@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.functions.models import Embedder
 from notelake.functions.text import Tokenizer
 from notelake.operators import evaluate as E
 from notelake.operators import search as S
@@ -20,8 +21,8 @@ from notelake.sources import sinks, vault
 log = logging.getLogger("notelake")
 
 
-def index(spark: SparkSession, root: str, store: str, path: str | None = None, embed: Callable[[Column], Column] | None = None, tokenizer: Tokenizer | None = None) -> dict[str, int]:
-    """Index a folder of notes, or one file of it; counts of ingested, unchanged, skipped and pruned files."""
+def index(spark: SparkSession, root: str, store: str, path: str | None = None, embed: Callable[[Column], Column] | Embedder | None = None, tokenizer: Tokenizer | None = None) -> dict[str, int]:
+    """Index a folder of notes, or one file of it; counts of ingested, unchanged, skipped, failed and pruned files. A note that the model fails for fails no other."""
     ST.check_capabilities(spark)
     since = len(WRITTEN)
     st = ST.Store(store)
@@ -37,8 +38,14 @@ def index(spark: SparkSession, root: str, store: str, path: str | None = None, e
         return {"ingested": 0, "unchanged": 0, "skipped": skipped, "errors": 0, "pruned": 0}
     if st.version(spark) is None:
         files = files.drop("mtime")
-        st.publish(spark, I.build(files, embed, tokenizer=tokenizer, stored=True) | {"files": files, "suggestions": spark.createDataFrame([], ST.SUGGESTIONS)})
-        counts = {"new": files.count()}
+        tables, failed = I.built(files, embed, tokenizer=tokenizer, stored=True)
+        errors = 0
+        if failed is not None:
+            errors, files = failed.count(), files.join(failed, "path", "left_anti")
+            for r in failed.limit(I.REPORTED).collect():
+                log.warning("not indexed: %s: %s", r["path"], r["failure"])
+        st.publish(spark, tables | {"files": files, "suggestions": spark.createDataFrame([], ST.SUGGESTIONS)})
+        counts = {"new": files.count(), "errors": errors}
     else:
         # files that can't be read stay as they were indexed
         old = st.read_all(spark)
@@ -48,7 +55,7 @@ def index(spark: SparkSession, root: str, store: str, path: str | None = None, e
             st.change(spark, changes)
     found.unpersist()
     cleared(spark, since)
-    out = {"ingested": counts.get("new", 0) + counts.get("changed", 0), "unchanged": counts.get("unchanged", 0), "skipped": skipped, "errors": 0, "pruned": counts.get("gone", 0) if path is None else 0}
+    out = {"ingested": counts.get("new", 0) + counts.get("changed", 0), "unchanged": counts.get("unchanged", 0), "skipped": skipped, "errors": counts.get("errors", 0), "pruned": counts.get("gone", 0) if path is None else 0}
     log.info("indexed %s: %s", root, out)
     return out
 
@@ -78,10 +85,10 @@ def opened(spark: SparkSession, store: str, tokenizer: Tokenizer | None = None)
     return I.opened(tables, tokenizer), tables
 
 
-def results(spark: SparkSession, store: str, query: str, rerank: bool = True, embed_query: Callable[[str], list | None] | None = None, reranker: S.Reranker | Column | None = None, **spec) -> DataFrame:
+def results(spark: SparkSession, store: str, query: str, rerank: bool = True, embed_query: Callable[[str], list | None] | Embedder | None = None, reranker: S.Reranker | Column | None = None, **spec) -> DataFrame:
     """The best notes for one query with their lines. embed_query and reranker may be any model; one that fails leaves its channel or order out."""
     idx, tables = opened(spark, store)
-    vector = S.safe_embed(embed_query or hashing_query(spark), query)
+    vector = S.safe_embed(embed_query.query if isinstance(embed_query, Embedder) else embed_query or hashing_query(spark), query)
     scorer = (S.overlap_scorer() if reranker is None else reranker) if rerank else None
     return I.with_lines(S.search(idx, [(1, query, vector)], S.Spec(**spec), scorer), tables["files"], tables["chunks"])
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from notelake.functions.models import Embedder
 from notelake.functions.text import Tokenizer
 from notelake.operators import chunk, fts, links, search, store
 from notelake.session import written
@@ -25,34 +27,73 @@ def hashing_embedder(dimension: int = 64) -> Callable[[Column], Column]:
     return embed
 
 
+log = logging.getLogger("notelake")
+REPORTED = 20  # failed notes named in the log; all are counted
 INDEXED = ("title", "aliases")  # of a source: its columns with an index of names
 
 
-def build(files: DataFrame, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0, mode: str = "compat", now: Column | None = None, tokenizer: Tokenizer | None = None, stored: bool = False) -> dict:
+def build(files: DataFrame, embed: Callable[[Column], Column] | Embedder | None = None, target: int = 400, overlap: int = 0, mode: str = "compat", now: Column | None = None, tokenizer: Tokenizer | None = None, stored: bool = False) -> dict:
     """Tables of a fresh index. files: (path, content[, source_id, mtime]).
 
     Sources are numbered in path order where they come without ids; an empty file is a source without chunks. stored: for ``Store.publish``.
+    Notes that the embedding model fails for are left out, see ``built``.
+    """
+    return built(files, embed, target, overlap, mode, now, tokenizer, stored)[0]
+
+
+def built(files: DataFrame, embed: Callable[[Column], Column] | Embedder | None = None, target: int = 400, overlap: int = 0, mode: str = "compat", now: Column | None = None, tokenizer: Tokenizer | None = None, stored: bool = False) -> tuple[dict, DataFrame | None]:
+    """(tables of a fresh index, the notes that failed (source_id, path, failure) or None).
+
+    Only an ``Embedder`` can fail for a note: one chunk without a vector fails it whole, and links to it are unresolved as if it weren't there.
     """
     when = now if now is not None else F.current_timestamp()
     notes = vault.parsed(files if "source_id" in files.columns else vault.numbered(files))
+    own, failed = None, None
+    if isinstance(embed, Embedder):
+        notes = written(notes, "index-notes")
+        own, failed = embedded(notes, embed, target, overlap)
+        if failed is not None:
+            notes = notes.join(failed, "source_id", "left_anti")
     edges = links.resolve(notes.select(F.col("source_id").alias("src_id"), F.explode("links").alias("target_path")), notes, mode)
     notes = notes.withColumns({"uid": store.uid_of(F.col("path"), F.col("source_id")), "status": F.lit("indexed"), "indexed_at": when, "created_at": when, "updated_at": when})
-    own = contents(notes, embed, target, overlap)
+    own = own or contents(notes, embed, target, overlap)
     sources = notes.select(*SOURCES).join(links.indegree(edges, notes), "source_id")
-    return {"sources": sources, **own, "edges": edges, **text_tables(own["chunks"], sources, tokenizer, stored)}
+    return {"sources": sources, **own, "edges": edges, **text_tables(own["chunks"], sources, tokenizer, stored)}, failed
 
 
 SOURCES = ("source_id", "uid", "path", "title", "content_hash", "status", "aliases", "tags", "indexed_at", "created_at", "updated_at")
 
 
-def contents(notes: DataFrame, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0) -> dict[str, DataFrame]:
+def contents(notes: DataFrame, embed: Callable[[Column], Column] | Embedder | None = None, target: int = 400, overlap: int = 0) -> dict[str, DataFrame]:
     """chunks, vectors and tags of parsed notes."""
-    cut = chunk.chunked(notes, F.col("body"), target, overlap)
-    # deterministic: the source's number, then the place in the source
-    chunks = cut.withColumn("chunk_id", F.col("source_id") * 1_000_000 + F.col("chunk_index") + 1)
+    chunks = cut(notes, target, overlap)
     vectors = chunks.select("chunk_id", (embed or hashing_embedder())(F.col("content")).alias("embedding"))
-    tags = notes.select("source_id", F.explode(F.array_distinct("tags")).alias("tag"))
-    return {"chunks": chunks, "vectors": vectors, "tags": tags}
+    return {"chunks": chunks, "vectors": vectors, "tags": tags_of(notes)}
+
+
+def cut(notes: DataFrame, target: int, overlap: int) -> DataFrame:
+    """chunks of parsed notes; their numbers are the source's number, then the place in the source."""
+    return chunk.chunked(notes, F.col("body"), target, overlap).withColumn("chunk_id", F.col("source_id") * 1_000_000 + F.col("chunk_index") + 1)
+
+
+def tags_of(notes: DataFrame) -> DataFrame:
+    return notes.select("source_id", F.explode(F.array_distinct("tags")).alias("tag"))
+
+
+def embedded(notes: DataFrame, embed: Embedder, target: int = 400, overlap: int = 0) -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """(chunks, vectors and tags of the notes for which the model didn't fail, the others (source_id, path, failure) or None).
+
+    Chunks and vectors are written once, so that the model runs once; failures are counted in that write.
+    """
+    seen = Observation()
+    chunks = cut(notes, target, overlap).withColumn("v", embed.passages(F.col("content")))
+    chunks = written(chunks.observe(seen, F.count("v.failure").alias("n")), "index-embedded")
+    tags, failed = tags_of(notes), None
+    if seen.get["n"]:
+        failed = chunks.filter("v.failure is not null").groupBy("source_id").agg(F.min_by("v.failure", "chunk_index").alias("failure"))
+        failed = written(failed.join(notes.select("source_id", "path"), "source_id").select("source_id", "path", "failure"), "index-failed")
+        chunks, tags = (t.join(failed, "source_id", "left_anti") for t in (chunks, tags))
+    return {"chunks": chunks.drop("v"), "vectors": chunks.select("chunk_id", "v.embedding"), "tags": tags}, failed
 
 
 def text_tables(chunks: DataFrame, sources: DataFrame, tokenizer: Tokenizer | None = None, stored: bool = False) -> dict:
@@ -80,20 +121,21 @@ def opened(tables: dict[str, DataFrame], tokenizer: Tokenizer | None = None) ->
     return search.Index(tables["sources"], tables["chunks"], tables["vectors"], tables["edges"], of("text", "chunk_id", search.text_columns()), of("name", "source_id", INDEXED))
 
 
-def updated(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0, now: Column | None = None, tokenizer: Tokenizer | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
+def updated(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, embed: Callable[[Column], Column] | Embedder | None = None, target: int = 400, overlap: int = 0, now: Column | None = None, tokenizer: Tokenizer | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
     """(the tables that change, whole, counts) for the files as they are now: what ``changed`` says, applied."""
     found, counts = changed(old, files, prune, embed, target, overlap, now, tokenizer)
     return {n: store.applied(n, old[n], c, few=False) for n, c in found.items()}, counts
 
 
-def changed(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, embed: Callable[[Column], Column] | None = None, target: int = 400, overlap: int = 0, now: Column | None = None, tokenizer: Tokenizer | None = None) -> tuple[dict[str, store.Change], dict[str, int]]:
+def changed(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, embed: Callable[[Column], Column] | Embedder | None = None, target: int = 400, overlap: int = 0, now: Column | None = None, tokenizer: Tokenizer | None = None) -> tuple[dict[str, store.Change], dict[str, int]]:
     """(what changes in which table, counts) for the files (path, content[, mtime]) as they are now.
 
     Only new and changed files are parsed, cut, embedded and tokenized, and only rows that differ are given: those of these files, those of sources whose in-degree
     changes, the links of sources that lose or gain a target, and differences of term counts and statistics. Numbers, uids and creation times of known paths stay, new
     paths get the next numbers in path order. Unchanged sources whose file is younger than their indexed_at (all of them, if files have no mtime) get a new one, so that a
     touched file isn't stale for ever. prune: sources whose files are gone go, and links into them become unresolved. Links elsewhere keep their targets; unresolved
-    ones are claimed by the files read now.
+    ones are claimed by the files read now. A file that an ``Embedder`` fails for stays as it was indexed, or out of the index, and is tried again in the next run;
+    counts has their number as errors, and they don't count as new or changed.
     """
     when = now if now is not None else F.current_timestamp()
     sources = old["sources"]
@@ -101,24 +143,38 @@ def changed(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, emb
     files = written(files.select("path", "content", mtime.alias("mtime")).withColumn("content_hash", F.sha2("content", 256)), "index-files")
     kinds = written(store.changes(files, sources), "index-changes")
     counts = {r["change"]: r["n"] for r in kinds.groupBy("change").agg(F.count("*").alias("n")).collect()}
-    counts = {k: counts.get(k, 0) for k in ("new", "changed", "unchanged", "gone")}
+    counts = {k: counts.get(k, 0) for k in ("new", "changed", "unchanged", "gone")} | {"errors": 0}
     same = files.join(kinds.filter("change = 'unchanged'"), "path", "left_semi").select("path", F.col("mtime").alias("_mtime"))
     seen = sources.filter("status = 'indexed'").join(same, "path").filter(F.col("_mtime").isNull() | F.col("indexed_at").isNull() | (F.col("_mtime") > F.col("indexed_at").cast("timestamp")))
     seen = written(seen.select("source_id"), "index-seen")
-    if not (counts["new"] or counts["changed"] or (prune and counts["gone"])):
-        if seen.isEmpty():
-            return {}, counts
-        return {"sources": store.Change(sources.join(seen, "source_id", "left_semi").withColumn("indexed_at", when).select(*sources.columns), seen)}, counts
+    nothing = lambda: not (counts["new"] or counts["changed"] or (prune and counts["gone"]))
+    touched_only = lambda: {} if seen.isEmpty() else {"sources": store.Change(sources.join(seen, "source_id", "left_semi").withColumn("indexed_at", when).select(*sources.columns), seen)}
+    if nothing():
+        return touched_only(), counts
     moved = files.drop("mtime").join(kinds.filter("change = 'changed'"), "path", "left_semi").join(sources.select("path", "source_id"), "path")
     top = sources.agg(F.coalesce(F.max("source_id"), F.lit(0)).alias("m")).first()["m"]
     added = vault.numbered(files.drop("mtime").join(kinds.filter("change = 'new'"), "path", "left_semi"), top + 1)
     gone = sources.join(kinds.filter("change = 'gone'"), "path", "left_semi").select("source_id") if prune else sources.select("source_id").limit(0)
     gone = written(gone, "index-gone")
     fresh = written(vault.parsed(moved.unionByName(added.select(*moved.columns))), "index-fresh")
+    if isinstance(embed, Embedder):
+        own, failed = embedded(fresh, embed, target, overlap)
+        if failed is not None:
+            lost = failed.select("path")
+            for r in kinds.join(lost, "path", "left_semi").groupBy("change").agg(F.count("*").alias("n")).collect():
+                counts[r["change"]] -= r["n"]
+                counts["errors"] += r["n"]
+            for r in failed.select("path", "failure").limit(REPORTED).collect():
+                log.warning("not indexed: %s: %s", r["path"], r["failure"])
+            if nothing():
+                return touched_only(), counts
+            kinds, fresh = (t.join(lost, "path", "left_anti") for t in (kinds, fresh))
+    else:
+        own = contents(fresh, embed, target, overlap)
     ids = fresh.select("source_id")
     away = written(ids.unionByName(gone), "index-away")  # sources whose rows go
     of = lambda df, c="source_id", rows=None: df.join((away if rows is None else rows).withColumnRenamed("source_id", c), c, "left_semi").select(*df.columns)
-    own = {n: written(t, f"index-{n}") for n, t in contents(fresh, embed, target, overlap).items()}
+    own = {n: written(t, f"index-{n}") for n, t in own.items()}
     out = {n: store.Change(own[n], away) for n in ("chunks", "tags")}
     before = written(of(old["chunks"]), "index-lost")
     lost = before.select("chunk_id")

@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.operators.store import Store, latest
-from notelake.plans.index import build, changed
+from notelake.plans.index import built, changed
 
 FILES = "path string, content string, mtime timestamp"
 
 
-def merge_batch(store: Store, batch: DataFrame) -> dict[str, int]:
+def merge_batch(store: Store, batch: DataFrame, embed=None) -> dict[str, int]:
     """Index the batch's new and changed files (latest version of each path) and publish what changed; files that are not in the batch stay."""
     spark = batch.sparkSession
     files = latest(batch, ["path"], F.col("mtime")).select("path", "content")
     if store.version(spark) is None:
-        store.publish(spark, build(files, stored=True) | {"files": files})
-        return {"new": files.count()}
+        tables, failed = built(files, embed, stored=True)
+        files = files if failed is None else files.join(failed, "path", "left_anti")
+        store.publish(spark, tables | {"files": files})
+        return {"new": files.count(), "errors": 0 if failed is None else failed.count()}
     store.migrate(spark)
-    changes, counts = changed(store.read_all(spark), files, prune=False)
+    changes, counts = changed(store.read_all(spark), files, prune=False, embed=embed)
     if changes:
         store.change(spark, changes)
     return counts
