@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,7 +238,7 @@ def channels(index: Index, queries: list[tuple[int, str, list | None]], spec: Sp
         sources = spark.createDataFrame(shown).coalesce(1)
         at = {s: i for i, s in enumerate(shown["source_id"].to_pylist())}
         rows = [i for i, s in enumerate(where) if s in at]
-        met, own = table.drop_columns("source_id").take(rows), shown.take([at[where[i]] for i in rows])
+        met, own = table.drop_columns("source_id").take(pa.array(rows, pa.int64())), shown.take(pa.array([at[where[i]] for i in rows], pa.int64()))
         for c in ("source_id", "path", "tags", "indegree"):
             met = met.append_column(own.schema.field(c), own[c])
         found = spark.createDataFrame(met).coalesce(1)
