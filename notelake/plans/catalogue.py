@@ -10,6 +10,7 @@ import hashlib
 import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from notelake.plans import index as I
 from notelake.plans.index import with_lines
 from notelake.session import shared_dir, table, written
 from notelake.sources import sinks, vault
+from notelake.streaming import versions
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -501,11 +503,18 @@ query("rerank_gate_off", rerank_sql(GATE.format(k=20), 20, ("that", "dans")))(_h
 query("rerank_tail", rerank_sql(GATE.format(k=5), 5))(_hybrid(TEXT, search.overlap_scorer, rerank_k=5))
 
 
-@query("rerank_budget", "SELECT * FROM (VALUES ('plain words', 'none', 5, 'default'), ('plain words', 'title', 5, 'title'), ('plain words', 'filter', 20, 'filter'), ('向量 检索', 'none', 20, 'cjk_technical'), ('你好', 'none', 5, 'default')) t(query, state, k, reason)")
+ASKED = "CASE doc_id % 4 WHEN 0 THEN ' 向量 检索' WHEN 1 THEN ' 你好' ELSE '' END"
+TECHNICAL = " OR ".join(f"contains(lower(q), '{t}')" for t in search.TECHNICAL_TERMS)
+
+
+@query("rerank_budget", f"""SELECT doc_id, CASE WHEN lang = 'fr' THEN {search.DEEP_K} WHEN source = 'src1' THEN {search.FAST_K} WHEN technical THEN {search.DEEP_K} ELSE {search.FAST_K} END AS k,
+CASE WHEN lang = 'fr' THEN 'filter' WHEN source = 'src1' THEN 'title' WHEN technical THEN 'cjk_technical' ELSE 'default' END AS reason
+FROM (SELECT doc_id, lang, source, regexp_matches(q, '[㐀-鿿]') AND ({TECHNICAL}) AS technical FROM (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') || {ASKED} AS q FROM documents) x) y""")
 def _(spark, sf):
-    rows = [("plain words", "none"), ("plain words", "title"), ("plain words", "filter"), ("向量 检索", "none"), ("你好", "none")]
-    k, reason = search.rerank_budget("query", "auto", F.col("state") == "filter", F.col("state") == "title")
-    return spark.createDataFrame(rows, "query string, state string").select("query", "state", k.alias("k"), reason.alias("reason"))
+    """Every text as a query, some with words of Han; filters and titles by language and source."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.concat(F.coalesce("text", F.lit("")), F.expr(ASKED)).alias("query"))
+    k, reason = search.rerank_budget("query", "auto", F.col("lang") == "fr", F.col("source") == "src1")
+    return d.select("doc_id", k.alias("k"), reason.alias("reason"))
 
 
 @query("graph_expand", f"""WITH {ranks_sql(k=200, vec_weight=2.5).format(cut=60)}, base AS (SELECT position, source_id, coalesce(ck, 0) AS chunk_id, ck, score FROM pos),
@@ -538,9 +547,15 @@ query("metadata_expansion", metadata_sql(("d123", "d156")))(_hybrid("d123 d156",
 query("metadata_ambiguous", metadata_sql(("the", "dans", "d123")))(_hybrid("the dans d123", metadata=True))
 
 
-@query("metadata_terms", "SELECT unnest(['hybrid search', 'search for', 'for notes', 'hybrid', 'search', 'for', 'notes']) AS term")
+@query("metadata_terms", """WITH q AS (SELECT item_id, list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+'), lambda x: length(x) >= 3) AS w FROM benchmark),
+t AS (SELECT item_id, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS term FROM q) SELECT item_id, term FROM t""")
 def _(spark, sf):
-    return spark.createDataFrame([(t,) for t in search.metadata_terms("Hybrid search for my notes".replace("my ", ""))], "term string")
+    """The terms of every benchmark text as a query."""
+    @F.pandas_udf("array<string>")
+    def terms(texts: pd.Series) -> pd.Series:
+        return texts.map(search.metadata_terms)
+
+    return table(spark, sf, "benchmark").select("item_id", F.explode(terms("text")).alias("term"))
 
 
 @query("result_lines", f"SELECT position, printf('%.4f', raw) || '  ' || path || '  ' || title || chr(10) || '    ' || left(replace(content, chr(10), ' '), 120) AS line FROM ({result_sql().replace('round(score, 6) AS score', 'score AS raw')}) q")
@@ -1021,10 +1036,34 @@ def _(spark, sf):
     return _cut(spark, sf, shape, 1 << 30)
 
 
-@query("chunk_paragraphs", "SELECT doc_id AS source_id, unnest([0, 1, 2]) AS chunk_index, unnest([p || chr(10) || chr(10) || p, p || chr(10) || chr(10) || p, p]) AS content, unnest([0, 2 * length(p) + 4, 4 * length(p) + 8]) AS char_start FROM (SELECT doc_id, repeat('x', 40 + doc_id % 7) AS p FROM documents) d")
+@query("chunk_paragraphs", """WITH d AS (SELECT doc_id, 'p' || regexp_replace(text, '[^a-zA-Z]+', '', 'g') AS p FROM documents),
+k AS (SELECT doc_id, p, least(5, greatest(1, 300 // greatest(1, length(p) // 4))) AS k FROM d), c AS (SELECT *, unnest(range(0, CAST(ceil(5.0 / k) AS BIGINT))) AS chunk_index FROM k)
+SELECT doc_id AS source_id, chunk_index, array_to_string(list_transform(range(0, least(k, 5 - chunk_index * k)), lambda i: p), chr(10) || chr(10)) AS content, chunk_index * k * (length(p) + 2) AS char_start FROM c""")
 def _(spark, sf):
+    """Every text's letters as five paragraphs, which are joined while they stay within 300 tokens."""
     def shape(t):
-        p = F.repeat(F.lit("x"), (F.col("doc_id") % 7 + 40).cast("int"))
+        p = F.concat(F.lit("p"), F.regexp_replace(t, "[^a-zA-Z]+", ""))
         return F.concat_ws("\n\n", p, p, p, p, p)
 
-    return _cut(spark, sf, shape, 25)
+    return _cut(spark, sf, shape, 300)
+
+
+@query("stream_indegrees", """WITH v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE WHEN event_type = 'logout' THEN 0 ELSE 1 END DESC, content DESC) AS k
+  FROM (SELECT *, 'see [[' || event_type || ']] and [[n' || (event_id % 20) || ']]' AS content FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL AND event_id IS NOT NULL) x)
+SELECT target_path, count(*) AS indegree FROM (SELECT user_id, unnest([event_type, 'n' || (event_id % 20)]) AS target_path FROM v WHERE k = 1 AND event_type <> 'logout') y GROUP BY target_path""")
+def _(spark, sf):
+    """Events as versions of one note for each user, logouts as its deletion, through keyed state; the links that are left, counted from the differences."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf) if _is_file(spark, f"{sf}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    events = events.filter("event_type is not null and event_id is not null")
+    content = F.when(F.col("event_type") != "logout", F.concat(F.lit("see [["), "event_type", F.lit("]] and [[n"), (F.col("event_id") % 20).cast("string"), F.lit("]]")))
+    files = events.select(F.col("user_id").cast("string").alias("path"), content.alias("content"), F.col("ts").cast("timestamp").alias("mtime"))
+    done = versions.differences(files).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/changes")
+    done.awaitTermination()
+    return versions.indegrees(spark.read.schema(versions.CHANGES).parquet(f"{at}/changes")).filter("indegree <> 0")
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    fs, at = store._fs(spark, path)
+    return fs.getFileStatus(at).isFile()
