@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from notelake.functions import han
 from notelake.functions import text as T
 from notelake.functions.text import Tokenizer
-from notelake.operators import chunk, evaluate, fts, fuse, links, search, store
+from notelake.operators import chunk, clusters, evaluate, fts, fuse, links, search, store
 from notelake.operators.knn import knn
 from notelake.plans import index as I
 from notelake.plans.index import with_lines
@@ -302,6 +302,15 @@ def _(spark, sf):
     return knn(e.withColumnRenamed("vec_id", "chunk_id"), q, 10).select("query_id", "chunk_id", r6("distance"))
 
 
+@query("knn_pruned", ORACLE["knn_batch"])
+def _(spark, sf):
+    """The same from vectors stored by cell."""
+    e = table(spark, sf, "embeddings")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    held = clusters.stored(e.withColumnRenamed("vec_id", "chunk_id"), f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    return held.knn(q, 10).select("query_id", "chunk_id", r6("distance"))
+
+
 # ---- notes
 
 
