@@ -6,7 +6,7 @@ borders of groups. A group's last tokens end together and are linked.
 
 Neither tokenizer joins what a single space parts (the first splits before a space, no piece of the second has a space behind another
 character), so texts are cut before each single space that stands between others, and what lies between, a chunk, is aligned once per
-worker process and kept, up to a bound. The index is made over many new chunks at a time. Where a vocabulary has pieces that cross spaces,
+task and kept, up to a bound. The index is made over many new chunks at a time. Where a vocabulary has pieces that cross spaces,
 texts stay whole.
 
 How often two ids are linked in the whole corpus is counted by the block exchange (``exchange``): a block of documents asks parts about its
@@ -64,7 +64,7 @@ def borders(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
-    """Both tokenizers and the chunks that this process has aligned."""
+    """Both tokenizers and the chunks that this task has aligned."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -177,7 +177,7 @@ KNOWN: dict[tuple[str, str], Aligner] = {}
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
-    """This process's aligner; what it keeps depends on the chunks alone."""
+    """This task's aligner (functions travel by value, so each task has globals of its own); what it keeps depends on the chunks alone."""
     if (path_a, path_b) not in KNOWN:
         KNOWN[path_a, path_b] = Aligner(path_a, path_b)
     return KNOWN[path_a, path_b]

@@ -10,7 +10,7 @@ By default the document and cost capacities are those that the token capacity im
 of sequences is as small as tokens allow. Where they bind, documents are cut into pieces that an empty sequence can hold under every
 capacity (the square root of the cost capacity, if that is less than the tokens); no piece is ever placed over a capacity.
 
-Words are tokenized once per worker process: the tokenizer's splitting never joins what white space parts, so a text's ids are
+Words are tokenized once per task: the tokenizer's splitting never joins what white space parts, so a text's ids are
 its words' ids in a row.
 
 Edge cases: null text counts as empty and gives one piece with the end id alone; repeated rows and repeated ids are
@@ -125,7 +125,7 @@ class Words:
 
 
 class WordIds:
-    """The ids of words, kept while the worker process lives (up to a bound, then anew): sorted keys, and each word's ids in one flat array.
+    """The ids of words, kept while a task runs (up to a bound, then anew): sorted keys, and each word's ids in one flat array.
 
     The bytes of longer words are kept too and compared, so that a key which two words share never gives one the ids of the other.
 
@@ -268,7 +268,7 @@ KNOWN: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """This process's words, which later tasks of a worker find as earlier ones left them: ids depend on the word alone."""
+    """This task's words (functions travel by value, so each task has globals of its own): ids depend on the word alone."""
     if path not in KNOWN:
         KNOWN[path] = WordIds(path)
     return KNOWN[path]
