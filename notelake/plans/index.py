@@ -29,7 +29,6 @@ def hashing_embedder(dimension: int = 64) -> Callable[[Column], Column]:
 
 log = logging.getLogger("notelake")
 REPORTED = 20  # failed notes named in the log; all are counted
-INDEXED = ("title", "aliases")  # of a source: its columns with an index of names
 
 
 def build(files: DataFrame, embed: Callable[[Column], Column] | Embedder | None = None, target: int = 400, overlap: int = 0, mode: str = "compat", now: Column | None = None, tokenizer: Tokenizer | None = None, stored: bool = False) -> dict:
@@ -96,29 +95,46 @@ def embedded(notes: DataFrame, embed: Embedder, target: int = 400, overlap: int
     return {"chunks": chunks.drop("v"), "vectors": chunks.select("chunk_id", "v.embedding"), "tags": tags}, failed
 
 
+# Of each full-text index: the key of its rows, their columns, and the table they are.
+TEXTS = {"text": ("chunk_id", search.text_columns, "chunks"), "name": ("source_id", search.name_columns, "sources")}
+
+
 def text_tables(chunks: DataFrame, sources: DataFrame, tokenizer: Tokenizer | None = None, stored: bool = False) -> dict:
     """Both full-text indexes as tables of the store. stored: terms and statistics are functions of the tables as written, for ``Store.publish``."""
     out: dict = {}
-    for kind, rows, key, columns, of in (("text", chunks, "chunk_id", search.text_columns(), "chunks"), ("name", sources, "source_id", search.name_columns(), "sources")):
-        fields, post = tuple(columns), fts.postings(rows, key, columns, tokenizer, usual=fts.usual_tokens(rows, columns))
+    for kind, rows in (("text", chunks), ("name", sources)):
         if stored:
-            out[f"{kind}_postings"] = post
-            out[f"{kind}_terms"] = lambda t, kind=kind, key=key, fields=fields: fts.terms_of(t[f"{kind}_postings"], key, fields)
-            out[f"{kind}_stats"] = lambda t, kind=kind, of=of: fts.stats_of(t[f"{kind}_postings"], t[of])
+            out |= text_part(kind, rows, tokenizer, TEXTS[kind][2])
         else:
-            post = written(post, "fts-postings")
-            out |= {f"{kind}_postings": post, f"{kind}_terms": fts.terms_of(post, key, fields), f"{kind}_stats": fts.stats_of(post, rows)}
+            key, columns = TEXTS[kind][0], TEXTS[kind][1]()
+            post = written(fts.postings(rows, key, columns, tokenizer, usual=fts.usual_tokens(rows, columns)), "fts-postings")
+            out |= {f"{kind}_postings": post, f"{kind}_terms": fts.terms_of(post, key, tuple(columns)), f"{kind}_stats": fts.stats_of(post, rows)}
     return out
 
 
+def text_part(kind: str, rows: DataFrame, tokenizer: Tokenizer | None = None, of: str | None = None) -> dict:
+    """One of the full-text indexes for ``Store.publish``; of: the table that holds the rows once it is written, where it is published too."""
+    key, columns, _ = TEXTS[kind]
+    columns = columns()
+    fields, post = tuple(columns), fts.postings(rows, key, columns, tokenizer, usual=fts.usual_tokens(rows, columns))
+    return {
+        f"{kind}_postings": post,
+        f"{kind}_terms": lambda t: fts.terms_of(t[f"{kind}_postings"], key, fields),
+        f"{kind}_stats": lambda t: fts.stats_of(t[f"{kind}_postings"], t[of] if of else rows),
+    }
+
+
+def text_opened(tables: dict[str, DataFrame], kind: str, tokenizer: Tokenizer | None = None) -> fts.TextIndex | None:
+    """A full-text index of the store's tables, None where it has none."""
+    if f"{kind}_postings" not in tables:
+        return None
+    key, columns, _ = TEXTS[kind]
+    return fts.TextIndex(*(tables[f"{kind}_{t}"] for t in ("postings", "terms", "stats")), key, tuple(columns()), tokenizer or Tokenizer())
+
+
 def opened(tables: dict[str, DataFrame], tokenizer: Tokenizer | None = None) -> search.Index:
     """An index of the store's tables; searches read the postings that are there."""
-    def of(kind: str, key: str, fields) -> fts.TextIndex | None:
-        if f"{kind}_postings" not in tables:
-            return None
-        return fts.TextIndex(*(tables[f"{kind}_{t}"] for t in ("postings", "terms", "stats")), key, tuple(fields), tokenizer or Tokenizer())
-
-    return search.Index(tables["sources"], tables["chunks"], tables["vectors"], tables["edges"], of("text", "chunk_id", search.text_columns()), of("name", "source_id", INDEXED))
+    return search.Index(tables["sources"], tables["chunks"], tables["vectors"], tables["edges"], text_opened(tables, "text", tokenizer), text_opened(tables, "name", tokenizer))
 
 
 def updated(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, embed: Callable[[Column], Column] | Embedder | None = None, target: int = 400, overlap: int = 0, now: Column | None = None, tokenizer: Tokenizer | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
