@@ -69,7 +69,7 @@ class Tokenizer:
             return tuple(WORDS.findall(text.lower()))
         text = unicodedata.normalize("NFKC", text)
         if not HAN_RUN.search(text):
-            return tuple(x.lower() for x in WORDS.findall(text))
+            return tuple(" ".join(WORDS.findall(text)).lower().split())
         return tuple(x.lower() for w in HAN_OR_WORD.findall(text) for x in (self.segment(w) if HAN_RUN.match(w) else [w]) if x.strip())
 
     def characters(self, text: str) -> list[tuple[str, int]]:
@@ -77,7 +77,10 @@ class Tokenizer:
         if text.isascii():
             return []
         out, place = [], 0
-        for w in HAN_OR_WORD.findall(unicodedata.normalize("NFKC", text)):
+        text = unicodedata.normalize("NFKC", text)
+        if not HAN_RUN.search(text):
+            return []
+        for w in HAN_OR_WORD.findall(text):
             if not HAN_RUN.match(w):
                 place += 1
                 continue

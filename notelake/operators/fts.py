@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,10 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import Tokenizer
-from notelake.session import parts_for, written
+from notelake.session import leaf_bytes, parts_for, written
 
 K1, B, TINY_IDF = 1.2, 0.75, 1e-6
 BUCKETS, MOST_LISTED = 16, 500
+TASK_BYTES, MOST_SPREAD = 4 << 20, 4_000  # of Parquet, whose postings one task sorts
+BLOCK = 256  # queries of a batch that are scored at once
 KEPT, LEVELS, USUAL_TOKENS = 64, 64, 100.0  # LEVELS: steps in which impacts are counted
 
 
@@ -252,44 +255,75 @@ def postings(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: T
     A row's tokens are gathered by term where the row lies, in Arrow batches, so one shuffle moves postings, not tokens. A bucket is
     spread over as many tasks as its share of the corpus asks for.
     """
+    spread = min(max(1, -(-leaf_bytes(rows) // (TASK_BYTES * buckets))), MOST_SPREAD)
+    long = gathered(rows, key, columns, tokenizer, buckets)
+    tf = F.size("positions")
+    long = long.withColumns({"impact": tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.lit(float(usual)))), "usual": F.lit(float(usual))})
+    if spread == 1:
+        return in_order(long.repartition("bucket"), key)
+    place = F.col("bucket") * F.lit(spread) + F.pmod(F.xxhash64(key), F.lit(spread)).cast("int")
+    return in_order(long.repartitionById(buckets * spread, place), key)  # by number, as hashes of so few places leave some tasks several of them
+
+
+def gathered(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: Tokenizer | None = None, buckets: int = BUCKETS, only: Callable[[str], bool] | None = None) -> DataFrame:
+    """(bucket, term, field, key, n_tokens, positions) as rows lie. only: postings of these terms alone, and for each row one of the empty term, so that all are counted."""
     own_tokenizer, names = tokenizer or Tokenizer(), list(columns)
     split, characters = own_tokenizer.split, own_tokenizer.characters
     kind = rows.schema[key].dataType.simpleString()
-    spread = max(1, -(-parts_for(rows, 16) // buckets))
 
     def run(batches):
+        from itertools import chain
+
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [part.column(i + 1).to_pylist() for i in range(len(names))]
-                terms, fields, rows_, sizes, places, ends = [], [], [], [], [], [0]
-                for r in range(part.num_rows):
-                    tokens = [split(t[r] or "") for t in texts]
-                    n = sum(map(len, tokens))
-                    for f, own in enumerate(tokens):
-                        by: dict[str, list[int]] = {}
-                        for i, t in enumerate(own):
-                            by.setdefault(t, []).append(i)
-                        for c, i in characters(texts[f][r] or ""):
-                            by.setdefault(c, []).append(-1 - i)
-                        terms += by
-                        fields += [names[f]] * len(by)
-                        rows_ += [r] * len(by)
-                        sizes += [n] * len(by)
-                        for p in by.values():
-                            places += p
-                            ends.append(len(places))
+                n = part.num_rows
+                texts = [[t or "" for t in part.column(i + 1).to_pylist()] for i in range(len(names))]
+                words, of, places, sizes = [], [], [], np.zeros(n, np.int64)  # of: field and row of each token as one number
+                for f, own in enumerate(texts):
+                    tokens = [split(t) for t in own]
+                    lengths = np.fromiter(map(len, tokens), np.int64, n)
+                    sizes += lengths
+                    words += chain.from_iterable(tokens)
+                    of.append(np.repeat(np.arange(f * n, (f + 1) * n), lengths))
+                    places.append(np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+                for f, own in enumerate(texts):  # behind all tokens, as they stand outside the sequence
+                    for r, t in enumerate(own):
+                        if found := characters(t):
+                            words += [c for c, _ in found]
+                            of.append(np.full(len(found), f * n + r))
+                            places.append(np.array([-1 - i for _, i in found]))
+                if only is not None:
+                    words += [""] * n
+                    of.append(np.arange(n))
+                    places.append(np.zeros(n, np.int64))
+                coded = pa.array(words, pa.string()).dictionary_encode()
+                terms, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                of, places = np.concatenate(of), np.concatenate(places)
+                listed = terms.to_pylist()
+                if only is not None:
+                    kept = np.fromiter((not t or only(t) for t in listed), bool, len(listed))[codes]
+                    codes, of, places = codes[kept], of[kept], places[kept]
+                groups = of * max(1, len(listed)) + codes
+                order = np.argsort(groups, kind="stable")
+                groups, places = groups[order], places[order]
+                starts = np.flatnonzero(np.diff(groups, prepend=-1))
+                of, codes = of[order][starts], codes[order][starts]
+                ends = np.append(starts, len(groups))
+                if only is not None:  # the empty term's postings have no places
+                    empty = np.array([not t for t in listed], bool)[codes]
+                    places = places[np.repeat(~empty, np.diff(ends))]
+                    ends = np.concatenate([[0], np.cumsum(np.where(empty, 0, np.diff(ends)))])
+                bucket = np.fromiter((zlib.crc32(t.encode()) % buckets for t in listed), np.int32, len(listed))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([zlib.crc32(t.encode()) % buckets for t in terms], pa.int32()), pa.array(terms, pa.string()), pa.array(fields, pa.string()), part.column(0).take(pa.array(rows_, pa.int64())), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))],
+                    [pa.array(bucket[codes]), terms.take(pa.array(codes)), pa.array(names, pa.string()).take(pa.array(of // n)), part.column(0).take(pa.array(of % n)), pa.array(sizes[of % n].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places.astype(np.int32)))],
                     ["bucket", "term", "field", key, "n_tokens", "positions"],
                 )
 
-    long = rows.select(key, *columns.values()).mapInArrow(run, f"bucket int, term string, field string, {key} {kind}, n_tokens int, positions array<int>")
-    tf = F.size("positions")
-    long = long.withColumns({"impact": tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.lit(float(usual)))), "usual": F.lit(float(usual))})
-    return in_order(long.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(spread))), key)
+    return rows.select(key, *columns.values()).mapInArrow(run, f"bucket int, term string, field string, {key} {kind}, n_tokens int, positions array<int>")
 
 
 def in_order(post: DataFrame, key: str | None = None) -> DataFrame:
@@ -418,6 +452,91 @@ def _by_join(index: TextIndex, queries: list[tuple[int, str, list[str]]], limit:
     return rows.select("query_id", key, (-F.aggregate("p", F.lit(0.0), lambda s, x: s + x["part"])).alias("score"))  # always summed in one order
 
 
+def _batch(index: TextIndex, queries: list[tuple[int, list[str]]], limit: int, digits: int | None) -> DataFrame:
+    """(query_id, key, score, _s) of the first limit rows of each partition for very many terms, any of which may occur; _s: the score as it is compared.
+
+    A row's postings of asked terms meet once, whatever the number of queries: numbers of terms and frequencies are shuffled, and a row is scored for a block of queries by one
+    product of its terms' weights. Pairs of queries and rows, nearly all of which have some term in common, are never rows themselves.
+    """
+    spark, key = index.postings.sparkSession, index.key
+    names = sorted({t for _, terms in queries for t in terms})
+    # what was asked bounds these: one row for each term
+    df = {r["term"]: r["df"] for r in _of_terms(index.terms, names, index.buckets).select("term", "df").collect()}
+    stats = index.stats.first()
+    n_rows, usual = stats["n_rows"], stats["n_tokens"] / stats["n_rows"] if stats["n_rows"] else 1.0
+    known = {t: i for i, t in enumerate(t for t in names if t in df)}
+    weight = [max(math.log((n_rows - df[t] + 0.5) / (df[t] + 0.5)), 0.0) or TINY_IDF for t in known]
+    asked: dict[int, dict[int, int]] = {}
+    for q, terms in queries:
+        own = asked.setdefault(q, {})
+        for t in terms:
+            if t in known:
+                own[known[t]] = own.get(known[t], 0) + 1
+    cells = [(q, i, n * weight[i]) for q, own in asked.items() for i, n in own.items()]
+    ids, n_terms = list(asked), len(known)
+    kind = index.postings.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        column = {q: i for i, q in enumerate(ids)}
+        at, term, value = (np.array(x) for x in ([column[q] for q, _, _ in cells], [i for _, i, _ in cells], [w for _, _, w in cells]))
+        blocks = []
+        for first in range(0, len(ids), BLOCK):
+            own = (at >= first) & (at < first + BLOCK)
+            used, row = np.unique(term[own], return_inverse=True)
+            table = np.zeros((len(used) + 1, min(BLOCK, len(ids) - first)))  # the last row: terms that no query of the block has
+            table[row, at[own] - first] = value[own]
+            place = np.full(n_terms, len(used))
+            place[used] = np.arange(len(used))
+            blocks.append((first, place, table))
+        best = [np.full(len(ids), np.inf), np.zeros((0, 2)), np.zeros(0, np.int64), None]  # what the last kept row has, and (score, compared), query, key of kept rows
+
+        def cut(scores, query, keys):
+            order = np.lexsort((keys, scores[:, 1], query))
+            rank = np.arange(len(order)) - np.searchsorted(query[order], query[order], "left")
+            order = order[rank < limit]
+            worst = np.full(len(ids), np.inf)
+            full = np.bincount(query[order], minlength=len(ids)) >= limit
+            np.maximum.at(top := np.full(len(ids), -np.inf), query[order], scores[order, 1])
+            worst[full] = top[full]
+            return [worst, scores[order], query[order], keys[order]]
+
+        def scored(keys, terms, tf, n):
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / usual))
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            for first, place, table in blocks:
+                sums = np.add.reduceat(part[:, None] * table[place[terms]], starts, axis=0)
+                compared = -sums if digits is None else np.round(-sums, digits)
+                width = table.shape[1]
+                # keys come in rising order, so of equals those that are there already stay
+                r, q = np.nonzero((sums > 0) & (compared < best[0][None, first : first + width]))
+                if len(r):
+                    new = np.stack([-sums[r, q], compared[r, q]], axis=1), q + first, keys[starts][r]
+                    best[:] = cut(np.concatenate([best[1], new[0]]), np.concatenate([best[2], new[1]]), new[2] if best[3] is None else np.concatenate([best[3], new[2]]))
+
+        held = None
+        for batch in batches:
+            own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            own = own if held is None else [np.concatenate(x) for x in zip(held, own)]
+            if not len(own[0]):
+                continue
+            last = int(np.searchsorted(own[0], own[0][-1], "left"))  # the last row may go on in the next batch
+            held = [x[last:] for x in own]
+            if last:
+                scored(*(x[:last] for x in own))
+        if held is not None and len(held[0]):
+            scored(*held)
+        if best[3] is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[best[2]]), pa.array(best[3]), pa.array(best[1][:, 0].copy()), pa.array(best[1][:, 1].copy())], ["query_id", key, "score", "_s"])
+
+    numbered = spark.createDataFrame(list(known.items()), "term string, number int")
+    post = _of_terms(index.postings, names, index.buckets).select("term", key, "n_tokens", F.size("positions").alias("tf")).join(F.broadcast(numbered), "term")
+    rows = post.select(key, "number", "tf", "n_tokens").repartition(parts_for(index.postings), key).sortWithinPartitions(key, "number")
+    return rows.mapInArrow(run, f"query_id long, {key} {kind}, score double, _s double")
+
+
 def prefix_buckets(index: TextIndex, prefixes: list[str]) -> list[int]:
     """The buckets that hold the terms of these prefixes: each is a range of the sorted term table."""
     own = reduce(lambda a, b: a | b, [in_range(t) for t in prefixes])
@@ -506,15 +625,23 @@ def _by_positions(index: TextIndex, trees: list[tuple[int, object]]) -> DataFram
     return every.select(key, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h")).select("h.query_id", key, "h.score")
 
 
-def hits(index: TextIndex, queries: list[tuple[int, str]], limit: int | None = 50, lenient: bool = False) -> DataFrame:
-    """(query_id, key, score) of the best rows for each query; scores are negative, least is best, ties by key."""
+def hits(index: TextIndex, queries: list[tuple[int, str]], limit: int | None = 50, lenient: bool = False, digits: int | None = None) -> DataFrame:
+    """(query_id, key, score) of the best rows for each query; scores are negative, least is best, ties by key. digits: scores that are equal when rounded so are ties."""
     trees = [(q, t) for q, text in queries if (t := safe_parse(text, index.fields, lenient, index.tokenizer.split)) is not None]
     plain = [(q, *f) for q, t in trees if (f := flat(t))]
     rich = [(q, t) for q, t in trees if not flat(t)]
-    found = ([_by_join(index, plain, limit)] if plain else []) + ([_by_positions(index, rich)] if rich else [])
+    compared = F.col("score") if digits is None else F.round("score", digits)
+    many = [(q, terms) for q, kind, terms in plain if kind == "or" or len(terms) == 1]
+    numbers = index.postings.schema[index.key].dataType.simpleString() in ("int", "bigint")
+    if limit is None or not numbers or len(index.fields) > 1 or len({t for _, terms in many for t in terms}) <= MOST_LISTED:
+        many = []
+    else:
+        plain = [(q, kind, terms) for q, kind, terms in plain if kind == "and" and len(terms) > 1]
+    found = ([_by_join(index, plain, limit if digits is None else None)] if plain else []) + ([_by_positions(index, rich)] if rich else [])
+    found = [x.withColumn("_s", compared) for x in found] + ([_batch(index, many, limit, digits)] if many else [])
     if not found:
         return nothing(index.postings.sparkSession, index.postings, index.key)
-    return top(reduce(DataFrame.unionByName, found), ["score", index.key], limit)
+    return top(reduce(DataFrame.unionByName, found), ["_s", index.key], limit).drop("_s")
 
 
 def nothing(spark: SparkSession, like: DataFrame, key: str) -> DataFrame:

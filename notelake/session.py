@@ -60,6 +60,13 @@ def parts_for(df: DataFrame, mb: int = 64) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), 65_535))
 
 
+def leaf_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df is made of, as far as they are known: joins don't inflate it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)  # beyond: unknown, as for rows made by the driver
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and that nothing reads any more."""
     for df in tables:

@@ -21,3 +21,26 @@ def test_a_search_of_texts_makes_no_links(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalogue, "shared_dir", lambda s: str(tmp_path))
     assert catalogue.QUERIES["bm25_top50"](spark, SF).count() == 50
     assert [f.split("-")[1] for f in os.listdir(tmp_path) if f.startswith("index-")] == ["text"]
+
+
+def test_a_batch_of_many_terms_makes_no_row_for_each_pair(spark):
+    """Rows and ties of the batch are those of the join, for more terms than are listed by name and for rows that go over Arrow batches."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from notelake.operators import fts
+
+    rnd = random.Random(5)
+    word = lambda: f"w{int(rnd.random() ** 2 * 900)}"
+    texts = [" ".join(word() for _ in range(rnd.randrange(1, 60))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, texts[i % 300]) for i in range(1200)], "doc_id long, text string")  # copies: ties
+    index = fts.built(rows, "doc_id", {"content": F.col("text")})
+    queries = [(q, " OR ".join(f'"{t}"' for t in dict.fromkeys(word() for _ in range(40)))) for q in range(300)] + [(900, "nowhere"), (901, "w1 w2")]
+    assert len({t for _, q in queries for t in fts.split_tokens(q)}) > fts.MOST_LISTED
+    found = fts.hits(index, queries, 10, digits=9)
+    whole = fts.hits(index, queries, None).withColumn("_s", F.round("score", 9))
+    same = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 8)) for r in df.collect())
+    assert same(found) == same(fts.top(whole, ["_s", "doc_id"], 10))
+    many = fts._batch(index, [(q, fts.flat(fts.parse(t))[1]) for q, t in queries[:300]], 10, 9)
+    assert "collect_list" not in many._jdf.queryExecution().optimizedPlan().toString()
