@@ -4,12 +4,19 @@ The packing is a small state machine over spans of one text, so it runs in Arrow
 chunk's text is the body between them.
 """
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult
 from pyspark.sql.types import IntegerType, StringType, StructType
 
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 200  # texts that are cut and given on before the next are read from a batch; one long text is a slice of its own
+WIDE = re.compile("[㐀-鿿豈-﫿]")
 CHUNK_DDL = "array<struct<text:string,char_start:int,char_end:int,token_count:int>>"
 # Fixed values.
 FENCE, HEADING, BLANK, SENTENCE = r"(?ms)^(`{3,})[^\n]*\n(.*?)^\1\s*$", r"(?m)^#{1,6}\s", r"\n\s*\n", r"(?<=[.!?。！？])\s+"
@@ -17,10 +24,10 @@ FENCE, HEADING, BLANK, SENTENCE = r"(?ms)^(`{3,})[^\n]*\n(.*?)^\1\s*$", r"(?m)^#
 
 def spans(text: str, target: int = 400, overlap: int = 0) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each chunk."""
-    import re
+    some_wide = not text.isascii() and WIDE.search(text) is not None
 
     def estimate(a: int, b: int) -> int:
-        wide = sum(1 for ch in text[a:b] if "㐀" <= ch <= "鿿" or "豈" <= ch <= "﫿")
+        wide = len(WIDE.findall(text, a, b)) if some_wide else 0
         return max(1, int((b - a - wide) / 4 + wide / 1.5)) if b > a else 0
 
     def cut(a: int, b: int, pattern: str) -> list[tuple[int, int]]:
@@ -80,9 +87,40 @@ def chunks_of(body: Column, target: int = 400, overlap: int = 0) -> Column:
     return run(body)
 
 
-def chunked(sources: DataFrame, body: Column, target: int = 400, overlap: int = 0) -> DataFrame:
-    """(source_id, chunk_index, content, char_start, char_end, token_count)."""
-    return sources.select("source_id", F.posexplode(chunks_of(body, target, overlap)).alias("chunk_index", "c")).select("source_id", "chunk_index", F.col("c.text").alias("content"), "c.char_start", "c.char_end", "c.token_count")
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts are of bounded size, whatever rows the batch has."""
+    ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).cast(pa.int64())).to_pylist()
+    start, before = 0, 0
+    for i, end in enumerate(ends):
+        if end - before >= SLICE_BYTES or i + 1 - start >= SLICE_ROWS or i + 1 == len(ends):
+            yield batch.slice(start, i + 1 - start)
+            start, before = i + 1, end
+
+
+def chunked(sources: DataFrame, body: Column, target: int = 400, overlap: int = 0, with_text: bool = True) -> DataFrame:
+    """(source_id, chunk_index[, content], char_start, char_end, token_count).
+
+    A task holds the chunks of one slice of a batch at a time. with_text: without it, chunks are only placed and no text leaves the task.
+    """
+    kind = sources.schema["source_id"].dataType.simpleString()
+    names = ["source_id", "chunk_index", *(["content"] if with_text else []), "char_start", "char_end", "token_count"]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                of, numbers, texts, found = [], [], [], []
+                for r, text in enumerate(part.column(1).to_pylist()):
+                    own = spans(text or "", target, overlap)
+                    of += [r] * len(own)
+                    numbers += range(len(own))
+                    found += own
+                    if with_text:
+                        texts += [text[a:b] for a, b, _ in own]
+                places = [pa.array([x[k] for x in found], pa.int32()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), pa.array(numbers, pa.int32()), *([pa.array(texts, pa.string())] if with_text else []), *places], names)
+
+    content = "content string, " if with_text else ""
+    return sources.select("source_id", body.alias("_body")).mapInArrow(run, f"source_id {kind}, chunk_index int, {content}char_start int, char_end int, token_count int")
 
 
 class ChunkTable:

@@ -44,3 +44,25 @@ def test_a_batch_of_many_terms_makes_no_row_for_each_pair(spark):
     assert same(found) == same(fts.top(whole, ["_s", "doc_id"], 10))
     many = fts._batch(index, [(q, fts.flat(fts.parse(t))[1]) for q, t in queries[:300]], 10, 9)
     assert "collect_list" not in many._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_leave_a_task_by_slices():
+    """A batch of any size is cut in slices of bounded texts, in order and without a row lost; a long text is alone."""
+    import pyarrow as pa
+
+    from notelake.operators import chunk
+
+    texts = ["a" * 1000] * 5000 + [None, "é" * (3 << 20), ""] + ["b"] * 900
+    parts = list(chunk.slices(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["source_id", "_body"]), 1))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert max(p.num_rows for p in parts) <= chunk.SLICE_ROWS
+    assert all(sum(len((t or "").encode()) for t in p.column(1).to_pylist()[:-1]) < chunk.SLICE_BYTES for p in parts)
+
+
+def test_wide_characters_are_counted_in_each_chunk():
+    from notelake.operators import chunk
+
+    plain = lambda t: max(1, int((len(t) - (w := sum("㐀" <= c <= "鿿" or "豈" <= c <= "﫿" for c in t))) / 4 + w / 1.5))
+    for text in ("向量 数据。\n\nplain é words. " * 40, "été. " * 200, "plain. " * 100):
+        got = chunk.spans(text, 30)
+        assert len(got) > 1 and all(n == plain(text[a:b]) for a, b, n in got)
