@@ -11,9 +11,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,29 +23,64 @@ from notelake.functions.text import HAN_RUN
 LONGEST, LEAST_COUNT, COHESION, ENTROPY, MOST_WORDS = 4, 5, 3.0, 0.8, 200_000
 GRAMS = pa.schema([("gram", pa.string()), ("side", pa.int32()), ("neighbour", pa.string()), ("n", pa.int64())])
 CENTRE, LEFT, RIGHT = 0, 1, 2
+SLICE = 2_000_000  # characters whose windows are sorted at once
 
 
 def grams(texts: DataFrame, column: str = "text", longest: int = LONGEST, run: re.Pattern = HAN_RUN) -> DataFrame:
-    """(gram, side, neighbour, n): counts of n-grams of up to longest characters inside runs (side 0), and of what stands left (1) and right (2) of them, "" at an edge."""
+    """(gram, side, neighbour, n): counts of n-grams of up to longest characters inside runs (side 0), and of what stands left (1) and right (2) of them, "" at an edge.
+
+    A slice of runs is one array of characters. Its distinct windows of longest + 2 characters are counted once, and n-grams with their neighbours are counted from these.
+    """
 
     def count(batches):
         for batch in batches:
-            found: Counter = Counter()
+            held, size = [], 0
             for text in batch.column(0).to_pylist():
-                for r in run.findall(unicodedata.normalize("NFKC", text)) if text else ():
-                    for i in range(len(r)):
-                        for j in range(i + 1, min(len(r), i + longest) + 1):
-                            g = r[i:j]
-                            found[g, CENTRE, ""] += 1
-                            found[g, LEFT, r[i - 1] if i else ""] += 1
-                            found[g, RIGHT, r[j : j + 1]] += 1
-            columns = list(zip(*((*k, n) for k, n in found.items()), strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, GRAMS, strict=True)], schema=GRAMS)
+                own = run.findall(unicodedata.normalize("NFKC", text)) if text else ()
+                held += own
+                size += sum(map(len, own)) + len(own)
+                if size >= SLICE:
+                    yield from _counted(held, longest)
+                    held, size = [], 0
+            if held:
+                yield from _counted(held, longest)
 
     rows = texts.select(F.col(column).cast("string")).mapInArrow(count, "gram string, side int, neighbour string, n long")
     return rows.groupBy("gram", "side", "neighbour").agg(F.sum("n").alias("n"))
 
 
+def _distinct(columns: list[np.ndarray], base: int, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(where each distinct row first stands, how often it occurs) of numbers under base; n: how often each row counts."""
+    key, bound = columns[0].astype(np.int64), base
+    for c in columns[1:]:
+        if bound > (1 << 62) // base:  # numbers that don't fit are replaced by their ranks
+            key = np.unique(key, return_inverse=True)[1]
+            bound = len(key)
+        key, bound = key * base + c, bound * base
+    _, first, which, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    return first, times if n is None else np.bincount(which, n, len(first)).astype(np.int64)
+
+
+def _counted(runs: list[str], longest: int):
+    """Batches of GRAMS for runs. 0 stands between runs, so a window that holds it before its end holds the end of a run."""
+    codes = np.frombuffer(("\0" + "\0".join(runs) + "\0" * (longest + 1)).encode("utf-32-le"), np.uint32)
+    letters, codes = np.unique(codes, return_inverse=True)
+    m, base = len(codes) - longest - 1, len(letters)
+    first, n = _distinct([codes[i : i + m] for i in range(longest + 2)], base)
+    windows = np.stack([codes[i + first] for i in range(longest + 2)], axis=1)
+    text = lambda cells: pa.array(np.ascontiguousarray(letters[cells]).view(f"U{cells.shape[1]}").ravel().tolist(), pa.string())
+    for j in range(1, longest + 1):
+        own = (windows[:, 1 : j + 1] != 0).all(axis=1)
+        w, times = windows[own], n[own]
+        for side, cells in ((CENTRE, w[:, 1 : j + 1]), (LEFT, w[:, : j + 1]), (RIGHT, w[:, 1 : j + 2])):
+            if not len(w):
+                continue
+            at, total = _distinct(list(cells.T), base, times)
+            gram = text(w[at, 1 : j + 1])
+            beside = pa.array([""] * len(at)) if side == CENTRE else text(w[at, 0 if side == LEFT else j + 1][:, None])
+            yield pa.RecordBatch.from_arrays([gram, pa.array(np.full(len(at), side, np.int32)), beside, pa.array(total)], schema=GRAMS)
+
+
 def candidates(counts: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     """(word, count, cohesion, entropy) of every n-gram that occurs often enough; single characters have no cohesion. counts: what ``grams`` gives, a written table."""
     own = counts.filter(F.col("side") == CENTRE).select("gram", "n")

@@ -649,8 +649,15 @@ def nothing(spark: SparkSession, like: DataFrame, key: str) -> DataFrame:
 
 
 def bm25(rows: DataFrame, key: str, columns: dict[str, Column], queries: list[tuple[int, str]], limit: int | None = 50, lenient: bool = False, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """The same over rows that have no stored index."""
-    return hits(built(rows, key, columns, tokenizer), queries, limit, lenient)
+    """The same over rows that have no stored index: all are tokenized, and postings of the asked terms and prefixes are kept, in no order."""
+    own, fields = tokenizer or Tokenizer(), tuple(columns)
+    phrases = [p for _, text in queries if (t := safe_parse(text, fields, lenient, own.split)) is not None for p, _ in scored(t)]
+    exact = {t for p in phrases for k, t in enumerate(p.terms) if not (p.prefix and k == len(p.terms) - 1)}
+    starts = tuple({p.terms[-1] for p in phrases if p.prefix and p.terms})
+    every = written(gathered(rows, key, columns, own, only=lambda t: t in exact or t.startswith(starts)), "fts-postings")
+    post = every.filter("term <> ''")
+    stats = every.filter("term = ''").agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
+    return hits(TextIndex(post, terms_of(post, key, fields), stats, key, fields, own), queries, limit, lenient)
 
 
 def top(hits: DataFrame, order: list, limit: int | None, by: str = "query_id") -> DataFrame:

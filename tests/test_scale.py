@@ -66,3 +66,43 @@ def test_wide_characters_are_counted_in_each_chunk():
     for text in ("向量 数据。\n\nplain é words. " * 40, "été. " * 200, "plain. " * 100):
         got = chunk.spans(text, 30)
         assert len(got) > 1 and all(n == plain(text[a:b]) for a, b, n in got)
+
+
+def test_a_search_without_an_index_keeps_asked_terms_only(spark, monkeypatch):
+    """Scores are those of a whole index, counts of rows and tokens included; postings of other terms are not written."""
+    from pyspark.sql import functions as F
+
+    from notelake.operators import fts
+
+    rows = spark.createDataFrame([(1, "red fox 向量", "t fox"), (2, "red redder dog", ""), (3, "", None), (4, "dog fox dog", "red"), (5, None, "x")], "doc_id long, a string, b string")
+    columns = {"a": F.col("a"), "b": F.col("b")}
+    queries = [(1, "fox"), (2, "red*"), (3, '"red fox"'), (4, "dog NOT fox"), (5, "向"), (6, "none"), (7, "red OR dog")]
+    kept, own = [], fts.written
+    monkeypatch.setattr(fts, "written", lambda df, tag: kept.append(own(df, tag)) or kept[-1])
+    same = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    got = same(fts.bm25(rows, "doc_id", columns, queries[:4]))
+    assert {r["term"] for r in kept[0].select("term").collect()} == {"", "fox", "red", "redder", "dog"}
+    whole = fts.built(rows, "doc_id", columns)
+    assert got == same(fts.hits(whole, queries[:4])) and len(got) > 6
+    assert same(fts.bm25(rows, "doc_id", columns, queries)) == same(fts.hits(whole, queries))
+
+
+def test_grams_are_counted_from_distinct_windows(spark, monkeypatch):
+    """Counts are those of every place in every run, over several slices and for more characters than fit one number."""
+    from collections import Counter
+
+    from notelake.functions import han
+
+    monkeypatch.setattr(han, "SLICE", 50)
+    texts = ["向量数据库，数据向量 abc 库", "向", None, "", "".join(chr(0x4E00 + i * 7 % 20000) for i in range(3000)), "数据" * 40]
+    found: Counter = Counter()
+    for r in (r for t in texts if t for r in han.HAN_RUN.findall(t)):
+        for i in range(len(r)):
+            for j in range(i + 1, min(len(r), i + 4) + 1):
+                found[r[i:j], 0, ""] += 1
+                found[r[i:j], 1, r[i - 1] if i else ""] += 1
+                found[r[i:j], 2, r[j : j + 1]] += 1
+    rows = [pair for t in texts for pair in [(t,)]]
+    got = {(r["gram"], r["side"], r["neighbour"]): r["n"] for r in han.grams(spark.createDataFrame(rows, "text string"), longest=4).collect()}
+    assert got == found
+    assert list(han._counted(["向量" * 3], 4))  # one slice of distinct windows, not one row for each place
