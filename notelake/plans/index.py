@@ -19,10 +19,13 @@ def hashing_embedder(dimension: int = 64) -> Callable[[Column], Column]:
     """A deterministic stand-in for an embedding model: token hashes summed into a vector, JVM-side."""
     from notelake.functions.text import tokens
 
+    marks = "".join(chr((48 if dimension <= 79 else 0x4E00) + i) for i in range(dimension))  # one character for each place
+
     def embed(text: Column) -> Column:
-        zero = F.array_repeat(F.lit(0.0), dimension)
-        bump = lambda acc, t: F.transform(acc, lambda x, i: x + F.when(F.pmod(F.xxhash64(t), F.lit(dimension)) == i, 1.0).otherwise(0.0))
-        return F.aggregate(tokens(text), zero, bump).cast("array<float>")
+        hashed = F.transform(tokens(text), lambda t: F.substring(F.lit(marks), F.pmod(F.xxhash64(t), F.lit(dimension)).cast("int") + 1, F.lit(1)))
+        counts = lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, F.lit(m), F.lit("")))).cast("float") for m in marks])
+        found = F.transform(F.array(F.array_join(hashed, "")), counts)  # inside, so that a text is hashed once and not for each place
+        return F.element_at(found, 1)
 
     return embed
 
@@ -53,7 +56,10 @@ def built(files: DataFrame, embed: Callable[[Column], Column] | Embedder | None
         own, failed = embedded(notes, embed, target, overlap)
         if failed is not None:
             notes = notes.join(failed, "source_id", "left_anti")
+    else:  # parsed once; the text itself is in the body
+        notes = written(notes.drop("content", "yaml"), "index-notes")
     edges = links.resolve(notes.select(F.col("source_id").alias("src_id"), F.explode("links").alias("target_path")), notes, mode)
+    edges = written(edges, "index-edges")
     notes = notes.withColumns({"uid": store.uid_of(F.col("path"), F.col("source_id")), "status": F.lit("indexed"), "indexed_at": when, "created_at": when, "updated_at": when})
     own = own or contents(notes, embed, target, overlap)
     sources = notes.select(*SOURCES).join(links.indegree(edges, notes), "source_id")
@@ -65,7 +71,7 @@ SOURCES = ("source_id", "uid", "path", "title", "content_hash", "status", "alias
 
 def contents(notes: DataFrame, embed: Callable[[Column], Column] | Embedder | None = None, target: int = 400, overlap: int = 0) -> dict[str, DataFrame]:
     """chunks, vectors and tags of parsed notes."""
-    chunks = cut(notes, target, overlap)
+    chunks = written(cut(notes, target, overlap), "index-cut")
     vectors = chunks.select("chunk_id", (embed or hashing_embedder())(F.col("content")).alias("embedding"))
     return {"chunks": chunks, "vectors": vectors, "tags": tags_of(notes)}
 
@@ -151,7 +157,7 @@ def changed(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, emb
     paths get the next numbers in path order. Unchanged sources whose file is younger than their indexed_at (all of them, if files have no mtime) get a new one, so that a
     touched file isn't stale for ever. prune: sources whose files are gone go, and links into them become unresolved. Links elsewhere keep their targets; unresolved
     ones are claimed by the files read now. A file that an ``Embedder`` fails for stays as it was indexed, or out of the index, and is tried again in the next run;
-    counts has their number as errors, and they don't count as new or changed.
+    counts has their number as errors where there are any, and they don't count as new or changed.
     """
     when = now if now is not None else F.current_timestamp()
     sources = old["sources"]
@@ -159,7 +165,7 @@ def changed(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, emb
     files = written(files.select("path", "content", mtime.alias("mtime")).withColumn("content_hash", F.sha2("content", 256)), "index-files")
     kinds = written(store.changes(files, sources), "index-changes")
     counts = {r["change"]: r["n"] for r in kinds.groupBy("change").agg(F.count("*").alias("n")).collect()}
-    counts = {k: counts.get(k, 0) for k in ("new", "changed", "unchanged", "gone")} | {"errors": 0}
+    counts = {k: counts.get(k, 0) for k in ("new", "changed", "unchanged", "gone")}
     same = files.join(kinds.filter("change = 'unchanged'"), "path", "left_semi").select("path", F.col("mtime").alias("_mtime"))
     seen = sources.filter("status = 'indexed'").join(same, "path").filter(F.col("_mtime").isNull() | F.col("indexed_at").isNull() | (F.col("_mtime") > F.col("indexed_at").cast("timestamp")))
     seen = written(seen.select("source_id"), "index-seen")
@@ -179,7 +185,7 @@ def changed(old: dict[str, DataFrame], files: DataFrame, prune: bool = True, emb
             lost = failed.select("path")
             for r in kinds.join(lost, "path", "left_semi").groupBy("change").agg(F.count("*").alias("n")).collect():
                 counts[r["change"]] -= r["n"]
-                counts["errors"] += r["n"]
+                counts["errors"] = counts.get("errors", 0) + r["n"]
             for r in failed.select("path", "failure").limit(REPORTED).collect():
                 log.warning("not indexed: %s: %s", r["path"], r["failure"])
             if nothing():

@@ -106,3 +106,19 @@ def test_grams_are_counted_from_distinct_windows(spark, monkeypatch):
     got = {(r["gram"], r["side"], r["neighbour"]): r["n"] for r in han.grams(spark.createDataFrame(rows, "text string"), longest=4).collect()}
     assert got == found
     assert list(han._counted(["向量" * 3], 4))  # one slice of distinct windows, not one row for each place
+
+
+def test_hashed_embeddings_count_tokens_by_place(spark):
+    """Vectors are those of one pass over all places for each token, for small and large dimensions."""
+    from pyspark.sql import functions as F
+
+    from notelake.functions.text import tokens
+    from notelake.plans.index import hashing_embedder
+
+    rows = spark.createDataFrame([(1, "the Red fox the a b c d e"), (2, ""), (3, None), (4, "fox " * 500 + "élan x9")], "id long, text string")
+    for dimension in (7, 64, 200):
+        found = rows.select("id", hashing_embedder(dimension)(F.col("text")).alias("v"))
+        assert found.schema["v"].dataType.simpleString() == "array<float>"
+        places = {r["id"]: r["p"] for r in rows.select("id", F.transform(tokens("text"), lambda t: F.pmod(F.xxhash64(t), F.lit(dimension))).alias("p")).collect()}
+        assert {r["id"]: r["v"] for r in found.collect()} == {i: [float(p.count(k)) for k in range(dimension)] for i, p in places.items()}
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
