@@ -31,7 +31,7 @@ from notelake.session import leaf_bytes, parts_for, written
 
 K1, B, TINY_IDF = 1.2, 0.75, 1e-6
 BUCKETS, MOST_LISTED = 16, 500
-TASK_BYTES, MOST_SPREAD = 4 << 20, 4_000  # of Parquet, whose postings one task sorts
+TASK_BYTES, MOST_SPREAD = 2 << 20, 4_000  # of Parquet, whose postings one task sorts
 BLOCK = 256  # queries of a batch that are scored at once
 KEPT, LEVELS, USUAL_TOKENS = 64, 64, 100.0  # LEVELS: steps in which impacts are counted
 
@@ -253,16 +253,22 @@ def postings(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: T
     """(bucket, term, field, key, n_tokens, positions, impact, usual) of rows, sorted by bucket, term and falling impact. usual: an average length, which impacts are made with.
 
     A row's tokens are gathered by term where the row lies, in Arrow batches, so one shuffle moves postings, not tokens. A bucket is
-    spread over as many tasks as its share of the corpus asks for.
+    spread over as many tasks as its share of the corpus asks for, so that a task sorts what its memory holds. What is the same for all postings is added behind the sort,
+    and impacts, which hardly compress, behind the shuffle.
     """
     spread = min(max(1, -(-leaf_bytes(rows) // (TASK_BYTES * buckets))), MOST_SPREAD)
     long = gathered(rows, key, columns, tokenizer, buckets)
-    tf = F.size("positions")
-    long = long.withColumns({"impact": tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.lit(float(usual)))), "usual": F.lit(float(usual))})
+    names, tf = long.columns, F.size("positions")
+    same = {"usual": F.lit(float(usual))}
+    if len(columns) == 1:
+        same["field"] = F.lit(next(iter(columns)))
+        long = long.drop("field")
     if spread == 1:
-        return in_order(long.repartition("bucket"), key)
-    place = F.col("bucket") * F.lit(spread) + F.pmod(F.xxhash64(key), F.lit(spread)).cast("int")
-    return in_order(long.repartitionById(buckets * spread, place), key)  # by number, as hashes of so few places leave some tasks several of them
+        dealt = long.repartition("bucket")
+    else:  # by number, as hashes of so few places leave some tasks several of them
+        dealt = long.repartitionById(buckets * spread, F.col("bucket") * F.lit(spread) + F.pmod(F.xxhash64(key), F.lit(spread)).cast("int"))
+    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / same["usual"]))
+    return in_order(dealt.withColumn("impact", impact), key).withColumns(same).select(*names, "impact", "usual")
 
 
 def gathered(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer: Tokenizer | None = None, buckets: int = BUCKETS, only: Callable[[str], bool] | None = None) -> DataFrame:
@@ -331,6 +337,45 @@ def in_order(post: DataFrame, key: str | None = None) -> DataFrame:
     return post.sortWithinPartitions("bucket", "term", *([F.desc("impact")] if "impact" in post.columns else []), *([key] if key else []))
 
 
+RUNS = "bucket int, term string, n long, best double, low double, high double, by array<long>"
+LEVEL = 1 << 40  # a level and a count are one number, level first
+
+
+def run_counts(batches):
+    """Counts of postings for each run of one term. The files of a bucket are sorted, so a file has one run for a term and no table of terms is held.
+
+    by: how many (modulo LEVEL) have which level of impact, of the KEPT greatest and those of their level; the runs of a term in other files or batches are added up by those who read this.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        bucket, term = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        impact, usual = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        new = np.ones(rows, bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | pc.not_equal(term.slice(1), term.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(new)
+        level = np.floor(impact * (LEVELS / (K1 + 1))).astype(np.int64)
+        span = int(level.max()) + 1
+        # of each run the levels from the greatest down, with their counts
+        cells, count = np.unique((np.cumsum(new) - 1) * span + (span - 1 - level), return_counts=True)
+        run = cells // span
+        first = np.searchsorted(run, np.arange(len(start)))
+        before = np.cumsum(count) - count
+        kept = before - before[first][run] < KEPT
+        ends = np.r_[0, np.cumsum(np.bincount(run[kept], minlength=len(start)))].astype(np.int32)
+        by = (span - 1 - cells[kept] % span) * LEVEL + count[kept]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[start].astype(np.int32)), term.take(pa.array(start)), pa.array(np.diff(np.r_[start, rows])), pa.array(np.maximum.reduceat(impact, start)),
+             pa.array(np.minimum.reduceat(usual, start)), pa.array(np.maximum.reduceat(usual, start)), pa.ListArray.from_arrays(pa.array(ends), pa.array(by))],
+            ["bucket", "term", "n", "best", "low", "high", "by"],
+        )
+
+
 def terms_of(post: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     """(bucket, term, df, best, top, low, high, removed), counted from postings.
 
@@ -342,11 +387,11 @@ def terms_of(post: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
         none = {"best": F.lit(0.0), "top": F.lit(0.0)} | (bounds if "usual" in post.columns else {"low": F.lit(USUAL_TOKENS), "high": F.lit(USUAL_TOKENS)})
         found = post.groupBy("bucket", "term").agg((F.count("*") if len(fields) == 1 else F.count_distinct(key)).alias("df"), *[v.alias(k) for k, v in none.items()])
         return found.withColumn("removed", F.lit(0).cast("long"))
+    runs = post.select("bucket", "term", "impact", "usual").mapInArrow(run_counts, RUNS)
+    falling = F.reverse(F.array_sort(F.flatten(F.collect_list("by"))))
+    one = runs.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("best").alias("best"), falling.alias("by"), F.min("low").alias("low"), F.max("high").alias("high"))
     step = F.lit(LEVELS / (K1 + 1))
-    by_level = post.groupBy("bucket", "term", F.floor(F.col("impact") * step).alias("level")).agg(F.count("*").alias("n"), F.max("impact").alias("best"), *[v.alias(k) for k, v in bounds.items()])
-    falling = F.reverse(F.array_sort(F.collect_list(F.struct("level", "n"))))  # LEVELS rows for a term at most
-    one = by_level.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("best").alias("best"), falling.alias("by"), F.min("low").alias("low"), F.max("high").alias("high"))
-    reached = F.aggregate("by", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("level")), lambda s, x: F.when(s["n"] >= KEPT, s).otherwise(F.struct((s["n"] + x["n"]).alias("n"), x["level"].alias("level"))))
+    reached = F.aggregate("by", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("level")), lambda s, x: F.when(s["n"] >= KEPT, s).otherwise(F.struct((s["n"] + x % LEVEL).alias("n"), F.shiftright(x, 40).alias("level"))))
     top = F.when(reached["n"] >= KEPT, reached["level"] / step).otherwise(F.lit(0.0))
     return one.select("bucket", "term", "df", "best", top.alias("top"), "low", "high", F.lit(0).cast("long").alias("removed"))
 

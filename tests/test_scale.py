@@ -122,3 +122,47 @@ def test_hashed_embeddings_count_tokens_by_place(spark):
         places = {r["id"]: r["p"] for r in rows.select("id", F.transform(tokens("text"), lambda t: F.pmod(F.xxhash64(t), F.lit(dimension))).alias("p")).collect()}
         assert {r["id"]: r["v"] for r in found.collect()} == {i: [float(p.count(k)) for k in range(dimension)] for i, p in places.items()}
     assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_are_counted_by_runs_with_one_shuffle(spark):
+    """Counts, bounds and the impact that KEPT postings reach are those of a plain count, for terms over several files, batches and averages."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from notelake.operators import fts
+    from notelake.session import written
+
+    rnd = random.Random(9)
+    word = lambda: f"w{int(rnd.random() ** 3 * 300)}"
+    rows = spark.createDataFrame([(i, " ".join(word() for _ in range(rnd.randrange(0, 60)))) for i in range(900)], "doc_id long, text string")
+    halves = [fts.postings(rows.filter(f"doc_id % 2 = {k}"), "doc_id", {"content": F.col("text")}, usual=20.0 + k) for k in (0, 1)]
+    post = written(halves[0].unionByName(halves[1]), "terms")
+    assert post.columns == ["bucket", "term", "field", "doc_id", "n_tokens", "positions", "impact", "usual"]
+    plain: dict = {}
+    for r in post.select("bucket", "term", "impact", "usual").collect():
+        plain.setdefault((r[0], r[1]), []).append((r[2], r[3]))
+    step = fts.LEVELS / (fts.K1 + 1)
+    top = lambda x: int(sorted(x, reverse=True)[fts.KEPT - 1] * step) / step if len(x) >= fts.KEPT else 0.0
+    want = {k: (len(v), max(i for i, _ in v), top([i for i, _ in v]), min(u for _, u in v), max(u for _, u in v), 0) for k, v in plain.items()}
+    terms = fts.terms_of(post, "doc_id", ("content",))
+    assert {(r[0], r[1]): tuple(r[2:]) for r in terms.collect()} == want and any(x[2] > 0 for x in want.values()) and any(x[2] == 0 for x in want.values())
+    assert fts.terms_of(post, "doc_id", ("content",))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_postings_are_shuffled_without_what_all_share(spark):
+    """Impacts come behind the shuffle; field and average length behind the sort; a task's share of the input is what it can sort in memory."""
+    from pyspark.sql import functions as F
+
+    from notelake.operators import fts
+
+    rows = spark.createDataFrame([(1, "a b a")], "doc_id long, text string")
+    one, two = (fts.postings(rows, "doc_id", c) for c in ({"content": F.col("text")}, {"a": F.col("text"), "b": F.col("text")}))
+    assert one.columns == two.columns and {(r["field"], r["term"]) for r in one.collect()} == {("content", "a"), ("content", "b")}
+    assert {(r["field"], r["term"]) for r in two.collect()} == {(f, t) for f in "ab" for t in "ab"}
+    dealt = next(x for x in one._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Repartition" in x)
+    below = one._jdf.queryExecution().optimizedPlan().toString().split(dealt)[1]
+    assert "impact" not in below and "usual" not in below
+    sorted_ = one._jdf.queryExecution().optimizedPlan().toString().split("Sort ")[1]
+    assert "usual" not in sorted_ and "AS field" not in sorted_
+    assert fts.TASK_BYTES <= 2 << 20
