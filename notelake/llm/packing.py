@@ -10,7 +10,7 @@ By default the document and cost capacities are those that the token capacity im
 of sequences is as small as tokens allow. Where they bind, documents are cut into pieces that an empty sequence can hold under every
 capacity (the square root of the cost capacity, if that is less than the tokens); no piece is ever placed over a capacity.
 
-Words are tokenized once per task: the tokenizer's splitting never joins what white space parts, so a text's ids are
+Words are tokenized once per worker and run, up to a bound: the tokenizer's splitting never joins what white space parts, so a text's ids are
 its words' ids in a row.
 
 Edge cases: null text counts as empty and gives one piece with the end id alone; repeated rows and repeated ids are
@@ -23,6 +23,9 @@ from __future__ import annotations
 import math
 import os
 import struct
+import sys
+import types
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -125,7 +128,7 @@ class Words:
 
 
 class WordIds:
-    """The ids of words, kept while a task runs (up to a bound, then anew): sorted keys, and each word's ids in one flat array.
+    """The ids of words, kept for the tasks that a worker has of a run (up to a bound, then anew): sorted keys, and each word's ids in one flat array.
 
     The bytes of longer words are kept too and compared, so that a key which two words share never gives one the ids of the other.
 
@@ -136,7 +139,7 @@ class WordIds:
 
     PIECE = 256 << 10  # bytes of text whose words are found at a time, so that arrays stay in the processor's caches
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 2_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -264,21 +267,29 @@ class WordIds:
         return out
 
 
-KNOWN: dict[str, WordIds] = {}
+HELD = "notelake_word_ids"
 
 
-def word_ids(path: str) -> WordIds:
-    """This task's words (functions travel by value, so each task has globals of its own): ids depend on the word alone."""
-    if path not in KNOWN:
-        KNOWN[path] = WordIds(path)
-    return KNOWN[path]
+def word_ids(path: str, run: str) -> WordIds:
+    """This worker's words of a run: ids depend on the word alone, so the run's later tasks find what earlier ones learned. Another run starts anew, so its cost is its own.
+
+    Functions travel by value and have new globals in each task; what a worker keeps is in a module of its own. A worker ends with a task that fails, so nothing half learned stays.
+    """
+    held = sys.modules.setdefault(HELD, types.ModuleType(HELD)).__dict__
+    if held.get("of") != (path, run):
+        held["of"], held["words"] = None, None  # the old ones go first
+        held["words"] = WordIds(path)
+        held["of"] = (path, run)
+    return held["words"]
 
 
 def pieces(documents: DataFrame, path: str, tokens: int = 2048) -> DataFrame:
     """One row per piece: doc_id, row (a number of the row in its task), piece, start, length, ids_crc32."""
 
+    run = uuid.uuid4().hex
+
     def cut(batches):
-        known, row = word_ids(path), 0
+        known, row = word_ids(path, run), 0
         for batch in slices(batches):
             out = []
             for doc_id, ids in zip(values(batch, "doc_id"), known.of(values(batch, "text")), strict=True):

@@ -113,3 +113,19 @@ def test_every_key_shared(monkeypatch):
     known = packing.WordIds(packing.tokenizer_path())
     for t in [*texts, *texts[::-1]]:
         assert known.of([t.encode()]) == [np.array(model.encode(t, add_special_tokens=False).ids + [0], np.uint32).tobytes()]
+
+
+def test_words_outlive_a_task_and_not_their_run():
+    """Functions travel by value to each task; the words that a worker has learned are found by its next task of the run, with the same ids, and not by another run."""
+    from pyspark import cloudpickle
+
+    tasks = [cloudpickle.loads(cloudpickle.dumps(packing.word_ids)) for _ in range(2)]
+    path = packing.tokenizer_path()
+    first = tasks[0](path, "a")
+    ids = first.of([b"some words, Some more", b""])
+    n = len(first.at)
+    again = tasks[1](path, "a")
+    assert again is first and again.of([b"some words, Some more", b""]) == ids and len(again.at) == n
+    assert packing.WordIds(path).of([b"some words, Some more", b""]) == ids
+    other = tasks[0](path, "b")
+    assert other is not first and len(other.at) == 1
