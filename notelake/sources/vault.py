@@ -41,14 +41,18 @@ def parsed(files: DataFrame) -> DataFrame:
     return out.withColumns({"title": T.title("body", "path"), "tags": T.list_field("yaml", "tags"), "aliases": T.list_field("yaml", "aliases"), "links": T.wiki_links("body")})
 
 
-def from_documents(documents: DataFrame) -> DataFrame:
-    """A vault made of the documents table, one note each, by one projection: (source_id, path, content)."""
+def heading(text: Column | str) -> Column:
+    """What stands before the first full stop, on one line, 80 characters at most: empty for an empty text and for one that begins with a full stop."""
+    return F.trim(F.substring(F.regexp_replace(F.split_part(text, F.lit("."), F.lit(1)), r"[ \t\n\r]+", " "), 1, 80))
+
+
+def from_documents(documents: DataFrame, *more: Column) -> DataFrame:
+    """A vault made of the documents table, one note each, by one projection: (source_id, path, content), and more columns of documents."""
     n = documents.count()
-    heading = F.trim(F.substring(F.regexp_replace(F.split_part("text", F.lit("."), F.lit(1)), r"[ \t\n\r]+", " "), 1, 80))
     i = F.col("doc_id").cast("string")
     head = F.concat(F.lit("---\ntags: ["), "lang", F.lit(", "), "source", F.lit("]\naliases: [d"), i, F.lit("]\n---\n# "))
     tail = F.concat(F.lit("\n\nSee [[doc-"), ((F.col("doc_id") * 7 + 3) % n).cast("string"), F.lit("]] and [[d"), ((F.col("doc_id") * 5 + 1) % n).cast("string"), F.lit("]]."))
-    return documents.select(F.col("doc_id").alias("source_id"), F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), i, F.lit(".md")).alias("path"), F.concat(head, heading, F.lit("\n\n"), "text", tail).alias("content"))
+    return documents.select(F.col("doc_id").alias("source_id"), F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), i, F.lit(".md")).alias("path"), F.concat(head, heading("text"), F.lit("\n\n"), "text", tail).alias("content"), *more)
 
 
 def numbered(files: DataFrame, start: int = 1) -> DataFrame:
